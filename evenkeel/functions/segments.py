@@ -131,9 +131,9 @@ def running(
         if fn == "sum":
             both = F.coalesce(l + c, l, c)
         elif fn == "max":
-            both = F.coalesce(F.when(l >= c, l).when(c > l, c), l, c)
+            both = F.greatest(l, c)
         else:
-            both = F.coalesce(F.when(l <= c, l).when(c < l, c), l, c)
+            both = F.least(l, c)
         joined = joined.withColumn(out, both)
     drop = [f"__{p}_{out}" for out in calcs for p in ("l", "c", "v")]
     joined = joined.drop(*drop)
