@@ -80,8 +80,9 @@ def map_types(columns: DataFrame, target: str, source: str = "data_type") -> Dat
 def profile_number(df: DataFrame, col: str) -> DataFrame:
     """Range and scale of a number column, and the type they allow."""
     d = F.col(col).cast("decimal(38,10)")
-    text = F.regexp_replace(d.cast("string"), r"\.?0+$", "")
-    scale = F.when(F.instr(d.cast("string"), ".") > 0, F.length(F.regexp_extract(text, r"\.(\d+)$", 1))).otherwise(0)
+    scale = F.lit(10)
+    for digits in range(9, -1, -1):
+        scale = F.when(d == F.round(d, digits), digits).otherwise(scale)
     one = df.agg(F.min(d).alias("lo"), F.max(d).alias("hi"), F.coalesce(F.max(scale), F.lit(0)).alias("max_scale"))
     big = F.greatest(F.abs("lo"), F.abs("hi"))
     kind = (
