@@ -20,16 +20,21 @@ def pct_of_total(df: DataFrame, value: str, out: str = "pct") -> DataFrame:
     return df.crossJoin(total).withColumn(out, pct).drop("__total")
 
 
-def heartbeat(df: DataFrame, key: str, order: Sequence[str], ok: str, threshold: int = 3) -> DataFrame:
+def heartbeat(df: DataFrame, key: str, order: Sequence[str], ok: str, threshold: int = 3, prior: DataFrame | None = None) -> DataFrame:
     """Consecutive failures up to each check, and whether the alarm is on.
 
     Failures so far minus failures so far at the last success; both are running
-    values, so no group is ever collected.
+    values, so no group is ever collected. ``prior`` (key, streak) carries the
+    streaks of an earlier batch: each enters as that many failures ahead of its key.
     """
-    fails = running(df, [key], order, {"__fails": ("sum", F.when(F.col(ok), 0).otherwise(1))})
+    rows = df.withColumn("__w", F.when(F.col(ok), 0).otherwise(1).cast("long")).withColumn("__base", F.lit(False))
+    if prior is not None:
+        base = prior.select(key, F.col("streak").cast("long").alias("__w")).withColumn("__base", F.lit(True))
+        rows = rows.unionByName(base, allowMissingColumns=True)
+    fails = running(rows, [key], order, {"__fails": ("sum", F.col("__w"))})
     at_ok = running(fails, [key], order, {"__at_ok": ("max", F.when(F.col(ok), F.col("__fails")))})
-    out = at_ok.withColumn("streak", (F.col("__fails") - F.coalesce("__at_ok", F.lit(0))).cast("long"))
-    return out.withColumn("alarm", F.col("streak") >= threshold).drop("__fails", "__at_ok")
+    out = at_ok.where("NOT __base").withColumn("streak", (F.col("__fails") - F.coalesce("__at_ok", F.lit(0))).cast("long"))
+    return out.withColumn("alarm", F.col("streak") >= threshold).drop("__fails", "__at_ok", "__w", "__base")
 
 
 def snapshot_delta(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:

@@ -75,8 +75,10 @@ def annotate(target: DataFrame, changes: DataFrame, pk: Sequence[str], seq: str
     return seen.withColumn("outcome", outcome)
 
 
-def fold(annotated: DataFrame, pk: Sequence[str], cols: Sequence[str], seq: str = "seq", op: str = "op", carried: str | None = None) -> DataFrame:
-    """Final rows of the keys in an annotated stream.
+def fold(
+    annotated: DataFrame, pk: Sequence[str], cols: Sequence[str], seq: str = "seq", op: str = "op", carried: str | None = None, keep_dead: bool = False
+) -> DataFrame:
+    """Final rows of the keys in an annotated stream; dead keys too, marked, if asked.
 
     The last creating event sets every column, so the newest effective value of
     each column always belongs to the row's current life. All aggregates combine
@@ -91,8 +93,9 @@ def fold(annotated: DataFrame, pk: Sequence[str], cols: Sequence[str], seq: str
         sets = creating | (F.col("outcome").isin("updated", "upserted") & _carried(c, carried))
         aggs.append(F.max_by(F.when(sets, value), F.when(sets, F.col(seq))).alias(c))
     alive = F.max_by(F.when(F.col(op).isin("B", "I", "D"), F.col(op) != "D"), F.when(F.col(op).isin("B", "I", "D"), F.col(seq)))
-    final = annotated.groupBy(*pk).agg(alive.alias("__alive"), *aggs)
-    return final.where("__alive").select(*pk, *[F.col(c)["v"].alias(c) for c in cols])
+    final = annotated.groupBy(*pk).agg(F.coalesce(alive, F.lit(False)).alias("alive"), *aggs)
+    final = final.select(*pk, "alive", *[F.col(c)["v"].alias(c) for c in cols])
+    return final if keep_dead else final.where("alive").drop("alive")
 
 
 def replay(
