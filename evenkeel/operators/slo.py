@@ -54,6 +54,9 @@ ALERT_RULES = [
     AlertRule("LongBlockingChain", "blocked_sessions", True, 10, 60, "Sev-2"),
     AlertRule("DeadlockRateHigh", "deadlocks_5m", True, 1, 30, "Sev-2"),
     AlertRule("BackupMissing", "backup_age_s", True, 90000, 600, "Sev-3"),
+    AlertRule("high_replication_lag", "replication_lag_s", True, 5, 0, "Sev-3"),
+    AlertRule("high_connections", "connection_share", True, 0.9, 0, "Sev-2"),
+    AlertRule("slow_queries", "query_time_s", True, 2, 0),
 ]
 
 
