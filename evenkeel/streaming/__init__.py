@@ -1 +1 @@
-"""Streaming of evenkeel."""
+"""Structured Streaming forms of the change and health operators."""
