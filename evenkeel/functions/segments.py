@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -86,19 +85,17 @@ def with_segments(df: DataFrame, order: str, borders: Borders | None = None, fan
     return df.withColumn(SEGMENT, F.coalesce(segment_of(order_number(df, order), borders), F.lit(-1)))
 
 
-def _ordering(order: Sequence[str]) -> list[Column]:
-    return [F.col(o) for o in order]
+GROUP = "__group"
 
 
-def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right["__k_" + n]) for n in names])
+def _grouped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys and segment as one struct: it is never null and equal structs match even
+    where a key is null, so windows and the carry join share one shuffle."""
+    return df.withColumn(GROUP, F.struct(*keys, SEGMENT))
 
 
-def _join_carry(base: DataFrame, carry: DataFrame, names: Sequence[str]) -> DataFrame:
-    for n in names:
-        carry = carry.withColumnRenamed(n, "__k_" + n)
-    joined = base.join(carry, _null_safe(base, carry, names), "left")
-    return joined.drop(*["__k_" + n for n in names])
+def _join_carry(base: DataFrame, carry: DataFrame) -> DataFrame:
+    return base.join(carry, GROUP, "left").drop(GROUP)
 
 
 def running(
@@ -107,53 +104,72 @@ def running(
     order: Sequence[str],
     calcs: dict[str, tuple[str, Column]],
     exclusive: bool = False,
+    whole: dict[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
     """Running sum/max/min per key in ``order``; ``exclusive`` leaves the row itself out.
 
     ``calcs`` maps an output name to (function, value). The value is null where a
-    row does not take part. The frame is null while nothing has taken part yet.
+    row does not take part. The result is null while nothing has taken part yet.
+    ``whole`` adds aggregates over all rows of the key, from the same carry table.
     """
     own = SEGMENT not in df.columns
-    base = with_segments(df, order[0]) if own else df
-    names = [*keys, SEGMENT]
-    values = {out: f"__v_{out}" for out in calcs}
-    for out, (_, value) in calcs.items():
-        base = base.withColumn(values[out], value)
-    last = -1 if exclusive else 0
-    within = Window.partitionBy(*names).orderBy(*_ordering(order)).rowsBetween(Window.unboundedPreceding, last)
-    before = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
-    carry = base.groupBy(*names).agg(*[_FNS[fn](values[out]).alias(values[out]) for out, (fn, _) in calcs.items()])
-    carry = carry.select(*names, *[_FNS[fn](values[out]).over(before).alias(f"__c_{out}") for out, (fn, _) in calcs.items()])
-    local = base.select("*", *[_FNS[fn](values[out]).over(within).alias(f"__l_{out}") for out, (fn, _) in calcs.items()])
-    joined = _join_carry(local, carry, names)
+    base = _grouped(with_segments(df, order[0]) if own else df, keys)
+    whole = whole or {}
+    for out, (_, value) in {**calcs, **whole}.items():
+        base = base.withColumn(f"__v_{out}", value)
+    within = Window.partitionBy(GROUP).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    per_key = Window.partitionBy(*[F.col(GROUP)[k] for k in keys])
+    before = per_key.orderBy(F.col(GROUP)[SEGMENT]).rowsBetween(Window.unboundedPreceding, -1)
+    carry = base.groupBy(GROUP).agg(*[_FNS[fn](f"__v_{out}").alias(f"__v_{out}") for out, (fn, _) in {**calcs, **whole}.items()])
+    carry = carry.select(
+        GROUP,
+        *[_FNS[fn](f"__v_{out}").over(before).alias(f"__c_{out}") for out, (fn, _) in calcs.items()],
+        *[_FNS[fn](f"__v_{out}").over(per_key).alias(out) for out, (fn, _) in whole.items()],
+    )
+    local = base.select("*", *[_FNS[fn](f"__v_{out}").over(within).alias(f"__l_{out}") for out, (fn, _) in calcs.items()])
+    joined = _join_carry(local.drop(*[f"__v_{out}" for out in [*calcs, *whole]]), carry)
+    outs = {}
     for out, (fn, _) in calcs.items():
         l, c = F.col(f"__l_{out}"), F.col(f"__c_{out}")
-        if fn == "sum":
-            both = F.coalesce(l + c, l, c)
-        elif fn == "max":
-            both = F.greatest(l, c)
-        else:
-            both = F.least(l, c)
-        joined = joined.withColumn(out, both)
-    drop = [f"__{p}_{out}" for out in calcs for p in ("l", "c", "v")]
-    joined = joined.drop(*drop)
+        outs[out] = F.coalesce(l + c, l, c) if fn == "sum" else F.greatest(l, c) if fn == "max" else F.least(l, c)
+    joined = joined.withColumns(outs).drop(*[f"__{p}_{out}" for out in calcs for p in ("l", "c")])
     return joined.drop(SEGMENT) if own else joined
 
 
 def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> DataFrame:
     """Value of the previous row of the same key; null on the first row."""
     own = SEGMENT not in df.columns
-    base = with_segments(df, order[0]) if own else df
-    names = [*keys, SEGMENT]
+    base = _grouped(with_segments(df, order[0]) if own else df, keys)
     base = base.withColumn("__v", F.struct(*[v.alias(k) for k, v in values.items()]))
-    within = Window.partitionBy(*names).orderBy(*_ordering(order))
-    carry = base.groupBy(*names).agg(F.max_by("__v", F.struct(*order)).alias("__c"))
-    carry = carry.withColumn("__c", F.lag("__c").over(Window.partitionBy(*keys).orderBy(SEGMENT)))
-    local = base.withColumn("__l", F.lag("__v").over(within))
-    joined = _join_carry(local, carry, names)
+    within = Window.partitionBy(GROUP).orderBy(*order)
+    carry = base.groupBy(GROUP).agg(F.max_by("__v", F.struct(*order)).alias("__c"))
+    per_key = Window.partitionBy(*[F.col(GROUP)[k] for k in keys]).orderBy(F.col(GROUP)[SEGMENT])
+    carry = carry.select(GROUP, F.lag("__c").over(per_key).alias("__c"))
+    joined = _join_carry(base.withColumn("__l", F.lag("__v").over(within)), carry)
     joined = joined.withColumn("__p", F.coalesce("__l", "__c"))
-    joined = joined.select("*", *[F.col("__p")[k].alias(k) for k in values])
-    joined = joined.drop("__v", "__l", "__c", "__p")
+    joined = joined.select("*", *[F.col("__p")[k].alias(k) for k in values]).drop("__v", "__l", "__c", "__p")
+    return joined.drop(SEGMENT) if own else joined
+
+
+def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, reset: Column, out: str) -> DataFrame:
+    """Weight gathered since the last reset, in one shuffle.
+
+    Inside a segment it is the running weight minus the running weight at the last
+    reset. A segment hands on its total weight and, if it had a reset, the weight
+    after the last one.
+    """
+    own = SEGMENT not in df.columns
+    base = _grouped(with_segments(df, order[0]) if own else df, keys).withColumn("__w", weight).withColumn("__r", reset)
+    w = Window.partitionBy(GROUP).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = base.withColumn("__sum", F.sum("__w").over(w))
+    local = local.withColumn("__at", F.max(F.when(F.col("__r"), F.col("__sum"))).over(w))
+    ends = local.groupBy(GROUP).agg(F.max("__sum").alias("__total"), F.max("__at").alias("__last"))
+    per_key = Window.partitionBy(*[F.col(GROUP)[k] for k in keys]).orderBy(F.col(GROUP)[SEGMENT]).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__sum_before", F.coalesce(F.sum("__total").over(per_key), F.lit(0)))
+    ends = ends.select(GROUP, "__sum_before", F.max(F.col("__sum_before") + F.col("__last")).over(per_key).alias("__at_before"))
+    joined = _join_carry(local, ends)
+    value = F.col("__sum") + F.col("__sum_before") - F.coalesce(F.col("__at") + F.col("__sum_before"), F.col("__at_before"), F.lit(0))
+    joined = joined.withColumn(out, value).drop("__w", "__r", "__sum", "__at", "__sum_before", "__at_before")
     return joined.drop(SEGMENT) if own else joined
 
 
@@ -170,12 +186,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
 def quantiles_of_counts(counted: DataFrame, keys: Sequence[str], value: str, n: str, probs: dict[str, float]) -> DataFrame:
     scaled = counted.withColumn("__ord", F.round(F.col(value) * 1000).cast("long"))
-    ranked = running(scaled, keys, ["__ord", value], {"__cum": ("sum", F.col(n))})
-    total = counted.groupBy(*keys).agg(F.sum(n).alias("__total"))
-    if keys:
-        joined = ranked.join(total, list(keys))
-    else:
-        joined = ranked.crossJoin(F.broadcast(total))
+    cum = {"__cum": ("sum", F.col(n))}
+    joined = running(scaled, keys, ["__ord", value], cum, whole={"__total": ("sum", F.col(n))})
     aggs = []
     for out, p in probs.items():
         pos = F.lit(float(p)) * (F.col("__total") - 1)

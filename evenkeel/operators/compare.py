@@ -130,7 +130,7 @@ def in_scope(df: DataFrame, gap_keys: DataFrame, pk: str) -> DataFrame:
 
 def missing_rows(src: DataFrame, tgt: DataFrame, pk: str, scope: DataFrame | None = None) -> DataFrame:
     """Source rows with no target row."""
-    out = src.join(tgt.select(pk), pk, "left_anti")
+    out = src.join(tgt.select(pk).distinct(), pk, "left_anti")
     return out if scope is None else in_scope(out, scope, pk)
 
 
@@ -139,12 +139,36 @@ def extra_rows(src: DataFrame, tgt: DataFrame, pk: str, scope: DataFrame | None
     return missing_rows(tgt, src, pk, scope)
 
 
+def _row_marks(df: DataFrame, pk: Sequence[str], cols: Sequence[str], weight: int) -> DataFrame:
+    # null flags keep (null, x) and (x, null) apart; two hashes make a chance match within one key negligible
+    parts = [*[F.col(c) for c in cols], *[F.col(c).isNull() for c in cols]]
+    return df.select(*pk, F.xxhash64(*parts).alias("__h1"), F.hash(*parts).alias("__h2"), F.lit(weight).alias("__w"))
+
+
+def differing_keys(src: DataFrame, tgt: DataFrame, pk: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Keys whose rows are not the same on both sides.
+
+    Only key and row hash move. Equal rows cancel in the aggregation, so what is
+    left grows with the differences and not with the tables.
+    """
+    marks = _row_marks(src, pk, cols, 1).unionByName(_row_marks(tgt, pk, cols, -1))
+    net = marks.groupBy(*pk, "__h1", "__h2").agg(F.sum("__w").alias("__net")).where("__net <> 0")
+    return net.select(*pk).distinct()
+
+
 def row_diff(src: DataFrame, tgt: DataFrame, pk: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """missing / extra / changed per key with the names of differing columns."""
-    s = _prefixed(src.select(*pk, *cols).withColumn("seen", F.lit(True)), "s_", pk)
-    t = _prefixed(tgt.select(*pk, *cols).withColumn("seen", F.lit(True)), "t_", pk)
+    """missing / extra / changed per key with the names of differing columns.
+
+    The columns are compared only for keys that differ, and copies of a row count once.
+    """
+    keys = differing_keys(src, tgt, pk, cols)
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        rows = df.select(*pk, *cols).join(keys, list(pk), "left_semi").distinct()
+        return _prefixed(rows.withColumn("seen", F.lit(True)), p, pk)
+
     names = F.array_compact(F.array(*[F.when(_differs("s_" + c, "t_" + c), F.lit(c)) for c in cols]))
-    both = s.join(t, list(pk), "full_outer").withColumn("changed", names)
+    both = side(src, "s_").join(side(tgt, "t_"), list(pk), "full_outer").withColumn("changed", names)
     kind = F.when(F.col("t_seen").isNull(), "missing").when(F.col("s_seen").isNull(), "extra").otherwise("changed")
     return both.where(F.col("s_seen").isNull() | F.col("t_seen").isNull() | (F.size("changed") > 0)).select(
         *pk,

@@ -21,8 +21,8 @@ def newest(df: DataFrame, ts: str) -> DataFrame:
 
 
 def with_as_of(df: DataFrame, as_of: DataFrame) -> DataFrame:
-    """Attach the single as_of row (one row, so the broadcast has a fixed size)."""
-    return df.crossJoin(F.broadcast(as_of))
+    """Attach the single as_of value as a scalar subquery."""
+    return df.withColumn("as_of", as_of.scalar())
 
 
 def recent(df: DataFrame, ts: str, interval: str, as_of: DataFrame | None = None) -> DataFrame:
@@ -112,7 +112,7 @@ def rule_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def rows_by_day(df: DataFrame, ts: str, days: int = 7) -> DataFrame:
     """Rows per day of the last ``days``, days without rows included."""
     per = df.groupBy(F.to_date(ts).alias("d")).agg(_count().alias("n"))
-    last = F.broadcast(per.agg(F.max("d").alias("last")))
+    last = per.agg(F.max("d").alias("last"))
     calendar = last.select(F.explode(F.sequence(F.date_sub("last", days - 1), F.col("last"))).alias("d"))
     return calendar.join(per, "d", "left").select(F.col("d").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("row_count"))
 
@@ -145,7 +145,7 @@ def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
 
 def childless(parent: DataFrame, child: DataFrame, pk: str, fk: str) -> DataFrame:
     """Parents without a child."""
-    return parent.join(child.select(F.col(fk).alias(pk)), pk, "left_anti")
+    return parent.join(child.select(F.col(fk).alias(pk)).distinct(), pk, "left_anti")
 
 
 def join_integrity(orders: DataFrame, customers: DataFrame, fk: str, pk: str, ts: str, order_id: str, days: int = 7, n: int = 1000) -> DataFrame:

@@ -10,31 +10,27 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evenkeel.functions.segments import exact_quantiles, lagged, running
+from evenkeel.functions.segments import exact_quantiles, lagged, running, streaks
 
 
 def pct_of_total(df: DataFrame, value: str, out: str = "pct") -> DataFrame:
     """Share of the grand total; the total is one aggregated row, not a global window."""
-    total = F.broadcast(df.agg(F.sum(value).alias("__total")))
-    pct = F.try_divide(F.col(value) * F.lit(100.0), F.col("__total")).cast("decimal(8,2)").cast("double")
-    return df.crossJoin(total).withColumn(out, pct).drop("__total")
+    total = df.agg(F.sum(value)).scalar()
+    return df.withColumn(out, F.try_divide(F.col(value) * F.lit(100.0), total).cast("decimal(8,2)").cast("double"))
 
 
 def heartbeat(df: DataFrame, key: str, order: Sequence[str], ok: str, threshold: int = 3, prior: DataFrame | None = None) -> DataFrame:
     """Consecutive failures up to each check, and whether the alarm is on.
 
-    Failures so far minus failures so far at the last success; both are running
-    values, so no group is ever collected. ``prior`` (key, streak) carries the
-    streaks of an earlier batch: each enters as that many failures ahead of its key.
+    ``prior`` (key, streak) carries the streaks of an earlier batch: each enters
+    as that many failures ahead of its key.
     """
-    rows = df.withColumn("__w", F.when(F.col(ok), 0).otherwise(1).cast("long")).withColumn("__base", F.lit(False))
+    rows = df.withColumn("__fail", F.when(F.col(ok), 0).otherwise(1).cast("long")).withColumn("__base", F.lit(False))
     if prior is not None:
-        base = prior.select(key, F.col("streak").cast("long").alias("__w")).withColumn("__base", F.lit(True))
+        base = prior.select(key, F.col("streak").cast("long").alias("__fail")).withColumn("__base", F.lit(True))
         rows = rows.unionByName(base, allowMissingColumns=True)
-    fails = running(rows, [key], order, {"__fails": ("sum", F.col("__w"))})
-    at_ok = running(fails, [key], order, {"__at_ok": ("max", F.when(F.col(ok), F.col("__fails")))})
-    out = at_ok.where("NOT __base").withColumn("streak", (F.col("__fails") - F.coalesce("__at_ok", F.lit(0))).cast("long"))
-    return out.withColumn("alarm", F.col("streak") >= threshold).drop("__fails", "__at_ok", "__w", "__base")
+    out = streaks(rows, [key], order, F.col("__fail"), F.coalesce(F.col(ok), F.lit(False)), "streak")
+    return out.where("NOT __base").drop("__fail", "__base").withColumn("alarm", F.col("streak") >= threshold)
 
 
 def snapshot_delta(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:

@@ -59,7 +59,7 @@ def freshness(df: DataFrame, ts: str, keys: Sequence[str], sla_minutes: float, a
     """Minutes since the newest row of each source against its limit (Q12)."""
     newest = df.groupBy(*keys).agg(F.max(ts).alias("newest"))
     lag = (F.unix_micros(F.col("as_of").cast("timestamp")) - F.unix_micros(F.col("newest").cast("timestamp"))) / F.lit(6e7)
-    out = newest.crossJoin(F.broadcast(as_of)).withColumn("lag_minutes", F.round(lag, 4))
+    out = newest.withColumn("as_of", as_of.scalar()).withColumn("lag_minutes", F.round(lag, 4))
     return out.withColumn("status", F.when(F.col("lag_minutes") <= sla_minutes, "FRESH").otherwise("STALE")).drop("as_of")
 
 
@@ -86,7 +86,7 @@ def restore_check(prod: DataFrame, restored: DataFrame, pk: str, hash_cols: Sequ
             F.count(F.lit(1)).alias(p + "rows"), F.max(pk).alias(p + "max"), wide_sum(digest_number(row_md5(df, hash_cols))).alias(p + "hash")
         )
 
-    both = side(prod, "p_").crossJoin(side(restored, "r_"))
+    both = side(prod, "p_").join(side(restored, "r_"), F.lit(True))
     variance = F.round(F.coalesce(F.try_divide(F.abs(F.col("r_rows") - F.col("p_rows")) * 100.0, F.col("p_rows")), F.lit(0.0)), 4)
     checks = F.array(
         F.struct(F.lit("ROW_VARIANCE").alias("check_name"), variance.cast("string").alias("observed"), (variance < max_variance_pct).alias("ok")),
@@ -148,7 +148,7 @@ def stale_stats(df: DataFrame, analyzed: str, max_age_days: int, as_of: DataFram
     reason = (
         F.when(F.col(analyzed).isNull(), "NEVER_ANALYZED").when(F.col("stale_stats") == "YES", "FLAGGED").when(age > max_age_days, "TOO_OLD")
     )
-    return df.crossJoin(F.broadcast(as_of)).withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("as_of")
+    return df.withColumn("as_of", as_of.scalar()).withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("as_of")
 
 
 def sorted_oldest_first(df: DataFrame, analyzed: str) -> DataFrame:

@@ -39,9 +39,13 @@ def merge_delta(target: DataFrame, delta: DataFrame, pk: str, op: str = "op_type
     d = delta.select(pk, F.col(op).alias("__op"), *[F.col(c).alias("__d_" + c) for c in cols])
     if not with_deletes:
         d = d.where(F.col("__op") != "D")
-    t = target.withColumn("__in", F.lit(True))
+    # rows without a delta bypass the outer join
+    keys = d.select(pk)
+    untouched = target.join(keys, pk, "left_anti")
+    t = target.join(keys, pk, "left_semi").withColumn("__in", F.lit(True))
     both = t.join(d, pk, "full_outer")
     both = both.where(~(F.coalesce(F.col("__op") == "D", F.lit(False))))
     use = F.col("__op").isin("I", "U")
     out = [F.when(use, F.col("__d_" + c)).otherwise(F.col(c)).alias(c) for c in cols]
-    return both.where(F.col("__in") | use).select(pk, *out).select(*target.columns)
+    merged = both.where(F.col("__in") | use).select(pk, *out).select(*target.columns)
+    return untouched.select(*target.columns).unionByName(merged)

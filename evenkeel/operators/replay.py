@@ -135,8 +135,11 @@ def replay_upsert(target: DataFrame, changes: DataFrame, pk: Sequence[str], seq:
         sets = _carried(c, carried)
         aggs.append(F.max_by(F.when(sets, F.struct(F.col(c).alias("v"))), F.when(sets, F.col(seq))).alias("__n_" + c))
     new = changes.groupBy(*pk).agg(*aggs)
-    both = target.join(new, list(pk), "full_outer")
-    return both.select(*pk, *[F.when(F.col("__n_" + c).isNotNull(), F.col("__n_" + c)["v"]).otherwise(F.col(c)).alias(c) for c in cols])
+    touched = target.join(new.select(*pk), list(pk), "left_semi")
+    untouched = target.join(new.select(*pk), list(pk), "left_anti")
+    both = touched.join(new, list(pk), "full_outer")
+    out = both.select(*pk, *[F.when(F.col("__n_" + c).isNotNull(), F.col("__n_" + c)["v"]).otherwise(F.col(c)).alias(c) for c in cols])
+    return untouched.select(*pk, *cols).unionByName(out)
 
 
 def replay_coded(target: DataFrame, changes: DataFrame, pk: str, seq: str = "seq", code: str = "code", policy: Policy = Policy("UPSERT"), carried: str | None = None) -> DataFrame:
@@ -186,7 +189,7 @@ def cdc_health(checkpoint: DataFrame, as_of: DataFrame, target_min: float = 5, a
     """Lag and error-rate state per table."""
     lag = F.round(lag_minutes(F.col("last_timestamp"), F.col("as_of")), 4)
     rate = F.coalesce(F.try_divide(F.col("failed").cast("double"), F.col("rows_applied")), F.lit(0.0))
-    out = checkpoint.crossJoin(F.broadcast(as_of)).withColumn("lag_minutes", lag).withColumn("error_rate", F.round(rate, 6)).drop("as_of")
+    out = checkpoint.withColumn("as_of", as_of.scalar()).withColumn("lag_minutes", lag).withColumn("error_rate", F.round(rate, 6)).drop("as_of")
     return out.withColumn("lag_state", F.when(F.col("lag_minutes") > alert_min, "ALERT").when(F.col("lag_minutes") > target_min, "WARN").otherwise("OK")).withColumn(
         "error_state", F.when(F.col("error_rate") > error_alert, "ALERT").otherwise("OK")
     )

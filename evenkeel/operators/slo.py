@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from evenkeel.functions.segments import exact_quantiles
 from evenkeel.operators.marts import newest, recent, with_as_of
@@ -88,8 +88,9 @@ def alert_severity(df: DataFrame, kind: str) -> DataFrame:
 def forecast(df: DataFrame, keys: Sequence[str], ts: str, value: Column, horizons: Sequence[int] = (30, 90, 180), z: float = 1.96) -> DataFrame:
     """Linear projection of a daily total with a residual band."""
     daily = df.groupBy(*keys, F.unix_date(F.to_date(ts)).alias("day")).agg(F.sum(value).cast("double").alias("y"))
-    first = daily.groupBy(*keys).agg(F.min("day").alias("d0"), F.max("day").alias("d1")) if keys else daily.agg(F.min("day").alias("d0"), F.max("day").alias("d1"))
-    based = (daily.join(first, list(keys)) if keys else daily.crossJoin(F.broadcast(first))).withColumn("x", (F.col("day") - F.col("d0")).cast("double"))
+    # one row per key and day, so a window over a key is short
+    w = Window.partitionBy(*keys)
+    based = daily.withColumn("d0", F.min("day").over(w)).withColumn("d1", F.max("day").over(w)).withColumn("x", (F.col("day") - F.col("d0")).cast("double"))
     fit = based.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("days"),
         F.max(F.col("d1") - F.col("d0")).alias("last_x"),
@@ -194,8 +195,7 @@ def cluster_pressure(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     per = df.groupBy(*keys).agg(
         F.sum("requests").alias("requests"), F.sum("throttled").alias("throttled"), F.sum("tombstones").alias("tombstones"), F.sum("live").alias("live")
     )
-    total = F.broadcast(per.agg(F.sum("requests").alias("__all")))
-    return per.crossJoin(total).select(
+    return per.withColumn("__all", per.agg(F.sum("requests")).scalar()).select(
         *keys,
         F.round(F.try_divide(F.col("tombstones") * F.lit(100.0), F.col("tombstones") + F.col("live")), 4).alias("tombstone_pct"),
         F.round(F.try_divide(F.col("throttled") * F.lit(100.0), F.col("requests")), 4).alias("throttled_pct"),

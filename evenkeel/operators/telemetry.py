@@ -196,8 +196,7 @@ def cardinality(df: DataFrame, col: str, flag_pct: float = 5.0) -> DataFrame:
 def slow_log_rollup(df: DataFrame, key: str, seconds: Column) -> DataFrame:
     """Slow statements and total time per database, with share of all."""
     per = df.groupBy(key).agg(_n("statements"), F.sum(seconds).cast("double").alias("total_time"))
-    total = F.broadcast(per.agg(F.sum("statements").alias("__t")))
-    return per.crossJoin(total).withColumn("share", ratio(F.col("statements"), F.col("__t"))).drop("__t")
+    return per.withColumn("share", ratio(F.col("statements"), per.agg(F.sum("statements")).scalar()))
 
 
 def top_k(df: DataFrame, metric: str, k: int, tiebreak: Sequence[str], nulls_last: bool = True) -> DataFrame:
@@ -229,12 +228,9 @@ def with_statement_text(stats: DataFrame, texts: DataFrame, handle: str, keep_un
     return stats.join(texts, handle, "left" if keep_unmatched else "inner")
 
 
-def one_row(*frames: DataFrame) -> DataFrame:
-    """Cross join of one-row aggregates."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.crossJoin(f)
-    return out
+def one_row(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row aggregates side by side (J17, J18); the others have one column each."""
+    return first.withColumns({f.columns[0]: f.scalar() for f in others})
 
 
 def perf_compare(src: DataFrame, tgt: DataFrame, query: str, ms: str) -> DataFrame:

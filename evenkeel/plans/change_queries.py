@@ -72,10 +72,10 @@ def lsn_valid(t: Tables):
 
 @query(
     "p13_lsn_range",
-    f"SELECT lsn, code FROM {CHANGES_CODED} WHERE lsn > '00000000000000000100' AND lsn <= '00000000000000001000'",
+    f"SELECT lsn, code FROM {CHANGES_CODED} WHERE seq > (SELECT max(event_id) // 10 FROM events) AND seq <= (SELECT max(event_id) // 2 FROM events)",
 )
 def lsn_between(t: Tables):
-    return pos.lsn_range(changes_coded(t), "lsn", "0" * 17 + "100", "0" * 16 + "1000").select("lsn", "code")
+    return pos.lsn_range(changes_coded(t), "lsn", f"{position(t, 10):020x}", f"{position(t, 2):020x}").select("lsn", "code")
 
 
 @query(
@@ -103,9 +103,17 @@ def lags(t: Tables):
 # ---- net changes, windows of the feed, checkpoints
 
 
-@query("c02_changes_between", f"SELECT seq, pk, op FROM {CHANGES} WHERE seq > 1000 AND seq <= 5000 AND kind IN ('click','error')")
+TENTH, HALF = "(SELECT max(event_id) // 10 FROM events)", "(SELECT max(event_id) // 2 FROM events)"
+
+
+def position(t: Tables, part: int) -> int:
+    """A log position at a fraction of the feed, as a caller would pass it."""
+    return t.events.agg(F.max("event_id")).first()[0] // part
+
+
+@query("c02_changes_between", f"SELECT seq, pk, op FROM {CHANGES} WHERE seq > {TENTH} AND seq <= {HALF} AND kind IN ('click','error')")
 def between(t: Tables):
-    return rp.changes_between(changes(t), "seq", 1000, 5000, ["click", "error"], "kind").select("seq", "pk", "op")
+    return rp.changes_between(changes(t), "seq", position(t, 10), position(t, 2), ["click", "error"], "kind").select("seq", "pk", "op")
 
 
 @query("w05_net_changes", f"SELECT pk, max(seq) AS seq, arg_max(op, seq) AS op, cast(arg_max(amount, seq) AS double) AS amount FROM {CHANGES} GROUP BY pk")
@@ -188,14 +196,15 @@ def merged(t: Tables):
 @query("c07_checkpoint", f"SELECT kind, max(seq) AS last_seq, max(ts) AS last_timestamp, count(*) AS rows_applied FROM {CHANGES} GROUP BY kind")
 def marks(t: Tables):
     c = changes(t)
-    first, second = c.where("seq < 4000"), c.where("seq >= 4000")
+    half = position(t, 2)
+    first, second = c.where(F.col("seq") < half), c.where(F.col("seq") >= half)
     return rp.merge_checkpoint(rp.checkpoint_of(first, "kind", "seq", "ts"), rp.checkpoint_of(second, "kind", "seq", "ts"), "kind")
 
 
-@query("c08_skip_applied", f"SELECT seq, pk, op FROM {CHANGES} c WHERE seq > (SELECT max(seq) FROM {CHANGES} m WHERE m.kind = c.kind AND m.seq < 6000)")
+@query("c08_skip_applied", f"SELECT seq, pk, op FROM {CHANGES} c WHERE seq > (SELECT max(seq) FROM {CHANGES} m WHERE m.kind = c.kind AND m.seq < {HALF})")
 def resumed(t: Tables):
     c = changes(t)
-    mark = rp.checkpoint_of(c.where("seq < 6000"), "kind", "seq", "ts")
+    mark = rp.checkpoint_of(c.where(F.col("seq") < position(t, 2)), "kind", "seq", "ts")
     return rp.skip_applied(c.unionByName(c.where("seq % 40 = 1")), mark, "kind", "seq").select("seq", "pk", "op")
 
 

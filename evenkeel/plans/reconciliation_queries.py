@@ -241,11 +241,17 @@ def business_compared(t: Tables):
     return cmp.compare_business(fp.business_profile(src_orders(t), RULES), fp.business_profile(tgt_orders(t), RULES))
 
 
-GAPS = f"(SELECT id AS key_id FROM {SRC_ORDERS} WHERE id % 4 = 3 UNION ALL SELECT id AS key_id FROM {TGT_ORDERS} WHERE id % 4 = 3)"
+# the key scope: every key of a 500-key range whose fingerprint differs
+LOCAL = """WITH s AS (SELECT id // 500 AS slice, count(*) AS n, sum({h}) AS h FROM {a} GROUP BY 1), t AS (SELECT id // 500 AS slice, count(*) AS n, sum({h}) AS h FROM {b} GROUP BY 1)
+  SELECT coalesce(s.slice, t.slice) AS slice FROM s FULL OUTER JOIN t ON s.slice = t.slice WHERE s.n IS DISTINCT FROM t.n OR s.h IS DISTINCT FROM t.h""".format(h=ORDER_HASH, a=SRC_ORDERS, b=TGT_ORDERS)
+GAPS = f"(SELECT id AS key_id FROM (SELECT id FROM {SRC_ORDERS} UNION SELECT id FROM {TGT_ORDERS}) WHERE id // 500 IN ({LOCAL}))"
 
 
 def gap_scope(t: Tables) -> DataFrame:
-    return src_orders(t).select("id").unionByName(tgt_orders(t).select("id")).where("id % 4 = 3").select(F.col("id").alias("key_id"))
+    s, g = src_orders(t), tgt_orders(t)
+    slices = cmp.localise(s, g, lambda d: F.expr("id div 500"), ORDER_COLS).select("slice")
+    keys = s.select("id").unionByName(g.select("id")).withColumn("slice", F.expr("id div 500"))
+    return keys.join(slices, "slice", "left_semi").select(F.col("id").alias("key_id"))
 
 
 @query(
@@ -387,29 +393,28 @@ def keys_to_repair(t: Tables):
 
 @query(
     "q04_remediate",
-    f"""WITH k AS (SELECT id FROM ({ROW_DIFF}) WHERE id % 2 = 1)
+    f"""WITH k AS (SELECT id FROM ({ROW_DIFF}) WHERE kind <> 'changed')
      SELECT id, status, cast(total_amount AS double) AS total_amount, is_deleted FROM {TGT_ORDERS} WHERE id NOT IN (SELECT id FROM k)
      UNION ALL SELECT id, status, cast(total_amount AS double), is_deleted FROM {SRC_ORDERS} WHERE id IN (SELECT id FROM k)""",
 )
 def remediated(t: Tables):
     s, g = src_orders(t), tgt_orders(t)
-    keys = rem.gap_keys(s, g, "id", VALUES).where("key_id % 2 = 1")
+    keys = rem.gap_keys(s, g, "id", VALUES).where("repair <> 'UPDATE'")
     return rem.remediate(g, s, keys, "id").select("id", "status", F.col("total_amount").cast("double").alias("total_amount"), "is_deleted")
 
 
 @query(
     "q05_adjacent_check",
-    f"""WITH b AS ({slice_sql(TGT_ORDERS, 'id // 500')}), s AS ({slice_sql(SRC_ORDERS, 'id // 500')}),
-     near AS (SELECT DISTINCT x FROM (SELECT unnest([slice - 1, slice + 1]) AS x FROM s WHERE slice % 5 = 2) WHERE x % 5 <> 2)
+    f"""WITH b AS ({slice_sql(TGT_ORDERS, 'id // 500')}), m AS (SELECT DISTINCT s.id // 500 AS x FROM {SRC_ORDERS} s WHERE NOT EXISTS (SELECT 1 FROM {TGT_ORDERS} t WHERE t.id = s.id)),
+     near AS (SELECT DISTINCT x FROM (SELECT unnest([x - 1, x + 1]) AS x FROM m) WHERE x NOT IN (SELECT x FROM m))
      SELECT slice, 'UNCHANGED' AS status FROM b JOIN near ON b.slice = near.x""",
 )
 def adjacent(t: Tables):
     s, g = src_orders(t), tgt_orders(t)
     by = lambda d: F.expr("id div 500")
-    repaired = s.select(by(s).alias("slice")).where("slice % 5 = 2").distinct()
-    keys = s.select("id").unionByName(g.select("id")).where("(id div 500) % 5 = 2").select(F.col("id").alias("key_id"))
-    after = rem.remediate(g, s, keys, "id")
-    return cmp.adjacent_check(g, after, repaired, ORDER_COLS, by)
+    repaired = cmp.missing_rows(s, g, "id").select(F.expr("id div 500").alias("slice")).distinct()
+    keys = s.withColumn("slice", by(s)).join(repaired, "slice", "left_semi").select(F.col("id").alias("key_id"))
+    return cmp.adjacent_check(g, rem.remediate(g, s, keys, "id"), repaired, ORDER_COLS, by)
 
 
 @query(

@@ -42,11 +42,7 @@ def csv_folder(t: Tables):
 @query("s03_read_json", "SELECT conv_id, turn, role, text FROM conversations")
 def json_round_trip(t: Tables):
     path = scratch_path(t.spark, "conversations-json")
-    # each file is one indented JSON array of a bucket of conversations
-    rows = t.conversations.withColumn("bucket", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(64)))
-    item = F.to_json(F.struct("conv_id", "turn", "role", "text"), {"pretty": "true"})
-    text = rows.groupBy("bucket").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(item), ",\n"), F.lit("\n]")).alias("value"))
-    text.write.partitionBy("bucket").text(path)
+    wr.write_json_array(t.conversations, path)
     return rd.read_json(t.spark, path, t.conversations.schema).select("conv_id", "turn", "role", "text")
 
 
@@ -273,3 +269,10 @@ def alert_stream(t: Tables):
     sh.upsert_windows(m, state, ck)
     rules = [slo.AlertRule("ErrorRateBreach", "error_ratio", True, 0.25, 3600)]
     return slo.evaluate_rules(state.latest(), rules).select("window_start", "metric", "value", "breached")
+
+
+@query("l11_format_bench")
+def formats(t: Tables):
+    from evenkeel.operators.formats import format_bench
+
+    return format_bench(t.lineitem, scratch_path(t.spark, "formats"), "l_extendedprice")

@@ -245,15 +245,15 @@ def breaches(t: Tables):
 
 @query(
     "j13_job_fanout",
-    f"""SELECT DISTINCT job_id, job_execution_id, coalesce(n_name, '') AS group_name, coalesce(s_name, '') AS server_name FROM {JOBS} JOIN {JOB_EXECUTIONS} USING (job_id) LEFT JOIN (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 9 <> 4) ON c_custkey = job_id
-     LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey""",
+    f"""SELECT DISTINCT job_id, job_execution_id, coalesce(s_name, '') AS group_name, coalesce(db, '') AS database_name FROM {JOBS} JOIN {JOB_EXECUTIONS} USING (job_id) LEFT JOIN (SELECT c_custkey, c_custkey // 15 AS g FROM customer WHERE c_custkey % 9 <> 4) ON c_custkey = job_id
+     LEFT JOIN supplier ON s_suppkey = g LEFT JOIN (SELECT s_suppkey AS m, unnest(['db0', 'db' || s_nationkey]) AS db FROM supplier WHERE s_suppkey % 7 <> 2) ON m = s_suppkey""",
 )
 def fanout(t: Tables):
-    steps = t.customer.where("c_custkey % 9 <> 4").selectExpr("c_custkey AS job_id", "c_nationkey AS target_group_id")
-    groups = t.nation.selectExpr("n_nationkey AS target_group_id", "n_name AS group_name")
-    members = t.supplier.selectExpr("s_nationkey AS target_group_id", "s_name AS server_name")
+    steps = t.customer.where("c_custkey % 9 <> 4").selectExpr("c_custkey AS job_id", "c_custkey div 15 AS target_group_id")
+    groups = t.supplier.selectExpr("s_suppkey AS target_group_id", "s_name AS group_name")
+    members = t.supplier.where("s_suppkey % 7 <> 2").selectExpr("s_suppkey AS target_group_id", "explode(array('db0', concat('db', s_nationkey))) AS database_name")
     out = jb.job_fanout(jobs(t), job_executions(t), steps, groups, members)
-    return out.select("job_id", "job_execution_id", F.coalesce("group_name", F.lit("")).alias("group_name"), F.coalesce("server_name", F.lit("")).alias("server_name")).distinct()
+    return out.select("job_id", "job_execution_id", F.coalesce("group_name", F.lit("")).alias("group_name"), F.coalesce("database_name", F.lit("")).alias("database_name")).distinct()
 
 
 @query("u04_distinct_rows", f"SELECT DISTINCT job_id, lifecycle FROM {JOB_EXECUTIONS}")
@@ -261,13 +261,14 @@ def distinct_rows(t: Tables):
     return job_executions(t).select("job_id", "lifecycle").distinct()
 
 
+# a lock names one page of eight consecutive events; the tuple is unknown for some locks
 LOCK_EXPR = [
     "user_id AS pid",
-    "event_type AS locktype",
-    "CASE WHEN event_id % 6 = 0 THEN NULL ELSE date_trunc('hour', ts) END AS page",
+    "CASE WHEN event_id % 3 = 2 THEN 'tuple' ELSE 'relation' END AS locktype",
+    "event_id - event_id % 8 AS page",
+    "CASE WHEN event_id % 3 = 2 THEN NULL ELSE event_id % 2 END AS tuple",
     "event_id % 4 = 1 AS granted",
     "CASE event_id % 3 WHEN 0 THEN 'ExclusiveLock' WHEN 1 THEN 'ShareLock' ELSE 'RowShareLock' END AS mode",
-    "date_trunc('day', ts) AS relation",
 ]
 
 
@@ -280,12 +281,12 @@ LOCKS = f"(SELECT {', '.join(LOCK_EXPR)} FROM events)"
 
 @query(
     "j14_blocking_pairs",
-    f"""SELECT DISTINCT w.pid AS blocked_pid, w.mode AS blocked_mode, h.pid AS blocker_pid, h.mode AS blocker_mode, h.locktype, h.relation::timestamp AS relation FROM {LOCKS} w JOIN {LOCKS} h ON w.locktype = h.locktype AND w.relation = h.relation AND w.page IS NOT DISTINCT FROM h.page
+    f"""SELECT DISTINCT w.pid AS blocked_pid, w.mode AS blocked_mode, h.pid AS blocker_pid, h.mode AS blocker_mode, h.locktype, h.page FROM {LOCKS} w JOIN {LOCKS} h ON w.locktype = h.locktype AND w.page = h.page AND w.tuple IS NOT DISTINCT FROM h.tuple
      WHERE NOT w.granted AND h.granted AND w.pid <> h.pid""",
 )
 def pairs(t: Tables):
-    out = bl.blocking_pairs(locks(t), ["locktype", "relation", "page"])
-    return out.select("blocked_pid", "blocked_mode", "blocker_pid", "blocker_mode", "locktype", F.col("relation").cast("timestamp_ntz").alias("relation")).distinct()
+    out = bl.blocking_pairs(locks(t), ["locktype", "page", "tuple"])
+    return out.select("blocked_pid", "blocked_mode", "blocker_pid", "blocker_mode", "locktype", "page").distinct()
 
 
 @query("a26_lock_inventory", f"SELECT locktype, mode, granted, count(*) AS lock_count FROM {LOCKS} GROUP BY 1, 2, 3")
@@ -293,17 +294,16 @@ def lock_inventory(t: Tables):
     return tm.counts_by(locks(t), ["locktype", "mode", "granted"], "lock_count")
 
 
+ACTIVITY = "(SELECT event_id AS pid, user_id, [event_id - 1 - user_id % 5, event_id - 10 - user_id % 7] AS blockers FROM events)"
+
+
 @query(
     "j15_blocking_from_lists",
-    """WITH a AS (SELECT user_id AS pid, count(*) AS events FROM events GROUP BY 1), l AS (SELECT DISTINCT user_id AS pid, cast(json_extract_string(props, '$.k') AS bigint) % 150 AS b FROM events)
-     SELECT l.pid AS blocked_pid, l.b AS blocker_pid, x.events AS blocked_events, y.events AS blocker_events FROM l JOIN a x ON x.pid = l.pid JOIN a y ON y.pid = l.b""",
+    f"SELECT b.pid AS blocked_pid, o.pid AS blocker_pid, b.user_id AS blocked_user_id, o.user_id AS blocker_user_id FROM (SELECT pid, user_id, unnest(blockers) AS x FROM {ACTIVITY}) b JOIN {ACTIVITY} o ON o.pid = b.x",
 )
 def listed(t: Tables):
-    k = F.expr("cast(get_json_object(props, '$.k') AS bigint) % 150")
-    # one array per session, as the engine reports it; distinct first, so it holds sessions and not events
-    lists = t.events.select("user_id", k.alias("b")).distinct().groupBy("user_id").agg(F.collect_list("b").alias("blockers"))
-    activity = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("events")).join(lists, "user_id").withColumnRenamed("user_id", "pid")
-    return bl.blocking_from_lists(activity, "pid", "blockers", ["events"]).select("blocked_pid", "blocker_pid", "blocked_events", "blocker_events")
+    activity = t.events.selectExpr("event_id AS pid", "user_id", "array(event_id - 1 - user_id % 5, event_id - 10 - user_id % 7) AS blockers")
+    return bl.blocking_from_lists(activity, "pid", "blockers", ["user_id"])
 
 
 EDGE_SQL = """(SELECT snap, blocked, arg_max(blocker, event_id) AS blocker FROM (SELECT date_trunc('day', ts)::timestamp AS snap, user_id AS blocked, cast(json_extract_string(props, '$.k') AS bigint) % 150 AS blocker, event_id FROM events)

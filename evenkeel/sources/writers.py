@@ -26,8 +26,8 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, compression: s
     rows = read_csv(spark, source, schema)
     kept = rows.drop(CORRUPT) if CORRUPT in rows.columns else rows
     write_parquet(kept, target, compression, rows_per_file)
-    out = spark.read.parquet(target).agg(F.count(F.lit(1)).alias("rows_written"))
-    return out.crossJoin(kept.agg(F.count(F.lit(1)).alias("rows_read"))).select("rows_read", "rows_written")
+    written = spark.read.parquet(target).agg(F.count(F.lit(1)))
+    return kept.agg(F.count(F.lit(1)).alias("rows_read")).withColumn("rows_written", written.scalar())
 
 
 def write_csv_report(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
@@ -40,6 +40,26 @@ def write_json_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**FULL_TIMES).json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """Indented JSON arrays, one per task, written as the rows stream by."""
+    items = df.select(F.to_json(F.struct(*df.columns), {"pretty": "true", **FULL_TIMES}).alias("value"))
+
+    def bracket(batches):
+        import pandas as pd
+
+        lead = "["
+        for batch in batches:
+            if len(batch):
+                text = batch["value"].copy()
+                text.iloc[1:] = ",\n" + text.iloc[1:]
+                text.iloc[0] = lead + "\n" + text.iloc[0]
+                lead = ","
+                yield pd.DataFrame({"value": text})
+        yield pd.DataFrame({"value": ["]" if lead == "," else "[]"]})
+
+    items.mapInPandas(bracket, "value string").write.text(path)
+
+
 def append_changes(df: DataFrame, path: str) -> None:
     """Append change events to a JSON-lines queue."""
     df.write.mode("append").options(**FULL_TIMES).json(path)
@@ -75,11 +95,11 @@ def apply_retention(df: DataFrame, ts: str, days: int = 7, as_of: DataFrame | No
 def write_range_partitioned(df: DataFrame, ts: str, path: str, grain: str = "month") -> None:
     """Range-partitioned table: one folder per month, year or day.
 
-    No shuffle: every task writes its own file per period it holds, so a period
-    with most of the rows is written by many tasks.
+    Rows are rebalanced by period: small periods share a task, and one that holds
+    most of the rows is split over many, so files come out even.
     """
     fmt = {"year": "yyyy", "month": "yyyy-MM", "day": "yyyy-MM-dd"}[grain]
-    df.withColumn("period", F.date_format(ts, fmt)).write.mode("errorifexists").partitionBy("period").parquet(path)
+    df.withColumn("period", F.date_format(ts, fmt)).hint("rebalance", "period").write.mode("errorifexists").partitionBy("period").parquet(path)
 
 
 def read_range(spark: SparkSession, path: str, low: str, high: str) -> DataFrame:
