@@ -81,12 +81,18 @@ def restore_check(prod: DataFrame, restored: DataFrame, pk: str, hash_cols: Sequ
     """Row variance, checksum and newest key of a restored table (Q15)."""
     from evenkeel.functions.canon import digest_number, row_md5, wide_sum
 
-    def side(df: DataFrame, p: str) -> DataFrame:
-        return df.agg(
-            F.count(F.lit(1)).alias(p + "rows"), F.max(pk).alias(p + "max"), wide_sum(digest_number(row_md5(df, hash_cols))).alias(p + "hash")
-        )
-
-    both = side(prod, "p_").join(side(restored, "r_"), F.lit(True))
+    def tagged(df: DataFrame, is_prod: bool) -> DataFrame:
+        return df.select(F.col(pk).alias("k"), digest_number(row_md5(df, hash_cols)).alias("h"), F.lit(is_prod).alias("p"))
+
+    p = F.col("p")
+    both = tagged(prod, True).unionByName(tagged(restored, False)).agg(
+        F.count_if(p).alias("p_rows"),
+        F.count_if(~p).alias("r_rows"),
+        F.max(F.when(p, F.col("k"))).alias("p_max"),
+        F.max(F.when(~p, F.col("k"))).alias("r_max"),
+        wide_sum(F.when(p, F.col("h"))).alias("p_hash"),
+        wide_sum(F.when(~p, F.col("h"))).alias("r_hash"),
+    )
     variance = F.round(F.coalesce(F.try_divide(F.abs(F.col("r_rows") - F.col("p_rows")) * 100.0, F.col("p_rows")), F.lit(0.0)), 4)
     checks = F.array(
         F.struct(F.lit("ROW_VARIANCE").alias("check_name"), variance.cast("string").alias("observed"), (variance < max_variance_pct).alias("ok")),

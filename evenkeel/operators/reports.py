@@ -88,7 +88,8 @@ def split_sections(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     Text ahead of the first header is the Overview. A header with no line after it
     is dropped; one followed only by blank lines keeps an empty content.
     """
-    pieces = F.split(F.concat(F.lit("\n"), normal_lines(F.col(text))), "\n## ")
+    led = F.when(F.length(text) > 0, F.concat(F.lit("\n"), normal_lines(F.col(text)))).otherwise("")
+    pieces = F.split(led, "\n## ")
     has_lines = lambda p, i: F.when(i == 0, F.length(p) > 0).otherwise(F.contains(p, F.lit("\n")))
 
     def section(p: Column, i: Column) -> Column:
@@ -172,7 +173,7 @@ def as_record(rows: DataFrame) -> DataFrame:
     """Header to cell map of each table row; a repeated header keeps its last cell."""
     entries = F.arrays_zip(F.col("header").alias("k"), F.col("cells").alias("v"))
     last = F.filter(
-        F.transform(entries, lambda e, i: F.struct(e["header"].alias("k"), e["cells"].alias("v"), i.alias("i"))),
+        F.transform(entries, lambda e, i: F.struct(e["k"], e["v"], i.alias("i"))),
         lambda e: ~F.array_contains(F.slice(F.col("header"), e["i"] + 2, F.greatest(F.size("header") - e["i"] - 1, F.lit(0))), e["k"]),
     )
     return rows.withColumn("record", F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"]))))

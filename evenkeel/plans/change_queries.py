@@ -92,7 +92,7 @@ def serialised(t: Tables):
     """SELECT event_id, round((epoch_us(m) - epoch_us(ts)) / 6e7, 4) AS lag_minutes, date_diff('minute', ts, m) AS lag_boundaries FROM events, (SELECT max(ts) m FROM events)""",
 )
 def lags(t: Tables):
-    e = t.events.crossJoin(F.broadcast(t.events.agg(F.max("ts").alias("m"))))
+    e = t.events.withColumn("m", t.events.agg(F.max("ts")).scalar())
     return e.select(
         "event_id",
         F.round(pos.lag_minutes(F.col("ts"), F.col("m")), 4).alias("lag_minutes"),

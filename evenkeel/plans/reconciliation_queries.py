@@ -166,8 +166,14 @@ def distincts(t: Tables):
     )
 
 
+def both_summaries(orders: str) -> str:
+    """Orders of one side, and customers, which are the same on both sides."""
+    customer = "(SELECT c_custkey AS id, c_name AS status, cast(c_acctbal AS decimal(18,2)) AS total_amount, TIMESTAMP '1997-06-01' AS updated_at, c_acctbal < 0 AS is_deleted FROM customer)"
+    return summary_sql(orders) + " UNION ALL " + summary_sql(customer).replace("'orders' AS table_name", "'customer' AS table_name")
+
+
 SUMMARY_COMPARE = f"""
-WITH s AS ({summary_sql(SRC_ORDERS)}), t AS ({summary_sql(TGT_ORDERS_DUP)}),
+WITH s AS ({both_summaries(SRC_ORDERS)}), t AS ({both_summaries(TGT_ORDERS_DUP)}),
 c AS (SELECT s.schema_name, s.table_name, s.row_count = t.row_count AS count_match, s.hash_sum = t.hash_sum AS hash_match,
   s.updated_count = t.updated_count AS update_match, s.deleted_count = t.deleted_count AS delete_match,
   t.row_count - s.row_count AS rd, t.updated_count - s.updated_count AS ud, t.deleted_count - s.deleted_count AS dd FROM s JOIN t USING (schema_name, table_name)),
@@ -178,7 +184,11 @@ r AS (SELECT schema_name, table_name, count_match, hash_match, update_match, del
 
 
 def compared_summaries(t: Tables) -> DataFrame:
-    return cmp.compare_summaries(summary_of(src_orders(t)), summary_of(tgt_orders(t, True)))
+    customer = t.customer.selectExpr(
+        "c_custkey AS id", "c_name AS status", "cast(c_acctbal AS decimal(18,2)) AS total_amount", "TIMESTAMP_NTZ '1997-06-01 00:00:00' AS updated_at", "c_acctbal < 0 AS is_deleted"
+    )
+    same = summary_of(customer).withColumn("table_name", F.lit("customer"))
+    return cmp.compare_summaries(summary_of(src_orders(t)).unionByName(same), summary_of(tgt_orders(t, True)).unionByName(same))
 
 
 @query("j04_compare_summaries", SUMMARY_COMPARE + "SELECT * FROM r")
