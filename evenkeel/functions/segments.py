@@ -173,21 +173,24 @@ def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Co
     return joined.drop(SEGMENT) if own else joined
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def _scaled(value: str) -> Column:
+    """Order-keeping long of a number, in thousandths."""
+    return F.expr(f"try_cast(round(`{value}` * 1000) AS bigint)")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], borders_from: DataFrame | None = None) -> DataFrame:
     """Interpolated quantiles per key without holding a group in memory.
 
     Equal values are counted first (partial aggregation), ranks come from a
     segmented running count, and each quantile is the pair of values at the two
-    neighbouring ranks.
+    neighbouring ranks. ``borders_from`` is a cheaper frame with the same values.
     """
+    scaled = (borders_from if borders_from is not None else df).select(_scaled(value).alias("__ord"))
+    borders = find_borders(scaled, "__ord")
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    return quantiles_of_counts(counted, keys, value, "__n", probs)
-
-
-def quantiles_of_counts(counted: DataFrame, keys: Sequence[str], value: str, n: str, probs: dict[str, float]) -> DataFrame:
-    scaled = counted.withColumn("__ord", F.round(F.col(value) * 1000).cast("long"))
-    cum = {"__cum": ("sum", F.col(n))}
-    joined = running(scaled, keys, ["__ord", value], cum, whole={"__total": ("sum", F.col(n))})
+    ranked = with_segments(counted.withColumn("__ord", _scaled(value)), "__ord", borders)
+    n = F.col("__n")
+    joined = running(ranked, keys, ["__ord", value], {"__cum": ("sum", n)}, whole={"__total": ("sum", n)})
     aggs = []
     for out, p in probs.items():
         pos = F.lit(float(p)) * (F.col("__total") - 1)

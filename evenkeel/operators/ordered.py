@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evenkeel.functions.segments import exact_quantiles, lagged, running, streaks
+from evenkeel.functions.segments import SEGMENT, exact_quantiles, find_borders, lagged, running, streaks, with_segments
 
 
 def pct_of_total(df: DataFrame, value: str, out: str = "pct") -> DataFrame:
@@ -29,8 +29,10 @@ def heartbeat(df: DataFrame, key: str, order: Sequence[str], ok: str, threshold:
     if prior is not None:
         base = prior.select(key, F.col("streak").cast("long").alias("__fail")).withColumn("__base", F.lit(True))
         rows = rows.unionByName(base, allowMissingColumns=True)
+    # borders come from the plain input, not from the union
+    rows = with_segments(rows, order[0], find_borders(df, order[0]))
     out = streaks(rows, [key], order, F.col("__fail"), F.coalesce(F.col(ok), F.lit(False)), "streak")
-    return out.where("NOT __base").drop("__fail", "__base").withColumn("alarm", F.col("streak") >= threshold)
+    return out.where("NOT __base").drop("__fail", "__base", SEGMENT).withColumn("alarm", F.col("streak") >= threshold)
 
 
 def snapshot_delta(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
@@ -42,7 +44,7 @@ def snapshot_delta(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
 
 def sequence_gaps(df: DataFrame, seq: str, keys: Sequence[str] = ()) -> DataFrame:
     """Missing stretches in a numbered sequence."""
-    numbers = df.select(*keys, seq).distinct()
+    numbers = with_segments(df.select(*keys, seq).distinct(), seq, find_borders(df, seq))
     prev = lagged(numbers, list(keys), [seq], {"__prev": F.col(seq)})
     return prev.where(F.col(seq) - F.col("__prev") > 1).select(
         *keys,
@@ -91,7 +93,7 @@ def rate(df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str,
 
 def wow_regression(df: DataFrame, ts: str, value: str, keys: Sequence[str] = (), pct: float = 20.0, p: float = 0.99) -> DataFrame:
     """Weekly p99 against the week before (W09). One row per key and week, so the lag is small."""
-    weekly = exact_quantiles(df.withColumn("week", F.date_trunc("week", ts).cast("timestamp_ntz")), [*keys, "week"], value, {"p": p})
+    weekly = exact_quantiles(df.withColumn("week", F.date_trunc("week", ts).cast("timestamp_ntz")), [*keys, "week"], value, {"p": p}, df)
     w = Window.partitionBy(*keys).orderBy("week")
     prev = F.lag("p").over(w)
     change = F.round(F.try_divide((F.col("p") - prev) * 100.0, prev), 4)

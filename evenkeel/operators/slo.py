@@ -262,7 +262,7 @@ def window_metrics(df: DataFrame, ts: str, keys: Sequence[str], window: str, sli
 def window_quantile(df: DataFrame, ts: str, keys: Sequence[str], window: str, slide: str, value: str, p: float, metric: str) -> DataFrame:
     """Exact quantile per sliding window, batch only."""
     w = df.select(F.window(F.col(ts).cast("timestamp"), window, slide)["start"].cast("timestamp_ntz").alias("window_start"), *keys, value)
-    q = exact_quantiles(w, ["window_start", *keys], value, {"q": p})
+    q = exact_quantiles(w, ["window_start", *keys], value, {"q": p}, df)
     return q.select("window_start", *keys, F.lit(metric).alias("metric"), F.round("q", 6).alias("value"))
 
 

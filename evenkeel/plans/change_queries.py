@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenkeel.functions import positions as pos
+from evenkeel.functions.segments import SEGMENT, running, with_segments
 from evenkeel.operators import ordered, replay as rp
 from evenkeel.operators.compare import latest_by, ranked_within
 from evenkeel.operators.remediate import merge_delta
@@ -272,10 +273,9 @@ COUNTER = "(SELECT event_id, user_id, ts, sum(cast(value AS decimal(18,2))) OVER
 
 
 def counters(t: Tables):
-    from evenkeel.functions.segments import running
-
-    e = t.events.select("event_id", "user_id", "ts", F.date_trunc("week", "ts").alias("week"), F.col("value").cast("decimal(18,2)").alias("v"))
-    return running(e, ["user_id", "week"], ["ts", "event_id"], {"counter": ("sum", F.col("v"))}).select("event_id", "user_id", "ts", "counter")
+    e = with_segments(t.events, "ts").select("event_id", "user_id", "ts", F.date_trunc("week", "ts").alias("week"), F.col("value").cast("decimal(18,2)").alias("v"), SEGMENT)
+    # the segments stay on the rows, so later ordered steps need no second look at the table
+    return running(e, ["user_id", "week"], ["ts", "event_id"], {"counter": ("sum", F.col("v"))}).select("event_id", "user_id", "ts", "counter", SEGMENT)
 
 
 DELTA = f"(SELECT *, CASE WHEN p IS NULL THEN NULL WHEN counter < p THEN counter ELSE counter - p END AS delta FROM (SELECT *, lag(counter) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM {COUNTER}))"

@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Tables:
-    """Lazy access to the given tables of one folder."""
+    """Lazy access to the given tables of one folder; a table's footer is read once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -23,7 +27,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        df = self.spark.read.parquet(self.path(name))
+        path = self.path(name)
+        reader = self.spark.read if path not in _SCHEMAS else self.spark.read.schema(_SCHEMAS[path])
+        df = reader.parquet(path)
+        _SCHEMAS.setdefault(path, df.schema)
         setattr(self, name, df)
         return df
 
