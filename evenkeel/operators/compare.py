@@ -123,6 +123,12 @@ def compare_summaries(src: DataFrame, tgt: DataFrame) -> DataFrame:
     return out.withColumn("severity", severity)
 
 
+def key_union(src: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every key of either side, and where it occurs (U02); one aggregation, no join."""
+    both = src.select(*keys, F.lit(True).alias("s"), F.lit(False).alias("t")).unionByName(tgt.select(*keys, F.lit(False).alias("s"), F.lit(True).alias("t")))
+    return both.groupBy(*keys).agg(F.bool_or("s").alias("in_source"), F.bool_or("t").alias("in_target"))
+
+
 def in_scope(df: DataFrame, gap_keys: DataFrame, pk: str) -> DataFrame:
     """Rows whose key is in the gap list (J07); AQE broadcasts the list only when it is small."""
     return df.join(gap_keys.select(F.col("key_id").alias(pk)).distinct(), pk, "left_semi")

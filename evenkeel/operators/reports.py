@@ -112,7 +112,7 @@ def split_sections(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
 
     sections = F.array_compact(F.transform(pieces, section))
     out = df.select(*keys, F.posexplode(sections).alias("section_no", "s"))
-    return out.select(*keys, (F.col("section_no") + 1).alias("section_no"), "s.title", "s.content")
+    return out.select(*keys, (F.col("section_no") + 1).cast("long").alias("section_no"), "s.title", "s.content")
 
 
 def _any_of(c: Column, words) -> Column:
@@ -152,7 +152,7 @@ def kv_pairs(df: DataFrame, content: str, keys: list[str]) -> DataFrame:
     )
     kept = F.filter(pairs, lambda p: (F.length(p["key"]) > 0) & (F.length(p["value"]) > 0))
     out = df.select(*keys, F.posexplode(kept).alias("position", "p"))
-    return out.select(*keys, (F.col("position") + 1).alias("position"), "p.key", "p.value", (F.col("position") < 4).alias("hero"))
+    return out.select(*keys, (F.col("position") + 1).cast("long").alias("position"), "p.key", "p.value", (F.col("position") < 4).alias("hero"))
 
 
 def pipe_tables(df: DataFrame, content: str, keys: list[str]) -> DataFrame:
@@ -176,8 +176,8 @@ def pipe_tables(df: DataFrame, content: str, keys: list[str]) -> DataFrame:
         return F.when(is_table, F.struct(head.alias("header"), rows.alias("rows")))
 
     tables = df.select(*keys, F.posexplode(F.transform(blocks, table)).alias("block_no", "t")).where(F.col("t").isNotNull())
-    rows = tables.select(*keys, (F.col("block_no") + 1).alias("block_no"), F.col("t.header").alias("header"), F.posexplode("t.rows").alias("row_no", "cells"))
-    return rows.withColumn("row_no", F.col("row_no") + 1)
+    rows = tables.select(*keys, (F.col("block_no") + 1).cast("long").alias("block_no"), F.col("t.header").alias("header"), F.posexplode("t.rows").alias("row_no", "cells"))
+    return rows.withColumn("row_no", (F.col("row_no") + 1).cast("long"))
 
 
 def as_record(rows: DataFrame) -> DataFrame:

@@ -214,8 +214,8 @@ def gap_classes(t: Tables):
        UNION ALL {PROFILE_SQL.format(n='part', pk='p_partkey', src='part')}),
      t AS ({PROFILE_SQL.format(n='orders', pk='id', src=TGT_ORDERS)} UNION ALL {PROFILE_SQL.format(n='customer', pk='c_custkey', src='customer')}
        UNION ALL {PROFILE_SQL.format(n='supplier', pk='s_suppkey', src='supplier')})
-     SELECT coalesce(t.table_name, s.table_name) AS table_name, s.row_count AS source_row_count, t.row_count AS target_row_count,
-       coalesce(t.row_count,0) - coalesce(s.row_count,0) AS row_count_diff, s.null_pk_count AS source_null_pk, t.null_pk_count AS target_null_pk,
+     SELECT coalesce(t.table_name, s.table_name) AS table_name, coalesce(s.row_count,-1) AS source_row_count, coalesce(t.row_count,-1) AS target_row_count,
+       coalesce(t.row_count,0) - coalesce(s.row_count,0) AS row_count_diff, coalesce(s.null_pk_count,-1) AS source_null_pk, coalesce(t.null_pk_count,-1) AS target_null_pk,
        CASE WHEN s.table_name IS NULL OR t.table_name IS NULL THEN 'FAIL_MISSING_TABLE' WHEN coalesce(t.row_count,-1) <> coalesce(s.row_count,-1) THEN 'FAIL_ROW_COUNT'
             WHEN coalesce(t.null_pk_count,-1) <> coalesce(s.null_pk_count,-1) THEN 'FAIL_NULL_PK' ELSE 'PASS' END AS status
      FROM t FULL OUTER JOIN s ON s.table_name = t.table_name""",
@@ -223,7 +223,8 @@ def gap_classes(t: Tables):
 def profiles_compared(t: Tables):
     src = union([fp.row_profile(src_orders(t), "orders", "id"), fp.row_profile(t.customer, "customer", "c_custkey"), fp.row_profile(t.part, "part", "p_partkey")])
     tgt = union([fp.row_profile(tgt_orders(t), "orders", "id"), fp.row_profile(t.customer, "customer", "c_custkey"), fp.row_profile(t.supplier, "supplier", "s_suppkey")])
-    return cmp.compare_row_profiles(src, tgt)
+    sides = ["source_row_count", "target_row_count", "source_null_pk", "target_null_pk"]
+    return cmp.compare_row_profiles(src, tgt).fillna(-1, sides)
 
 
 @query(
@@ -340,7 +341,7 @@ GROUPED = """SELECT status, year(updated_at) AS order_year, grouping(status, yea
 
 @query(
     "a38_breakdown",
-    f"SELECT coalesce(status,'(null)') AS status, coalesce(order_year,0) AS order_year, grouping_level, source_rows, target_rows, coalesce(source_amount,'') AS source_amount, target_amount FROM ({GROUPED}) WHERE source_rows IS DISTINCT FROM target_rows OR source_amount IS DISTINCT FROM target_amount",
+    f"SELECT coalesce(status,'(null)') AS status, cast(coalesce(order_year,0) AS int) AS order_year, grouping_level, source_rows, target_rows, coalesce(source_amount,'') AS source_amount, target_amount FROM ({GROUPED}) WHERE source_rows IS DISTINCT FROM target_rows OR source_amount IS DISTINCT FROM target_amount",
 )
 def broken_down(t: Tables):
     s, g = src_orders(t), tgt_orders(t)
@@ -528,3 +529,11 @@ def extended(t: Tables):
 
     pairs = side(src, "source").join(side(tgt, "target"), "slice").withColumn("object_match", F.col("slice") != 4)
     return gates.classify_extended(pairs).select("slice", "extended_class")
+
+
+@query(
+    "u02_key_union",
+    f"""SELECT coalesce(s.id, t.id) AS id, s.id IS NOT NULL AS in_source, t.id IS NOT NULL AS in_target FROM {SRC_ORDERS} s FULL OUTER JOIN (SELECT DISTINCT id FROM {TGT_ORDERS_DUP}) t ON s.id = t.id""",
+)
+def key_union(t: Tables):
+    return cmp.key_union(src_orders(t), tgt_orders(t, True), ["id"])

@@ -27,7 +27,7 @@ def csv_round_trip(t: Tables):
     path = scratch_path(t.spark, "orders-csv")
     t.orders.write.option("header", True).csv(path)
     back = rd.read_csv(t.spark, path)
-    return back.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", *ntz("o_orderdate"), "o_orderpriority")
+    return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"), "o_orderstatus", "o_totalprice", *ntz("o_orderdate"), "o_orderpriority")
 
 
 @query("s02_rows_per_status_file", "SELECT o_orderstatus, count(*) AS row_count FROM orders GROUP BY 1")
@@ -88,6 +88,11 @@ def summary_file(t: Tables):
     return rd.read_summary(t.spark, path).drop("run_ts", "pos")
 
 
+@query("s07_generated_rows", "SELECT i AS id, i * i % 97 AS bucket FROM (SELECT unnest(range(count(*))) AS i FROM orders)")
+def generated(t: Tables):
+    return rd.generated_rows(t.spark, t.orders.count(), bucket=F.col("id") * F.col("id") % 97)
+
+
 @query("s08_bronze", "SELECT o_orderkey, 'load-1' AS _load_id, true AS has_file FROM orders")
 def raw(t: Tables):
     return rd.bronze(t.orders, "load-1").select("o_orderkey", "_load_id", (F.length("_source_file") > 0).alias("has_file"))
@@ -130,7 +135,7 @@ def converted_rows(t: Tables):
     source, target = scratch_path(t.spark, "lineitem-csv"), scratch_path(t.spark, "lineitem-parquet")
     t.lineitem.write.option("header", True).csv(source)
     wr.csv_to_parquet(t.spark, source, target)
-    return t.spark.read.parquet(target).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", *ntz("l_shipdate"))
+    return t.spark.read.parquet(target).select(F.col("l_orderkey").cast("long").alias("l_orderkey"), "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", *ntz("l_shipdate"))
 
 
 REPORT = "SELECT user_id, count(*) AS n, CASE WHEN user_id % 3 = 0 THEN '{}' ELSE '{\"row_count_delta\":' || user_id || '}' END AS deltas FROM events GROUP BY 1"
@@ -148,6 +153,15 @@ def csv_report(t: Tables):
     return t.spark.read.option("header", True).option("escape", '"').schema("user_id long, n long, deltas string").csv(path)
 
 
+@query("t04_stable_report_order", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+def sorted_report(t: Tables):
+    path = scratch_path(t.spark, "report-sorted")
+    per = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    # a range shuffle sorts: part files are numbered in report order and no task sees the whole report
+    wr.write_csv_report(per, path, ["user_id", "n"], order_by=[F.desc("n"), F.asc("user_id")])
+    return t.spark.read.option("header", True).schema("user_id long, n long").csv(path)
+
+
 @query("k03_json_report", REPORT)
 def json_report(t: Tables):
     path = scratch_path(t.spark, "report-json")

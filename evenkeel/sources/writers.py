@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evenkeel.operators.marts import newest, with_as_of
 from evenkeel.sources.readers import CORRUPT, read_csv
@@ -30,9 +30,10 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, compression: s
     return kept.agg(F.count(F.lit(1)).alias("rows_read")).withColumn("rows_written", written.scalar())
 
 
-def write_csv_report(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """Header CSV with a fixed column order."""
-    df.select(*(columns or df.columns)).write.mode("overwrite").options(**FULL_TIMES).option("header", True).option("escape", '"').csv(path)
+def write_csv_report(df: DataFrame, path: str, columns: list[str] | None = None, order_by: list[Column] | None = None) -> None:
+    """Header CSV with a fixed column order, sorted over all part files if asked."""
+    out = df.orderBy(*order_by) if order_by else df
+    out.select(*(columns or df.columns)).write.mode("overwrite").options(**FULL_TIMES).option("header", True).option("escape", '"').csv(path)
 
 
 def write_json_report(df: DataFrame, path: str) -> None:

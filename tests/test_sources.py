@@ -111,3 +111,10 @@ def test_formats_report_what_is_missing(spark, tmp_path):
     out = {r.format: r for r in format_bench(spark.range(1000), str(tmp_path / "f"), "id", ["parquet", "csv", "avro"]).collect()}
     assert out["parquet"].available and out["parquet"].relative_size == 1.0 and out["csv"].bytes > 0
     assert not out["avro"].available and out["avro"].note
+
+
+def test_report_files_are_in_report_order(spark, tmp_path):
+    d = spark.range(0, 500, 1, 6).select((F.col("id") * 37 % 101).alias("n"), "id")
+    wr.write_csv_report(d, str(tmp_path / "r"), ["id", "n"], order_by=[F.desc("n"), F.asc("id")])
+    lines = [x for p in sorted((tmp_path / "r").glob("part-*")) for x in p.read_text().splitlines() if x != "id,n"]
+    assert lines == [f"{i},{n}" for n, i in sorted(((i * 37 % 101, i) for i in range(500)), key=lambda x: (-x[0], x[1]))]
