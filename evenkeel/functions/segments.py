@@ -33,15 +33,22 @@ class Borders:
 
 
 def order_number(df: DataFrame, name: str) -> Column:
-    """The order column as a long: micros for time, the value for integers."""
+    """The order column as a long that never falls where the column rises."""
     dtype = df.schema[name].dataType
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(F.col(name).cast("timestamp"))
     if isinstance(dtype, T.DateType):
         return F.unix_date(F.col(name)).cast("long")
-    if isinstance(dtype, T.StringType):
-        return F.conv(F.substring(F.col(name), 1, 15), 16, 10).cast("long")
-    return F.floor(F.col(name)).cast("long")
+    if isinstance(dtype, T.IntegralType):
+        return F.col(name).cast("long")
+    if isinstance(dtype, T.NumericType):
+        return _whole(F.col(name).cast("double"))
+    raise TypeError(f"cannot cut {name} of type {dtype.simpleString()} into segments; order by a number or a time")
+
+
+def _whole(x: Column) -> Column:
+    """Floor as a long; infinities and NaN go to the ends, where they also sort."""
+    return F.floor(F.least(F.greatest(x, F.lit(-9e18)), F.lit(9e18))).cast("long")
 
 
 def default_fan(df: DataFrame) -> int:
@@ -175,7 +182,7 @@ def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Co
 
 def _scaled(value: str) -> Column:
     """Order-keeping long of a number, in thousandths."""
-    return F.expr(f"try_cast(round(`{value}` * 1000) AS bigint)")
+    return _whole(F.col(value).cast("double") * 1000)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], borders_from: DataFrame | None = None) -> DataFrame:

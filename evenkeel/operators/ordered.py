@@ -66,7 +66,7 @@ def sustained(df: DataFrame, keys: Sequence[str], order: Sequence[str], conditio
         F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count(F.lit(1)).alias("samples")
     )
     seconds = (F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / F.lit(1e6)
-    return spans.withColumn("duration_s", F.round(seconds, 3)).where(F.col("duration_s") >= min_seconds).drop("__breaks")
+    return spans.withColumn("duration_s", seconds).where(F.col("duration_s") >= min_seconds).drop("__breaks")
 
 
 def trailing_sum(df: DataFrame, keys: Sequence[str], ts: str, value: Column, seconds: int, out: str) -> DataFrame:
@@ -104,7 +104,7 @@ def size_drop(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
     """Rows below ``frac`` of the average of all earlier rows of their key."""
     money = F.col(value).cast("decimal(18,2)")
     hist = running(df, keys, order, {"__s": ("sum", money), "__n": ("sum", F.lit(1))}, exclusive=True)
-    avg = F.round(F.col("__s").cast("double") / F.col("__n"), 6)
+    avg = F.col("__s").cast("double") / F.col("__n")
     return hist.withColumn("avg_before", avg).where(F.col(value) < F.col("avg_before") * frac).drop("__s", "__n")
 
 

@@ -59,7 +59,7 @@ def freshness(df: DataFrame, ts: str, keys: Sequence[str], sla_minutes: float, a
     """Minutes since the newest row of each source against its limit (Q12)."""
     newest = df.groupBy(*keys).agg(F.max(ts).alias("newest"))
     lag = (F.unix_micros(F.col("as_of").cast("timestamp")) - F.unix_micros(F.col("newest").cast("timestamp"))) / F.lit(6e7)
-    out = newest.withColumn("as_of", as_of.scalar()).withColumn("lag_minutes", F.round(lag, 4))
+    out = newest.withColumn("as_of", as_of.scalar()).withColumn("lag_minutes", lag)
     return out.withColumn("status", F.when(F.col("lag_minutes") <= sla_minutes, "FRESH").otherwise("STALE")).drop("as_of")
 
 

@@ -187,9 +187,9 @@ def order_tables(tables: DataFrame, name: str, exclude: Sequence[str], priority:
 
 def cdc_health(checkpoint: DataFrame, as_of: DataFrame, target_min: float = 5, alert_min: float = 15, error_alert: float = 0.01) -> DataFrame:
     """Lag and error-rate state per table."""
-    lag = F.round(lag_minutes(F.col("last_timestamp"), F.col("as_of")), 4)
+    lag = lag_minutes(F.col("last_timestamp"), F.col("as_of"))
     rate = F.coalesce(F.try_divide(F.col("failed").cast("double"), F.col("rows_applied")), F.lit(0.0))
-    out = checkpoint.withColumn("as_of", as_of.scalar()).withColumn("lag_minutes", lag).withColumn("error_rate", F.round(rate, 6)).drop("as_of")
+    out = checkpoint.withColumn("as_of", as_of.scalar()).withColumn("lag_minutes", lag).withColumn("error_rate", rate).drop("as_of")
     return out.withColumn("lag_state", F.when(F.col("lag_minutes") > alert_min, "ALERT").when(F.col("lag_minutes") > target_min, "WARN").otherwise("OK")).withColumn(
         "error_state", F.when(F.col("error_rate") > error_alert, "ALERT").otherwise("OK")
     )

@@ -122,9 +122,9 @@ def unit_cost(cost: DataFrame, usage: DataFrame, keys: Sequence[str]) -> DataFra
     j = cost.join(usage, list(keys))
     return j.select(
         *keys,
-        F.round(F.try_divide(F.col("spend") * F.lit(1e6), F.col("queries")), 6).alias("per_million_queries"),
-        F.round(F.try_divide(F.col("spend"), F.col("gigabytes")), 6).alias("per_gb"),
-        F.round(F.try_divide(F.col("spend"), F.col("transactions")), 6).alias("per_transaction"),
+        F.try_divide(F.col("spend") * F.lit(1e6), F.col("queries")).alias("per_million_queries"),
+        F.try_divide(F.col("spend"), F.col("gigabytes")).alias("per_gb"),
+        F.try_divide(F.col("spend"), F.col("transactions")).alias("per_transaction"),
     )
 
 

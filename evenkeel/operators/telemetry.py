@@ -112,18 +112,21 @@ def replica_lag(df: DataFrame, limit: float) -> DataFrame:
 def long_running(df: DataFrame, start: str, seconds: int, as_of: DataFrame, idle: Column | None = None) -> DataFrame:
     """Work in progress for longer than the limit (P20); sort oldest first at the sink."""
     age = (F.unix_micros(F.col("as_of").cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))) / F.lit(1e6)
-    out = with_as_of(df, as_of).withColumn("age_seconds", F.round(age, 3)).drop("as_of").where(F.col("age_seconds") > seconds)
+    out = with_as_of(df, as_of).withColumn("age_seconds", age).drop("as_of").where(F.col("age_seconds") > seconds)
     return out if idle is None else out.where(~idle)
 
 
 def deadlock_events(df: DataFrame, xml: str, n: int | None = 10) -> DataFrame:
     """Time, victim and sizes of each deadlock report, newest first."""
     base = "event/data/value/deadlock"
-    out = df.select(
-        F.xpath_string(F.col(xml), F.lit("event/@timestamp")).alias("event_time_utc"),
-        F.xpath_int(F.col(xml), F.lit(f"{base}/process-list/process[1]/@spid")).alias("victim_spid"),
-        F.xpath_int(F.col(xml), F.lit(f"count({base}/process-list/process)")).alias("process_count"),
-        F.xpath_int(F.col(xml), F.lit(f"count({base}/resource-list/*)")).alias("resource_count"),
+    parts = ["event/@timestamp", f"{base}/process-list/process[1]/@spid", f"count({base}/process-list/process)", f"count({base}/resource-list/*)"]
+    # one expression, so each document is parsed once
+    found = F.split(F.xpath_string(F.col(xml), F.lit("concat(" + ", '|', ".join(parts) + ")")), r"\|")
+    out = df.select(found.alias("f")).select(
+        F.col("f")[0].alias("event_time_utc"),
+        F.col("f")[1].try_cast("int").alias("victim_spid"),
+        F.col("f")[2].try_cast("int").alias("process_count"),
+        F.col("f")[3].try_cast("int").alias("resource_count"),
     )
     return out if n is None else out.orderBy(F.desc("event_time_utc"), "victim_spid", "process_count", "resource_count").limit(n)
 

@@ -90,13 +90,13 @@ def serialised(t: Tables):
 
 @query(
     "p15_lag_minutes",
-    """SELECT event_id, round((epoch_us(m) - epoch_us(ts)) / 6e7, 4) AS lag_minutes, date_diff('minute', ts, m) AS lag_boundaries FROM events, (SELECT max(ts) m FROM events)""",
+    """SELECT event_id, (epoch_us(m) - epoch_us(ts)) / 6e7 AS lag_minutes, date_diff('minute', ts, m) AS lag_boundaries FROM events, (SELECT max(ts) m FROM events)""",
 )
 def lags(t: Tables):
     e = t.events.withColumn("m", t.events.agg(F.max("ts")).scalar())
     return e.select(
         "event_id",
-        F.round(pos.lag_minutes(F.col("ts"), F.col("m")), 4).alias("lag_minutes"),
+        pos.lag_minutes(F.col("ts"), F.col("m")).alias("lag_minutes"),
         pos.lag_minute_boundaries(F.col("ts"), F.col("m")).alias("lag_boundaries"),
     )
 
@@ -221,7 +221,7 @@ def ordered_tables(t: Tables):
 @query(
     "c13_cdc_health",
     f"""WITH k AS (SELECT pk, max(seq) last_seq, max(ts) lt, count(*) n, count(*) FILTER (WHERE op = 'D') f FROM {CHANGES} GROUP BY pk), m AS (SELECT max(ts) m FROM events),
-     h AS (SELECT pk, round((epoch_us(m) - epoch_us(lt)) / 6e7, 4) AS lag_minutes, round(cast(f AS double) / n, 6) AS error_rate FROM k, m)
+     h AS (SELECT pk, (epoch_us(m) - epoch_us(lt)) / 6e7 AS lag_minutes, cast(f AS double) / n AS error_rate FROM k, m)
      SELECT *, CASE WHEN lag_minutes > 15 THEN 'ALERT' WHEN lag_minutes > 5 THEN 'WARN' ELSE 'OK' END AS lag_state, CASE WHEN error_rate > 0.01 THEN 'ALERT' ELSE 'OK' END AS error_state FROM h""",
 )
 def feed_health(t: Tables):
@@ -299,8 +299,8 @@ def gaps(t: Tables):
 @query(
     "w07_sustained",
     """WITH g AS (SELECT *, value > 5 AS c, sum(CASE WHEN value > 5 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
-     SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS samples, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS duration_s FROM g WHERE c GROUP BY user_id, b
-     HAVING round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) >= 120""",
+     SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS samples, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_s FROM g WHERE c GROUP BY user_id, b
+     HAVING (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 >= 120""",
 )
 def lasting(t: Tables):
     return ordered.sustained(t.events, ["user_id"], ["ts", "event_id"], F.col("value") > 5, 120)
@@ -327,7 +327,7 @@ def weekly(t: Tables):
 
 @query(
     "w10_size_drop",
-    """SELECT event_id, user_id, value, a AS avg_before FROM (SELECT *, round(cast(sum(cast(value AS decimal(18,2))) OVER w AS double) / count(*) OVER w, 6) AS a FROM events
+    """SELECT event_id, user_id, value, a AS avg_before FROM (SELECT *, cast(sum(cast(value AS decimal(18,2))) OVER w AS double) / count(*) OVER w AS a FROM events
      WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE value < a * 0.5""",
 )
 def drops(t: Tables):

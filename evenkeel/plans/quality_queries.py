@@ -57,7 +57,7 @@ def drift(t: Tables):
 
 @query(
     "q12_freshness",
-    """SELECT user_id, newest, round((epoch_us(m) - epoch_us(newest)) / 6e7, 4) AS lag_minutes, CASE WHEN round((epoch_us(m) - epoch_us(newest)) / 6e7, 4) <= 600 THEN 'FRESH' ELSE 'STALE' END AS status
+    """SELECT user_id, newest, (epoch_us(m) - epoch_us(newest)) / 6e7 AS lag_minutes, CASE WHEN (epoch_us(m) - epoch_us(newest)) / 6e7 <= 600 THEN 'FRESH' ELSE 'STALE' END AS status
      FROM (SELECT user_id, max(ts) AS newest FROM events GROUP BY 1), (SELECT max(ts) m FROM events)""",
 )
 def fresh(t: Tables):

@@ -50,7 +50,7 @@ def forecasts(t: Tables):
 
 @query(
     "l05_unit_cost",
-    """SELECT o_custkey, round(s * 1e6 / q, 6) AS per_million_queries, round(s / g, 6) AS per_gb, round(s / x, 6) AS per_transaction FROM (SELECT o_custkey, cast(sum(cast(o_totalprice AS decimal(15,2))) AS double) AS s FROM orders GROUP BY 1)
+    """SELECT o_custkey, s * 1e6 / q AS per_million_queries, s / g AS per_gb, s / x AS per_transaction FROM (SELECT o_custkey, cast(sum(cast(o_totalprice AS decimal(15,2))) AS double) AS s FROM orders GROUP BY 1)
      JOIN (SELECT o_custkey, count(*) * 1000 AS q, count(DISTINCT o_orderkey) AS x, 1 + o_custkey % 50 AS g FROM orders GROUP BY o_custkey) USING (o_custkey)""",
 )
 def costs(t: Tables):
@@ -217,7 +217,7 @@ EVAL = f"""(SELECT r.alert, r.severity, r.f, m.window_start, CASE WHEN r.above T
 
 @query(
     "c15_fired_alerts",
-    f"""SELECT alert, severity, min(window_start) AS started, max(window_start) AS ended, count(*) AS samples, round((epoch_us(max(window_start)) - epoch_us(min(window_start))) / 1e6, 3) AS duration_s
+    f"""SELECT alert, severity, min(window_start) AS started, max(window_start) AS ended, count(*) AS samples, (epoch_us(max(window_start)) - epoch_us(min(window_start))) / 1e6 AS duration_s
      FROM (SELECT *, sum(CASE WHEN breached THEN 0 ELSE 1 END) OVER (PARTITION BY alert ORDER BY window_start) AS b FROM {EVAL}) WHERE breached GROUP BY alert, severity, f, b HAVING (epoch_us(max(window_start)) - epoch_us(min(window_start))) / 1e6 >= f""",
 )
 def fired(t: Tables):
@@ -228,7 +228,7 @@ def fired(t: Tables):
     "c16_composite_alert",
     f"""WITH w AS (SELECT window_start, max(value) FILTER (WHERE metric = 'latency_p95') p, max(value) FILTER (WHERE metric = 'error_ratio') e FROM {METRICS} GROUP BY 1),
      g AS (SELECT *, p > 10 AND e > 0.2 AS c, sum(CASE WHEN p > 10 AND e > 0.2 THEN 0 ELSE 1 END) OVER (ORDER BY window_start) AS b FROM w)
-     SELECT min(window_start) AS started, max(window_start) AS ended, count(*) AS samples, round((epoch_us(max(window_start)) - epoch_us(min(window_start))) / 1e6, 3) AS duration_s FROM g WHERE c GROUP BY b HAVING (epoch_us(max(window_start)) - epoch_us(min(window_start))) / 1e6 >= 3600""",
+     SELECT min(window_start) AS started, max(window_start) AS ended, count(*) AS samples, (epoch_us(max(window_start)) - epoch_us(min(window_start))) / 1e6 AS duration_s FROM g WHERE c GROUP BY b HAVING (epoch_us(max(window_start)) - epoch_us(min(window_start))) / 1e6 >= 3600""",
 )
 def composite(t: Tables):
     return slo.composite_alert(metrics(t), [], {"latency_p95": 10.0, "error_ratio": 0.2}, 3600)

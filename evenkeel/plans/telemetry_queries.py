@@ -134,7 +134,7 @@ def replicas(t: Tables):
 
 @query(
     "p20_long_running",
-    f"SELECT job_execution_id, round((epoch_us(m) - epoch_us(start_time)) / 1e6, 3) AS age_seconds FROM {JOB_EXECUTIONS}, (SELECT max(o_orderdate) m FROM orders) WHERE lifecycle = 'InProgress' AND round((epoch_us(m) - epoch_us(start_time)) / 1e6, 3) > 86400 * 365",
+    f"SELECT job_execution_id, (epoch_us(m) - epoch_us(start_time)) / 1e6 AS age_seconds FROM {JOB_EXECUTIONS}, (SELECT max(o_orderdate) m FROM orders) WHERE lifecycle = 'InProgress' AND (epoch_us(m) - epoch_us(start_time)) / 1e6 > 86400 * 365",
 )
 def long_work(t: Tables):
     e = job_executions(t)

@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from evenkeel.operators import replay as rp
 from evenkeel.sources.readers import CORRUPT, parse_queue
-from evenkeel.sources.writers import write_dead_letter
 from evenkeel.streaming.state import KeyedState
 
 
@@ -44,11 +43,12 @@ def queue_to_table(stream: DataFrame, out: str, dead: str, checkpoint: str) -> S
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        # read once per sink; the corrupt column alone decides, so both scans agree
+        batch = batch.persist()  # two sinks read it
         good = batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
         good.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         bad = batch.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
         write_dead_letter_batch(bad, dead, batch_id)
+        batch.unpersist()
 
     return run_available(stream.writeStream.foreachBatch(each), checkpoint)
 
@@ -76,6 +76,7 @@ def replay_stream(
     pk = list(state.keys)
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read for borders, fold and checkpoint
         old_marks = marks.before(batch_id)
         fresh = rp.skip_applied(batch, old_marks, table, seq)
         target = state.before(batch_id)
@@ -84,6 +85,7 @@ def replay_stream(
         state.write(batch_id, rp.fold(annotated, pk, cols, seq, "op", keep_dead=True))
         new_marks = rp.checkpoint_of(fresh, table, seq, ts)
         marks.write(batch_id, rp.merge_checkpoint(old_marks, new_marks, table))
+        batch.unpersist()
 
     return run_available(stream.writeStream.foreachBatch(each), checkpoint)
 

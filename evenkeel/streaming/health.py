@@ -19,9 +19,11 @@ def heartbeat_stream(stream: DataFrame, out: str, state: KeyedState, checkpoint:
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read for borders and for both windows
         beats = heartbeat(batch, key, list(order), "ok", threshold, prior=state.before(batch_id))
         beats.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         done = batch.sparkSession.read.parquet(f"{out}/batch_id={batch_id}")
+        batch.unpersist()
         state.write(batch_id, done.groupBy(key).agg(F.max_by("streak", F.struct(*order)).alias("streak")))
 
     return run_available(stream.writeStream.foreachBatch(each), checkpoint)
