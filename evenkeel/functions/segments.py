@@ -14,6 +14,7 @@ borders. Results do not depend on where the borders fall.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -21,15 +22,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 SEGMENT = "__segment"
+LEVELS = 3
+MERGE_GROUPS = 256
 _FNS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 @dataclass(frozen=True)
 class Borders:
-    """Two-level border lists: coarse borders, and fine borders per coarse cell."""
+    """fan**LEVELS - 1 rising numbers that cut the order into fan**LEVELS segments."""
 
-    coarse: tuple[int, ...]
-    fine: tuple[tuple[int, ...], ...]
+    fan: int
+    values: tuple[int, ...]
 
 
 def order_number(df: DataFrame, name: str) -> Column:
@@ -52,39 +55,46 @@ def _whole(x: Column) -> Column:
 
 
 def default_fan(df: DataFrame) -> int:
-    """Side of the two-level border grid: about four segments per shuffle partition."""
+    """Fan that gives about four segments per shuffle partition."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(128, math.ceil(math.sqrt(4 * parts))))
+    return max(2, min(32, math.ceil((4 * parts) ** (1 / LEVELS))))
 
 
 def find_borders(df: DataFrame, order: str, fan: int | None = None) -> Borders:
-    """Equal-depth borders of ``order``; at most fan*fan numbers reach the driver."""
-    fan = fan or default_fan(df)
-    steps = fan * fan
-    points = [i / steps for i in range(1, steps)]
-    row = df.agg(
-        F.percentile_approx(order_number(df, order), points, max(10000, 4 * steps)).alias("b")
-    ).first()
-    flat = sorted(set(row["b"] or []))
-    size = max(1, math.ceil(len(flat) / fan))
-    cells = [tuple(flat[i : i + size]) for i in range(0, len(flat), size)]
-    return Borders(tuple(c[-1] for c in cells), tuple(cells))
-
+    """Equal-depth borders of ``order``.
 
-def _long_array(values: Sequence[int]) -> Column:
-    return F.array(*[F.lit(v).cast("long") for v in values])
+    Sketches of the tasks are merged in groups, and the groups' quantiles, weighted
+    by their rows, give the borders: no task receives every sketch, and only the
+    borders (at most 32**3 numbers) reach the driver.
+    """
+    fan = fan or default_fan(df)
+    steps = fan**LEVELS
+    points = F.from_json(F.lit(json.dumps([i / steps for i in range(1, steps)])), "array<double>")
+    x = order_number(df, order).alias("x")
+    groups = df.select(x, F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("g")).where("x IS NOT NULL").groupBy("g")
+    parts = groups.agg(F.percentile_approx("x", points, max(1000, 2 * steps)).alias("b"), F.count(F.lit(1)).alias("n"))
+    row = parts.select(F.explode("b").alias("x"), "n").agg(F.percentile("x", points, F.col("n")).alias("b")).first()
+    return Borders(fan, tuple(sorted(int(v) for v in row["b"] or [])))
 
 
 def segment_of(value: Column, borders: Borders) -> Column:
-    """Number of borders at or below the value (monotone in the value)."""
-    if not borders.coarse:
+    """Number of the segment of a value: ``LEVELS`` steps of ``fan`` comparisons.
+
+    The borders are one folded literal, a list of nodes per level. The value is
+    bound to a lambda variable, so it is computed once per row.
+    """
+    if not borders.values:
         return F.lit(0)
-    width = len(borders.fine[0])
-    pad = 9223372036854775807
-    grid = F.array(*[_long_array(list(c) + [pad] * (width - len(c))) for c in borders.fine + ((),)])
-    cell = F.size(F.filter(_long_array(borders.coarse), lambda b: b <= value))
-    inner = F.size(F.filter(F.element_at(grid, cell + 1), lambda b: b <= value))
-    return (cell * F.lit(width) + inner).cast("int")
+    fan, levels = borders.fan, []
+    for level in range(LEVELS):
+        width = fan ** (LEVELS - level)
+        levels.append([[borders.values[n * width + k * width // fan - 1] for k in range(1, fan)] for n in range(fan**level)])
+    grid = F.from_json(F.lit(json.dumps(levels)), "array<array<array<bigint>>>")
+
+    def search(v: Column) -> Column:
+        return F.aggregate(grid, F.lit(0), lambda node, marks: node * fan + F.size(F.filter(F.element_at(marks, node + 1), lambda m: m <= v)))
+
+    return F.transform(F.array(value), search)[0]
 
 
 def with_segments(df: DataFrame, order: str, borders: Borders | None = None, fan: int | None = None) -> DataFrame:

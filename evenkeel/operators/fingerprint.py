@@ -117,21 +117,24 @@ def table_summary(
 
 
 def ordered_checksum(df: DataFrame, pk: str, cols: Sequence[str] | None = None, rows_per_block: int = 1000) -> DataFrame:
-    """Order-sensitive digest in two levels, for whole tables of any size.
+    """Order-sensitive digest in levels, for whole tables of any size.
 
-    Row digests are joined in key order inside key blocks, block digests are
-    joined per group of blocks, and the group digests give one SHA-256. A block
-    holds at most ``rows_per_block`` distinct integer keys. Both sides must use
-    the same block size.
+    A key's rows are first reduced to their count, extreme digests and digest sum,
+    so copies of a key stay one entry however many there are. Entries are joined in
+    key order inside key blocks, block digests per group of blocks, and so on. A
+    block holds at most ``rows_per_block`` integer keys. Both sides must use the
+    same block size.
     """
     if not isinstance(df.schema[pk].dataType, T.IntegralType):
         raise TypeError("ordered_checksum needs an integer key; use bucket_hash otherwise")
     size = rows_per_block
     rows = df.select(F.col(pk).alias("__pk"), row_md5(df, cols).alias("__d"))
-    # copies of one row give equal digests, so a key with many copies is one entry with a count
-    counted = rows.groupBy("__pk", "__d").agg(F.count(F.lit(1)).alias("__n"))
-    rolled = counted.withColumn("__b", F.expr(f"__pk div {size}")).groupBy("__b").agg(
-        F.sum("__n").alias("row_count"), _digest_list(F.struct("__pk", "__d", "__n"), lambda x: F.concat(x["__d"], F.lit("*"), x["__n"])).alias("__d")
+    per_key = rows.groupBy("__pk").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__d").alias("__lo"), F.max("__d").alias("__hi"), wide_sum(digest_number(F.col("__d"))).alias("__s")
+    )
+    entry = F.concat_ws("*", "__n", "__lo", "__hi", "__s")
+    rolled = per_key.select("__pk", "__n", entry.alias("__d"), F.expr(f"__pk div {size}").alias("__b")).groupBy("__b").agg(
+        F.sum("__n").alias("row_count"), _digest_list(F.struct("__pk", "__d"), lambda x: x["__d"]).alias("__d")
     )
     for _ in range(3):
         rolled = rolled.withColumn("__g", F.expr(f"__b div {size}")).groupBy("__g").agg(

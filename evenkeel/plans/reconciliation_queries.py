@@ -106,8 +106,8 @@ def table_summaries(t: Tables):
 
 
 def _levels(src: str) -> str:
-    ctes = [f"""r AS (SELECT id, md5({CANON_ORDER}) d, count(*) n FROM {src} GROUP BY 1,2),
-      l0 AS (SELECT id // 1000 b, sum(n) row_count, sha256(string_agg(d || '*' || n, '||' ORDER BY id, d, n)) d FROM r GROUP BY 1)"""]
+    ctes = [f"""r AS (SELECT id, count(*) n, concat_ws('*', count(*), min(md5({CANON_ORDER})), max(md5({CANON_ORDER})), sum({ORDER_HASH})) d FROM {src} GROUP BY 1),
+      l0 AS (SELECT id // 1000 b, sum(n) row_count, sha256(string_agg(d, '||' ORDER BY id)) d FROM r GROUP BY 1)"""]
     for i in range(3):
         ctes.append(f"l{i+1} AS (SELECT b // 1000 b, sum(row_count) row_count, sha256(string_agg(d, '||' ORDER BY b)) d FROM l{i} GROUP BY 1)")
     return f"WITH {', '.join(ctes)} SELECT cast(sum(row_count) AS bigint) AS row_count, sha256(string_agg(d, '||' ORDER BY b)) AS checksum FROM l3"
