@@ -1,15 +1,17 @@
-"""Ordered per-key calculations that do not put a whole key into one task.
+"""Ordered per-key calculations that do not put a hot key into one task.
 
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task, and a
-key may hold a third of all rows. Here the order column is cut into segments of
-about equal depth; windows run per (key, segment), and what a segment needs from
-earlier ones arrives through a small table with one row per (key, segment).
-The big side is shuffled once, on (key, segment); windows, carry aggregation and
-the join back all use that partitioning.
-
-Segment borders are computed once, brought to the driver as a short list of
-numbers and used as literals, so every stage (and every retry) sees the same
-borders. Results do not depend on where the borders fall.
+key may hold a third of all rows. Before an ordered calculation a look at the data
+finds the keys that hold more than a fair share. Without any, a plain window is the
+best plan and is used. Otherwise the order column is cut into segments of about
+equal depth: windows run per (key, segment), other keys stay in segment 0, and
+what a segment needs from earlier ones arrives through a small table with one row
+per (key, segment). The big side is shuffled once, on (key, segment); windows,
+carry aggregation and the join back all use that partitioning.
+
+Hot keys and borders are found once, reach the driver as short lists and enter the
+plan as literals, so every stage (and every retry) sees the same layout. Results do
+not depend on the layout.
 """
 
 from __future__ import annotations
@@ -22,8 +24,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 SEGMENT = "__segment"
+GROUP = "__group"
 LEVELS = 3
 MERGE_GROUPS = 256
+SAMPLE_ROWS = 2_000_000
+MIN_HOT_ROWS = 50
 _FNS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -54,6 +59,55 @@ def _whole(x: Column) -> Column:
     return F.floor(F.least(F.greatest(x, F.lit(-9e18)), F.lit(9e18))).cast("long")
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Which keys are cut, and where. ``hot`` is None when every row is cut (no keys)."""
+
+    keys: tuple[str, ...]
+    order: str
+    borders: Borders | None
+    hot: DataFrame | None
+
+    @property
+    def plain(self) -> bool:
+        """No key needs cutting."""
+        return self.borders is None
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        if SEGMENT in df.columns or self.plain:
+            return df
+        segment = segment_of(order_number(df, self.order), self.borders)
+        if self.hot is None:
+            return df.withColumn(SEGMENT, segment)
+        # fewer hot keys than segments exist, so this list has a fixed bound
+        marked = df.withColumn(GROUP, F.struct(*self.keys)).join(F.broadcast(self.hot), GROUP, "left")
+        return marked.withColumn(SEGMENT, F.when(F.col("__hot"), segment).otherwise(0)).drop(GROUP, "__hot")
+
+
+def find_layout(df: DataFrame, keys: Sequence[str], order: str, fan: int | None = None) -> Layout:
+    """Look for keys above a fair share, and for borders if there are any.
+
+    The look at the keys takes a sample of about ``SAMPLE_ROWS`` rows; it decides
+    where rows are processed and never which. A key counts as hot from half of one
+    segment's share.
+    """
+    fan = fan or default_fan(df)
+    if not keys:
+        return Layout((), order, find_borders(df, order, fan), None)
+    spark = df.sparkSession
+    total = df.select(*keys).count()
+    part = df.select(F.struct(*keys).alias(GROUP))
+    if total > SAMPLE_ROWS:
+        part = part.sample(SAMPLE_ROWS / total, seed=7)
+    floor = max(MIN_HOT_ROWS, min(total, SAMPLE_ROWS) / (2 * fan**LEVELS))
+    found = part.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor).select(GROUP)
+    rows = found.collect()
+    if not rows:
+        return Layout(tuple(keys), order, None, None)
+    hot = spark.createDataFrame(rows, found.schema).withColumn("__hot", F.lit(True))
+    return Layout(tuple(keys), order, find_borders(df.join(F.broadcast(hot), F.struct(*keys) == F.col(GROUP), "left_semi"), order, fan), hot)
+
+
 def default_fan(df: DataFrame) -> int:
     """Fan that gives about four segments per shuffle partition."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -97,14 +151,6 @@ def segment_of(value: Column, borders: Borders) -> Column:
     return F.transform(F.array(value), search)[0]
 
 
-def with_segments(df: DataFrame, order: str, borders: Borders | None = None, fan: int | None = None) -> DataFrame:
-    borders = borders or find_borders(df, order, fan)
-    return df.withColumn(SEGMENT, F.coalesce(segment_of(order_number(df, order), borders), F.lit(-1)))
-
-
-GROUP = "__group"
-
-
 def _grouped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys and segment as one struct: it is never null and equal structs match even
     where a key is null, so windows and the carry join share one shuffle."""
@@ -122,6 +168,7 @@ def running(
     calcs: dict[str, tuple[str, Column]],
     exclusive: bool = False,
     whole: dict[str, tuple[str, Column]] | None = None,
+    layout: Layout | None = None,
 ) -> DataFrame:
     """Running sum/max/min per key in ``order``; ``exclusive`` leaves the row itself out.
 
@@ -129,12 +176,19 @@ def running(
     row does not take part. The result is null while nothing has taken part yet.
     ``whole`` adds aggregates over all rows of the key, from the same carry table.
     """
-    own = SEGMENT not in df.columns
-    base = _grouped(with_segments(df, order[0]) if own else df, keys)
+    layout = layout or find_layout(df, keys, order[0])
     whole = whole or {}
+    last = -1 if exclusive else 0
+    if layout.plain:
+        w = Window.partitionBy(*keys)
+        frame = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+        return df.select(
+            "*", *[_FNS[fn](v).over(frame).alias(out) for out, (fn, v) in calcs.items()], *[_FNS[fn](v).over(w).alias(out) for out, (fn, v) in whole.items()]
+        )
+    base = _grouped(layout.attach(df), keys)
     for out, (_, value) in {**calcs, **whole}.items():
         base = base.withColumn(f"__v_{out}", value)
-    within = Window.partitionBy(GROUP).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    within = Window.partitionBy(GROUP).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     per_key = Window.partitionBy(*[F.col(GROUP)[k] for k in keys])
     before = per_key.orderBy(F.col(GROUP)[SEGMENT]).rowsBetween(Window.unboundedPreceding, -1)
     carry = base.groupBy(GROUP).agg(*[_FNS[fn](f"__v_{out}").alias(f"__v_{out}") for out, (fn, _) in {**calcs, **whole}.items()])
@@ -150,13 +204,16 @@ def running(
         l, c = F.col(f"__l_{out}"), F.col(f"__c_{out}")
         outs[out] = F.coalesce(l + c, l, c) if fn == "sum" else F.greatest(l, c) if fn == "max" else F.least(l, c)
     joined = joined.withColumns(outs).drop(*[f"__{p}_{out}" for out in calcs for p in ("l", "c")])
-    return joined.drop(SEGMENT) if own else joined
+    return joined.drop(SEGMENT)
 
 
-def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> DataFrame:
+def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], layout: Layout | None = None) -> DataFrame:
     """Value of the previous row of the same key; null on the first row."""
-    own = SEGMENT not in df.columns
-    base = _grouped(with_segments(df, order[0]) if own else df, keys)
+    layout = layout or find_layout(df, keys, order[0])
+    if layout.plain:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.select("*", *[F.lag(v).over(w).alias(k) for k, v in values.items()])
+    base = _grouped(layout.attach(df), keys)
     base = base.withColumn("__v", F.struct(*[v.alias(k) for k, v in values.items()]))
     within = Window.partitionBy(GROUP).orderBy(*order)
     carry = base.groupBy(GROUP).agg(F.max_by("__v", F.struct(*order)).alias("__c"))
@@ -165,18 +222,23 @@ def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dic
     joined = _join_carry(base.withColumn("__l", F.lag("__v").over(within)), carry)
     joined = joined.withColumn("__p", F.coalesce("__l", "__c"))
     joined = joined.select("*", *[F.col("__p")[k].alias(k) for k in values]).drop("__v", "__l", "__c", "__p")
-    return joined.drop(SEGMENT) if own else joined
+    return joined.drop(SEGMENT)
 
 
-def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, reset: Column, out: str) -> DataFrame:
+def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, reset: Column, out: str, layout: Layout | None = None) -> DataFrame:
     """Weight gathered since the last reset, in one shuffle.
 
     Inside a segment it is the running weight minus the running weight at the last
     reset. A segment hands on its total weight and, if it had a reset, the weight
     after the last one.
     """
-    own = SEGMENT not in df.columns
-    base = _grouped(with_segments(df, order[0]) if own else df, keys).withColumn("__w", weight).withColumn("__r", reset)
+    layout = layout or find_layout(df, keys, order[0])
+    if layout.plain:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        summed = df.withColumn("__r", reset).withColumn("__sum", F.sum(weight).over(w))
+        last = F.max(F.when(F.col("__r"), F.col("__sum"))).over(w)
+        return summed.withColumn(out, F.col("__sum") - F.coalesce(last, F.lit(0))).drop("__r", "__sum")
+    base = _grouped(layout.attach(df), keys).withColumn("__w", weight).withColumn("__r", reset)
     w = Window.partitionBy(GROUP).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumn("__sum", F.sum("__w").over(w))
     local = local.withColumn("__at", F.max(F.when(F.col("__r"), F.col("__sum"))).over(w))
@@ -187,7 +249,7 @@ def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Co
     joined = _join_carry(local, ends)
     value = F.col("__sum") + F.col("__sum_before") - F.coalesce(F.col("__at") + F.col("__sum_before"), F.col("__at_before"), F.lit(0))
     joined = joined.withColumn(out, value).drop("__w", "__r", "__sum", "__at", "__sum_before", "__at_before")
-    return joined.drop(SEGMENT) if own else joined
+    return joined.drop(SEGMENT)
 
 
 def _scaled(value: str) -> Column:
@@ -195,19 +257,18 @@ def _scaled(value: str) -> Column:
     return _whole(F.col(value).cast("double") * 1000)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], borders_from: DataFrame | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Interpolated quantiles per key without holding a group in memory.
 
     Equal values are counted first (partial aggregation), ranks come from a
-    segmented running count, and each quantile is the pair of values at the two
-    neighbouring ranks. ``borders_from`` is a cheaper frame with the same values.
+    running count, and each quantile is the pair of values at the two neighbouring
+    ranks.
     """
-    scaled = (borders_from if borders_from is not None else df).select(_scaled(value).alias("__ord"))
-    borders = find_borders(scaled, "__ord")
+    layout = find_layout(df.withColumn("__ord", _scaled(value)), keys, "__ord")
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = with_segments(counted.withColumn("__ord", _scaled(value)), "__ord", borders)
+    ranked = counted.withColumn("__ord", _scaled(value))
     n = F.col("__n")
-    joined = running(ranked, keys, ["__ord", value], {"__cum": ("sum", n)}, whole={"__total": ("sum", n)})
+    joined = running(ranked, keys, ["__ord", value], {"__cum": ("sum", n)}, whole={"__total": ("sum", n)}, layout=layout)
     aggs = []
     for out, p in probs.items():
         pos = F.lit(float(p)) * (F.col("__total") - 1)

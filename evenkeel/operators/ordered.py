@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evenkeel.functions.segments import SEGMENT, exact_quantiles, find_borders, lagged, running, streaks, with_segments
+from evenkeel.functions.segments import Layout, exact_quantiles, find_layout, lagged, running, streaks
 
 
 def pct_of_total(df: DataFrame, value: str, out: str = "pct") -> DataFrame:
@@ -29,23 +29,22 @@ def heartbeat(df: DataFrame, key: str, order: Sequence[str], ok: str, threshold:
     if prior is not None:
         base = prior.select(key, F.col("streak").cast("long").alias("__fail")).withColumn("__base", F.lit(True))
         rows = rows.unionByName(base, allowMissingColumns=True)
-    # borders come from the plain input, not from the union
-    rows = with_segments(rows, order[0], find_borders(df, order[0]))
-    out = streaks(rows, [key], order, F.col("__fail"), F.coalesce(F.col(ok), F.lit(False)), "streak")
-    return out.where("NOT __base").drop("__fail", "__base", SEGMENT).withColumn("alarm", F.col("streak") >= threshold)
+    layout = find_layout(df, [key], order[0])  # from the plain input, not from the union
+    out = streaks(rows, [key], order, F.col("__fail"), F.coalesce(F.col(ok), F.lit(False)), "streak", layout)
+    return out.where("NOT __base").drop("__fail", "__base").withColumn("alarm", F.col("streak") >= threshold)
 
 
-def snapshot_delta(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+def snapshot_delta(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, layout: Layout | None = None) -> DataFrame:
     """Growth of a cumulative counter; a drop means a restart, so the value itself counts."""
-    prev = lagged(df, keys, order, {"__prev": F.col(value)})
+    prev = lagged(df, keys, order, {"__prev": F.col(value)}, layout)
     delta = F.when(F.col("__prev").isNull(), F.lit(None)).when(F.col(value) < F.col("__prev"), F.col(value)).otherwise(F.col(value) - F.col("__prev"))
     return prev.withColumn("delta", delta).drop("__prev")
 
 
 def sequence_gaps(df: DataFrame, seq: str, keys: Sequence[str] = ()) -> DataFrame:
     """Missing stretches in a numbered sequence."""
-    numbers = with_segments(df.select(*keys, seq).distinct(), seq, find_borders(df, seq))
-    prev = lagged(numbers, list(keys), [seq], {"__prev": F.col(seq)})
+    numbers = df.select(*keys, seq).distinct()
+    prev = lagged(numbers, list(keys), [seq], {"__prev": F.col(seq)}, find_layout(df, list(keys), seq))
     return prev.where(F.col(seq) - F.col("__prev") > 1).select(
         *keys,
         (F.col("__prev") + 1).alias("gap_start"),
@@ -84,16 +83,16 @@ def trailing_sum(df: DataFrame, keys: Sequence[str], ts: str, value: Column, sec
     return copies.withColumn(out, F.sum("__value").over(w)).where("__ctx = 0").drop("__us", "__ctx", "__bucket", "__value")
 
 
-def rate(df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str, seconds: int = 300) -> DataFrame:
+def rate(df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str, seconds: int = 300, layout: Layout | None = None) -> DataFrame:
     """Increase of a counter per second over the trailing window, restarts handled."""
-    steps = snapshot_delta(df, keys, order, counter)
+    steps = snapshot_delta(df, keys, order, counter, layout)
     summed = trailing_sum(steps, keys, order[0], F.coalesce("delta", F.lit(0)), seconds, "__inc")
     return summed.withColumn("rate", F.col("__inc").cast("double") / seconds).drop("__inc", "delta")
 
 
 def wow_regression(df: DataFrame, ts: str, value: str, keys: Sequence[str] = (), pct: float = 20.0, p: float = 0.99) -> DataFrame:
     """Weekly p99 against the week before (W09). One row per key and week, so the lag is small."""
-    weekly = exact_quantiles(df.withColumn("week", F.date_trunc("week", ts).cast("timestamp_ntz")), [*keys, "week"], value, {"p": p}, df)
+    weekly = exact_quantiles(df.withColumn("week", F.date_trunc("week", ts).cast("timestamp_ntz")), [*keys, "week"], value, {"p": p})
     w = Window.partitionBy(*keys).orderBy("week")
     prev = F.lag("p").over(w)
     change = F.round(F.try_divide((F.col("p") - prev) * 100.0, prev), 4)

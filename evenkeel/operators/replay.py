@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel.functions.positions import decode_op, lag_minutes
-from evenkeel.functions.segments import SEGMENT, find_borders, running, with_segments
+from evenkeel.functions.segments import find_layout, running
 
 BASE_POSITION = -9223372036854775808
 
@@ -57,12 +57,12 @@ def annotate(target: DataFrame, changes: DataFrame, pk: Sequence[str], seq: str
     cols = [c for c in target.columns if c not in pk]
     touched = target.join(changes.select(*pk).distinct(), list(pk), "left_semi")
     base = touched.select(*pk, *cols, F.lit(BASE_POSITION).cast("long").alias(seq), F.lit("B").alias(op))
-    stream = with_segments(changes.unionByName(base, allowMissingColumns=True), seq, find_borders(changes, seq))
+    stream = changes.unionByName(base, allowMissingColumns=True)
     o = F.col(op)
     event = F.when(o.isin("B", "I", "D"), F.struct(F.col(seq).alias("p"), (o != "D").alias("alive")))
-    seen = running(stream, pk, [seq], {"__before": ("max", event)}, exclusive=True)
+    seen = running(stream, pk, [seq], {"__before": ("max", event)}, exclusive=True, layout=find_layout(changes, pk, seq))
     exists = F.coalesce(F.col("__before")["alive"], F.lit(False))
-    seen = seen.withColumn("__exists", exists).drop("__before", SEGMENT)
+    seen = seen.withColumn("__exists", exists).drop("__before")
     outcome = (
         F.when(o == "B", "base")
         .when((o == "I") & F.col("__exists"), {"SKIP": "conflict_skipped", "UPSERT": "upserted", "ABORT": "conflict_abort"}[policy.on_conflict])
@@ -202,10 +202,10 @@ def late_changes(changes: DataFrame, pk: Sequence[str], seq: str, ts: str, arriv
     change may be repeated any number of times.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    seen = running(with_segments(changes, arrival), [], [arrival], {"__max_ts": ("max", us)}, exclusive=True)
-    seen = running(seen, [*pk, seq], [arrival], {"__copies": ("sum", F.lit(1))}, exclusive=True)
+    seen = running(changes, [], [arrival], {"__max_ts": ("max", us)}, exclusive=True)
+    seen = running(seen, [*pk, seq], [arrival], {"__copies": ("sum", F.lit(1))}, exclusive=True, layout=find_layout(changes, [*pk, seq], arrival))
     late = F.coalesce(us < F.col("__max_ts") - F.lit(delay_seconds * 1000000), F.lit(False))
-    return seen.withColumn("late", late).withColumn("duplicate", F.coalesce(F.col("__copies") > 0, F.lit(False))).drop("__max_ts", "__copies", SEGMENT)
+    return seen.withColumn("late", late).withColumn("duplicate", F.coalesce(F.col("__copies") > 0, F.lit(False))).drop("__max_ts", "__copies")
 
 
 def shadow_sync(source: DataFrame, changes: DataFrame, new_columns: dict[str, Column], pk: str, seq: str = "seq") -> DataFrame:

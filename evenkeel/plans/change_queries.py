@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenkeel.functions import positions as pos
-from evenkeel.functions.segments import SEGMENT, running, with_segments
+from evenkeel.functions.segments import find_layout, running
 from evenkeel.operators import ordered, replay as rp
 from evenkeel.operators.compare import latest_by, ranked_within
 from evenkeel.operators.remediate import merge_delta
@@ -272,10 +272,14 @@ def beats(t: Tables):
 COUNTER = "(SELECT event_id, user_id, ts, sum(cast(value AS decimal(18,2))) OVER (PARTITION BY user_id, date_trunc('week', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS counter FROM events)"
 
 
+def by_user(t: Tables):
+    """One look at the table serves every ordered step per user."""
+    return find_layout(t.events, ["user_id"], "ts")
+
+
 def counters(t: Tables):
-    e = with_segments(t.events, "ts").select("event_id", "user_id", "ts", F.date_trunc("week", "ts").alias("week"), F.col("value").cast("decimal(18,2)").alias("v"), SEGMENT)
-    # the segments stay on the rows, so later ordered steps need no second look at the table
-    return running(e, ["user_id", "week"], ["ts", "event_id"], {"counter": ("sum", F.col("v"))}).select("event_id", "user_id", "ts", "counter", SEGMENT)
+    e = t.events.select("event_id", "user_id", "ts", F.date_trunc("week", "ts").alias("week"), F.col("value").cast("decimal(18,2)").alias("v"))
+    return running(e, ["user_id", "week"], ["ts", "event_id"], {"counter": ("sum", F.col("v"))}, layout=by_user(t)).select("event_id", "user_id", "ts", "counter")
 
 
 DELTA = f"(SELECT *, CASE WHEN p IS NULL THEN NULL WHEN counter < p THEN counter ELSE counter - p END AS delta FROM (SELECT *, lag(counter) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM {COUNTER}))"
@@ -283,7 +287,7 @@ DELTA = f"(SELECT *, CASE WHEN p IS NULL THEN NULL WHEN counter < p THEN counter
 
 @query("w04_snapshot_delta", f"SELECT event_id, user_id, cast(counter AS double) AS counter, coalesce(cast(delta AS double), -1) AS delta FROM {DELTA}")
 def deltas(t: Tables):
-    out = ordered.snapshot_delta(counters(t), ["user_id"], ["ts", "event_id"], "counter")
+    out = ordered.snapshot_delta(counters(t), ["user_id"], ["ts", "event_id"], "counter", by_user(t))
     return out.select("event_id", "user_id", dbl("counter"), F.coalesce(F.col("delta").cast("double"), F.lit(-1.0)).alias("delta"))
 
 
@@ -311,7 +315,7 @@ def lasting(t: Tables):
     f"SELECT event_id, user_id, cast(sum(coalesce(delta, 0)) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS double) / 21600 AS rate FROM {DELTA}",
 )
 def rates(t: Tables):
-    return ordered.rate(counters(t), ["user_id"], ["ts", "event_id"], "counter", 21600).select("event_id", "user_id", "rate")
+    return ordered.rate(counters(t), ["user_id"], ["ts", "event_id"], "counter", 21600, by_user(t)).select("event_id", "user_id", "rate")
 
 
 @query(

@@ -42,7 +42,9 @@ def by_key(data):
 
 
 def test_segments_are_many_and_monotone(frame):
-    d = sg.with_segments(frame, "ts")
+    layout = sg.find_layout(frame, ["k"], "ts")
+    assert [r[0]["k"] for r in layout.hot.collect()] and not layout.plain
+    d = layout.attach(frame).where("k = 'hot'")
     assert d.select(sg.SEGMENT).distinct().count() > 20
     worst = d.groupBy(sg.SEGMENT).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).orderBy(sg.SEGMENT).collect()
     assert all(a.hi < b.lo for a, b in zip(worst, worst[1:]))
@@ -107,6 +109,22 @@ def test_quantiles_match_interpolation(spark):
     assert sg.exact_quantiles(df, [], "v", {"p": 1.0}).first().p == max(v for _, v in data)
 
 
+def test_even_keys_take_the_plain_plan(spark):
+    even = spark.range(2000).select(F.col("id"), (F.col("id") % 500).alias("k"), F.timestamp_seconds("id").alias("ts"))
+    layout = sg.find_layout(even, ["k"], "ts")
+    assert layout.plain
+    out = sg.running(even, ["k"], ["ts"], {"n": ("sum", F.lit(1))}, layout=layout)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert rows(out.groupBy("n").count()) == [(i, 500) for i in range(1, 5)]
+
+
+def test_both_layouts_agree(frame):
+    calcs = {"s": ("sum", F.col("v")), "hi": ("max", F.col("v"))}
+    plain = sg.Layout(("k",), "ts", None, None)
+    a = sg.running(frame, ["k"], ["ts", "id"], calcs, layout=plain)
+    assert rows(a, "id", "s", "hi") == rows(sg.running(frame, ["k"], ["ts", "id"], calcs), "id", "s", "hi")
+
+
 def test_empty_input(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert sg.running(empty, ["k"], ["ts"], {"s": ("sum", F.col("v"))}).count() == 0
