@@ -59,9 +59,6 @@ def digest_number(md5_hex: Column) -> Column:
     return F.conv(F.substring(md5_hex, 1, 15), 16, 10).cast("long")
 
 
-def row_number_hash(df: DataFrame, cols: Sequence[str] | None = None) -> Column:
-    return digest_number(row_md5(df, cols))
-
 
 def wide_sum(col: Column) -> Column:
     return F.sum(col.cast(T.DecimalType(28, 0)))

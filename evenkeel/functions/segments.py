@@ -79,7 +79,7 @@ class Layout:
         segment = segment_of(order_number(df, self.order), self.borders)
         if self.hot is None:
             return df.withColumn(SEGMENT, segment)
-        # fewer hot keys than segments exist, so this list has a fixed bound
+        # at most two hot keys per segment can exist, so this list has a fixed bound
         marked = df.withColumn(GROUP, F.struct(*self.keys)).join(F.broadcast(self.hot), GROUP, "left")
         return marked.withColumn(SEGMENT, F.when(F.col("__hot"), segment).otherwise(0)).drop(GROUP, "__hot")
 

@@ -285,8 +285,3 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     """The last row of each key, with partial aggregation instead of a window."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
-
-
-def ranked_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """rank() <= n per key; Catalyst keeps only the group limit before the shuffle."""
-    return df.withColumn("rank", F.rank().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)

@@ -191,7 +191,3 @@ def distinct_keys(df: DataFrame, pk: Sequence[str], approx: bool = False) -> Dat
 def sample_rows(df: DataFrame, pk: str, pct: int = 10) -> DataFrame:
     """The same share of keys on every side: hash of the key, not a random draw."""
     return df.where(F.pmod(key_hash(df, pk), F.lit(100)) < pct)
-
-
-def profile_value(df: DataFrame, col: str) -> Column:
-    return canon(F.col(col), df.schema[col].dataType)

@@ -155,15 +155,3 @@ def stale_stats(df: DataFrame, analyzed: str, max_age_days: int, as_of: DataFram
         F.when(F.col(analyzed).isNull(), "NEVER_ANALYZED").when(F.col("stale_stats") == "YES", "FLAGGED").when(age > max_age_days, "TOO_OLD")
     )
     return df.withColumn("as_of", as_of.scalar()).withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("as_of")
-
-
-def sorted_oldest_first(df: DataFrame, analyzed: str) -> DataFrame:
-    return df.orderBy(F.col(analyzed).asc_nulls_first())
-
-
-def required(cols: Sequence[str]) -> Column:
-    """Predicate: every listed column is set."""
-    out = F.lit(True)
-    for c in cols:
-        out = out & F.col(c).isNotNull()
-    return out

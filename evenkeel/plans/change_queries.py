@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions import positions as pos
 from evenkeel.functions.segments import find_layout, running
 from evenkeel.operators import ordered, replay as rp
-from evenkeel.operators.compare import latest_by, ranked_within
+from evenkeel.operators.compare import latest_by
 from evenkeel.operators.remediate import merge_delta
 from evenkeel.plans.derived import (
     CHANGES,
@@ -15,14 +15,12 @@ from evenkeel.plans.derived import (
     CHANGES_LATE,
     HEALTH,
     JOB_EXECUTIONS,
-    TGT_ORDERS,
     USERS,
     changes,
     changes_coded,
     changes_late,
     health,
     job_executions,
-    tgt_orders,
     users,
 )
 from evenkeel.plans.registry import Tables, query
@@ -340,4 +338,4 @@ def drops(t: Tables):
 
 @query("w12_top_per_group", "SELECT o_custkey, o_orderkey, o_totalprice, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 3")
 def tops(t: Tables):
-    return ranked_within(t.orders, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3).select("o_custkey", "o_orderkey", "o_totalprice", F.col("rank").cast("long").alias("rank"))
+    return ordered.top_per_group(t.orders, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3).select("o_custkey", "o_orderkey", "o_totalprice", F.col("rank").cast("long").alias("rank"))

@@ -168,8 +168,3 @@ JOBS = "(SELECT c_custkey AS job_id, c_name AS job_name FROM customer)"
 
 def jobs(t: Tables) -> DataFrame:
     return t.customer.selectExpr("c_custkey AS job_id", "c_name AS job_name")
-
-
-def as_of_frame(df: DataFrame, ts: str) -> DataFrame:
-    """One row holding the newest time of a table; safe to broadcast."""
-    return F.broadcast(df.agg(F.max(ts).alias("as_of")))

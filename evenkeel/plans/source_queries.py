@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evenkeel.operators import marts, replay as rp, slo
+from evenkeel.operators import slo
 from evenkeel.plans.change_queries import CHANGES, USERS, replay_sql
-from evenkeel.plans.derived import CHANGES_LATE, HEALTH, ORDER_COLS, SRC_ORDERS, TGT_ORDERS, changes, changes_late, health, src_orders, tgt_orders, users
+from evenkeel.plans.derived import CHANGES_LATE, TGT_ORDERS, changes, changes_late, src_orders, tgt_orders
 from evenkeel.plans.registry import Tables, query
 from evenkeel.plans.slo_queries import SLIDING
 from evenkeel.plans.telemetry_queries import ROUTED, STREAK

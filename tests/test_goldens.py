@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from evenkeel.functions import positions as pos
 from evenkeel.functions.canon import row_text
-from evenkeel.operators import blocking as bl, compare as cmp, fingerprint as fp, gates, mapping as mp, ordered, remediate as rem, slo, telemetry as tm
+from evenkeel.operators import blocking as bl, compare as cmp, fingerprint as fp, gates, mapping as mp, ordered, quality, remediate as rem, slo, telemetry as tm
 
 SUMMARY = "schema_name string, table_name string, row_count long, hash_sum string, updated_count long, deleted_count long, pos int"
 SOURCE = [
@@ -232,3 +232,26 @@ def test_exceptions_expire(spark):
     r = spark.createDataFrame([("a", "SEV1"), ("b", "SEV1"), ("c", "OK")], "t string, severity string")
     e = spark.createDataFrame([("a", "2024-05-01"), ("b", "2024-01-01"), ("c", "2024-05-01")], "t string, expires_on string")
     assert rows(gates.apply_exceptions(r, e, ["t"], F.lit("2024-03-01")), "t", "severity") == [("a", "SEV3"), ("b", "SEV1"), ("c", "OK")]
+
+
+def test_schema_rows_and_drift(spark):
+    old = spark.createDataFrame([], "a int, b string, c double")
+    new = spark.createDataFrame([], "a bigint, b int, d date")
+    out = quality.schema_drift(quality.schema_rows(old), quality.schema_rows(new))
+    assert rows(out, "column_name", "change", "compatible") == [("a", "retyped", True), ("b", "retyped", False), ("c", "removed", False), ("d", "added", True)]
+
+
+def test_forecast_of_a_straight_line_and_its_trigger(spark):
+    d = spark.sql("SELECT CAST(DATE '2024-01-01' + CAST(id AS INT) AS TIMESTAMP) AS ts, CAST(100 + 2 * id AS DECIMAL(18,2)) AS v FROM range(10)")
+    out = slo.forecast(d, [], "ts", F.col("v"), (30,))
+    r = slo.trigger_days(out, 200.0).first()
+    assert (r.slope, r.projected, r.low, r.high) == (2.0, 178.0, 178.0, 178.0)
+    assert r.days_to_limit == 41  # the last sample is 118, and (200 - 118) / 2 = 41
+    assert slo.trigger_days(slo.forecast(d.withColumn("v", -F.col("v")), [], "ts", F.col("v"), (30,)), 200.0).first().days_to_limit is None
+
+
+def test_window_alert_duration(spark):
+    data = [(m, 120.0 if 3 <= m <= 5 or m == 8 else 50.0) for m in range(10)]
+    metrics = spark.createDataFrame(data, "m long, value double").select(F.timestamp_seconds(F.col("m") * 60).cast("timestamp_ntz").alias("window_start"), F.lit("latency_p95_ms").alias("metric"), "value")
+    fired = slo.fired_alerts(slo.evaluate_rules(metrics, slo.ALERT_RULES), [])
+    assert rows(fired, "alert", "samples", "duration_s") == [("DatabaseLatencyBreach", 3, 120.0), ("DatabaseLatencyWarning", 3, 120.0)]

@@ -118,3 +118,13 @@ def test_report_files_are_in_report_order(spark, tmp_path):
     wr.write_csv_report(d, str(tmp_path / "r"), ["id", "n"], order_by=[F.desc("n"), F.asc("id")])
     lines = [x for p in sorted((tmp_path / "r").glob("part-*")) for x in p.read_text().splitlines() if x != "id,n"]
     assert lines == [f"{i},{n}" for n, i in sorted(((i * 37 % 101, i) for i in range(500)), key=lambda x: (-x[0], x[1]))]
+
+
+def test_manifest_file(spark, tmp_path):
+    f = tmp_path / "m.csv"
+    f.write_text(
+        "table_name,chunk_id,export_start_ts,export_end_ts,anchor_scn,row_count,file_size_bytes,checksum_sha256,source_path,databox_path,status\n"
+        "t,c1,2024-01-01T00:00:00Z,2024-01-01T01:00:00Z,7,10,100,abc,/a,/b,DONE\n"
+    )
+    r = rd.read_manifest(spark, str(f)).first()
+    assert (r.chunk_id, r.anchor_scn, r.row_count, r.file_size_bytes, r.status) == ("c1", 7, 10, 100, "DONE")
