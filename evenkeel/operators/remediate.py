@@ -20,7 +20,8 @@ def remediate(target: DataFrame, src: DataFrame, keys: DataFrame, pk: str) -> Da
     """Target with every scoped key replaced by the source's version (Q04).
 
     Missing rows appear, extra rows go, changed rows are overwritten; keys outside
-    the scope stay as they are. Parquet tables have no MERGE: write the result to a
+    the scope stay as they are. ``keys`` is read twice, so hand in a kept list (a
+    table or a checkpoint) and not the comparison that finds it. Parquet tables have no MERGE: write the result to a
     new place (or to the touched partitions) and switch.
     """
     scope = keys.select(F.col("key_id").alias(pk)).distinct()

@@ -22,6 +22,7 @@ from evenkeel.plans.derived import (
     tgt_orders,
 )
 from evenkeel.plans.registry import Tables, query
+from evenkeel.session import cut_lineage
 
 VALUES = [c for c in ORDER_COLS if c != "id"]
 START, END = "TIMESTAMP '1997-01-01 00:00:00'", "TIMESTAMP '1998-01-01 00:00:00'"
@@ -410,7 +411,8 @@ def keys_to_repair(t: Tables):
 )
 def remediated(t: Tables):
     s, g = src_orders(t), tgt_orders(t)
-    keys = rem.gap_keys(s, g, "id", VALUES).where("repair <> 'UPDATE'")
+    # the key list is small and used twice: kept, so the tables are compared once
+    keys = cut_lineage(rem.gap_keys(s, g, "id", VALUES).where("repair <> 'UPDATE'"))
     return rem.remediate(g, s, keys, "id").select("id", "status", F.col("total_amount").cast("double").alias("total_amount"), "is_deleted")
 
 
@@ -423,7 +425,7 @@ def remediated(t: Tables):
 def adjacent(t: Tables):
     s, g = src_orders(t), tgt_orders(t)
     by = lambda d: F.expr("id div 500")
-    repaired = cmp.missing_rows(s, g, "id").select(F.expr("id div 500").alias("slice")).distinct()
+    repaired = cut_lineage(cmp.missing_rows(s, g, "id").select(F.expr("id div 500").alias("slice")).distinct())
     keys = s.withColumn("slice", by(s)).join(repaired, "slice", "left_semi").select(F.col("id").alias("key_id"))
     return cmp.adjacent_check(g, rem.remediate(g, s, keys, "id"), repaired, ORDER_COLS, by)
 
