@@ -1,12 +1,14 @@
 """Every registered query against its SQL twin."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_DIR
 from tools.check_oracle import compare
 
-NAMES = list(entry.queries())
+NAMES = [n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n)]  # those have tests of their own
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -20,5 +22,5 @@ def test_entry_returns_rows(spark):
 
 
 def test_every_sql_has_a_query():
-    assert set(entry.oracle_sql()) <= set(NAMES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(NAMES) - set(entry.oracle_sql()) == {"l11_format_bench"}
