@@ -4,11 +4,26 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from evenkeel.llm import transducer
+from evenkeel.llm import minhash, resync, transducer
 from evenkeel.plans.registry import Tables, query
 
 
 @query("op1_bpe_transducer")
 def bpe_transducer(t: Tables) -> DataFrame:
     return transducer.digests(t.documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_ngram_jaccard_join")
+def ngram_jaccard_join(t: Tables) -> DataFrame:
+    return minhash.jaccard_join(t.documents).select("doc_id", "class_id", "n_links")
+
+
+TOKEN_LIMIT = 512
+
+
+@query("op8_token_counts")
+def token_counts(t: Tables) -> DataFrame:
+    counts = resync.token_counts(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
