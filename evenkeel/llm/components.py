@@ -15,7 +15,7 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     """
     back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     around = edges.unionByName(back) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = cut_lineage(around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))  # so that a hub's join can be split
     moved = around.join(least, "a").where("b > a" if large else "true").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         moved = moved.unionByName(least.select("a", F.col("m").alias("b")))

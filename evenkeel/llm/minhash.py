@@ -201,7 +201,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     counted = has_words.groupBy("set_hash").agg(first.alias("first"), F.count("*").alias("copies"), F.max("size").alias("size"))
     sets = cut_lineage(counted.select("set_hash", "copies", "size", "first.doc_id", "first.key"))
     one_each = has_words.join(sets.select("key"), "key", "left_semi").select("key", F.explode("bands").alias("band"))
-    buckets = one_each.groupBy("band").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    buckets = cut_lineage(one_each.groupBy("band").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where("n > 1"))
     meets = one_each.join(buckets, "band").where("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b"))
     groups = connected_components(meets)
     members = block_pairs(rows, groups.join(sets.select("key", "copies", "size"), "key"))

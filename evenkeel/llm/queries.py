@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm import minhash, resync, transducer
+from evenkeel.llm import minhash, resync, transducer, winnow
 from evenkeel.plans.registry import Tables, query
 
 
@@ -27,3 +27,31 @@ TOKEN_LIMIT = 512
 def token_counts(t: Tables) -> DataFrame:
     counts = resync.token_counts(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+LINE_DEDUP_SQL = r"""
+WITH line AS (
+  SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+), filled AS (
+  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13)) AS body, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS c
+  FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), three AS (
+  SELECT doc_id, c, body || chr(10) || lead(body, 1) OVER w || chr(10) || lead(body, 2) OVER w AS run
+  FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), later AS (
+  SELECT doc_id, c FROM three WHERE run IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, c) > 1
+), gone AS (
+  SELECT DISTINCT filled.doc_id, filled.pos FROM filled JOIN later ON filled.doc_id = later.doc_id AND filled.c BETWEEN later.c AND later.c + 2
+)
+SELECT line.doc_id, count(*) AS n_lines, count(gone.pos) AS n_removed,
+  md5(coalesce(string_agg(line.line, chr(10) ORDER BY line.pos) FILTER (WHERE gone.pos IS NULL), '')) AS kept_md5
+FROM line LEFT JOIN gone ON line.doc_id = gone.doc_id AND line.pos = gone.pos
+GROUP BY line.doc_id
+"""
+
+
+@query("op4_line_dedup", LINE_DEDUP_SQL)
+def line_dedup(t: Tables) -> DataFrame:
+    done = winnow.dedup_lines(t.documents)
+    return done.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.md5("kept").alias("kept_md5"))
