@@ -50,7 +50,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def add_columns(docs: DataFrame, fields: list[tuple[str, DataType]], make: Callable[[], Callable[[list[str]], list[pa.Array]]], column: str = "text") -> DataFrame:
+def add_columns(docs: DataFrame, fields: list[tuple[str, DataType]], make: Callable[[], Callable[[list[str]], list[pa.Array]]], column: str = "text", rows: int = ROWS) -> DataFrame:
     """Every row of ``docs`` with new columns made from its text.
 
     ``make()`` runs once in each task and returns a function from a list of texts to
@@ -61,7 +61,7 @@ def add_columns(docs: DataFrame, fields: list[tuple[str, DataType]], make: Calla
 
     def work(stream):
         call = make()
-        for batch in batches(stream):
+        for batch in batches(stream, rows):
             texts = [t or "" for t in batch.column(index).to_pylist()]
             names = [*batch.schema.names, *(n for n, _ in fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *call(texts)], names=names)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm import minhash, resync, transducer, winnow
+from evenkeel.llm import crf, minhash, resync, transducer, winnow
 from evenkeel.plans.registry import Tables, query
 
 
@@ -55,3 +55,10 @@ GROUP BY line.doc_id
 def line_dedup(t: Tables) -> DataFrame:
     done = winnow.dedup_lines(t.documents)
     return done.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.md5("kept").alias("kept_md5"))
+
+
+@query("op5_toxicity_crf")
+def toxicity_crf(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", "text")
+    scored = crf.tag(docs, crf.train(docs, t.labels))
+    return scored.select("doc_id", crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
