@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from evenkeel.llm.common import add_columns, batches, texts_of
+from evenkeel.llm.common import add_columns, batches, free_name, texts_of
 from evenkeel.session import cut_lineage
 
 DOCS_EACH = 3000
@@ -269,3 +269,10 @@ def tag(docs: DataFrame, model: Model | None, score: str = "score", spans: str =
         return call
 
     return add_columns(docs, [(score, DoubleType()), (spans, ArrayType(SPAN))], make, rows=8192)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below the limit."""
+    score, spans = free_name(docs, "score"), free_name(docs, "spans")
+    scored = tag(docs, train(docs, labels), score, spans)
+    return scored.where(F.col(score) < limit).drop(score, spans)

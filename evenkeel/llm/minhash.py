@@ -20,10 +20,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import batches, keyed, texts_of
+from evenkeel.llm.common import batches, doc_key, free_name, keyed, texts_of
 from evenkeel.llm.components import connected_components
 from evenkeel.session import cut_lineage
 
@@ -216,3 +216,12 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     linked_rows = has_words.select("doc_id", "key", "set_hash").join(of_set, "set_hash").drop("set_hash")
     alone = signed.where("set_hash IS NULL").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.col("key").alias("keeper"), F.lit(0).cast("long").alias("n_links"))
     return linked_rows.unionByName(alone)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their class; of rows equal in id and text one stays."""
+    key, place = free_name(docs, "key"), free_name(docs, "place")
+    dropped = jaccard_join(docs).where("key <> keeper").select(F.col("key").alias(key)).distinct()
+    rest = docs.withColumn(key, doc_key(docs)).join(dropped, key, "left_anti")
+    same = Window.partitionBy(key).orderBy(key)
+    return rest.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).drop(key, place)

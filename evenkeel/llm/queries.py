@@ -6,13 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm import crf, minhash, resync, transducer, winnow
+from evenkeel.llm import crf, lsa, minhash, resync, transducer, winnow
 from evenkeel.plans.registry import Tables, query
 
 
 @query("op1_bpe_transducer")
 def bpe_transducer(t: Tables) -> DataFrame:
-    return transducer.digests(t.documents, public_tokenizers.path("word_bpe_49k.json"))
+    return transducer.digests(t.documents, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
 @query("op6_ngram_jaccard_join")
@@ -62,3 +62,9 @@ def toxicity_crf(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "text")
     scored = crf.tag(docs, crf.train(docs, t.labels))
     return scored.select("doc_id", crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+
+
+@query("op2_benchmark_leaks")
+def benchmark_leaks(t: Tables) -> DataFrame:
+    found = lsa.find_leaks(t.documents, t.benchmark)
+    return found.select("doc_id", "item_id", F.round("shared", 6).alias("shared"), F.col("start").cast("long").alias("start_word"))

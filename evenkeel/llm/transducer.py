@@ -241,11 +241,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row."""
-    both = decode(encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path).select("doc_id", "ids"), path)
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids`` of every row."""
+    both = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        "ids",
     )

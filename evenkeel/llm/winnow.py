@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import keyed
+from evenkeel.llm.common import doc_key, keyed, text_col
 from evenkeel.session import cut_lineage
 
 WINDOW = 3  # lines; the shortest run that counts as a repeat
@@ -56,25 +56,37 @@ def repeated_windows(hashes: DataFrame, width: int) -> DataFrame:
     return back.where("key <> first_key OR start <> first_start").select("key", "start")
 
 
+def without_repeats(docs: DataFrame, width: int) -> DataFrame:
+    """``row struct, key, n_lines, removed, kept``: every row as it was, and what is left of its text."""
+    rows = docs.select(F.struct("*").alias("row"), text_col(docs).alias("text"), doc_key(docs).alias("key"))
+    starts = repeated_windows(line_hashes(keyed(docs)), width).groupBy("key").agg(F.collect_set("start").alias("starts"))
+    split = rows.join(starts, "key", "left").select("row", "key", "starts", F.split("text", "\n", -1).alias("lines"))
+    filled = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    places = split.withColumn("filled", F.when(F.col("starts").isNotNull(), filled))
+    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.transform(F.sequence(s, s + width - 1), lambda c: F.col("filled")[c]))))
+    marked = places.select("row", "key", "lines", F.coalesce(gone, F.array().cast("array<int>")).alias("removed"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
+    kept = F.when(F.size("removed") == 0, F.col("lines")).otherwise(F.transform(left, lambda i: F.col("lines")[i]))
+    return marked.select("row", "key", F.size("lines").alias("n_lines"), F.array_sort("removed").alias("removed"), F.array_join(kept, "\n").alias("kept"))
+
+
 def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """``doc_id, key, n_lines, removed array<int>, kept string``: one row for each row of ``docs``.
 
     ``n_lines`` counts the parts between line feeds, ``removed`` has the numbers of those
     that go (from 0), ``kept`` is the text without them.
     """
-    rows = keyed(docs)
-    starts = repeated_windows(line_hashes(rows), width).groupBy("key").agg(F.collect_set("start").alias("starts"))
-    joined = rows.join(starts, "key", "left")
-    split = joined.select("doc_id", "key", "starts", F.split("text", "\n", -1).alias("lines"))
-    filled = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
-    places = split.select("doc_id", "key", "starts", "lines", F.when(F.col("starts").isNotNull(), filled).alias("filled"))
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.transform(F.sequence(s, s + width - 1), lambda c: F.col("filled")[c]))))
-    marked = places.select("doc_id", "key", "lines", F.coalesce(gone, F.array().cast("array<int>")).alias("removed"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
-    return marked.select(
-        "doc_id",
-        "key",
-        F.size("lines").alias("n_lines"),
-        F.array_sort("removed").alias("removed"),
-        F.array_join(F.when(F.size("removed") == 0, F.col("lines")).otherwise(F.transform(left, lambda i: F.col("lines")[i])), "\n").alias("kept"),
-    )
+    return without_repeats(docs.select("doc_id", "text"), width).select(F.col("row.doc_id").alias("doc_id"), "key", "n_lines", "removed", "kept")
+
+
+def drop_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` with shortened texts; rows go that lost lines and have no word left.
+
+    A column ``n_chars`` follows the new text.
+    """
+    done = without_repeats(docs, width).where((F.size("removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    changed = F.size("removed") > 0
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("kept")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return done.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
