@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm import crf, lsa, minhash, resync, transducer, winnow
+from evenkeel.llm import crf, ledger, lsa, minhash, resync, transducer, winnow
 from evenkeel.plans.registry import Tables, query
 
 
@@ -68,3 +68,37 @@ def toxicity_crf(t: Tables) -> DataFrame:
 def benchmark_leaks(t: Tables) -> DataFrame:
     found = lsa.find_leaks(t.documents, t.benchmark)
     return found.select("doc_id", "item_id", F.round("shared", 6).alias("shared"), F.col("start").cast("long").alias("start_word"))
+
+
+QUALITY_RULES_SQL = r"""
+WITH word AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), gram AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM word)
+), twice AS (
+  SELECT doc_id, i FROM gram QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) AS t(k) GROUP BY doc_id
+), measured AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(length(array_to_string(words, '')), 0) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^!]+', '', 'g')) AS n_exclamations,
+    length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS n_capitals, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    len(list_distinct(words)) AS n_unique_words, coalesce(covered.n, 0) AS n_repeat_words
+  FROM word LEFT JOIN covered USING (doc_id)
+), judged AS (
+  SELECT *, (n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (5 * n_exclamations > n_words)::INT
+    + 16 * (2 * n_capitals > word_chars)::INT + 32 * (2 * n_dup_lines > n_lines)::INT
+    + 64 * (n_words > 0 AND NOT word_chars BETWEEN 3 * n_words AND 12 * n_words)::INT + 128 * (10 * n_unique_words < 3 * n_words)::INT AS failed
+  FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed::INT AS failed FROM judged
+"""
+
+
+@query("op7_quality_rules", QUALITY_RULES_SQL)
+def quality_rules(t: Tables) -> DataFrame:
+    judged = ledger.apply_policy(ledger.ledger(t.documents))
+    base_failed = F.col("failed").bitwiseAND(F.lit(ledger.BASE)) != 0
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept", "failed")
