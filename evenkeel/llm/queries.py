@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm import crf, ledger, lsa, minhash, resync, transducer, winnow
+from evenkeel.llm import crf, ledger, lsa, minhash, resync, transducer, weak_pii, winnow
 from evenkeel.plans.registry import Tables, query
 
 
@@ -102,3 +102,10 @@ def quality_rules(t: Tables) -> DataFrame:
     judged = ledger.apply_policy(ledger.ledger(t.documents))
     base_failed = F.col("failed").bitwiseAND(F.lit(ledger.BASE)) != 0
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept", "failed")
+
+
+@query("op9_pii_weak_supervision")
+def pii_weak_supervision(t: Tables) -> DataFrame:
+    found = weak_pii.find_pii(t.documents)
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(weak_pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(weak_pii.listed("base"), 256).alias("base_sha256"), weak_pii.listed("spans").alias("spans"))
