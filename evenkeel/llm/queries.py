@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm import crf, ledger, lsa, minhash, resync, transducer, weak_pii, winnow
+from evenkeel.llm import crf, ledger, lsa, minhash, resync, sparse_suffix, transducer, weak_pii, winnow
 from evenkeel.plans.registry import Tables, query
 
 
@@ -109,3 +109,9 @@ def pii_weak_supervision(t: Tables) -> DataFrame:
     found = weak_pii.find_pii(t.documents)
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(weak_pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(weak_pii.listed("base"), 256).alias("base_sha256"), weak_pii.listed("spans").alias("spans"))
+
+
+@query("op10_sparse_suffix_repeats")
+def sparse_suffix_repeats(t: Tables) -> DataFrame:
+    found = sparse_suffix.repeated_passages(t.documents)
+    return found.select("doc_id", F.col("begin").cast("long").alias("begin_word"), F.col("end").cast("long").alias("end_word"), (F.col("end") - F.col("begin")).cast("long").alias("n_words"))
