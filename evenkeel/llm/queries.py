@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm import crf, ledger, lsa, minhash, resync, sparse_suffix, transducer, weak_pii, winnow
+from evenkeel.llm import crf, kneser_ney, ledger, lsa, minhash, resync, sparse_suffix, transducer, weak_pii, winnow
 from evenkeel.plans.registry import Tables, query
 
 
@@ -115,3 +115,8 @@ def pii_weak_supervision(t: Tables) -> DataFrame:
 def sparse_suffix_repeats(t: Tables) -> DataFrame:
     found = sparse_suffix.repeated_passages(t.documents)
     return found.select("doc_id", F.col("begin").cast("long").alias("begin_word"), F.col("end").cast("long").alias("end_word"), (F.col("end") - F.col("begin")).cast("long").alias("n_words"))
+
+
+@query("op3_kneser_ney_quality")
+def kneser_ney_quality(t: Tables) -> DataFrame:
+    return kneser_ney.classify(t.documents, t.labels)
