@@ -152,22 +152,27 @@ def fit_chain(windows: list[tuple[list[str], list[int]]]) -> Model:
 
 def inputs(p: np.ndarray) -> list[float]:
     """What a text's marginals say about it as a whole."""
-    return [1.0, float(np.log(p.sum() + 1e-4)), float(p.max(initial=0.0))]
+    return [1.0, float(np.log(p.sum() + 1e-4)), float(p.max(initial=0.0)), float(np.log1p(len(p)))]
 
 
-def fit_calibration(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps."""
+def fit_calibration(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic regression by Newton steps; the weights restore the labels' shares in all rows."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        w += np.linalg.solve(hessian, x.T @ (y - p) - 1e-2 * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+        w += np.linalg.solve(hessian, x.T @ (weight * (y - p)) - 1e-2 * w)
     return w
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, toxic`` of the training fold."""
+    return labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
+
+
 def training_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``text, toxic, held``: the bounded training sample; ``held`` rows are kept for the calibration."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
+    known = training_labels(labels)
     place = F.xxhash64("doc_id", F.lit("train"))
     some = [known.where(F.col("toxic") == y).orderBy(place, "doc_id").limit(DOCS_EACH) for y in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # 2 * DOCS_EACH rows at most
@@ -233,10 +238,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     rows = held_rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(sum_up, "x array<double>, toxic int").collect()
     rows = sorted((r["x"], r["toxic"]) for r in rows)
-    x, y = np.array([r[0] for r in rows] or [[1.0, np.log(1e-4), 0.0]]), np.array([r[1] for r in rows] or [0])
+    x, y = np.array([r[0] for r in rows] or [inputs(np.zeros(0))]), np.array([r[1] for r in rows] or [0])
     if len(set(y.tolist())) < 2:  # too few documents to set some aside
         x, y = np.array([inputs(np.zeros(1)), inputs(np.ones(1))] * 50), np.array([0, 1] * 50)
-    model.calibration = fit_calibration(x, y)
+    shares = {int(r["toxic"]): r["n"] for r in training_labels(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    weight = np.where(y == 1, shares[1] / max((y == 1).sum(), 1), shares[0] / max((y == 0).sum(), 1))
+    model.calibration = fit_calibration(x, y, weight * len(y) / weight.sum())
     return model
 
 
@@ -255,7 +262,7 @@ def tag(docs: DataFrame, model: Model | None, score: str = "score", spans: str =
                 values = [0.0] * len(texts)
             else:
                 found = marginals(model, [model.emission(TOKEN.findall(t.lower())) for t in texts])
-                x = np.array([inputs(p) for p in found]).reshape(len(texts), 3)
+                x = np.array([inputs(p) for p in found]).reshape(len(texts), 4)
                 values = 1 / (1 + np.exp(-np.clip(x @ model.calibration, -30, 30)))
             marked = []
             for text, p in zip(texts, found):
