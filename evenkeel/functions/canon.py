@@ -16,6 +16,16 @@ FIELD_SEPARATOR = "|"
 
 
 def canon(col: Column, dtype: T.DataType, scale: int = 6, null_token: str = NULL_TOKEN) -> Column:
+    """Canonical text, nulls as the token."""
+    return F.coalesce(canon_text(col, dtype, scale), F.lit(null_token))
+
+
+def sized(text: Column) -> Column:
+    """Text with its length in front, nulls as the bare token: fields joined in this form can't run into each other."""
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit(NULL_TOKEN))
+
+
+def canon_text(col: Column, dtype: T.DataType, scale: int = 6) -> Column:
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         text = col.cast(T.DecimalType(38, scale)).cast("string")
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
@@ -32,22 +42,24 @@ def canon(col: Column, dtype: T.DataType, scale: int = 6, null_token: str = NULL
         text = F.to_json(col)
     else:
         text = col.cast("string")
-    return F.coalesce(text, F.lit(null_token))
+    return text
 
 
-def canon_columns(df: DataFrame, cols: Sequence[str] | None = None, scale: int = 6) -> list[Column]:
+def canon_columns(df: DataFrame, cols: Sequence[str] | None = None, scale: int = 6, with_size: bool = True) -> list[Column]:
+    """Canonical fields. ``with_size=False`` is the plain form, in which text may imitate separators and null tokens."""
     names = list(cols) if cols else df.columns
-    return [canon(F.col(f"`{n}`"), df.schema[n].dataType, scale) for n in names]
+    form = sized if with_size else (lambda text: F.coalesce(text, F.lit(NULL_TOKEN)))
+    return [form(canon_text(F.col(f"`{n}`"), df.schema[n].dataType, scale)) for n in names]
 
 
 def raw_columns(df: DataFrame, cols: Sequence[str] | None = None) -> list[Column]:
-    """Plain cast to text, nulls as the token: the un-normalised form (Q02)."""
+    """Plain cast to text: the un-normalised form (Q02)."""
     names = list(cols) if cols else df.columns
-    return [F.coalesce(F.col(f"`{n}`").cast("string"), F.lit(NULL_TOKEN)) for n in names]
+    return [sized(F.col(f"`{n}`").cast("string")) for n in names]
 
 
-def row_text(df: DataFrame, cols: Sequence[str] | None = None, separator: str = FIELD_SEPARATOR) -> Column:
-    return F.concat_ws(separator, *canon_columns(df, cols))
+def row_text(df: DataFrame, cols: Sequence[str] | None = None, separator: str = FIELD_SEPARATOR, with_size: bool = True) -> Column:
+    return F.concat_ws(separator, *canon_columns(df, cols, with_size=with_size))
 
 
 def row_md5(df: DataFrame, cols: Sequence[str] | None = None) -> Column:

@@ -40,18 +40,31 @@ class Borders:
     values: tuple[int, ...]
 
 
+LEADING_DIGITS = 15  # hexadecimal digits of a text's beginning that fit a long
+
+
 def order_number(df: DataFrame, name: str) -> Column:
     """The order column as a long that never falls where the column rises."""
-    dtype = df.schema[name].dataType
+    return _order_number(F.col(f"`{name}`"), df.schema[name].dataType)
+
+
+def _order_number(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp"))
+        return F.unix_micros(col.cast("timestamp"))
     if isinstance(dtype, T.DateType):
-        return F.unix_date(F.col(name)).cast("long")
+        return F.unix_date(col).cast("long")
     if isinstance(dtype, T.IntegralType):
-        return F.col(name).cast("long")
+        return col.cast("long")
     if isinstance(dtype, T.NumericType):
-        return _whole(F.col(name).cast("double"))
-    raise TypeError(f"cannot cut {name} of type {dtype.simpleString()} into segments; order by a number or a time")
+        return _whole(col.cast("double"))
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        digits = F.hex(col if isinstance(dtype, T.BinaryType) else F.encode(col, "utf-8"))
+        return F.conv(F.rpad(F.substring(digits, 1, LEADING_DIGITS), LEADING_DIGITS, "0"), 16, 10).cast("long")
+    if isinstance(dtype, T.StructType):  # structs sort by their first field first
+        return _order_number(col.getField(dtype.fields[0].name), dtype.fields[0].dataType)
+    if isinstance(dtype, T.BooleanType):
+        return col.cast("int").cast("long")
+    raise TypeError(f"cannot cut an order of type {dtype.simpleString()} into segments")
 
 
 def _whole(x: Column) -> Column:
@@ -92,6 +105,7 @@ def find_layout(df: DataFrame, keys: Sequence[str], order: str, fan: int | None
     segment's share.
     """
     fan = fan or default_fan(df)
+    order_number(df, order)  # an order that can't be cut fails at every size
     if not keys:
         return Layout((), order, find_borders(df, order, fan), None)
     spark = df.sparkSession
@@ -236,16 +250,17 @@ def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Co
     if layout.plain:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         summed = df.withColumn("__r", reset).withColumn("__sum", F.sum(weight).over(w))
-        last = F.max(F.when(F.col("__r"), F.col("__sum"))).over(w)
+        last = F.last(F.when(F.col("__r"), F.col("__sum")), ignorenulls=True).over(w)
         return summed.withColumn(out, F.col("__sum") - F.coalesce(last, F.lit(0))).drop("__r", "__sum")
     base = _grouped(layout.attach(df), keys).withColumn("__w", weight).withColumn("__r", reset)
     w = Window.partitionBy(GROUP).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumn("__sum", F.sum("__w").over(w))
-    local = local.withColumn("__at", F.max(F.when(F.col("__r"), F.col("__sum"))).over(w))
-    ends = local.groupBy(GROUP).agg(F.max("__sum").alias("__total"), F.max("__at").alias("__last"))
+    local = local.withColumn("__at", F.last(F.when(F.col("__r"), F.col("__sum")), ignorenulls=True).over(w))
+    at_reset = F.max_by(F.when(F.col("__r"), F.col("__sum")), F.when(F.col("__r"), F.struct(*order)))
+    ends = local.groupBy(GROUP).agg(F.sum("__w").alias("__total"), at_reset.alias("__last"))
     per_key = Window.partitionBy(*[F.col(GROUP)[k] for k in keys]).orderBy(F.col(GROUP)[SEGMENT]).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("__sum_before", F.coalesce(F.sum("__total").over(per_key), F.lit(0)))
-    ends = ends.select(GROUP, "__sum_before", F.max(F.col("__sum_before") + F.col("__last")).over(per_key).alias("__at_before"))
+    ends = ends.select(GROUP, "__sum_before", F.last(F.col("__sum_before") + F.col("__last"), ignorenulls=True).over(per_key).alias("__at_before"))
     joined = _join_carry(local, ends)
     value = F.col("__sum") + F.col("__sum_before") - F.coalesce(F.col("__at") + F.col("__sum_before"), F.col("__at_before"), F.lit(0))
     joined = joined.withColumn(out, value).drop("__w", "__r", "__sum", "__at", "__sum_before", "__at_before")

@@ -30,41 +30,58 @@ def blocking_from_lists(activity: DataFrame, pid: str, blockers: str, info: Sequ
 
 
 def blocking_tree(edges: DataFrame, keys: Sequence[str], blocked: str, blocker: str) -> DataFrame:
-    """Head blocker and depth of every blocked session.
-
-    ``edges`` has one blocker per blocked session and snapshot ``keys``. Each round
-    lets every open session jump to the ancestor of its ancestor, so depths double:
-    a chain of any length needs log2(length) rounds. A round that settles nothing
-    leaves only sessions on, or waiting for, a cycle: a deadlock. Only open rows
-    take part in a round, so a head with many victims is not joined again.
+    """Head blockers of every blocked session, with the fewest waits to each.
+
+    A session may have several blockers, so it has a row for each head blocker that it
+    waits for, over whatever way. Each round lets every open session jump to the
+    ancestors of its ancestors, so lengths double: chains of any length need
+    log2(length) rounds, and equal pairs are joined into one after each. When the length
+    exceeds the number of sessions, what is still open leads into a cycle. A session is
+    deadlocked if it waits for itself, or if all its ways end in a cycle; without a head
+    it has one row with nulls. Only open rows take part in a round.
     """
     k = list(keys)
-    links = edges.select(*k, F.col(blocked).alias("session"), F.col(blocker).alias("ancestor"), F.lit(1).cast("long").alias("depth"))
+    links = edges.select(*k, F.col(blocked).alias("session"), F.col(blocker).alias("ancestor"), F.lit(1).cast("long").alias("depth")).distinct()
     first = links.join(links.select(*k, F.col("session").alias("ancestor")).withColumn("__more", F.lit(True)), [*k, "ancestor"], "left")
     state = cut_lineage(first.select(*k, "session", "ancestor", "depth", F.coalesce("__more", F.lit(False)).alias("open")))
-    left = state.where("open").count()
-    while left:
+    most = links.groupBy(*k).agg(F.count_distinct("session").alias("n")).agg(F.max("n")).first()[0] or 0
+    length, left = 1, state.where("open").count()
+    while left and length <= most:
         jump = state.select(*k, F.col("session").alias("ancestor"), F.col("ancestor").alias("__a"), F.col("depth").alias("__d"), F.col("open").alias("__o"))
         moved = state.where("open").join(jump, [*k, "ancestor"]).select(
             *k, "session", F.col("__a").alias("ancestor"), (F.col("depth") + F.col("__d")).alias("depth"), F.col("__o").alias("open")
         )
-        state = cut_lineage(state.where("NOT open").unionByName(moved))
-        now = state.where("open").count()
-        if now == left:
-            break
-        left = now
-    return state.select(
-        *k,
-        "session",
-        F.when(~F.col("open"), F.col("ancestor")).alias("head_blocker"),
-        F.when(~F.col("open"), F.col("depth")).alias("depth"),
-        F.col("open").alias("deadlocked"),
-    )
+        merged = state.where("NOT open").unionByName(moved).groupBy(*k, "session", "ancestor").agg(F.min("depth").alias("depth"), F.first("open").alias("open"))
+        state = cut_lineage(merged)
+        length, left = 2 * length, state.where("open").count()
+    heads = state.where("NOT open").select(*k, "session", F.col("ancestor").alias("head_blocker"), "depth")
+    every = links.select(*k, "session").distinct()
+    circular = on_cycle(links, state.where("open").select(*k, "session").distinct(), k).withColumn("__circular", F.lit(True))
+    joined = every.join(heads, [*k, "session"], "left").join(circular, [*k, "session"], "left")
+    return joined.select(*k, "session", "head_blocker", "depth", (F.coalesce("__circular", F.lit(False)) | F.col("head_blocker").isNull()).alias("deadlocked"))
+
+
+def on_cycle(links: DataFrame, suspects: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Suspects that wait for themselves, over waits among suspects.
+
+    Only sessions that lead into a cycle are suspects, so the set of all pairs that is
+    grown here until it stays the same is that of the deadlocks alone.
+    """
+    k = list(keys)
+    inner = links.select(*k, "session", "ancestor").join(suspects, [*k, "session"], "left_semi")
+    inner = inner.join(suspects.withColumnRenamed("session", "ancestor"), [*k, "ancestor"], "left_semi").select(*k, "session", "ancestor").distinct()
+    pairs, before = cut_lineage(inner), -1
+    while (now := pairs.count()) != before:
+        before = now
+        onward = pairs.select(*k, F.col("session").alias("ancestor"), F.col("ancestor").alias("__next"))
+        further = pairs.join(onward, [*k, "ancestor"]).select(*k, "session", F.col("__next").alias("ancestor"))
+        pairs = cut_lineage(pairs.unionByName(further).distinct())
+    return pairs.where("session = ancestor").select(*k, "session").distinct()
 
 
 def head_blockers(tree: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Victims and longest chain of each head blocker."""
-    return tree.where(~F.col("deadlocked")).groupBy(*keys, "head_blocker").agg(F.count(F.lit(1)).alias("victims"), F.max("depth").alias("max_depth"))
+    return tree.where(F.col("head_blocker").isNotNull()).groupBy(*keys, "head_blocker").agg(F.count(F.lit(1)).alias("victims"), F.max("depth").alias("max_depth"))
 
 
 def blocker_action(df: DataFrame, kind: str, seconds: str) -> DataFrame:

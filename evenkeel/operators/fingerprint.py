@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -136,7 +137,7 @@ def ordered_checksum(df: DataFrame, pk: str, cols: Sequence[str] | None = None,
     rolled = per_key.select("__pk", "__n", entry.alias("__d"), F.expr(f"__pk div {size}").alias("__b")).groupBy("__b").agg(
         F.sum("__n").alias("row_count"), _digest_list(F.struct("__pk", "__d"), lambda x: x["__d"]).alias("__d")
     )
-    for _ in range(3):
+    for _ in range(levels_above(size)):
         rolled = rolled.withColumn("__g", F.expr(f"__b div {size}")).groupBy("__g").agg(
             F.sum("row_count").alias("row_count"), _digest_list(F.struct("__b", "__d"), lambda x: x["__d"]).alias("__d")
         ).withColumnRenamed("__g", "__b")
@@ -146,6 +147,11 @@ def ordered_checksum(df: DataFrame, pk: str, cols: Sequence[str] | None = None,
     return final
 
 
+def levels_above(size: int) -> int:
+    """Levels after the first that bring any spread of 64-bit keys down to one block."""
+    return math.ceil(64 / math.log2(size)) - 1
+
+
 def _digest_list(entry: Column, text) -> Column:
     return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), text), "||"), 256)
 

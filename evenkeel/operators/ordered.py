@@ -7,8 +7,9 @@ key with a third of all rows is spread over many tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from evenkeel.functions.segments import Layout, exact_quantiles, find_layout, lagged, running, streaks
 
@@ -69,18 +70,27 @@ def sustained(df: DataFrame, keys: Sequence[str], order: Sequence[str], conditio
 
 
 def trailing_sum(df: DataFrame, keys: Sequence[str], ts: str, value: Column, seconds: int, out: str) -> DataFrame:
-    """Sum over [ts - seconds, ts] per key.
+    """Sum over [ts - seconds, ts] per key; rows without a time sum up among themselves.
 
-    Time is cut into buckets of the window's length. A row also goes, as context
-    only, to the next bucket, so a window never reaches beyond its own bucket:
-    partitions are (key, bucket), not whole keys.
+    Each instant of a key adds its values when it comes and takes them back just
+    after the window's length. These steps are summed up per instant before any
+    ordered work, and a running sum over them costs the same however many rows a
+    window holds. Fractions are summed as decimals, so taking back leaves no rest.
     """
-    width = seconds * 1000000
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    base = df.withColumn("__us", us).withColumn("__value", value)
-    copies = base.withColumn("__ctx", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__bucket", F.floor(F.col("__us") / width) + F.col("__ctx"))
-    w = Window.partitionBy(*keys, "__bucket").orderBy("__us").rangeBetween(-width, 0)
-    return copies.withColumn(out, F.sum("__value").over(w)).where("__ctx = 0").drop("__us", "__ctx", "__bucket", "__value")
+    us, step = F.unix_micros(F.col(ts).cast("timestamp")), "__step"
+    kind = df.select(value.alias("v")).schema["v"].dataType
+    exact = value.cast("decimal(28,9)") if isinstance(kind, (T.DoubleType, T.FloatType)) else value
+    base = df.withColumn("__us", us)
+    came = base.groupBy(*keys, "__us").agg(F.sum(exact).alias(step))
+    gone = came.where("__us IS NOT NULL").withColumns({"__us": F.col("__us") + seconds * 1000000 + 1, step: -F.col(step)})
+    steps = came.unionByName(gone).groupBy(*keys, "__us").agg(F.sum(step).alias(step))
+    # an instant that is only a taking back needs no sum of its own, and instants without a time stand apart
+    timed = running(steps.where("__us IS NOT NULL"), keys, ["__us"], {out: ("sum", F.col(step))}).drop(step)
+    sums = timed.unionByName(steps.where("__us IS NULL").withColumnRenamed(step, out))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keys, "__us"]]
+    joined = base.alias("a").join(sums.alias("b"), reduce(lambda x, y: x & y, same))
+    total = F.col(f"b.{out}")
+    return joined.select(*[F.col(f"a.`{c}`") for c in df.columns], (total.cast(kind) if isinstance(kind, (T.DoubleType, T.FloatType)) else total).alias(out))
 
 
 def rate(df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str, seconds: int = 300, layout: Layout | None = None) -> DataFrame:

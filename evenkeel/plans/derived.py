@@ -59,10 +59,20 @@ def tgt_orders_sql(duplicates: bool = False) -> str:
 TGT_ORDERS = tgt_orders_sql()
 TGT_ORDERS_DUP = tgt_orders_sql(True)
 
-CANON_ORDER = (
-    "concat_ws('|', coalesce(cast(id AS varchar),'~'), coalesce(trim(status),'~'), coalesce(cast(total_amount AS varchar),'~'), "
-    "coalesce(strftime(updated_at,'%Y-%m-%d %H:%M:%S.%f'),'~'), coalesce(CASE WHEN is_deleted THEN '1' WHEN NOT is_deleted THEN '0' END,'~'))"
-)
+
+
+def sized(text: str) -> str:
+    return f"coalesce(length({text}) || ':' || ({text}), '~')"
+
+
+CANON_FIELDS = [
+    "cast(id AS varchar)",
+    "trim(status)",
+    "cast(total_amount AS varchar)",
+    "strftime(updated_at,'%Y-%m-%d %H:%M:%S.%f')",
+    "CASE WHEN is_deleted THEN '1' WHEN NOT is_deleted THEN '0' END",
+]
+CANON_ORDER = f"concat_ws('|', {', '.join(map(sized, CANON_FIELDS))})"
 
 
 def md5_number(text: str) -> str:
@@ -70,7 +80,7 @@ def md5_number(text: str) -> str:
 
 
 ORDER_HASH = md5_number(CANON_ORDER)
-KEY_HASH = md5_number("coalesce(cast(id AS varchar),'~')")
+KEY_HASH = md5_number(sized("cast(id AS varchar)"))
 
 # change feed of the events table: seq, key, operation and a typed payload
 CHANGES_EXPR = [

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from evenkeel.functions.canon import raw_columns, canon_columns, digest_number, row_md5, row_text, wide_sum
 from evenkeel.operators import compare as cmp, fingerprint as fp, gates, remediate as rem
 from evenkeel.plans.derived import (
+    sized,
     CANON_ORDER,
     KEY_HASH,
     ORDER_COLS,
@@ -33,6 +34,10 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def id_and(text: str) -> str:
+    return sized("cast(id AS varchar)") + " || '|' || " + sized(text)
+
+
 @query("p05_canonical_rows", f"SELECT id, {CANON_ORDER} AS canon, md5({CANON_ORDER}) AS row_md5 FROM {TGT_ORDERS}")
 def canonical_rows(t: Tables):
     d = tgt_orders(t)
@@ -109,9 +114,9 @@ def table_summaries(t: Tables):
 def _levels(src: str) -> str:
     ctes = [f"""r AS (SELECT id, count(*) n, concat_ws('*', count(*), min(md5({CANON_ORDER})), max(md5({CANON_ORDER})), sum({ORDER_HASH})) d FROM {src} GROUP BY 1),
       l0 AS (SELECT id // 1000 b, sum(n) row_count, sha256(string_agg(d, '||' ORDER BY id)) d FROM r GROUP BY 1)"""]
-    for i in range(3):
+    for i in range(6):
         ctes.append(f"l{i+1} AS (SELECT b // 1000 b, sum(row_count) row_count, sha256(string_agg(d, '||' ORDER BY b)) d FROM l{i} GROUP BY 1)")
-    return f"WITH {', '.join(ctes)} SELECT cast(sum(row_count) AS bigint) AS row_count, sha256(string_agg(d, '||' ORDER BY b)) AS checksum FROM l3"
+    return f"WITH {', '.join(ctes)} SELECT cast(sum(row_count) AS bigint) AS row_count, sha256(string_agg(d, '||' ORDER BY b)) AS checksum FROM l6"
 
 
 @query("a05_ordered_checksum", _levels(TGT_ORDERS_DUP))
@@ -405,17 +410,27 @@ def keys_to_repair(t: Tables):
 
 @query(
     "q04_remediate",
-    f"""WITH k AS (SELECT id FROM ({ROW_DIFF}) WHERE kind <> 'changed')
+    f"""WITH k AS (SELECT id FROM ({ROW_DIFF}))
      SELECT id, status, cast(total_amount AS double) AS total_amount, is_deleted FROM {TGT_ORDERS} WHERE id NOT IN (SELECT id FROM k)
      UNION ALL SELECT id, status, cast(total_amount AS double), is_deleted FROM {SRC_ORDERS} WHERE id IN (SELECT id FROM k)""",
 )
 def remediated(t: Tables):
     s, g = src_orders(t), tgt_orders(t)
     # the key list is small and used twice: kept, so the tables are compared once
-    keys = cut_lineage(rem.gap_keys(s, g, "id", VALUES).where("repair <> 'UPDATE'"))
+    keys = cut_lineage(rem.gap_keys(s, g, "id", VALUES))
     return rem.remediate(g, s, keys, "id").select("id", "status", F.col("total_amount").cast("double").alias("total_amount"), "is_deleted")
 
 
+@query("q04_post_check", f"SELECT 0 AS still_different, (SELECT count(*) FROM {SRC_ORDERS}) AS source_rows, (SELECT count(*) FROM {SRC_ORDERS}) AS target_rows")
+def checked_repair(t: Tables):
+    """The repaired target has the source's rows and no others."""
+    s, g = src_orders(t), tgt_orders(t)
+    fixed = cut_lineage(rem.remediate(g, s, cut_lineage(rem.gap_keys(s, g, "id", VALUES)), "id"))
+    left = cmp.row_diff(s, fixed, ["id"], VALUES).agg(F.count(F.lit(1)).alias("still_different"))
+    one = F.lit(1)
+    return left.select("still_different", s.agg(F.count(one)).scalar().alias("source_rows"), fixed.agg(F.count(one)).scalar().alias("target_rows"))
+
+
 @query(
     "q05_adjacent_check",
     f"""WITH b AS ({slice_sql(TGT_ORDERS, 'id // 500')}), m AS (SELECT DISTINCT s.id // 500 AS x FROM {SRC_ORDERS} s WHERE NOT EXISTS (SELECT 1 FROM {TGT_ORDERS} t WHERE t.id = s.id)),
@@ -510,10 +525,10 @@ def histogram(t: Tables):
 @query(
     "q02_classify_extended",
     f"""WITH x AS (SELECT id % 10 AS g, count(*) FILTER (WHERE id % 10 <> 4) >= 0 AND id % 10 <> 4 AS om,
-        cast(sum({md5_number("coalesce(cast(id AS varchar),'~') || '|' || coalesce(status,'~')")}) AS varchar) sr,
-        cast(sum({md5_number("coalesce(cast(id AS varchar),'~') || '|' || coalesce(trim(status),'~')")}) AS varchar) sc,
-        cast(sum({md5_number("coalesce(cast(id AS varchar),'~') || '|' || coalesce(CASE WHEN id % 10 IN (1, 2) THEN status || '  ' WHEN id % 10 = 3 THEN 'X' ELSE status END,'~')")}) AS varchar) tr,
-        cast(sum({md5_number("coalesce(cast(id AS varchar),'~') || '|' || coalesce(CASE WHEN id % 10 = 3 THEN 'X' ELSE status END,'~')")}) AS varchar) tc
+        cast(sum({md5_number(id_and("status"))}) AS varchar) sr,
+        cast(sum({md5_number(id_and("trim(status)"))}) AS varchar) sc,
+        cast(sum({md5_number(id_and("CASE WHEN id % 10 IN (1, 2) THEN status || '  ' WHEN id % 10 = 3 THEN 'X' ELSE status END"))}) AS varchar) tr,
+        cast(sum({md5_number(id_and("CASE WHEN id % 10 = 3 THEN 'X' ELSE status END"))}) AS varchar) tc
         FROM {SRC_ORDERS} GROUP BY id % 10)
      SELECT g AS slice, CASE WHEN NOT om THEN 'CLASS-D' WHEN sr <> tr AND sc = tc THEN 'CLASS-E' WHEN sc <> tc THEN 'CLASS-B' ELSE 'OK' END AS extended_class FROM x""",
 )

@@ -123,13 +123,47 @@ def fleet(t: Tables):
     return rd.read_fleet(t.spark, path).select("service_name", "tier", "rpo_minutes", "rto_minutes")
 
 
-@query("k01_csv_to_parquet", "SELECT count(*) AS rows_read, count(*) AS rows_written FROM lineitem")
+@query("k01_csv_to_parquet", "SELECT count(*) AS rows_read, count(*) AS rows_written, 0 AS bad_rows FROM lineitem")
 def converted(t: Tables):
     source, target = scratch_path(t.spark, "lineitem-csv"), scratch_path(t.spark, "lineitem-parquet")
     t.lineitem.write.option("header", True).csv(source)
     return wr.csv_to_parquet(t.spark, source, target, "zstd", 20000)
 
 
+@query(
+    "s01_late_types",
+    "SELECT o_orderkey + CASE WHEN o_orderkey > 3000 THEN 3000000000 ELSE 0 END AS key_id, CASE WHEN o_orderkey > 3000 THEN o_totalprice ELSE floor(o_totalprice) END AS amount FROM orders",
+)
+def late_types(t: Tables):
+    """Keys outgrow an int and amounts get fractions far behind the first rows of the table."""
+    path = scratch_path(t.spark, "late-csv")
+    late = t.orders.orderBy("o_orderkey").selectExpr(
+        "o_orderkey + CASE WHEN o_orderkey > 3000 THEN 3000000000 ELSE 0 END AS key_id",
+        "CASE WHEN o_orderkey > 3000 THEN cast(o_totalprice AS string) ELSE cast(floor(o_totalprice) AS string) END AS amount",
+    )
+    late.write.option("header", True).csv(path)
+    return rd.read_csv(t.spark, path).select("key_id", "amount")
+
+
+@query("k01_bad_values", "SELECT count(*) AS rows_read, count(*) FILTER (WHERE o_orderkey % 97 <> 0) AS rows_written, count(*) FILTER (WHERE o_orderkey % 97 = 0) AS bad_rows FROM orders")
+def bad_values(t: Tables):
+    source, target, bad = (scratch_path(t.spark, f"bad-{x}") for x in ("csv", "parquet", "rejected"))
+    t.orders.selectExpr("o_orderkey", "CASE WHEN o_orderkey % 97 = 0 THEN 'n/a' ELSE cast(o_totalprice AS string) END AS amount").write.option("header", True).csv(source)
+    return wr.csv_to_parquet(t.spark, source, target, schema="o_orderkey long, amount double", quarantine=bad)
+
+
+@query(
+    "s02_convert_folder",
+    "SELECT count(*) AS rows_read, count(*) AS rows_written, 0 AS bad_rows, false AS failed FROM region UNION ALL SELECT count(*), count(*), 0, false FROM nation UNION ALL SELECT count(*), count(*), 0, false FROM supplier",
+)
+def folder_converted(t: Tables):
+    source, target = scratch_path(t.spark, "folder-csv"), scratch_path(t.spark, "folder-parquet")
+    for part, table in (("a", t.region), ("b", t.nation), ("c", t.supplier)):
+        table.coalesce(1).write.option("header", True).csv(f"{source}/{part}")
+    done = wr.convert_csv_folder(t.spark, source, target)
+    return done.select("rows_read", "rows_written", "bad_rows", F.col("error").isNotNull().alias("failed"))
+
+
 @query("k01_converted_rows", "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, l_shipdate FROM lineitem")
 def converted_rows(t: Tables):
     source, target = scratch_path(t.spark, "lineitem-csv"), scratch_path(t.spark, "lineitem-parquet")

@@ -306,19 +306,22 @@ def listed(t: Tables):
     return bl.blocking_from_lists(activity, "pid", "blockers", ["user_id"])
 
 
-EDGE_SQL = """(SELECT snap, blocked, arg_max(blocker, event_id) AS blocker FROM (SELECT date_trunc('day', ts)::timestamp AS snap, user_id AS blocked, cast(json_extract_string(props, '$.k') AS bigint) % 150 AS blocker, event_id FROM events)
-  WHERE blocked <> blocker AND blocked % 3 <> 0 GROUP BY 1, 2)"""
+# sessions fall into groups of four, so that some wait for several others and some for each other
+EDGE_SQL = """(SELECT DISTINCT snap, blocked, blocker FROM (SELECT date_trunc('day', ts)::timestamp AS snap, user_id % 40 AS blocked, cast(json_extract_string(props, '$.k') AS bigint) % 40 AS blocker FROM events)
+  WHERE blocked <> blocker AND blocked % 3 <> 0 AND (blocked + blocker) % 7 = 0)"""
 
 
 def edges(t: Tables):
-    e = t.events.select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("snap"), F.col("user_id").alias("blocked"), F.expr("cast(get_json_object(props, '$.k') AS bigint) % 150").alias("blocker"), "event_id")
-    return e.where("blocked <> blocker AND blocked % 3 <> 0").groupBy("snap", "blocked").agg(F.max_by("blocker", "event_id").alias("blocker"))
+    e = t.events.select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("snap"), F.expr("user_id % 40").alias("blocked"), F.expr("cast(get_json_object(props, '$.k') AS bigint) % 40").alias("blocker"))
+    return e.where("blocked <> blocker AND blocked % 3 <> 0 AND (blocked + blocker) % 7 = 0").distinct()
 
 
-TREE = f"""WITH RECURSIVE e AS (SELECT * FROM {EDGE_SQL}), w AS (SELECT snap, blocked AS session, blocker AS anc, 1 AS depth FROM e UNION ALL
-   SELECT w.snap, w.session, e.blocker, w.depth + 1 FROM w JOIN e ON e.snap = w.snap AND e.blocked = w.anc WHERE w.depth < 200),
-  heads AS (SELECT w.* FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.snap = w.snap AND e.blocked = w.anc)),
-  tree AS (SELECT e.snap, e.blocked AS session, h.anc AS head_blocker, h.depth, h.anc IS NULL AS deadlocked FROM e LEFT JOIN heads h ON h.snap = e.snap AND h.session = e.blocked)"""
+TREE = f"""WITH RECURSIVE e AS (SELECT * FROM {EDGE_SQL}), w AS (SELECT snap, blocked AS session, blocker AS anc, 1 AS depth FROM e UNION
+   SELECT w.snap, w.session, e.blocker, w.depth + 1 FROM w JOIN e ON e.snap = w.snap AND e.blocked = w.anc WHERE w.depth < 41),
+  heads AS (SELECT snap, session, anc, min(depth) AS depth FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.snap = w.snap AND e.blocked = w.anc) GROUP BY 1, 2, 3),
+  circle AS (SELECT DISTINCT snap, session FROM w WHERE session = anc),
+  tree AS (SELECT s.snap, s.session, h.anc AS head_blocker, h.depth, c.session IS NOT NULL OR h.anc IS NULL AS deadlocked
+    FROM (SELECT DISTINCT snap, blocked AS session FROM e) s LEFT JOIN heads h ON h.snap = s.snap AND h.session = s.session LEFT JOIN circle c ON c.snap = s.snap AND c.session = s.session)"""
 
 
 @query("w11_blocking_tree", TREE + " SELECT snap, session, coalesce(head_blocker, -1) AS head_blocker, cast(coalesce(depth, -1) AS bigint) AS depth, deadlocked FROM tree")
@@ -327,7 +330,7 @@ def tree(t: Tables):
     return out.select("snap", "session", F.coalesce("head_blocker", F.lit(-1)).alias("head_blocker"), F.coalesce("depth", F.lit(-1)).alias("depth"), "deadlocked")
 
 
-@query("w11_head_blockers", TREE + " SELECT snap, head_blocker, count(*) AS victims, cast(max(depth) AS bigint) AS max_depth FROM tree WHERE NOT deadlocked GROUP BY 1, 2")
+@query("w11_head_blockers", TREE + " SELECT snap, head_blocker, count(*) AS victims, cast(max(depth) AS bigint) AS max_depth FROM tree WHERE head_blocker IS NOT NULL GROUP BY 1, 2")
 def heads(t: Tables):
     return bl.head_blockers(bl.blocking_tree(edges(t), ["snap"], "blocked", "blocker"), ["snap"])
 

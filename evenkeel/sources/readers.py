@@ -19,22 +19,25 @@ MANIFEST_SCHEMA = (
 CORRUPT = "_corrupt"
 
 
-def sample_schema(spark: SparkSession, path: str, sample_rows: int = 1000) -> T.StructType:
-    """Types inferred from the first ``sample_rows`` lines; only those reach the driver."""
-    lines = [r.value for r in spark.read.text(path).limit(sample_rows + 1).collect()]
-    reader = spark.read.option("header", True).option("inferSchema", True)
-    return reader.csv(spark.sparkContext.parallelize(lines, 1)).schema
+def infer_schema(spark: SparkSession, path: str) -> T.StructType:
+    """Types that hold every value of the table, from one distributed pass over all of it."""
+    schema = spark.read.option("header", True).option("inferSchema", True).csv(path).schema
+    if not schema.fields:
+        raise ValueError(f"no header in {path}")
+    return schema
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sample_rows: int = 1000) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Header CSV with one schema for the whole table.
 
-    Inference looks at a sample, then the file is read with that schema; a value
-    the sample did not foresee becomes null and its row is kept in ``_corrupt``.
+    Without a schema the types are inferred from all rows, so they are never narrower
+    than the data. A row that doesn't fit a given schema, or has other columns than the
+    header, is kept as text in ``_corrupt``.
     """
-    if schema is None:
-        inferred = sample_schema(spark, path, sample_rows)
-        schema = T.StructType([*inferred.fields, T.StructField(CORRUPT, T.StringType())])
+    wanted = infer_schema(spark, path) if schema is None else _struct(schema)
+    if CORRUPT not in wanted.names:
+        wanted = T.StructType([*wanted.fields, T.StructField(CORRUPT, T.StringType())])
+    schema = wanted
     return spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
 
 
@@ -45,7 +48,10 @@ def list_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
 
 
 def read_csv_dir(spark: SparkSession, folder: str, schema: T.StructType | str | None = None) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
-    """One table per CSV stem, and a report of files that could not be opened."""
+    """One table per CSV stem, and a report of files that could not be opened.
+
+    Each file is opened and its types inferred here, so a bad one is found now.
+    """
     tables, failed = {}, []
     for row in list_files(spark, folder, "*.csv").orderBy("path").collect():
         try:
@@ -55,11 +61,15 @@ def read_csv_dir(spark: SparkSession, folder: str, schema: T.StructType | str |
     return tables, failed
 
 
-def rows_per_file(spark: SparkSession, folder: str, glob: str = "*.csv", header: bool = True) -> DataFrame:
-    """Data rows of every file of a folder in one scan."""
-    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(folder)
-    out = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
-    return out.select("path", (F.col("n") - int(header)).alias("row_count"))
+def rows_per_file(spark: SparkSession, folder: str, glob: str = "*.csv", header: bool = True, multi_line: bool = True) -> DataFrame:
+    """Data rows of every file of a folder in one scan.
+
+    The CSV reader counts, so a line break inside quotes starts no row. Where no field
+    has one, ``multi_line=False`` lets large files be split between tasks.
+    """
+    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("header", header).option("multiLine", multi_line).option("escape", '"')
+    rows = reader.schema("__first string").csv(folder)
+    return rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("row_count"))
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

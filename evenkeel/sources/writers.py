@@ -2,32 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from evenkeel.operators.marts import newest, with_as_of
-from evenkeel.sources.readers import CORRUPT, read_csv
+from evenkeel.sources.readers import CORRUPT, list_files, read_csv
 
 CODECS = ("snappy", "gzip", "zstd", "none")
 # text formats cut times to milliseconds unless told otherwise
 FULL_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def write_parquet(df: DataFrame, path: str, compression: str = "snappy", rows_per_file: int = 50000) -> None:
+def write_parquet(df: DataFrame, path: str, compression: str = "snappy", rows_per_file: int | None = None) -> None:
     if compression not in CODECS:
         raise ValueError(f"codec {compression!r} is not available; use one of {', '.join(CODECS)}")
-    df.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).option("compression", compression).parquet(path)
+    writer = df.write.mode("errorifexists").option("compression", compression)
+    (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).parquet(path)
 
 
-def csv_to_parquet(spark: SparkSession, source: str, target: str, compression: str = "snappy", rows_per_file: int = 50000, schema=None) -> DataFrame:
+TOTALS = "rows_read long, rows_written long, bad_rows long"
+
+
+def csv_to_parquet(spark: SparkSession, source: str, target: str, compression: str = "snappy", rows_per_file: int | None = None, schema=None, quarantine: str | None = None) -> DataFrame:
     """CSV table to Parquet part files, with one schema for all of them.
 
-    Returns the totals: rows in and out. They must agree.
+    One read writes the rows and counts them. Rows that don't fit the schema are never
+    written with nulls in place of their values: they go to ``quarantine`` as text, or,
+    without one, the conversion ends with an error after the good rows were written.
+    Returns the totals.
     """
     rows = read_csv(spark, source, schema)
-    kept = rows.drop(CORRUPT) if CORRUPT in rows.columns else rows
-    write_parquet(kept, target, compression, rows_per_file)
-    written = spark.read.parquet(target).agg(F.count(F.lit(1)))
-    return kept.agg(F.count(F.lit(1)).alias("rows_read")).withColumn("rows_written", written.scalar())
+    read, written = Observation(), Observation()
+    seen = rows.observe(read, F.count(F.lit(1)).alias("rows_read"), F.count(CORRUPT).alias("bad_rows"))
+    good = seen.where(F.col(CORRUPT).isNull()).drop(CORRUPT).observe(written, F.count(F.lit(1)).alias("rows_written"))
+    write_parquet(good, target, compression, rows_per_file)
+    totals = read.get | written.get
+    if totals["bad_rows"] and quarantine is None:
+        raise ValueError(f"{totals['bad_rows']} of {totals['rows_read']} rows of {source} don't fit the schema")
+    if totals["bad_rows"]:
+        write_dead_letter(rows.where(F.col(CORRUPT).isNotNull()), quarantine, "does not fit the schema")
+    return spark.createDataFrame([(totals["rows_read"], totals["rows_written"], totals["bad_rows"])], TOTALS)
+
+
+def convert_csv_folder(spark: SparkSession, folder: str, target: str, compression: str = "snappy") -> DataFrame:
+    """Every CSV file of a folder to a Parquet table named after its stem.
+
+    ``stem, rows_read, rows_written, bad_rows, error``: a file that can't be converted has
+    its error and stops no other.
+    """
+    found = list_files(spark, folder, "*.csv").select("path", "stem").orderBy("path").collect()
+    report = []
+    for path, stem in found:
+        try:
+            row = csv_to_parquet(spark, path, f"{target}/{stem}", compression, quarantine=f"{target}/_rejected/{stem}").first()
+            report.append((stem, *row, None))
+        except Exception as err:  # a bad file must not stop the others
+            report.append((stem, None, None, None, str(err).splitlines()[0]))
+    return spark.createDataFrame(report, f"stem string, {TOTALS}, error string")
 
 
 def write_csv_report(df: DataFrame, path: str, columns: list[str] | None = None, order_by: list[Column] | None = None) -> None:

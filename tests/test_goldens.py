@@ -66,7 +66,7 @@ def test_flags_may_be_text(spark):
 
 def test_canonical_text(spark):
     d = spark.sql("SELECT 1 AS i, CAST(NULL AS STRING) AS n, '  a b ' AS s, 10000000.0D AS d, CAST(1.5 AS DECIMAL(9,2)) AS m, true AS b, TIMESTAMP '2024-01-02 03:04:05.5' AS t, DATE '2024-01-02' AS y")
-    assert d.select(row_text(d)).first()[0] == "1|~|a b|10000000.000000|1.50|1|2024-01-02 03:04:05.500000|2024-01-02"
+    assert d.select(row_text(d, with_size=False)).first()[0] == "1|~|a b|10000000.000000|1.50|1|2024-01-02 03:04:05.500000|2024-01-02"
 
 
 def test_fingerprint_ignores_order_and_sees_copies(spark):
@@ -255,3 +255,32 @@ def test_window_alert_duration(spark):
     metrics = spark.createDataFrame(data, "m long, value double").select(F.timestamp_seconds(F.col("m") * 60).cast("timestamp_ntz").alias("window_start"), F.lit("latency_p95_ms").alias("metric"), "value")
     fired = slo.fired_alerts(slo.evaluate_rules(metrics, slo.ALERT_RULES), [])
     assert rows(fired, "alert", "samples", "duration_s") == [("DatabaseLatencyBreach", 3, 120.0), ("DatabaseLatencyWarning", 3, 120.0)]
+
+
+def test_fields_never_run_into_each_other(spark):
+    """Separators and null tokens inside values make other rows, and other fingerprints."""
+    pairs = [("x|y", "z"), ("x", "y|z"), ("~", None), (None, "~"), ("", None), (None, ""), ("1:x", "y"), ("1", "x:y")]
+    d = spark.createDataFrame(pairs, "a string, b string")
+    assert d.select(row_text(d).alias("t")).distinct().count() == len(pairs)
+
+
+def test_sparse_keys_end_in_one_small_block(spark):
+    from evenkeel.operators.fingerprint import levels_above, ordered_checksum
+
+    assert 1000 ** (levels_above(1000) + 1) > 2**64
+    keys = [(i * 922337203685477 - 2**62, "v") for i in range(500)]
+    d = spark.createDataFrame(keys, "id long, v string")
+    assert ordered_checksum(d, "id").first()["row_count"] == 500
+
+
+def test_several_blockers_and_cycles(spark):
+    from evenkeel.operators.blocking import blocking_tree
+
+    def tree(pairs):
+        e = spark.createDataFrame([(1, a, b) for a, b in pairs], "snap int, a int, b int")
+        return sorted(tuple(r) for r in blocking_tree(e, ["snap"], "a", "b").select("session", "head_blocker", "depth", "deadlocked").collect())
+
+    assert tree([(10, 20), (10, 30), (20, 40), (30, 40), (50, 10)]) == [(10, 40, 2, False), (20, 40, 1, False), (30, 40, 1, False), (50, 40, 3, False)]
+    assert tree([(1, 2), (2, 1), (3, 1)]) == [(1, None, None, True), (2, None, None, True), (3, None, None, True)]
+    # 2 waits for itself over 1, and for the running 9 too
+    assert tree([(1, 2), (2, 1), (2, 9), (4, 2)]) == [(1, 9, 2, True), (2, 9, 1, True), (4, 9, 2, False)]

@@ -153,3 +153,34 @@ def test_sustained_matches_loop(frame, data):
                     want.append((key, run[0][2], run[-1][2], len(run)))
                 run = []
     assert rows(out, "k", "started", "ended", "samples") == sorted(want, key=repr)
+
+
+def test_text_orders_are_cut_like_numbers(spark):
+    """The same rows in both layouts, with an order that is text, a struct, or null, and weights of both signs."""
+    rng = random.Random(5)
+    data = [(i, i % 3 if i % 2 else 0, None if i % 41 == 0 else f"{rng.randrange(40):08x}:{i % 7}", rng.randrange(-5, 6)) for i in range(600)]
+    df = spark.createDataFrame(data, "id int, k int, pos string, v int").withColumn("both", F.struct("pos", "id"))
+    hot = spark.createDataFrame([((0,),)], "__group struct<k:int>").withColumn("__hot", F.lit(True))
+    for order in ("pos", "both"):
+        cut = sg.Layout(("k",), order, sg.find_borders(df, order, 2), hot)
+        plain = sg.Layout(("k",), order, None, None)
+        calls = {"s": ("sum", F.col("v")), "hi": ("max", F.col("v"))}
+        run = [rows(sg.running(df, ["k"], [order, "id"], calls, layout=x), "id", "s", "hi") for x in (cut, plain)]
+        assert run[0] == run[1]
+        lag = [rows(sg.lagged(df, ["k"], [order, "id"], {"p": F.col("v")}, layout=x), "id", "p") for x in (cut, plain)]
+        assert lag[0] == lag[1]
+        streak = [rows(sg.streaks(df, ["k"], [order, "id"], F.col("v"), F.col("v") == 3, "n", layout=x), "id", "n") for x in (cut, plain)]
+        assert streak[0] == streak[1]
+
+
+def test_an_order_that_cannot_be_cut_fails_at_every_size(spark):
+    df = spark.createDataFrame([(1, [1])], "k int, pos array<int>")
+    with pytest.raises(TypeError):
+        sg.find_layout(df, ["k"], "pos")
+
+
+def test_trailing_sum_of_one_crowded_key(spark):
+    """All rows of one key within one window: the work is linear."""
+    df = spark.range(200_000).select(F.lit(1).alias("k"), F.timestamp_millis("id").alias("ts"), F.lit(1).alias("v"))
+    out = ordered.trailing_sum(df, ["k"], "ts", F.col("v"), 3600, "s").agg(F.max("s"), F.sum("s")).first()
+    assert tuple(out) == (200_000, 200_000 * 200_001 // 2)

@@ -14,9 +14,11 @@ from evenkeel.sources import readers as rd, writers as wr
 def test_csv_uses_one_schema_for_all_rows(spark, tmp_path):
     f = tmp_path / "t.csv"
     f.write_text("id,v\n" + "".join(f"{i},{i}.5\n" for i in range(20)) + "x,7.5\n")
-    d = rd.read_csv(spark, str(f), sample_rows=10)
-    assert [t for _, t in d.dtypes] == ["int", "double", "string"]
-    assert d.where("_corrupt IS NOT NULL").first()["_corrupt"] == "x,7.5"
+    d = rd.read_csv(spark, str(f))
+    assert [t for _, t in d.dtypes] == ["string", "double", "string"]
+    assert d.where("id = 'x'").first()["v"] == 7.5
+    given = rd.read_csv(spark, str(f), "id int, v double")
+    assert given.where("_corrupt IS NOT NULL").first()["_corrupt"] == "x,7.5"
     assert d.count() == 21
 
 
@@ -128,3 +130,27 @@ def test_manifest_file(spark, tmp_path):
     )
     r = rd.read_manifest(spark, str(f)).first()
     assert (r.chunk_id, r.anchor_scn, r.row_count, r.file_size_bytes, r.status) == ("c1", 7, 10, 100, "DONE")
+
+
+def test_folder_conversion_reports_bad_files(spark, tmp_path):
+    (tmp_path / "good.csv").write_text("id,note\n1,\"two\nlines\"\n3000000000,b\n")
+    (tmp_path / "empty.csv").write_text("")
+    done = {r["stem"]: r for r in wr.convert_csv_folder(spark, str(tmp_path), str(tmp_path / "out")).collect()}
+    assert done["empty"]["error"] and done["empty"]["rows_read"] is None
+    assert done["good"]["error"] is None and done["good"]["bad_rows"] == 0
+
+
+def test_quoted_line_breaks_start_no_row(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n2,b\n')
+    assert [r["row_count"] for r in rd.rows_per_file(spark, str(tmp_path)).collect()] == [2]
+
+
+def test_bad_values_are_never_silent(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a.csv").write_text("id,amount\n1,2.5\n2,n/a\n")
+    with pytest.raises(ValueError, match="1 of 2 rows"):
+        wr.csv_to_parquet(spark, str(tmp_path / "a.csv"), str(tmp_path / "p"), schema="id int, amount double")
+    done = wr.csv_to_parquet(spark, str(tmp_path / "a.csv"), str(tmp_path / "q"), schema="id int, amount double", quarantine=str(tmp_path / "bad"))
+    assert tuple(done.first()) == (2, 1, 1)
+    assert spark.read.json(str(tmp_path / "bad")).first()["_corrupt"] == "2,n/a"
