@@ -3,9 +3,9 @@
 Suffixes are kept only where a word n-gram's hash is the minimum of its window, so the
 places depend on the content alone: two equal passages of LENGTH words keep at least one
 suffix at the same place within them. Suffixes whose n-gram occurs once are dropped. The
-rest are sorted over all tasks, once by what follows and once by what precedes them;
-neighbours are compared, the matches extended to the right and to the left, and kept if
-they have LENGTH words.
+rest are sorted over all tasks by what follows them; neighbours are compared, the
+matches extended to the right and to the left, and kept if they have LENGTH words. Within
+a task they are compared in the order of what precedes them as well.
 Overlapping matches of a document are joined to maximal passages.
 
 A suffix carries REACH words to each side as 24-bit hashes; longer passages have several
@@ -33,7 +33,7 @@ LENGTH = 50  # words of the shortest passage
 GRAM = 8  # words of the n-gram that selects a suffix
 REACH = 50  # words carried to each side
 BYTES = 3  # of a word's hash in what is carried
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 300_000
 SUFFIX = "gram long, right binary, left binary, key long, pos int"
 
 
@@ -77,37 +77,46 @@ def three_bytes(words: np.ndarray) -> bytes:
     return (words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]).tobytes()
 
 
-def text_hashes(rows: DataFrame) -> DataFrame:
-    """``doc_id, key, n_words, body``: 128 bits over all words of each text."""
+def selected_places(rows: DataFrame, length: int) -> DataFrame:
+    """``doc_id, key, n_words, body, pos, gram``: 128 bits over all words of each text of enough words, and its kept places."""
+    window = length - GRAM + 1
 
     def work(stream):
         words = Words()
         for batch in batches(stream):
             found = [words.of(t) for t in texts_of(batch)]
-            arrays = [batch.column("doc_id"), batch.column("key"), pa.array([len(w) for w in found], pa.int32()), pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "n_words", "body"])
+            long_enough = pa.array([i for i, w in enumerate(found) if len(w) >= length], pa.int64())
+            found = [found[i] for i in long_enough.to_pylist()]
+            grams = [gram_hashes(w, GRAM) for w in found]
+            places = [selected(g, window) for g in grams]
+            ends = pa.array(np.cumsum([0, *map(len, places)], dtype=np.int32))
+            flat = np.concatenate([*places, np.empty(0, np.int64)]).astype(np.int32)
+            values = np.concatenate([*(g[p] for g, p in zip(grams, places)), np.empty(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(long_enough), batch.column("key").take(long_enough), pa.array([len(w) for w in found], pa.int32()),
+                 pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in found], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.ListArray.from_arrays(ends, pa.array(values))],
+                names=["doc_id", "key", "n_words", "body", "pos", "gram"],
+            )
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "key", "text").mapInArrow(work, f"doc_id {id_type}, key long, n_words int, body binary")
+    return rows.select("doc_id", "key", "text").mapInArrow(work, f"doc_id {id_type}, key long, n_words int, body binary, pos array<int>, gram array<long>")
 
 
-def suffixes(rows: DataFrame, length: int) -> DataFrame:
-    """The kept suffixes of every text, with what stands to their right and, backwards, to their left."""
-    window = length - GRAM + 1
+def suffixes(texts: DataFrame) -> DataFrame:
+    """``key, text, kept`` to the kept suffixes, with what stands to their right and, backwards, to their left."""
 
     def work(stream):
         words = Words()
         for batch in batches(stream, 256):
             keys, places, grams, rights, lefts = [], [], [], [], []
-            for key, text in zip(batch.column("key").to_pylist(), texts_of(batch)):
+            for key, text, kept in zip(batch.column("key").to_pylist(), texts_of(batch), batch.column("kept").to_pylist()):
                 hashes = words.of(text)
-                found = gram_hashes(hashes, GRAM)
-                ahead, behind = three_bytes(hashes), three_bytes(hashes[::-1])
-                n = len(hashes)
-                for p in selected(found, window).tolist() if n >= length else ():
+                ahead, behind, n = three_bytes(hashes), three_bytes(hashes[::-1]), len(hashes)
+                for one in kept:
+                    p = one["pos"]
                     keys.append(key)
                     places.append(p)
-                    grams.append(int(found[p].view(np.int64)))
+                    grams.append(one["gram"])
                     rights.append(ahead[BYTES * p : BYTES * (p + REACH)])
                     lefts.append(behind[BYTES * (n - p) : BYTES * (n - p + REACH)])
             yield pa.RecordBatch.from_arrays(
@@ -115,7 +124,7 @@ def suffixes(rows: DataFrame, length: int) -> DataFrame:
                 names=["gram", "right", "left", "key", "pos"],
             )
 
-    return rows.select("key", "text").mapInArrow(work, SUFFIX)
+    return texts.select("key", "text", "kept").mapInArrow(work, SUFFIX)
 
 
 def common(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> np.ndarray:
@@ -131,31 +140,41 @@ def padded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def neighbour_matches(rows: list[dict], length: int) -> list[tuple[int, int, int]]:
-    """``key, start, end`` for matches between neighbours of sorted suffixes."""
+    """``key, start, end`` for matches between neighbours of sorted suffixes.
+
+    Suffixes at hand are compared in both orders: by what follows, as they come, and by
+    what precedes, where a neighbour may share more to the left.
+    """
     if len(rows) < 2:
         return []
     right, right_n = padded([r["right"] for r in rows])
     left, left_n = padded([r["left"] for r in rows])
     gram = np.array([r["gram"] for r in rows])
-    ahead = np.where(gram[:-1] == gram[1:], common(right[:-1], right[1:], right_n[:-1], right_n[1:]), 0)
-    behind = np.where(ahead > 0, common(left[:-1], left[1:], left_n[:-1], left_n[1:]), 0)
+    key, pos = np.array([r["key"] for r in rows]), np.array([r["pos"] for r in rows])
     out = []
-    for i in np.flatnonzero(ahead + behind >= length).tolist():
-        for r in (rows[i], rows[i + 1]):
-            out.append((r["key"], r["pos"] - int(behind[i]), r["pos"] + int(ahead[i])))
-    return out
+    for order in (np.arange(len(rows)), np.array(sorted(range(len(rows)), key=lambda i: (rows[i]["gram"], rows[i]["left"], rows[i]["right"])))):
+        a, b = order[:-1], order[1:]
+        alike = (gram[a] == gram[b]) & ((key[a] != key[b]) | (pos[a] != pos[b]))
+        a, b = a[alike], b[alike]
+        ahead = common(right[a], right[b], right_n[a], right_n[b])
+        behind = common(left[a], left[b], left_n[a], left_n[b])
+        far = ahead + behind >= length
+        for i, j, x, y in zip(a[far].tolist(), b[far].tolist(), behind[far].tolist(), ahead[far].tolist()):
+            out += [(rows[k]["key"], rows[k]["pos"] - x, rows[k]["pos"] + y) for k in (i, j)]
+    return list(set(out))
 
 
 MATCH = pa.schema([("key", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("edge", pa.struct([("part", pa.int32()), ("last", pa.bool_()), ("gram", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("key", pa.int64()), ("pos", pa.int32())]))])
 MATCH_SQL = "key long, begin int, end int, edge struct<part:int,last:boolean,gram:long,right:binary,left:binary,key:long,pos:int>"
 
 
-def sorted_matches(kept: DataFrame, length: int, order: list[str]) -> DataFrame:
-    """``key, begin, end`` of matches between neighbours in one order of all suffixes.
+def sorted_matches(kept: DataFrame, length: int) -> DataFrame:
+    """``key, begin, end`` of matches between neighbours in the order of all suffixes.
 
     Each task compares the neighbours of its range and hands on its first and its last
     suffix; these few are compared across tasks in a second step.
     """
+    order = ["gram", "right", "left", "key", "pos"]
     ordered = kept.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def work(stream):
@@ -209,14 +228,14 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length > 2 * REACH:
         raise ValueError(f"passages of more than {2 * REACH} words need a longer reach")
     rows = keyed(docs)
-    bodies = cut_lineage(text_hashes(rows).where(F.col("n_words") >= length).dropDuplicates(["key"]))
+    chosen = cut_lineage(selected_places(rows, length))
+    bodies = chosen.select("doc_id", "key", "n_words", "body").dropDuplicates(["key"])
     groups = cut_lineage(bodies.groupBy("body").agg(F.min("key").alias("lead"), F.count("*").alias("copies")))
-    every = cut_lineage(suffixes(rows.join(groups.select(F.col("lead").alias("key")), "key", "left_semi").dropDuplicates(["key"]), length))
-    again = cut_lineage(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
-    kept = every.join(again, "gram", "left_semi")
-    forward = sorted_matches(kept, length, ["gram", "right", "left", "key", "pos"])
-    backward = sorted_matches(kept, length, ["gram", "left", "right", "key", "pos"])
-    spans = joined_spans(forward.unionByName(backward))
+    leads = groups.select(F.col("lead").alias("key"))
+    places = chosen.dropDuplicates(["key"]).join(leads, "key", "left_semi").select("key", F.explode(F.arrays_zip("pos", "gram")).alias("place")).select("key", "place.pos", "place.gram")
+    again = cut_lineage(places.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    kept = places.join(again, "gram", "left_semi").groupBy("key").agg(F.collect_list(F.struct("pos", "gram")).alias("kept"))
+    spans = joined_spans(sorted_matches(suffixes(rows.select("key", "text").join(kept, "key")), length))
     whole = groups.where("copies > 1").select("body")
     of_copies = bodies.join(whole, "body", "left_semi").select("doc_id", F.lit(0).alias("begin"), F.col("n_words").alias("end"))
     single = bodies.join(groups.where("copies = 1").select(F.col("lead").alias("key")), "key", "left_semi").select("doc_id", "key")
