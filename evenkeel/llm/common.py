@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-ROWS = 2048  # rows handled at once inside a task
+ROWS = 1024  # rows handled at once inside a task
 
 
 def text_col(docs: DataFrame):

@@ -29,7 +29,7 @@ from evenkeel.session import cut_lineage
 CHUNK = 32768  # characters
 OVERLAP = 1024
 MARGIN = 16  # characters before a chunk's end that may still change a boundary; the longest special token has 13
-KEPT_WORDS = 600_000  # words whose counts a worker keeps
+KEPT_WORDS = 300_000  # words whose counts a worker keeps
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")  # a blank there always begins a new word, whatever stands around it
 
 

@@ -34,7 +34,8 @@ from evenkeel.session import cut_lineage
 
 MAX_WORDS = 32768  # words in the lexicon at most
 COUNTED_AT_ONCE = 400_000  # different words that a task counts before it hands them on
-KEPT_WORDS = 600_000  # different words whose ids a worker keeps
+KEPT_WORDS = 300_000  # different words whose ids a worker keeps
+TEXTS = 512  # texts encoded at once
 
 
 def compile_words(words: dict[str, list[int]]) -> bytes:
@@ -125,19 +126,17 @@ class Words:
         """Looks new words up in the lexicon and merges the rest side by side."""
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        unseen, pieces, ends = [], [], []
-        for word in words - self.known.keys():
+        known, unseen = self.known, []
+        for word in words - known.keys():
             ids = self.lexicon.lookup(word) if self.lexicon else None
             if ids is None:
-                unseen.append(word)
-                pieces += self.tokenizer.pieces(word)
-                ends.append(len(pieces))
+                unseen.append((word, self.tokenizer.pieces(word)))
             else:
-                self.known[word] = array("i", ids).tobytes()
-        merged, start = self.tokenizer.merge(pieces), 0
-        for word, end in zip(unseen, ends):
-            self.known[word] = array("i", merged[start] if end == start + 1 else [i for ids in merged[start:end] for i in ids]).tobytes()
-            start = end
+                known[word] = array("i", ids).tobytes()
+        new = list({p for _, pieces in unseen for p in pieces} - known.keys())
+        of_piece = {p: array("i", ids).tobytes() for p, ids in zip(new, self.tokenizer.merge(new))}
+        for word, pieces in unseen:
+            known[word] = b"".join([of_piece.get(p) or known[p] for p in pieces])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The texts' ids, four bytes each."""
@@ -205,25 +204,36 @@ def build_lexicon(docs: DataFrame, path: str, most: int = MAX_WORDS) -> str:
     return name
 
 
-def encode(docs: DataFrame, path: str, lexicon: str | None = None) -> DataFrame:
+def joined_tokens(tokens: list[str], ids) -> str:
+    """Decoding as the library does for a vocabulary without a decoder."""
+    return " ".join([tokens[i] for i in ids])
+
+
+def encode(docs: DataFrame, path: str, lexicon: str | None = None, decoded: bool = False) -> DataFrame:
     """Every row of ``docs`` with ``ids array<int>``: its tokens, no special ones added.
 
     ``path`` is the vocabulary file on every executor, ``lexicon`` a name from
-    :func:`build_lexicon` (built from ``docs`` if not given).
+    :func:`build_lexicon` (built from ``docs`` if not given). With ``decoded`` the ids are
+    decoded again on the spot, so that one worker and one pass do both.
     """
     lexicon = lexicon or build_lexicon(docs, path)
 
     def make():
-        words = Words(bpe.load(path), mapped(lexicon))
+        tokenizer = bpe.load(path)
+        words = Words(tokenizer, mapped(lexicon))
 
         def call(texts):
             parts = words.encode(texts)
             ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))]
+            out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))]
+            if decoded:
+                out.append(pa.array([joined_tokens(tokenizer.tokens, np.frombuffer(p, dtype="<i4").tolist()) for p in parts], pa.string()))
+            return out
 
         return call
 
-    return add_columns(docs, [("ids", ArrayType(IntegerType()))], make)
+    added = [("ids", ArrayType(IntegerType())), ("decoded", StringType())]
+    return add_columns(docs, added if decoded else added[:1], make, rows=TEXTS)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -232,7 +242,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def work(stream):
         tokens = bpe.load(path).tokens
         for batch in batches(stream):
-            texts = [" ".join([tokens[i] for i in ids or ()]) for ids in batch.column("ids").to_pylist()]
+            texts = [joined_tokens(tokens, ids or ()) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     if "decoded" in encoded.columns:
@@ -242,7 +252,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids`` of every row."""
-    both = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    both = encode(docs.select("doc_id", "text"), path, decoded=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
