@@ -166,15 +166,32 @@ def merge_checkpoint(old: DataFrame, new: DataFrame, table: str) -> DataFrame:
     )
 
 
-def skip_applied(changes: DataFrame, checkpoint: DataFrame, table: str, seq: str, restart: bool = False) -> DataFrame:
-    """Changes beyond the checkpoint of their table, each position once."""
-    once = changes.groupBy(table, seq).agg(F.first(F.struct(*[c for c in changes.columns if c not in (table, seq)])).alias("r")).select(table, seq, "r.*")
+def skip_applied(changes: DataFrame, checkpoint: DataFrame, table: str, seq: str, restart: bool = False, identity: Sequence[str] | None = None) -> DataFrame:
+    """Changes beyond the checkpoint of their table, each change once.
+
+    Changes of one transaction may share a position: only rows equal in ``identity``
+    (all columns if not given) are repeats. ``seq`` may be a struct of several numbers,
+    such as a log position and a place within it. The feed must be in order of the table;
+    for one that is only in order of each key see ``split_late``.
+    """
+    once = changes.dropDuplicates(list(identity) if identity else changes.columns)
     if restart:
         return once
     marks = checkpoint.select(table, F.col("last_seq").alias("__last"))
     return once.join(marks, table, "left").where(F.col("__last").isNull() | (F.col(seq) > F.col("__last"))).drop("__last")
 
 
+def split_late(changes: DataFrame, positions: DataFrame, pk: Sequence[str], seq: str) -> tuple[DataFrame, DataFrame]:
+    """Changes beyond the last position of their own key, and those that come too late.
+
+    ``positions`` has ``last_seq`` per key. Other keys' positions say nothing about a
+    change, so feeds whose files interleave lose none.
+    """
+    joined = changes.join(positions.select(*pk, F.col("last_seq").alias("__last")), list(pk), "left")
+    fresh = F.col("__last").isNull() | (F.col(seq) > F.col("__last"))
+    return joined.where(fresh).drop("__last"), joined.where(~fresh).drop("__last")
+
+
 def order_tables(tables: DataFrame, name: str, exclude: Sequence[str], priority: Sequence[str], depends: dict[str, int] | None = None) -> DataFrame:
     """Tables to replay with their place: priority list first, then dependency level, then name."""
     place = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in priority]), F.col(name)), F.lit(0))

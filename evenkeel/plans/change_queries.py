@@ -200,6 +200,14 @@ def marks(t: Tables):
     return rp.merge_checkpoint(rp.checkpoint_of(first, "kind", "seq", "ts"), rp.checkpoint_of(second, "kind", "seq", "ts"), "kind")
 
 
+@query("c08_shared_position", f"SELECT seq // 4 AS position, pk, op, seq FROM {CHANGES} WHERE seq // 4 > {HALF} // 4")
+def shared_positions(t: Tables):
+    """Four changes at each position; the feed repeats some of them."""
+    c = changes(t).select(F.expr("seq div 4").alias("position"), "pk", "op", "seq", F.lit("users").alias("table"))
+    mark = c.where(F.col("position") <= position(t, 2) // 4).groupBy("table").agg(F.max("position").alias("last_seq"))
+    return rp.skip_applied(c.unionByName(c.where("seq % 40 = 1")), mark, "table", "position").select("position", "pk", "op", "seq")
+
+
 @query("c08_skip_applied", f"SELECT seq, pk, op FROM {CHANGES} c WHERE seq > (SELECT max(seq) FROM {CHANGES} m WHERE m.kind = c.kind AND m.seq < {HALF})")
 def resumed(t: Tables):
     c = changes(t)

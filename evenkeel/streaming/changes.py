@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from evenkeel.operators import replay as rp
 from evenkeel.sources.readers import CORRUPT, parse_queue
@@ -66,23 +67,33 @@ def replay_stream(
     table: str = "table",
     ts: str = "ts",
     policy: rp.Policy = rp.Policy(),
+    dead: str | None = None,
 ) -> StreamingQuery:
     """Ordered replay per micro-batch with a checkpoint per table.
 
-    Only the keys of the batch are read from the state, folded and written back.
-    Changes at or below the checkpoint of their table are ignored, so a replayed
-    feed changes nothing.
+    Only the keys of the batch are folded and written back. Spark's checkpoint takes
+    every file once; beyond that a change is ignored only if its own key is already
+    further, so files with interleaving positions lose nothing. Late changes and those
+    that the policy skipped go to ``dead``, if given, each with its reason.
     """
     pk = list(state.keys)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read for borders, fold and checkpoint
         old_marks = marks.before(batch_id)
-        fresh = rp.skip_applied(batch, old_marks, table, seq)
+        kinds = {f.name: f.dataType.simpleString() for f in [*StructType.fromDDL(state.schema).fields, *batch.schema.fields]}
+        key_positions = ", ".join(f"{c} {kinds[c]}" for c in pk) + f", last_seq {kinds[seq]}"
+        positions = KeyedState(state.spark, f"{state.path}_positions", state.keys, key_positions, state.per_generation)
+        fresh, late = rp.split_late(batch.dropDuplicates(), positions.before(batch_id), pk, seq)
         target = state.before(batch_id)
         cols = [c for c in target.columns if c not in pk]
         annotated = rp.annotate(target, fresh.drop(ts), pk, seq, "op", policy)
         state.write(batch_id, rp.fold(annotated, pk, cols, seq, "op", keep_dead=True))
+        if dead is not None:
+            skipped = annotated.where(F.col("outcome").isin("conflict_skipped", "missing_skipped", "unknown_op")).select(*pk, seq, "op", F.col("outcome").alias("reject_reason"))
+            failed = late.select(*pk, seq, "op", F.lit("behind the key's last position").alias("reject_reason")).unionByName(skipped)
+            failed.write.mode("overwrite").json(f"{dead}/batch_id={batch_id}")
+        positions.write(batch_id, fresh.groupBy(*pk).agg(F.max(seq).alias("last_seq")))
         new_marks = rp.checkpoint_of(fresh, table, seq, ts)
         marks.write(batch_id, rp.merge_checkpoint(old_marks, new_marks, table))
         batch.unpersist()

@@ -1,5 +1,6 @@
 """Ordered replay against a plain loop over the changes."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -149,6 +150,31 @@ def test_applied_changes_are_skipped(spark):
     assert rp.skip_applied(c, mark, "t", "seq", restart=True).count() == 50
 
 
+def test_changes_that_share_a_position_all_stay(spark):
+    c = spark.createDataFrame([("t", 10, k, "I") for k in (1, 2, 3)] + [("t", 10, 3, "I"), ("t", 4, 9, "U")], "tab string, seq long, pk long, op string")
+    mark = spark.createDataFrame([("t", 5)], "tab string, last_seq long")
+    assert rows(rp.skip_applied(c, mark, "tab", "seq"), "pk") == [(1,), (2,), (3,)]
+    pairs = c.withColumn("pos", F.struct(F.col("seq").alias("lsn"), F.col("pk").alias("seqval"))).drop("seq")
+    mark = spark.createDataFrame([("t", (10, 1))], "tab string, last_seq struct<lsn:long,seqval:long>")
+    assert rows(rp.skip_applied(pairs, mark, "tab", "pos"), "pk") == [(2,), (3,)]
+
+
+def test_interleaved_files_lose_no_change(spark, tmp_path):
+    """Two files with positions {5, 9} and {7, 9, 10}; one change is behind its own key."""
+    schema = "table string, seq long, ts timestamp, pk long, op string, a long"
+    when = dt.datetime(2024, 1, 1)
+    files = [[(5, 1, "I", 1), (9, 2, "I", 2)], [(7, 3, "I", 3), (9, 4, "I", 4), (10, 1, "U", 9), (8, 2, "U", 0), (11, 8, "D", 0)]]
+    for part in files:  # one file after the other, so their times differ
+        spark.createDataFrame([("t", s, when, k, o, a) for s, k, o, a in part], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    state = KeyedState(spark, str(tmp_path / "state"), ["pk"], "pk long, a long")
+    marks = KeyedState(spark, str(tmp_path / "marks"), ["table"], "table string, last_seq long, last_timestamp timestamp, rows_applied long")
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    sc.replay_stream(feed, state, marks, str(tmp_path / "ck"), dead=str(tmp_path / "dead"))
+    assert rows(state.latest(), "pk", "a") == [(1, 9), (2, 2), (3, 3), (4, 4)]
+    failed = spark.read.json(str(tmp_path / "dead"))
+    assert rows(failed, "pk", "reject_reason") == [(2, "behind the key's last position"), (8, "missing_skipped")]
+
+
 def test_heartbeat_stream_carries_streaks(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     oks = [True, False, False, False, True, False, False, False, False]
