@@ -37,10 +37,6 @@ FINDING_RULES: list[tuple[tuple[str, ...] | list[str], str]] = [
     (["tablespace", "used_percent"], "Tablespace utilization data present; review high used-percent tablespaces for capacity risk."),
 ]
 NO_FINDING = "No explicit high-risk indicators were auto-detected; validate against workload SLO baselines."
-RECOMMENDATION = (
-    "Prioritize sections with elevated wait/lock/error counters, compare against previous runs, "
-    "and correlate with deployment and traffic changes in the report window."
-)
 
 # Title keywords and the section label, first match wins.
 SECTION_LABELS: list[tuple[tuple[str, ...], str]] = [

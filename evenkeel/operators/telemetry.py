@@ -13,7 +13,8 @@ BENIGN_WAITS = [
     "CLR_AUTO_EVENT", "CLR_MANUAL_EVENT", "LAZYWRITER_SLEEP", "RESOURCE_QUEUE", "SLEEP_TASK", "SLEEP_SYSTEMTASK",
     "SQLTRACE_BUFFER_FLUSH", "WAITFOR", "LOGMGR_QUEUE", "CHECKPOINT_QUEUE", "REQUEST_FOR_DEADLOCK_SEARCH",
     "XE_TIMER_EVENT", "BROKER_TO_FLUSH", "BROKER_TASK_STOP", "CLR_SEMAPHORE", "DIRTY_PAGE_POLL",
-    "HADR_FILESTREAM_IOMGR_IOCOMPLETION", "ONDEMAND_TASK_QUEUE", "FT_IFTS_SCHEDULER_IDLE_WAIT", "XE_DISPATCHER_WAIT",
+    "HADR_FILESTREAM_IOMGR_IOCOMPLETION", "ONDEMAND_TASK_QUEUE",
+    "DISPATCHER_QUEUE_SEMAPHORE", "FT_IFTS_SCHEDULER_IDLE_WAIT", "XE_DISPATCHER_WAIT",
     "XE_DISPATCHER_JOIN", "BROKER_EVENTHANDLER", "TRACEWRITE", "SOS_WORK_DISPATCHER",
     "QDS_PERSIST_TASK_MAIN_LOOP_SLEEP", "QDS_ASYNC_QUEUE", "SP_SERVER_DIAGNOSTICS_SLEEP",
 ]

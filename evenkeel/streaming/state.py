@@ -24,8 +24,12 @@ class KeyedState:
     per_generation: int = 50
 
     def _read(self, generation: int) -> DataFrame | None:
+        return self._read_path(f"{self.path}/generation={generation}")
+
+    def _read_path(self, path: str) -> DataFrame | None:
+        """The versions there, or None where nothing was written yet; other errors are errors."""
         try:
-            return self.spark.read.parquet(f"{self.path}/generation={generation}")
+            return self.spark.read.parquet(path)
         except AnalysisException as err:
             if "PATH_NOT_FOUND" in str(err):
                 return None
@@ -54,9 +58,8 @@ class KeyedState:
 
     def latest(self) -> DataFrame:
         """State after the last batch."""
-        try:
-            versions = self.spark.read.parquet(self.path)
-        except AnalysisException:
+        versions = self._read_path(self.path)
+        if versions is None:
             return self.spark.createDataFrame([], self.schema)
         last = versions.agg(F.max("generation")).first()[0]
         return self._newest(versions.where(F.col("generation") == last).drop("generation"))
