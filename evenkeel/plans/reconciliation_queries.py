@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evenkeel.functions.canon import raw_columns, canon_columns, digest_number, row_md5, row_text, wide_sum
 from evenkeel.operators import compare as cmp, fingerprint as fp, gates, remediate as rem
+from evenkeel.operators.reconcile import Scope, reconcile
 from evenkeel.plans.derived import (
     sized,
     CANON_ORDER,
@@ -403,6 +404,26 @@ def localised_time(t: Tables):
     return cmp.localise(src_orders(t), tgt_orders(t), lambda d: F.date_format("updated_at", "yyyy-MM"), ORDER_COLS)
 
 
+E01_SQL = f"""WITH s AS ({bucket_sql(SRC_ORDERS)}), t AS ({bucket_sql(TGT_ORDERS)}),
+  o AS (SELECT 'orders' AS table_name, 'critical' AS scope, sum(coalesce(s.row_count, 0)) AS source_rows, sum(coalesce(t.row_count, 0)) AS target_rows, count(*) AS buckets,
+      count(*) FILTER (WHERE s.row_count IS DISTINCT FROM t.row_count OR s.hash_sum IS DISTINCT FROM t.hash_sum OR s.bucket_checksum IS DISTINCT FROM t.bucket_checksum) AS bad_buckets
+    FROM s FULL OUTER JOIN t ON s.bucket_id = t.bucket_id),
+  c AS (SELECT 'customer', 'non_critical', count(*), count(*), count(DISTINCT {md5_number(sized("cast(c_custkey AS varchar)"))} % 64), 0 FROM customer),
+  r AS (SELECT * FROM o UNION ALL SELECT * FROM c),
+  p AS (SELECT *, CASE WHEN source_rows = target_rows THEN 0.0 WHEN source_rows = 0 THEN 100.0 ELSE round(100.0::double * abs(target_rows - source_rows)::double / source_rows::double, 6) END::double AS diff_pct,
+      CASE scope WHEN 'critical' THEN 0.0 ELSE 0.01 END::double AS tolerance_pct FROM r)
+SELECT table_name, scope, source_rows::bigint AS source_rows, target_rows::bigint AS target_rows, buckets, bad_buckets,
+  CASE WHEN source_rows <> target_rows AND bad_buckets > 0 THEN 'CLASS-A' WHEN bad_buckets > 0 THEN 'CLASS-B' ELSE 'OK' END AS gap_class, diff_pct, tolerance_pct,
+  CASE WHEN bad_buckets = 0 THEN 'PASS' WHEN diff_pct <= tolerance_pct AND source_rows <> target_rows THEN 'PASS_WITH_TOLERANCE' ELSE 'FAIL' END AS status FROM p"""
+
+
+@query("e01_reconcile", E01_SQL)
+def whole_run(t: Tables):
+    scopes = [Scope("orders", "id", ORDER_COLS, 256), Scope("customer", "c_custkey", None, 64, critical=False)]
+    report = reconcile(scopes, {"orders": src_orders(t), "customer": t.customer}.get, {"orders": tgt_orders(t), "customer": t.customer}.get)
+    return report.drop("recommended_action")
+
+
 @query("q04_gap_keys", f"SELECT id AS key_id, CASE kind WHEN 'missing' THEN 'INSERT' WHEN 'extra' THEN 'DELETE' ELSE 'UPDATE' END AS repair FROM ({ROW_DIFF})")
 def keys_to_repair(t: Tables):
     return rem.gap_keys(src_orders(t), tgt_orders(t), "id", VALUES)
