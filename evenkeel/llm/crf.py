@@ -38,7 +38,9 @@ WINDOW, WINDOWS_EACH = 48, 6
 BUCKETS = 1 << 18  # of the hashed features
 ROUNDS, STEP, DECAY = 60, 0.5, 1e-5
 SEEDS, SEED_DOCS, SEED_ODDS = 4000, 3, 3.0  # most, documents at least, log odds at least
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 300_000
+WINDOWS_AT_ONCE = 4096
+TEXTS = 2048  # texts that go forward and back in step
 TOKEN = re.compile(r"\w+")
 SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("p", DoubleType())])
 
@@ -109,40 +111,53 @@ def marginals(model: Model, scores: list[np.ndarray]) -> list[np.ndarray]:
     return parts
 
 
-def fit_chain(windows: list[tuple[list[str], list[int]]]) -> Model:
-    """Maximum likelihood with a small decay, by adaptive gradient steps over all windows."""
-    words = sorted({w for ws, _ in windows for w in ws})
-    number = {w: i for i, w in enumerate(words)}
-    lists = [features(w) for w in words]
-    owner, places = np.repeat(np.arange(len(words)), [len(x) for x in lists]), np.array([p for x in lists for p in x])
-    n, length = len(windows), max(len(ws) for ws, _ in windows)
-    ids, real, truth = np.zeros((length, n), dtype=np.int64), np.zeros((length, n), dtype=bool), np.zeros((length, n))
-    for k, (ws, ys) in enumerate(windows):
-        ids[: len(ws), k] = [number[w] for w in ws]
-        real[: len(ws), k], truth[: len(ws), k] = True, ys
-    pairs = real[1:]
-    seen_moves = np.array([[((truth[:-1] == i) & (truth[1:] == j) & pairs).sum() for j in (0, 1)] for i in (0, 1)])
+def window_slopes(ids: np.ndarray, real: np.ndarray, truth: np.ndarray, of_word: np.ndarray, move: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
+    """For some windows: what each word's weight should gain, and the expected number of each move."""
+    length = len(ids)
+    odds = np.exp(np.clip(of_word[ids], -30, 30))
+    ahead, back = np.empty(ids.shape), np.ones(ids.shape)
+    ahead[0] = odds[0] * np.exp(start)
+    for t in range(1, length):
+        ahead[t] = odds[t] * (move[0, 1] + ahead[t - 1] * move[1, 1]) / (move[0, 0] + ahead[t - 1] * move[1, 0])
+    for t in range(length - 1, 0, -1):
+        seen = odds[t] * back[t]
+        back[t - 1] = np.where(real[t], (move[1, 0] + move[1, 1] * seen) / (move[0, 0] + move[0, 1] * seen), 1.0)
+    p = ahead * back / (1 + ahead * back)
+    gap = np.where(real, truth - p, 0.0)
+    seen = odds[1:] * back[1:]
+    joint = np.stack([np.full_like(seen, move[0, 0]), move[0, 1] * seen, ahead[:-1] * move[1, 0], ahead[:-1] * move[1, 1] * seen])
+    expected = (joint / joint.sum(axis=0) * real[1:]).sum(axis=(1, 2))
+    return np.bincount(ids.ravel(), gap.ravel(), minlength=len(of_word)), expected
+
+
+def fit_chain(windows: list[tuple[str, str]]) -> Model:
+    """Maximum likelihood with a small decay, by adaptive gradient steps over all windows.
+
+    A window is its words, separated by blanks, and a digit for the label of each.
+    """
+    number: dict[str, int] = {}
+    n, length = len(windows), max(len(truth) for _, truth in windows)
+    ids, real, truth = np.zeros((length, n), dtype=np.int32), np.zeros((length, n), dtype=bool), np.zeros((length, n), dtype=np.uint8)
+    for k, (text, marks) in enumerate(windows):
+        ids[: len(marks), k] = [number.setdefault(w, len(number)) for w in text.split(" ")]
+        real[: len(marks), k], truth[: len(marks), k] = True, np.frombuffer(marks.encode(), np.uint8) - ord("0")
+    lists = [np.array(features(w), dtype=np.int32) for w in number]
+    owner, places = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+    seen_moves = np.array([((truth[:-1] == i) & (truth[1:] == j) & real[1:]).sum() for i in (0, 1) for j in (0, 1)])
     weight, logs, start = np.zeros(BUCKETS), np.zeros(4), -2.0
     sums_w, sums_l = np.full(BUCKETS, 1e-8), np.full(4, 1e-8)
     total = real.sum()
     for _ in range(ROUNDS):
         move = np.exp(logs).reshape(2, 2)
-        of_word = np.bincount(owner, weight[places], minlength=len(words))
-        odds = np.exp(np.clip(of_word[ids], -30, 30))
-        ahead, back = np.empty((length, n)), np.ones((length, n))
-        ahead[0] = odds[0] * np.exp(start)
-        for t in range(1, length):
-            ahead[t] = odds[t] * (move[0, 1] + ahead[t - 1] * move[1, 1]) / (move[0, 0] + ahead[t - 1] * move[1, 0])
-        for t in range(length - 1, 0, -1):
-            seen = odds[t] * back[t]
-            back[t - 1] = np.where(real[t], (move[1, 0] + move[1, 1] * seen) / (move[0, 0] + move[0, 1] * seen), 1.0)
-        p = ahead * back / (1 + ahead * back)
-        gap = np.where(real, truth - p, 0.0)
-        slope = np.bincount(places, np.bincount(ids.ravel(), gap.ravel(), minlength=len(words))[owner], minlength=BUCKETS) / total - DECAY * weight
-        seen = odds[1:] * back[1:]
-        joint = np.stack([np.full_like(seen, move[0, 0]), move[0, 1] * seen, ahead[:-1] * move[1, 0], ahead[:-1] * move[1, 1] * seen])
-        expected = (joint / joint.sum(axis=0) * pairs).sum(axis=(1, 2))
-        slope_l = (seen_moves.ravel() - expected) / total - DECAY * logs
+        of_word = np.bincount(owner, weight[places], minlength=len(lists))
+        gain, expected = np.zeros(len(lists)), np.zeros(4)
+        for at in range(0, n, WINDOWS_AT_ONCE):
+            some = slice(at, at + WINDOWS_AT_ONCE)
+            part, moves = window_slopes(ids[:, some], real[:, some], truth[:, some], of_word, move, start)
+            gain += part
+            expected += moves
+        slope = np.bincount(places, gain[owner], minlength=BUCKETS) / total - DECAY * weight
+        slope_l = (seen_moves - expected) / total - DECAY * logs
         sums_w += slope**2
         sums_l += slope_l**2
         weight += STEP * slope / np.sqrt(sums_w)
@@ -201,7 +216,7 @@ def seed_signs(sample: DataFrame) -> set[str]:
     return {r["sign"] for r in best.orderBy(F.desc("odds"), F.desc("bad"), "sign").limit(SEEDS).collect()}
 
 
-def training_windows(sample: DataFrame, seeds: set[str]) -> list[tuple[list[str], list[int]]]:
+def training_windows(sample: DataFrame, seeds: set[str]) -> list[tuple[str, str]]:
     """Labelled windows: those with toxic tokens first, then others spread over the text."""
 
     def cut(stream):
@@ -214,11 +229,11 @@ def training_windows(sample: DataFrame, seeds: set[str]) -> list[tuple[list[str]
                 marked = [s for s in starts if any(truth[s : s + WINDOW])]
                 plain = [s for s in starts if not any(truth[s : s + WINDOW])]
                 some = (marked + plain[:: max(1, len(plain) // 3)])[:WINDOWS_EACH]
-                rows += [{"words": words[s : s + WINDOW], "truth": truth[s : s + WINDOW]} for s in some]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("words", pa.list_(pa.string())), ("truth", pa.list_(pa.int32()))]))
+                rows += [(" ".join(words[s : s + WINDOW]), "".join(map(str, truth[s : s + WINDOW]))) for s in some]
+            yield pa.RecordBatch.from_pydict({"words": pa.array([w for w, _ in rows], pa.string()), "truth": pa.array([t for _, t in rows], pa.string())})
 
-    rows = sample.select("text", "toxic").mapInArrow(cut, "words array<string>, truth array<int>").collect()
-    return sorted((r["words"], r["truth"]) for r in rows)
+    rows = sample.select("text", "toxic").mapInArrow(cut, "words string, truth string").toArrow()
+    return sorted(zip(rows["words"].to_pylist(), rows["truth"].to_pylist()))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -275,7 +290,7 @@ def tag(docs: DataFrame, model: Model | None, score: str = "score", spans: str =
 
         return call
 
-    return add_columns(docs, [(score, DoubleType()), (spans, ArrayType(SPAN))], make, rows=8192)
+    return add_columns(docs, [(score, DoubleType()), (spans, ArrayType(SPAN))], make, rows=TEXTS)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
