@@ -170,36 +170,44 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, most: int) -> list[str]:
-    """Words above the lowest count that leaves at most ``most`` of them.
+def frequent_words(counts: DataFrame, most: int) -> DataFrame:
+    """``word`` of those above the lowest count that leaves at most ``most`` of them.
 
-    A small histogram finds that count, so ties stay together and no more than
-    ``most`` words ever come to the driver.
+    A small histogram finds that count, so ties stay together.
     """
     step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
     rows = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()
-    total, lowest = 0, None
+    total, lowest = 0, 1 << 30
     for row in sorted(rows, reverse=True):
         total += row["words"]
         if total > most:
             break
         lowest = row["step"]
-    return [] if lowest is None else [r["word"] for r in counts.where(step >= lowest).select("word").collect()]
+    return counts.where(step >= lowest).select("word")
 
 
 def build_lexicon(docs: DataFrame, path: str, most: int = MAX_WORDS) -> str:
-    """Counts words, compiles the frequent ones and hands the file to all executors; its name."""
+    """Counts words, compiles the frequent ones and hands the file to all executors; its name.
+
+    One task compiles them, ``most`` at the most, and only the finished automaton comes
+    to the driver.
+    """
     spark = docs.sparkSession
     counts = cut_lineage(word_counts(docs, path).where("n > 1"))
-    tokenizer = bpe.WordBpe(path)
-    frequent = frequent_words(counts, most)
-    pieces = [tokenizer.pieces(w) for w in frequent]
-    merged = iter(tokenizer.merge([p for some in pieces for p in some]))
-    data = compile_words({w: [i for _ in some for i in next(merged)] for w, some in zip(frequent, pieces)})
+
+    def build(stream):
+        tokenizer = bpe.load(path)
+        words = [w for batch in stream for w in batch.column("word").to_pylist()]
+        pieces = [tokenizer.pieces(w) for w in words]
+        merged = iter(tokenizer.merge([p for some in pieces for p in some]))
+        data = compile_words({w: [i for _ in some for i in next(merged)] for w, some in zip(words, pieces)})
+        yield pa.RecordBatch.from_pydict({"data": pa.array([data], pa.binary())})
+
+    data = frequent_words(counts, most).repartition(1).mapInArrow(build, "data binary").first()
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     file = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)  # the driver serves it from here
     with open(file, "wb") as out:
-        out.write(data)
+        out.write(data["data"] if data else compile_words({}))
     spark.sparkContext.addFile(file)
     return name
 

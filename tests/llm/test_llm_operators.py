@@ -101,7 +101,7 @@ def test_lexicon_is_minimal_and_exact(tmp_path):
 
 def test_frequent_words_stay_within_the_bound(spark):
     counts = spark.createDataFrame([(f"w{i}", 1 + i // 10) for i in range(1000)], "word string, n long")
-    chosen = transducer.frequent_words(counts, 300)
+    chosen = [r["word"] for r in transducer.frequent_words(counts, 300).collect()]
     assert 0 < len(chosen) <= 300
     n = dict((f"w{i}", 1 + i // 10) for i in range(1000))
     low = min(n[w] for w in chosen)
