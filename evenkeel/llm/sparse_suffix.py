@@ -2,10 +2,13 @@
 
 Suffixes are kept only where a word n-gram's hash is the minimum of its window, so the
 places depend on the content alone: two equal passages of LENGTH words keep at least one
-suffix at the same place within them. Suffixes whose n-gram occurs once are dropped. The
-rest are sorted over all tasks by what follows them; neighbours are compared, the
-matches extended to the right and to the left, and kept if they have LENGTH words. Within
-a task they are compared in the order of what precedes them as well.
+suffix at the same place within them. Suffixes whose n-gram occurs once are dropped. Those
+whose n-gram occurs up to FEW times are dealt out and sorted by it and by what follows;
+all of an n-gram are compared with each other, the matches extended to the right and to
+the left, and kept if they have LENGTH words. An n-gram that occurs more often may lie in
+frequent text, where no order has all equal passages side by side: there each window of
+LENGTH words whose minimum it is goes by its 128-bit hash, and hashes that occur again are
+matches. So every window that occurs twice is found, whatever else shares its n-gram.
 Overlapping matches of a document are joined to maximal passages.
 
 A suffix carries REACH words to each side as 24-bit hashes; longer passages have several
@@ -27,14 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm.common import batches, keyed, texts_of
-from evenkeel.session import cut_lineage
+from evenkeel.session import cut_lineage, scratch_path
 
 LENGTH = 50  # words of the shortest passage
 GRAM = 8  # words of the n-gram that selects a suffix
+FEW = 8  # suffixes of an n-gram that are all compared with each other
 REACH = 50  # words carried to each side
 BYTES = 3  # of a word's hash in what is carried
 KNOWN_WORDS = 300_000
-SUFFIX = "gram long, right binary, left binary, key long, pos int"
+SUFFIX = "gram long, right binary, left binary, key long, pos int, window binary"
 
 
 class Words:
@@ -63,14 +67,17 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def minima(grams: np.ndarray, window: int) -> np.ndarray:
+    """For each window the place of its minimum, the rightmost of equals."""
+    views = np.lib.stride_tricks.sliding_window_view(grams[::-1], window)
+    return (len(grams) - 1 - (np.arange(len(views)) + views.argmin(axis=1)))[::-1]
+
+
 def selected(grams: np.ndarray, window: int) -> np.ndarray:
     """Places that are the rightmost minimum of some window; of a shorter text the minimum of all."""
     if not len(grams):
         return np.empty(0, np.int64)
-    window = min(window, len(grams))
-    views = np.lib.stride_tricks.sliding_window_view(grams[::-1], window)
-    last = len(grams) - 1 - (np.arange(len(views)) + views.argmin(axis=1))
-    return np.unique(last)
+    return np.unique(minima(grams, min(window, len(grams))))
 
 
 def three_bytes(words: np.ndarray) -> bytes:
@@ -102,26 +109,42 @@ def selected_places(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("doc_id", "key", "text").mapInArrow(work, f"doc_id {id_type}, key long, n_words int, body binary, pos array<int>, gram array<long>")
 
 
-def suffixes(texts: DataFrame) -> DataFrame:
-    """``key, text, kept`` to the kept suffixes, with what stands to their right and, backwards, to their left."""
+def suffixes(texts: DataFrame, length: int) -> DataFrame:
+    """``key, text, kept`` to the kept suffixes, with what stands to their right and, backwards, to their left.
+
+    Suffixes marked ``many`` give ``window, key, pos`` instead: hash and place of each
+    window of ``length`` words whose minimum they are.
+    """
 
     def work(stream):
         words = Words()
         for batch in batches(stream, 256):
-            keys, places, grams, rights, lefts = [], [], [], [], []
+            keys, places, grams, rights, lefts, windows = [], [], [], [], [], []
             for key, text, kept in zip(batch.column("key").to_pylist(), texts_of(batch), batch.column("kept").to_pylist()):
                 hashes = words.of(text)
                 ahead, behind, n = three_bytes(hashes), three_bytes(hashes[::-1]), len(hashes)
                 for one in kept:
+                    if one["many"]:
+                        continue
                     p = one["pos"]
                     keys.append(key)
                     places.append(p)
                     grams.append(one["gram"])
                     rights.append(ahead[BYTES * p : BYTES * (p + REACH)])
                     lefts.append(behind[BYTES * (n - p) : BYTES * (n - p + REACH)])
+                    windows.append(None)
+                many = [one["pos"] for one in kept if one["many"]]
+                if many:
+                    starts = np.flatnonzero(np.isin(minima(gram_hashes(hashes, GRAM), length - GRAM + 1), many)).tolist()
+                    body = hashes.tobytes()
+                    keys += [key] * len(starts)
+                    places += starts
+                    windows += [xxhash.xxh3_128_digest(body[8 * at : 8 * (at + length)]) for at in starts]
+                    for column in (grams, rights, lefts):
+                        column += [None] * len(starts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams, pa.int64()), pa.array(rights, pa.binary()), pa.array(lefts, pa.binary()), pa.array(keys, pa.int64()), pa.array(places, pa.int32())],
-                names=["gram", "right", "left", "key", "pos"],
+                [pa.array(grams, pa.int64()), pa.array(rights, pa.binary()), pa.array(lefts, pa.binary()), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(windows, pa.binary())],
+                names=["gram", "right", "left", "key", "pos", "window"],
             )
 
     return texts.select("key", "text", "kept").mapInArrow(work, SUFFIX)
@@ -139,23 +162,19 @@ def padded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return table, np.array([len(p) // BYTES for p in parts])
 
 
-def neighbour_matches(rows: list[dict], length: int) -> list[tuple[int, int, int]]:
-    """``key, start, end`` for matches between neighbours of sorted suffixes.
-
-    Suffixes at hand are compared in both orders: by what follows, as they come, and by
-    what precedes, where a neighbour may share more to the left.
-    """
+def group_matches(rows: list[dict], length: int) -> list[tuple[int, int, int]]:
+    """``key, start, end`` for matches between all suffixes of an n-gram, which stand side by side, FEW at most."""
     if len(rows) < 2:
         return []
     right, right_n = padded([r["right"] for r in rows])
     left, left_n = padded([r["left"] for r in rows])
     gram = np.array([r["gram"] for r in rows])
-    key, pos = np.array([r["key"] for r in rows]), np.array([r["pos"] for r in rows])
     out = []
-    for order in (np.arange(len(rows)), np.array(sorted(range(len(rows)), key=lambda i: (rows[i]["gram"], rows[i]["left"], rows[i]["right"])))):
-        a, b = order[:-1], order[1:]
-        alike = (gram[a] == gram[b]) & ((key[a] != key[b]) | (pos[a] != pos[b]))
-        a, b = a[alike], b[alike]
+    for apart in range(1, min(FEW, len(rows))):
+        a = np.flatnonzero(gram[:-apart] == gram[apart:])
+        if not len(a):
+            break
+        b = a + apart
         ahead = common(right[a], right[b], right_n[a], right_n[b])
         behind = common(left[a], left[b], left_n[a], left_n[b])
         far = ahead + behind >= length
@@ -164,41 +183,28 @@ def neighbour_matches(rows: list[dict], length: int) -> list[tuple[int, int, int
     return list(set(out))
 
 
-MATCH = pa.schema([("key", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("edge", pa.struct([("part", pa.int32()), ("last", pa.bool_()), ("gram", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("key", pa.int64()), ("pos", pa.int32())]))])
-MATCH_SQL = "key long, begin int, end int, edge struct<part:int,last:boolean,gram:long,right:binary,left:binary,key:long,pos:int>"
+MATCH = pa.schema([("key", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
 
 
 def sorted_matches(kept: DataFrame, length: int) -> DataFrame:
-    """``key, begin, end`` of matches between neighbours in the order of all suffixes.
-
-    Each task compares the neighbours of its range and hands on its first and its last
-    suffix; these few are compared across tasks in a second step.
-    """
-    order = ["gram", "right", "left", "key", "pos"]
-    ordered = kept.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    """``key, begin, end`` of matches between suffixes with the same n-gram; one task has all of an n-gram."""
+    ordered = kept.repartition("gram").sortWithinPartitions("gram", "right", "left", "key", "pos")
 
     def work(stream):
-        before, first = [], None
+        before = []
         for batch in batches(stream, 4096):
-            rows = batch.to_pylist()
-            if not rows:
-                continue
-            first = first or rows[0]
-            found = neighbour_matches(before + rows, length)
-            before = rows[-1:]
+            rows = before + batch.to_pylist()
+            found = group_matches(rows, length)
+            before = rows[-FEW + 1 :]
             yield pa.RecordBatch.from_pylist([{"key": k, "begin": b, "end": e} for k, b, e in found], schema=MATCH)
-        if first:
-            ends = [{"edge": first | {"last": False}}, {"edge": before[0] | {"last": True}}]
-            yield pa.RecordBatch.from_pylist(ends, schema=MATCH)
 
-    found = cut_lineage(ordered.mapInArrow(work, MATCH_SQL))
-    edges = [r["edge"].asDict() for r in found.where("edge IS NOT NULL").select("edge").collect()]  # two for each task
-    edges.sort(key=lambda e: (e["part"], e["last"]))
-    for e in edges:
-        e["right"], e["left"] = bytes(e["right"]), bytes(e["left"])
-    across = [m for a, b in zip(edges, edges[1:]) if a["part"] != b["part"] for m in neighbour_matches([a, b], length)]
-    inside = found.where("edge IS NULL").select("key", "begin", "end")
-    return inside.unionByName(kept.sparkSession.createDataFrame(across, "key long, begin int, end int"))
+    return ordered.mapInArrow(work, "key long, begin int, end int")
+
+
+def window_matches(windows: DataFrame, length: int) -> DataFrame:
+    """``key, begin, end`` of windows whose hash occurs again. Counts are added up before the shuffle."""
+    again = cut_lineage(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"))  # joined as a table, so that a hot hash is split
+    return windows.join(again, "window", "left_semi").select("key", F.col("pos").alias("begin"), (F.col("pos") + length).cast("int").alias("end"))
 
 
 def joined_spans(matches: DataFrame) -> DataFrame:
@@ -233,9 +239,14 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     groups = cut_lineage(bodies.groupBy("body").agg(F.min("key").alias("lead"), F.count("*").alias("copies")))
     leads = groups.select(F.col("lead").alias("key"))
     places = chosen.dropDuplicates(["key"]).join(leads, "key", "left_semi").select("key", F.explode(F.arrays_zip("pos", "gram")).alias("place")).select("key", "place.pos", "place.gram")
-    again = cut_lineage(places.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
-    kept = places.join(again, "gram", "left_semi").groupBy("key").agg(F.collect_list(F.struct("pos", "gram")).alias("kept"))
-    spans = joined_spans(sorted_matches(suffixes(rows.select("key", "text").join(kept, "key")), length))
+    again = cut_lineage(places.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > FEW).alias("many")))
+    kept = places.join(again, "gram").groupBy("key").agg(F.collect_list(F.struct("pos", "gram", "many")).alias("kept"))
+    path = scratch_path(docs.sparkSession, "suffixes")
+    suffixes(rows.select("key", "text").join(kept, "key"), length).write.option("compression", "zstd").parquet(path)
+    found = docs.sparkSession.read.parquet(path)
+    few = sorted_matches(found.where("window IS NULL").select("gram", "right", "left", "key", "pos"), length)
+    many = window_matches(found.where("window IS NOT NULL").select("window", "key", "pos"), length)
+    spans = joined_spans(few.unionByName(many))
     whole = groups.where("copies > 1").select("body")
     of_copies = bodies.join(whole, "body", "left_semi").select("doc_id", F.lit(0).alias("begin"), F.col("n_words").alias("end"))
     single = bodies.join(groups.where("copies = 1").select(F.col("lead").alias("key")), "key", "left_semi").select("doc_id", "key")

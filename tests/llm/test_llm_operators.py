@@ -305,6 +305,33 @@ def test_repeated_passages_match_loop(spark, docs, given, nothing):
     assert sparse_suffix.repeated_passages(docs).count() > 0
 
 
+def test_passages_that_end_in_a_hot_line_are_found(spark):
+    rng = random.Random(5)
+    hot = " ".join(f"hot{i}" for i in range(30))
+    rows = []
+    for pair in range(2600):  # the hot line's n-grams have more than 4096 suffixes
+        shared = " ".join(f"s{pair}_{i}" for i in range(25))
+        for side in range(2):
+            before, after = (" ".join(f"u{rng.randrange(10**9)}" for _ in range(20)) for _ in range(2))
+            rows.append((2 * pair + side, f"{before} {shared} {hot} {after}"))
+    got = sparse_suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert order(tuple(r) for r in got.collect()) == order((i, 20, 75) for i, _ in rows)
+
+
+@pytest.mark.parametrize("copies", [3, 8, 9])
+def test_passages_are_found_whatever_shares_their_middle(spark, copies):
+    middle = " ".join(f"m{i}" for i in range(12))
+    rows = []
+    for i in range(copies):  # the first and the last share 20 words on each side, the others more on one side only
+        left, right = (25 if i % 2 else 0, 0 if i % 2 else 25)
+        if i in (0, copies - 1):
+            left = right = 20
+        words = [f"a{i}_{k}" for k in range(30 - left)] + [f"l{k}" for k in range(30 - left, 30)]
+        rows.append((i, " ".join([*words, middle, *(f"r{k}" for k in range(right)), *(f"z{i}_{k}" for k in range(30 - right))])))
+    got = sparse_suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert order(tuple(r) for r in got.collect()) == repeated(rows) == [(0, 10, 62), (copies - 1, 10, 62)]
+
+
 def test_leaks_are_found_and_clean_texts_left(spark, given, nothing):
     benchmark = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
     items = lsa.read_items(sorted(((r["item_id"], r["text"]) for r in benchmark.collect()), key=repr)).prepare()
