@@ -357,6 +357,30 @@ def test_paraphrased_leaks_and_awkward_items(spark, docs):
     assert lsa.find_leaks(docs, benchmark).count() == 0
 
 
+def test_recall_of_planted_items_of_every_length(spark):
+    rng = random.Random(8)
+    common, rare = [f"c{i}" for i in range(60)], [f"r{i}" for i in range(6000)]
+
+    def text(n):
+        return [rng.choice(common) if rng.random() < 0.45 else rng.choice(rare) for _ in range(n)]
+
+    sizes = {"short": (6, 12), "usual": (15, 59), "long": (100, 300)}
+    items = [(kind, text(rng.randint(*sizes[kind]))) for kind in sizes for _ in range(40)]
+    rows, planted = [], defaultdict(set)
+    for copy in ("verbatim", "changed"):
+        for j, (kind, words) in enumerate(items):
+            own = list(words)
+            for k in rng.sample(range(len(own)), len(own) // 5 if copy == "changed" else 0):
+                own[k] = rng.choice(rare)
+            planted[kind, copy].add((len(rows), j))
+            rows.append((len(rows), " ".join([*text(rng.randrange(150)), *own, *text(rng.randrange(150))])))
+    rows += [(len(rows) + k, " ".join(text(rng.randrange(20, 400)))) for k in range(300)]
+    benchmark = spark.createDataFrame([(j, " ".join(w)) for j, (_, w) in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in lsa.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    recall = {k: len(v & got) / len(v) for k, v in planted.items()}
+    assert min(recall.values()) >= 0.9, recall
+
+
 def test_slices_of_a_benchmark_give_the_same_leaks(spark, given, monkeypatch):
     benchmark = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
     whole = order((r["doc_id"], r["item_id"]) for r in lsa.find_leaks(given, benchmark).collect())
