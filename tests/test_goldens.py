@@ -284,3 +284,25 @@ def test_several_blockers_and_cycles(spark):
     assert tree([(1, 2), (2, 1), (3, 1)]) == [(1, None, None, True), (2, None, None, True), (3, None, None, True)]
     # 2 waits for itself over 1, and for the running 9 too
     assert tree([(1, 2), (2, 1), (2, 9), (4, 2)]) == [(1, 9, 2, True), (2, 9, 1, True), (4, 9, 2, False)]
+
+
+def test_tolerance_counts_every_differing_row(spark):
+    from evenkeel.operators.reconcile import Scope, reconcile
+
+    base = spark.range(20000).selectExpr("id", "id % 7 AS v", "id % 5 AS stamp", "id % 11 = 0 AS gone")
+    changed = base.where("id > 0").withColumn("v", F.when(F.col("id") > 10000, -1).otherwise(F.col("v")))
+    swapped = base.where("id >= 40").unionByName(base.where("id < 39").withColumn("id", F.col("id") + 30000))
+    few = base.where("id > 0").withColumn("v", F.when(F.col("id") == 5, -1).otherwise(F.col("v")))
+    later = base.withColumn("stamp", F.col("stamp") + 1)
+    targets = {"changed": changed, "swapped": swapped, "few": few, "same": base, "later": later, "rule": later}
+    more = {"later": {"updated": "stamp", "deleted": "gone"}, "rule": {"rules": [fp.Rule("total", "stamp", "SUM")]}}
+    scopes = [Scope(n, "id", ["id", "v"], 64, critical=False, **more.get(n, {})) for n in targets]
+    got = reconcile(scopes, lambda n: base, targets.get)
+    assert rows(got, "table_name", "missing", "extra", "changed", "gap_class", "status") == [
+        ("changed", 1, 0, 9999, "CLASS-A", "FAIL"),
+        ("few", 1, 0, 1, "CLASS-A", "PASS_WITH_TOLERANCE"),
+        ("later", 0, 0, 0, "CLASS-C", "FAIL"),
+        ("rule", 0, 0, 0, "OK", "FAIL"),
+        ("same", 0, 0, 0, "OK", "PASS"),
+        ("swapped", 40, 39, 0, "CLASS-A", "FAIL"),
+    ]
