@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm import crf, kneser_ney, ledger, lsa, minhash, resync, sparse_suffix, transducer, weak_pii, winnow
+from evenkeel.llm import conversation, crf, kneser_ney, ledger, lsa, maxscore, minhash, ngram_scores, resync, sparse_suffix, transducer, weak_pii, winnow
 from evenkeel.plans.registry import Tables, query
 
 
@@ -120,3 +120,42 @@ def sparse_suffix_repeats(t: Tables) -> DataFrame:
 @query("op3_kneser_ney_quality")
 def kneser_ney_quality(t: Tables) -> DataFrame:
     return kneser_ney.classify(t.documents, t.labels)
+
+
+RANKED_SEARCH_SQL = r"""
+WITH term AS (
+  SELECT doc_id, nr, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT doc_id, row_number() OVER () AS nr, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE text IS NOT NULL)
+), posting AS (
+  SELECT nr, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM term GROUP BY nr, term
+), length AS (
+  SELECT nr, sum(tf)::BIGINT AS n FROM posting GROUP BY nr
+), size AS (
+  SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM length
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL
+), weighed AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM posting, size GROUP BY term
+), scored AS (
+  SELECT item_id, nr, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN weighed USING (term) JOIN posting USING (term) JOIN length USING (nr), size GROUP BY item_id, nr
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
+
+
+@query("op11_pair_maxscore", RANKED_SEARCH_SQL)
+def pair_maxscore(t: Tables) -> DataFrame:
+    return maxscore.search(maxscore.build_index(t.documents), t.benchmark)
+
+
+@query("op13_conversation_repair")
+def conversation_repair(t: Tables) -> DataFrame:
+    return conversation.audit_report(t.conversations)
+
+
+@query("op12_trie_scores")
+def trie_scores(t: Tables) -> DataFrame:
+    return ngram_scores.score(t.documents)
