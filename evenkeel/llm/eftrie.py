@@ -22,7 +22,7 @@ import tempfile
 
 import numpy as np
 
-SCALE = 4096  # codes a unit of the decimal logarithm; 16 bits reach down to 1e-15
+SCALE = 128  # codes a unit of the decimal logarithm
 NOTHING = 65535  # the code of 0
 
 

@@ -48,7 +48,7 @@ from evenkeel.session import scratch_path
 MU2, MU3 = 2000.0, 6.0
 FOLDS, HELD_OUT = 7, 2
 CHUNK_TOKENS = 1_000_000
-SHARD_GRAMS = 3_000_000  # trigrams that chunks send to one shard, about
+SHARD_TOKENS = 3_000_000  # training tokens of one shard, about
 HOT = 512  # words; two of them make a split context
 END = b"\n"  # no word has white space
 UNKNOWN = -1
@@ -84,9 +84,17 @@ def steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=0)
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """``chunk, ids, held, sizes, tokens, words, counts``: texts as numbers of their chunk's words, written."""
+def chunks(docs: DataFrame, shards: int, table: str) -> tuple[DataFrame, DataFrame]:
+    """``chunk, ids, held, sizes, tokens, dealt`` and ``shard, chunk, words, counts``, written once.
+
+    They are one table, bucketed by chunk, so that the texts are never shuffled.
+
+    The texts of a chunk as numbers of its words, frequent words first, and its words
+    with their training counts in parcels, one for each shard of the vocabulary.
+    ``dealt`` has the shard of each word, so that the parcels' answers can be put in order.
+    """
     id_type = docs.schema["doc_id"].dataType
+    arrow = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(to_arrow_type(id_type))), ("held", pa.list_(pa.bool_())), *((c, pa.binary()) for c in ("sizes", "tokens", "dealt")), ("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
 
     def packs(stream) -> Iterator[tuple[list, list]]:
         ids, texts, size = [], [], 0
@@ -110,23 +118,35 @@ def chunks(docs: DataFrame) -> DataFrame:
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
             tokens = np.fromiter((number[w] for t in texts for w in t), dtype=np.int64, count=int(sizes.sum()))
             held = np.array([held_out(i) for i in ids])
-            counts = np.bincount(tokens, weights=np.repeat(~held, sizes), minlength=len(number)).astype(np.int64)
-            columns = {
-                "chunk": pa.array([uuid4().int >> 65]),
-                "ids": pa.array([ids], pa.list_(to_arrow_type(id_type))),
-                "held": pa.array([held.tolist()]),
-                "sizes": pa.array([put(sizes)], pa.binary()),
-                "tokens": pa.array([put(tokens)], pa.binary()),
-                "words": pa.array([[w.decode() for w in number]], pa.list_(pa.string())),
-                "counts": pa.array([counts.tolist()], pa.list_(pa.int64())),
-            }
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    path = scratch_path(docs.sparkSession, "chunks")
+            order = np.argsort(-np.bincount(tokens, minlength=len(number)), kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            words = list(number)
+            words = [words[k] for k in order.tolist()]
+            tokens = rank[tokens]
+            counts = np.bincount(tokens, weights=np.repeat(~held, sizes), minlength=len(words)).astype(np.int64)
+            dealt = np.array([zlib.crc32(w) % shards for w in words])
+            chunk = uuid4().int >> 65
+            rows = [{"chunk": chunk, "ids": ids, "held": held.tolist(), "sizes": put(sizes), "tokens": put(tokens), "dealt": put(dealt), "shard": -1}]
+            by_shard = np.argsort(dealt, kind="stable")
+            ends = np.searchsorted(dealt[by_shard], np.arange(shards + 1)).tolist()
+            for s in range(shards):
+                own = by_shard[ends[s] : ends[s + 1]]
+                if len(own):
+                    packed = zstandard.ZstdCompressor(level=3).compress(b" ".join(words[k] for k in own.tolist()))
+                    rows.append({"chunk": chunk, "shard": s, "words": packed, "counts": put(counts[own])})
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
     rows = docs.select(docs["doc_id"].alias("doc_id"), text_col(docs).alias("text"))
-    schema = f"chunk long, ids array<{id_type.simpleString()}>, held array<boolean>, sizes binary, tokens binary, words array<string>, counts array<long>"
-    rows.mapInArrow(work, schema).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    schema = f"chunk long, ids array<{id_type.simpleString()}>, held array<boolean>, sizes binary, tokens binary, dealt binary, shard int, words binary, counts binary"
+    path = scratch_path(docs.sparkSession, table)
+    rows.mapInArrow(work, schema).write.bucketBy(shards, "chunk").option("path", path).saveAsTable(table, format="parquet")
+    made = docs.sparkSession.table(table)
+    return made.where("shard = -1").select("chunk", "ids", "held", "sizes", "tokens", "dealt"), made.where("shard >= 0").select("shard", "chunk", "words", "counts")
+
+
+def words_of(packed: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(packed).split(b" ")
 
 
 @dataclass(frozen=True)
@@ -150,12 +170,20 @@ class Vocabulary:
         return (self.count(ids) + 1) / (self.tokens + self.words + 1)
 
 
-def vocabulary(packed: DataFrame) -> tuple[DataFrame, Vocabulary]:
-    """``word, id`` of the training words and what is known of their counts."""
-    spark = packed.sparkSession
-    pairs = packed.select(F.explode(F.arrays_zip("words", "counts")).alias("p")).select(F.col("p.words").alias("word"), F.col("p.counts").alias("n")).where("n > 0")
+def vocabulary(parcels: DataFrame, shards: int) -> tuple[DataFrame, Vocabulary]:
+    """``shard, word, id`` of the training words and what is known of their counts."""
+    spark = parcels.sparkSession
+
+    def added(table: pa.Table) -> pa.Table:
+        total: dict[bytes, int] = defaultdict(int)
+        for packed, counts in zip(table.column("words").to_pylist(), table.column("counts").to_pylist()):
+            for word, n in zip(words_of(packed), take(counts).tolist()):
+                if n:
+                    total[word] += n
+        return pa.table({"word": pa.array(list(total), pa.binary()).cast(pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+
     path = scratch_path(spark, "words")
-    counted = pairs.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word")
+    counted = parcels.groupBy("shard").applyInArrow(added, "word string, n long").orderBy(F.col("n").desc(), "word")
     counted.select("word", "n", F.monotonically_increasing_id().alias("place")).write.parquet(path)
     words = spark.read.parquet(path)
     part = F.shiftright("place", 33)
@@ -170,25 +198,39 @@ def vocabulary(packed: DataFrame) -> tuple[DataFrame, Vocabulary]:
     if known.words >= (1 << 32) - 2:
         raise ValueError("word numbers have 32 bits")
     first = spark.createDataFrame(offsets, "part long, first long")
-    numbered = words.withColumn("part", part).join(F.broadcast(first), "part").select("word", (F.col("first") + F.col("place") - F.shiftleft("part", 33)).alias("id"))
+    place = (F.col("first") + F.col("place") - F.shiftleft("part", 33)).alias("id")
+    numbered = words.withColumn("part", part).join(F.broadcast(first), "part").select((F.crc32("word") % shards).cast("int").alias("shard"), "word", place)
     return numbered, known
 
 
-def word_ids(packed: DataFrame, numbered: DataFrame) -> DataFrame:
-    """``chunk, shard = -1, places, ids``: the numbers of each chunk's known words."""
-    places = packed.select("chunk", F.posexplode("words").alias("place", "word"))
-    found = places.join(numbered, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "id")).alias("found"))
-    return found.select("chunk", F.lit(-1).alias("shard"), F.col("found.place").alias("places"), F.col("found.id").alias("ids"))
+def word_ids(parcels: DataFrame, numbered: DataFrame) -> DataFrame:
+    """``chunk, shard, parts``: for each parcel the numbers of its words plus one; 0 for words that are not known.
+
+    The shard is given as ``-1 - shard``, to tell these answers from those for trigrams.
+    """
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        number = dict(zip(right.column("word").cast(pa.binary()).to_pylist(), right.column("id").to_pylist()))
+        chunk, parts = left.column("chunk"), []
+        for packed in left.column("words").to_pylist():
+            words = words_of(packed)
+            parts.append([put(np.fromiter((number.get(w, UNKNOWN) for w in words), np.int64, len(words)) + 1)])
+        shard = pa.array([-1 - s for s in left.column("shard").to_pylist()], pa.int32())
+        return pa.table({"chunk": chunk, "shard": shard, "parts": pa.array(parts, pa.list_(pa.binary()))})
+
+    asked = parcels.select("shard", "chunk", "words")
+    return asked.groupBy("shard").cogroup(numbered.groupBy("shard")).applyInArrow(look_up, "chunk long, shard int, parts array<binary>")
 
 
 class Chunk:
     """One chunk's texts as word numbers, its contexts and its trigrams."""
 
-    def __init__(self, row: dict, places: np.ndarray, ids: np.ndarray, known: Vocabulary):
+    def __init__(self, row: dict, ids: dict[int, bytes], known: Vocabulary):
         self.sizes = take(row["sizes"])
         held = np.array(row["held"], dtype=bool)
-        number = np.full(len(row["words"]), UNKNOWN, dtype=np.int64)
-        number[places] = ids
+        dealt = take(row["dealt"])
+        number = np.empty(len(dealt), dtype=np.int64)
+        number[np.argsort(dealt, kind="stable")] = np.concatenate([take(ids[s]) for s in sorted(ids)]) - 1
         w = number[take(row["tokens"])]
         start, pad = known.words, known.words + 1
         # every text with two start tokens before it and one that closes it
@@ -335,18 +377,19 @@ def score(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``: one row for each row of ``docs``."""
     spark: SparkSession = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType
-    packed = chunks(docs)
-    numbered, known = vocabulary(packed)
-    ids_path = scratch_path(spark, "numbers")
-    word_ids(packed, numbered).write.parquet(ids_path)
-    ids = spark.read.parquet(ids_path)
-    total = packed.agg(F.sum(F.size("words").cast("long")), F.count("*")).first()
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * (total[0] or 0) // SHARD_GRAMS), 1)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"chunks_{uuid4().hex}"
+    packed, parcels = chunks(docs, partitions, table)
+    numbered, known = vocabulary(parcels, partitions)
+    path = scratch_path(spark, "numbers")
+    word_ids(parcels, numbered).write.parquet(path)
+    ids = spark.read.parquet(path)
+    shards = max(partitions, -(-known.tokens // SHARD_TOKENS))
 
     def opened(left: pa.Table, right: pa.Table):
-        for row in left.to_pylist():
-            places = [(p.as_py(), i.as_py()) for p, i, s in zip(right.column("places"), right.column("ids"), right.column("shard")) if s.as_py() == -1]
-            yield row, Chunk(row, np.array(places[0][0], np.int64) if places else np.empty(0, np.int64), np.array(places[0][1], np.int64) if places else np.empty(0, np.int64), known)
+        parts = {-1 - s: p[0] for s, p in zip(right.column("shard").to_pylist(), right.column("parts").to_pylist()) if s < 0}
+        for row in left.to_pylist():  # one row
+            yield row, Chunk(row, parts, known)
 
     def ship(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = [r for row, chunk in opened(left, right) for r in send(row, chunk, shards)]
@@ -374,8 +417,9 @@ def score(docs: DataFrame) -> DataFrame:
         names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
         return pa.concat_tables([pa.table([pa.array(o[c], t) for c, t in zip(names, types)], names=names) for o in out])
 
-    empty = F.lit(None)
-    replies = answers.where("chunk IS NOT NULL").select("chunk", "shard", "parts", empty.cast("array<int>").alias("places"), empty.cast("array<long>").alias("ids"))
-    both = replies.unionByName(ids.select("chunk", "shard", empty.cast("array<binary>").alias("parts"), "places", "ids"))
+    both = answers.where("chunk IS NOT NULL").select("chunk", "shard", "parts").unionByName(ids)
     schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packed.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finish, schema)
+    path = scratch_path(spark, "scores")
+    packed.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finish, schema).write.parquet(path)
+    spark.sql(f"DROP TABLE {table}")
+    return spark.read.parquet(path)

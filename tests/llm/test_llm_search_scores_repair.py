@@ -149,14 +149,14 @@ def trigram_scores(rows):
 
 @pytest.mark.parametrize("size", [ngram_scores.CHUNK_TOKENS, 300])
 def test_scores_equal_counts_in_a_loop(spark, monkeypatch, size):
-    """Codes of 1/4096 of a unit: a token's logarithm is off by 1/4096 at most."""
+    """Two codes of 1/128 of a unit: a token's logarithm is off by 1/128 at most."""
     rows = documents(9)
     df = spark.createDataFrame(rows, DOCS).repartition(1 if size > 300 else 7)
     got = sorted(map(tuple, ngram_scores.score(df).collect()), key=lambda r: repr(r[:5]) + f"{r[5]:.6f}")
     want = sorted(trigram_scores(rows), key=lambda r: repr(r[:5]) + f"{r[5]:.6f}")
     assert [r[:5] for r in got] == [r[:5] for r in want]
     for g, w in zip(got, want):
-        assert g[5] == pytest.approx(w[5], rel=1e-9) and abs(g[6] - w[6]) <= g[2] / 4096
+        assert g[5] == pytest.approx(w[5], rel=1e-9) and abs(g[6] - w[6]) <= g[2] / 128
 
 
 def test_split_contexts_give_the_same_scores(spark, monkeypatch):
@@ -166,7 +166,7 @@ def test_split_contexts_give_the_same_scores(spark, monkeypatch):
     want = {(r[0], r[2], round(r[5], 6)): r[6] for r in trigram_scores(rows)}
     assert whole.keys() == want.keys()
     # every word of this small vocabulary is among the HOT ones; the loop above knows no split
-    assert all(abs(whole[k] - want[k]) <= k[1] / 4096 for k in whole)
+    assert all(abs(whole[k] - want[k]) <= k[1] / 128 for k in whole)
 
 
 def test_scores_without_rows_or_training_text(spark):
