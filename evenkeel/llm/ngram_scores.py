@@ -48,7 +48,7 @@ from evenkeel.session import scratch_path
 MU2, MU3 = 2000.0, 6.0
 FOLDS, HELD_OUT = 7, 2
 CHUNK_TOKENS = 1_000_000
-SHARD_TOKENS = 3_000_000  # training tokens of one shard, about
+SHARD_TOKENS = 1_000_000  # training tokens of one shard, about
 HOT = 512  # words; two of them make a split context
 END = b"\n"  # no word has white space
 UNKNOWN = -1
@@ -296,12 +296,13 @@ def answer(shard: int, parcels: list[tuple[int, list[bytes]]], known: Vocabulary
     for _, parts in parcels:
         w2, w1, n, w3, count = (take(p) for p in parts)
         got.append((np.cumsum(w2), w1, n, w3, count))
-    sizes = np.array([[len(g[0]), len(g[3])] for g in got])
+    sizes = [(len(g[0]), len(g[3])) for g in got]
     w2, w1 = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
     keys, context = np.unique(w2 << 32 | w1, return_inverse=True)
     of_gram = np.repeat(context, np.concatenate([g[2] for g in got]))
     grams, gram = np.unique(of_gram << 32 | np.concatenate([g[3] for g in got]), return_inverse=True)
     counts = np.bincount(gram, weights=np.concatenate([g[4] for g in got]), minlength=len(grams)).astype(np.int64)
+    del got, of_gram  # only what differs is needed from here on
     gram_context, w3 = grams >> 32, grams & 0xFFFFFFFF
     total = np.bincount(gram_context, weights=counts, minlength=len(keys)).astype(np.int64)
     w1, w2 = keys & 0xFFFFFFFF, keys >> 32
