@@ -39,10 +39,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from evenkeel.llm.common import text_col
+from evenkeel.llm.common import batches, text_col
 from evenkeel.session import scratch_path
 
-SEGMENT_DOCS, SEGMENT_TERMS = 4096, 2_000_000  # of a segment; a longer document is a segment of its own
+SEGMENT_DOCS, SEGMENT_TERMS = 4096, 2_000_000  # of a segment, at most 65536 documents; a longer document is a segment of its own
 BLOCK_TERMS = 400_000  # terms of the items that are searched together; they travel with the tasks
 REACH = 2  # each term of an item is paired with so many that follow in the order of weight
 TOP = 50
@@ -64,52 +64,72 @@ def saturated(tf: np.ndarray, lengths: np.ndarray, n_docs: int, n_terms: int) ->
     return (1_000_000_000 * tf) // (1000 * tf + 20 * m)
 
 
+def slices(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of each stretch of an array."""
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def counts_of(held: bytes, n: int) -> np.ndarray:
+    """Counts of ``n`` documents; a segment writes them in two bytes each, or four if one needs it."""
+    return np.frombuffer(held, np.uint16 if len(held) == 2 * n else np.uint32).astype(np.int64)
+
+
 def build_index(docs: DataFrame) -> DataFrame:
-    """``segment, term, places, counts, ids``, written to the shared folder.
+    """``segment, term, df, total, places, counts, ids``, written to the shared folder.
 
-    A row with a null term lists a segment's documents: ``counts`` has their lengths.
+    ``places`` are the term's documents, as numbers of two bytes, ``counts`` how often
+    each has it. A row with a null term lists a segment's documents: ``counts`` has
+    their lengths, ``total`` the sum of them.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     arrow_ids = pa.list_(to_arrow_type(docs.schema["doc_id"].dataType))
 
-    def segments(stream) -> Iterator[tuple[list, list[list[bytes]]]]:
-        ids, held, size = [], [], 0
-        for batch in stream:
+    def numbers() -> defaultdict:
+        number: dict[bytes, int] = defaultdict(int)
+        number.default_factory = number.__len__
+        return number
+
+    def segments(stream) -> Iterator[tuple[list, list[np.ndarray], dict[bytes, int]]]:
+        ids, held, size, number = [], [], 0, numbers()
+        for batch in batches(stream):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 terms = terms_of(text)
                 if not terms:
                     continue
                 if held and (len(held) >= SEGMENT_DOCS or size + len(terms) > SEGMENT_TERMS):
-                    yield ids, held
-                    ids, held, size = [], [], 0
+                    yield ids, held, number
+                    ids, held, size, number = [], [], 0, numbers()
                 ids.append(doc_id)
-                held.append(terms)
+                held.append(np.fromiter((number[t] for t in terms), np.uint32, len(terms)))
                 size += len(terms)
         if held:
-            yield ids, held
+            yield ids, held, number
 
     def work(stream):
-        for ids, held in segments(stream):
-            number: dict[bytes, int] = defaultdict(int)
-            number.default_factory = number.__len__
-            lengths = np.array([len(t) for t in held], dtype=np.int32)
-            term = np.fromiter((number[t] for terms in held for t in terms), dtype=np.int64, count=int(lengths.sum()))
-            pairs, counts = np.unique(term << 32 | np.repeat(np.arange(len(held)), lengths), return_counts=True)
-            ends = np.searchsorted(pairs >> 32, np.arange(len(number) + 1)).astype(np.int32)
-            segment = uuid4().int >> 65
+        for ids, held, number in segments(stream):
+            lengths = np.array([len(t) for t in held], dtype=np.int64)
+            pairs, counts = np.unique(np.concatenate(held).astype(np.int64) << 32 | np.repeat(np.arange(len(held)), lengths), return_counts=True)
             n = len(number)
+            ends = np.append(np.searchsorted(pairs >> 32, np.arange(n + 1)), [len(pairs)])
+            df = np.append(np.diff(ends)[:-1], len(held))
+            every = np.concatenate([counts, lengths])
+            every = every.astype(np.uint16 if every.max() < 1 << 16 else np.uint32)
+            ends_counts = np.append(ends[:-1], len(every))
             arrays = [
-                pa.array(np.full(n + 1, segment)),
+                pa.array(np.full(n + 1, uuid4().int >> 65)),
                 pa.concat_arrays([pa.array(list(number), pa.binary()).cast(pa.string()), pa.nulls(1, pa.string())]),
-                pa.ListArray.from_arrays(np.append(ends, len(pairs)).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)),
-                pa.ListArray.from_arrays(np.append(ends, len(pairs) + len(held)).astype(np.int32), np.concatenate([counts.astype(np.int32), lengths])),
+                pa.array(df.astype(np.int32)),
+                pa.array(np.append(np.zeros(n, np.int64), lengths.sum())),
+                slices((pairs & 0xFFFFFFFF).astype(np.uint16), ends),
+                slices(every, ends_counts),
                 pa.array([None] * n + [ids], arrow_ids),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["segment", "term", "places", "counts", "ids"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["segment", "term", "df", "total", "places", "counts", "ids"])
 
     path = scratch_path(docs.sparkSession, "index")
     rows = docs.select(docs["doc_id"].alias("doc_id"), text_col(docs).alias("text"))
-    rows.mapInArrow(work, f"segment long, term string, places array<int>, counts array<int>, ids array<{id_type}>").write.parquet(path)
+    rows.mapInArrow(work, f"segment long, term string, df int, total long, places binary, counts binary, ids array<{id_type}>").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -129,8 +149,7 @@ class Block:
 
 def corpus_size(index: DataFrame) -> tuple[int, int]:
     """Documents with a term, and all their terms."""
-    lengths = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    row = index.where("term IS NULL").agg(F.sum(F.size("ids").cast("long")), F.sum(lengths)).first()
+    row = index.where("term IS NULL").agg(F.sum("df"), F.sum("total")).first()
     return row[0] or 0, row[1] or 0
 
 
@@ -150,7 +169,7 @@ def block_of(index: DataFrame, rows: list, n_docs: int) -> Block:
     of_item = [sorted(set(terms_of(r["text"]))) for r in rows]
     words = [w.decode() for w in sorted(set().union(*of_item))]
     asked = spark.createDataFrame([(w,) for w in words], "term string")
-    df = {r["term"]: r["df"] for r in index.select("term", F.size("places").alias("n")).join(asked, "term").groupBy("term").agg(F.sum("n").alias("df")).collect()}
+    df = {r["term"]: r["df"] for r in index.select("term", "df").join(asked, "term").groupBy("term").agg(F.sum("df").alias("df")).collect()}
     words = [w for w in words if w in df]
     number = {w.encode(): k for k, w in enumerate(words)}
     weights = np.array([weight(n_docs, df[w]) for w in words], dtype=np.int64)
@@ -161,28 +180,30 @@ def block_of(index: DataFrame, rows: list, n_docs: int) -> Block:
 def lists(index: DataFrame, block: Block, n_docs: int, n_terms: int) -> DataFrame:
     """``segment, a, b, peak, places, impacts, ids``: impact lists (b = -1), intersection lists, documents (a = -1).
 
-    Rows with ``b = -2`` hold, for item ``a``, the best scores that the segment's lists prove.
+    Impact lists hold the terms' shares (four bytes), to be multiplied by the terms'
+    weights, intersection lists the joint impacts (eight bytes). Rows with ``b = -2`` hold, for item ``a``, the best scores that the segment's lists prove.
     """
     spark = index.sparkSession
     terms = spark.createDataFrame(list(zip(block.words, range(len(block.words)))), "term string, a int")
-    known = index.where("term IS NOT NULL").join(terms, "term").select("segment", "a", "places", "counts", F.lit(None).cast(index.schema["ids"].dataType).alias("ids"))
-    rows = known.unionByName(index.where("term IS NULL").select("segment", F.lit(-1).alias("a"), "places", "counts", "ids"))
+    known = index.where("term IS NOT NULL").join(terms, "term").select("segment", "a", "df", "places", "counts", F.lit(None).cast(index.schema["ids"].dataType).alias("ids"))
+    rows = known.unionByName(index.where("term IS NULL").select("segment", F.lit(-1).alias("a"), "df", "places", "counts", "ids"))
     pairs = block.pairs()
     id_list = index.schema["ids"].dataType.simpleString()
 
     def build(table: pa.Table) -> pa.Table:
         a = table.column("a").to_numpy()
-        places, counts = table.column("places").combine_chunks(), table.column("counts").combine_chunks()
+        df, places, counts = (table.column(c).to_pylist() for c in ("df", "places", "counts"))
         at = int(np.flatnonzero(a == -1)[0])
-        lengths = counts[at].values.to_numpy().astype(np.int64)
-        out: list[tuple[int, int, int, np.ndarray, np.ndarray]] = [(-1, -1, 0, np.empty(0, np.int32), np.empty(0, np.int64))]
+        lengths = counts_of(counts[at], df[at])
+        nothing = np.empty(0, np.uint16)
+        out: list[tuple[int, int, int, np.ndarray, np.ndarray]] = [(-1, -1, 0, nothing, nothing)]
         single: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k, term in enumerate(a.tolist()):
             if term >= 0:
-                where = places[k].values.to_numpy()
-                impact = block.weights[term] * saturated(counts[k].values.to_numpy().astype(np.int64), lengths[where], n_docs, n_terms)
-                single[term] = where, impact
-                out.append((term, -1, int(impact.max()), where, impact))
+                where = np.frombuffer(places[k], np.uint16)
+                share = saturated(counts_of(counts[k], df[k]), lengths[where], n_docs, n_terms)
+                single[term] = where, block.weights[term] * share
+                out.append((term, -1, int(single[term][1].max()), where, share.astype(np.uint32)))
         joint: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         dense, last = np.zeros(len(lengths), dtype=np.int64), -1
         for x, y in pairs:  # sorted by x
@@ -206,7 +227,7 @@ def lists(index: DataFrame, block: Block, n_docs: int, n_terms: int) -> DataFram
                     proven[where] = np.maximum(proven[where], impact)
             best = np.sort(proven[proven > 0])[::-1][:TOP]
             if len(best):
-                out.append((item, -2, 0, np.empty(0, np.int32), best))
+                out.append((item, -2, 0, nothing, best))
         ids = table.column("ids")[at].as_py()
         return pa.table(
             {
@@ -214,8 +235,8 @@ def lists(index: DataFrame, block: Block, n_docs: int, n_terms: int) -> DataFram
                 "a": pa.array([o[0] for o in out], pa.int32()),
                 "b": pa.array([o[1] for o in out], pa.int32()),
                 "peak": pa.array([o[2] for o in out], pa.int64()),
-                "places": pa.array([o[3].astype(np.int32).tobytes() for o in out], pa.binary()),
-                "impacts": pa.array([o[4].astype(np.int64).tobytes() for o in out], pa.binary()),
+                "places": pa.array([o[3].tobytes() for o in out], pa.binary()),
+                "impacts": pa.array([o[4].tobytes() for o in out], pa.binary()),
                 "ids": pa.array([ids] + [None] * (len(out) - 1), table.schema.field("ids").type),
             }
         )
@@ -309,7 +330,7 @@ def found_in(made: DataFrame, block: Block, floors: np.ndarray, top: int) -> Dat
             if y >= 0:
                 joints[x, y] = p
             else:
-                single[x] = np.frombuffer(places[k].as_py(), np.int32), np.frombuffer(impacts[k].as_py(), np.int64)
+                single[x] = np.frombuffer(places[k].as_py(), np.uint16).astype(np.int64), block.weights[x] * np.frombuffer(impacts[k].as_py(), np.uint32).astype(np.int64)
                 peaks[x] = p
         out = []
         for item, own in enumerate(block.terms):
@@ -319,7 +340,9 @@ def found_in(made: DataFrame, block: Block, floors: np.ndarray, top: int) -> Dat
         types = [pa.int32(), table.schema.field("ids").type.value_type, pa.int64()]
         return pa.table({c: pa.array([o[k] for o in out], types[k]) for k, c in enumerate(("item", "doc_id", "score"))})
 
-    return made.where("b <> -2").groupBy("segment").applyInArrow(search, f"item int, doc_id {id_type}, score long")
+    # of a pair only the largest joint impact is needed here
+    slim = [F.when(F.col("b") == -1, F.col(c)).alias(c) for c in ("places", "impacts")]
+    return made.where("b <> -2").select("segment", "a", "b", "peak", *slim, "ids").groupBy("segment").applyInArrow(search, f"item int, doc_id {id_type}, score long")
 
 
 def search(index: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
