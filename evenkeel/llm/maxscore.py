@@ -43,7 +43,7 @@ from evenkeel.llm.common import batches, text_col
 from evenkeel.session import scratch_path
 
 SEGMENT_DOCS, SEGMENT_TERMS = 4096, 2_000_000  # of a segment, at most 65536 documents; a longer document is a segment of its own
-BLOCK_TERMS = 400_000  # terms of the items that are searched together; they travel with the tasks
+BLOCK_TERMS = 400_000  # terms of the items that are searched together; they are broadcast and travel with the tasks
 REACH = 2  # each term of an item is paired with so many that follow in the order of weight
 TOP = 50
 #: ASCII letters and digits; everything else below 128 separates, A to Z become small.
@@ -169,7 +169,7 @@ def block_of(index: DataFrame, rows: list, n_docs: int) -> Block:
     of_item = [sorted(set(terms_of(r["text"]))) for r in rows]
     words = [w.decode() for w in sorted(set().union(*of_item))]
     asked = spark.createDataFrame([(w,) for w in words], "term string")
-    df = {r["term"]: r["df"] for r in index.select("term", "df").join(asked, "term").groupBy("term").agg(F.sum("df").alias("df")).collect()}
+    df = {r["term"]: r["df"] for r in index.select("term", "df").join(F.broadcast(asked), "term").groupBy("term").agg(F.sum("df").alias("df")).collect()}
     words = [w for w in words if w in df]
     number = {w.encode(): k for k, w in enumerate(words)}
     weights = np.array([weight(n_docs, df[w]) for w in words], dtype=np.int64)
@@ -185,7 +185,7 @@ def lists(index: DataFrame, block: Block, n_docs: int, n_terms: int) -> DataFram
     """
     spark = index.sparkSession
     terms = spark.createDataFrame(list(zip(block.words, range(len(block.words)))), "term string, a int")
-    known = index.where("term IS NOT NULL").join(terms, "term").select("segment", "a", "df", "places", "counts", F.lit(None).cast(index.schema["ids"].dataType).alias("ids"))
+    known = index.where("term IS NOT NULL").join(F.broadcast(terms), "term").select("segment", "a", "df", "places", "counts", F.lit(None).cast(index.schema["ids"].dataType).alias("ids"))
     rows = known.unionByName(index.where("term IS NULL").select("segment", F.lit(-1).alias("a"), "df", "places", "counts", "ids"))
     pairs = block.pairs()
     id_list = index.schema["ids"].dataType.simpleString()
