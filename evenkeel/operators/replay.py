@@ -177,8 +177,10 @@ def skip_applied(changes: DataFrame, checkpoint: DataFrame, table: str, seq: str
     once = changes.dropDuplicates(list(identity) if identity else changes.columns)
     if restart:
         return once
-    marks = checkpoint.select(table, F.col("last_seq").alias("__last"))
-    return once.join(marks, table, "left").where(F.col("__last").isNull() | (F.col(seq) > F.col("__last"))).drop("__last")
+    # one row for each table of the feed, so the marks are one value; a join on a feed of one table would lose its key
+    marks = checkpoint.where(F.col(table).isNotNull()).groupBy(table).agg(F.max("last_seq").alias("last"))
+    last = F.try_element_at(marks.agg(F.map_from_entries(F.collect_list(F.struct(table, "last")))).scalar(), F.col(table))
+    return once.where(last.isNull() | (F.col(seq) > last))
 
 
 def split_late(changes: DataFrame, positions: DataFrame, pk: Sequence[str], seq: str) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -19,32 +21,54 @@ MANIFEST_SCHEMA = (
 CORRUPT = "_corrupt"
 
 
-def infer_schema(spark: SparkSession, path: str) -> T.StructType:
+def csv_reader(spark: SparkSession, multi_line: bool):
+    """Header CSV with doubled quotes inside quotes."""
+    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+
+
+def infer_schema(spark: SparkSession, path: str, multi_line: bool = False) -> T.StructType:
     """Types that hold every value of the table, from one distributed pass over all of it."""
-    schema = spark.read.option("header", True).option("inferSchema", True).csv(path).schema
+    schema = csv_reader(spark, multi_line).option("inferSchema", True).csv(path).schema
     if not schema.fields:
         raise ValueError(f"no header in {path}")
     return schema
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
     """Header CSV with one schema for the whole table.
 
     Without a schema the types are inferred from all rows, so they are never narrower
     than the data. A row that doesn't fit a given schema, or has other columns than the
-    header, is kept as text in ``_corrupt``.
+    header, is kept as text in ``_corrupt``. ``multi_line`` reads fields with line breaks
+    inside quotes; a file is then one task.
     """
-    wanted = infer_schema(spark, path) if schema is None else _struct(schema)
+    wanted = infer_schema(spark, path, multi_line) if schema is None else _struct(schema)
     if CORRUPT not in wanted.names:
         wanted = T.StructType([*wanted.fields, T.StructField(CORRUPT, T.StringType())])
     schema = wanted
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
+    return csv_reader(spark, multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
 
 
 def list_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    """Path, size and stem of files; contents are not read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
-    return found.select("path", "length", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"))
+    """Path, size and stem of all files, empty ones too, which Spark's own listing leaves out; contents are not read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        status = files.next()
+        name = status.getPath().getName()
+        if fnmatch(name, glob) and not name.startswith(("_", ".")):
+            found.append((status.getPath().toString(), status.getLen(), name.rpartition(".")[0]))
+    return spark.createDataFrame(found, "path string, length long, stem string")
+
+
+POOL = 8  # files that are looked at side by side; each has jobs of its own
+
+
+def in_pool(call, items: Sequence) -> list:
+    """``call`` for each item, a bounded number at a time, in order."""
+    with ThreadPoolExecutor(POOL) as pool:
+        return list(pool.map(call, items))
 
 
 def read_csv_dir(spark: SparkSession, folder: str, schema: T.StructType | str | None = None) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
@@ -52,13 +76,16 @@ def read_csv_dir(spark: SparkSession, folder: str, schema: T.StructType | str |
 
     Each file is opened and its types inferred here, so a bad one is found now.
     """
-    tables, failed = {}, []
-    for row in list_files(spark, folder, "*.csv").orderBy("path").collect():
+
+    def opened(row):
         try:
-            tables[row.stem] = read_csv(spark, row.path, schema)
+            return read_csv(spark, row.path, schema, multi_line=True), None
         except Exception as err:  # a bad file must not stop the others
-            failed.append((row.path, str(err).splitlines()[0]))
-    return tables, failed
+            return None, str(err).splitlines()[0]
+
+    rows = list_files(spark, folder, "*.csv").orderBy("path").collect()
+    done = list(zip(rows, in_pool(opened, rows)))
+    return {r.stem: df for r, (df, err) in done if err is None}, [(r.path, err) for r, (_, err) in done if err is not None]
 
 
 def rows_per_file(spark: SparkSession, folder: str, glob: str = "*.csv", header: bool = True, multi_line: bool = True) -> DataFrame:

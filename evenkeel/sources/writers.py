@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from evenkeel.operators.marts import newest, with_as_of
-from evenkeel.sources.readers import CORRUPT, list_files, read_csv
+from evenkeel.sources.readers import CORRUPT, in_pool, list_files, read_csv
 
 CODECS = ("snappy", "gzip", "zstd", "none")
 # text formats cut times to milliseconds unless told otherwise
@@ -22,7 +22,7 @@ def write_parquet(df: DataFrame, path: str, compression: str = "snappy", rows_pe
 TOTALS = "rows_read long, rows_written long, bad_rows long"
 
 
-def csv_to_parquet(spark: SparkSession, source: str, target: str, compression: str = "snappy", rows_per_file: int | None = None, schema=None, quarantine: str | None = None) -> DataFrame:
+def csv_to_parquet(spark: SparkSession, source: str, target: str, compression: str = "snappy", rows_per_file: int | None = None, schema=None, quarantine: str | None = None, multi_line: bool = False) -> DataFrame:
     """CSV table to Parquet part files, with one schema for all of them.
 
     One read writes the rows and counts them. Rows that don't fit the schema are never
@@ -30,7 +30,7 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, compression: s
     without one, the conversion ends with an error after the good rows were written.
     Returns the totals.
     """
-    rows = read_csv(spark, source, schema)
+    rows = read_csv(spark, source, schema, multi_line)
     read, written = Observation(), Observation()
     seen = rows.observe(read, F.count(F.lit(1)).alias("rows_read"), F.count(CORRUPT).alias("bad_rows"))
     good = seen.where(F.col(CORRUPT).isNull()).drop(CORRUPT).observe(written, F.count(F.lit(1)).alias("rows_written"))
@@ -50,13 +50,15 @@ def convert_csv_folder(spark: SparkSession, folder: str, target: str, compressio
     its error and stops no other.
     """
     found = list_files(spark, folder, "*.csv").select("path", "stem").orderBy("path").collect()
-    report = []
-    for path, stem in found:
+
+    def converted(row) -> tuple:
         try:
-            row = csv_to_parquet(spark, path, f"{target}/{stem}", compression, quarantine=f"{target}/_rejected/{stem}").first()
-            report.append((stem, *row, None))
+            totals = csv_to_parquet(spark, row.path, f"{target}/{row.stem}", compression, quarantine=f"{target}/_rejected/{row.stem}", multi_line=True).first()
+            return (row.stem, *totals, None)
         except Exception as err:  # a bad file must not stop the others
-            report.append((stem, None, None, None, str(err).splitlines()[0]))
+            return row.stem, None, None, None, str(err).splitlines()[0]
+
+    report = in_pool(converted, found)
     return spark.createDataFrame(report, f"stem string, {TOTALS}, error string")
 
 
