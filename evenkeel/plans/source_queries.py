@@ -282,9 +282,9 @@ def stream_marks(t: Tables):
 
 
 def streamed_beats(t: Tables):
-    out, st, ck = (scratch_path(t.spark, n) for n in ("beats", "streaks", "ck"))
+    out, ck = (scratch_path(t.spark, n) for n in ("beats", "ck"))
     stream = sc.table_stream(t.spark, t.path("events"), t.events.schema).selectExpr("event_id AS id", "ts", "user_id AS target", "(event_type <> 'error') AS ok")
-    sh.heartbeat_stream(stream, out, KeyedState(t.spark, st, ["target"], "target long, streak long"), ck)
+    sh.heartbeat_stream(stream, out, ck)
     return t.spark.read.parquet(out)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from evenkeel.operators import replay as rp
 from evenkeel.sources.readers import CORRUPT, parse_queue
+from evenkeel.streaming import keyed as kd
 from evenkeel.streaming.state import KeyedState
 
 
@@ -68,37 +69,40 @@ def replay_stream(
     ts: str = "ts",
     policy: rp.Policy = rp.Policy(),
     dead: str | None = None,
+    carried: str | None = None,
 ) -> StreamingQuery:
-    """Ordered replay per micro-batch with a checkpoint per table.
-
-    Only the keys of the batch are folded and written back. Spark's checkpoint takes
-    every file once; beyond that a change is ignored only if its own key is already
-    further, so files with interleaving positions lose nothing. Late changes and those
-    that the policy skipped go to ``dead``, if given, each with its reason.
+    """Ordered replay with Spark's keyed state, and a checkpoint per table.
+
+    The row, its life and its last position are the state of the key; a micro-batch
+    touches the keys that it has changes for. ``state`` is the sink: it gets the new
+    version of each touched row. Spark's checkpoint takes every file once; beyond that a
+    change is ignored only if its own key is already further, so files with interleaving
+    positions lose nothing. Late changes and those that the policy skipped go to
+    ``dead``, if given, each with its reason.
     """
     pk = list(state.keys)
+    row = StructType.fromDDL(state.schema)
+    cols = [f for f in row.fields if f.name not in pk]
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    kept = ", ".join(["alive boolean", f"last {kinds[seq]}", *(f"`{f.name}` {f.dataType.simpleString()}" for f in cols)])
+    schema = kd.replay_schema(pk, row, kinds, seq, ts, table)
+    names = StructType.fromDDL(schema).names
+    processor = kd.Replay(pk, [f.name for f in cols], names, kept, seq, ts, table, policy, carried)
+    replayed = stream.groupBy(*pk).transformWithState(processor, schema, "Update", "None")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # read for borders, fold and checkpoint
-        old_marks = marks.before(batch_id)
-        kinds = {f.name: f.dataType.simpleString() for f in [*StructType.fromDDL(state.schema).fields, *batch.schema.fields]}
-        key_positions = ", ".join(f"{c} {kinds[c]}" for c in pk) + f", last_seq {kinds[seq]}"
-        positions = KeyedState(state.spark, f"{state.path}_positions", state.keys, key_positions, state.per_generation)
-        fresh, late = rp.split_late(batch.dropDuplicates(), positions.before(batch_id), pk, seq)
-        target = state.before(batch_id)
-        cols = [c for c in target.columns if c not in pk]
-        annotated = rp.annotate(target, fresh.drop(ts), pk, seq, "op", policy)
-        state.write(batch_id, rp.fold(annotated, pk, cols, seq, "op", keep_dead=True))
+        batch = batch.persist()  # three sinks read it
+        state.write(batch_id, batch.where(F.col("__kind") == kd.ROW).select(*row.names, "alive"))
         if dead is not None:
-            skipped = annotated.where(F.col("outcome").isin("conflict_skipped", "missing_skipped", "unknown_op")).select(*pk, seq, "op", F.col("outcome").alias("reject_reason"))
-            failed = late.select(*pk, seq, "op", F.lit("behind the key's last position").alias("reject_reason")).unionByName(skipped)
+            failed = batch.where(F.col("__kind") == kd.REJECTED).select(*pk, F.col("__seq").alias(seq), F.col("__op").alias("op"), F.col("__reason").alias("reject_reason"))
             failed.write.mode("overwrite").json(f"{dead}/batch_id={batch_id}")
-        positions.write(batch_id, fresh.groupBy(*pk).agg(F.max(seq).alias("last_seq")))
-        new_marks = rp.checkpoint_of(fresh, table, seq, ts)
-        marks.write(batch_id, rp.merge_checkpoint(old_marks, new_marks, table))
+        new = batch.where(F.col("__kind") == kd.MARK).groupBy(F.col("__table").alias(table))
+        new = new.agg(F.max("__seq").alias("last_seq"), F.max("__ts").alias("last_timestamp"), F.sum("__n").alias("rows_applied"))
+        marks.write(batch_id, rp.merge_checkpoint(marks.before(batch_id), new, table))  # one row for each table
         batch.unpersist()
 
-    return run_available(stream.writeStream.foreachBatch(each), checkpoint)
+    with kd.rocksdb(state.spark):
+        return run_available(replayed.writeStream.outputMode("update").foreachBatch(each), checkpoint)
 
 
 def dedupe_stream(stream: DataFrame, ts: str, keys: Sequence[str], delay: str) -> DataFrame:

@@ -4,29 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from evenkeel.operators.ordered import heartbeat
 from evenkeel.operators.telemetry import route
+from evenkeel.streaming import keyed as kd
 from evenkeel.streaming.changes import run_available
 from evenkeel.streaming.state import KeyedState
 
 
-def heartbeat_stream(stream: DataFrame, out: str, state: KeyedState, checkpoint: str, key: str = "target", order: tuple[str, ...] = ("ts", "id"), threshold: int = 3) -> StreamingQuery:
-    """Failure streaks across micro-batches.
+def heartbeat_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "target", order: tuple[str, ...] = ("ts", "id"), threshold: int = 3) -> StreamingQuery:
+    """Failure streaks across micro-batches, kept per target in Spark's keyed state.
 
-    A batch starts from the streaks the last one left and runs the segmented
-    batch operator, so a target with most of the checks is still spread out.
+    Results are appended to Parquet files at ``out``; each check is in them once, also
+    after a restart.
     """
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # read for borders and for both windows
-        beats = heartbeat(batch, key, list(order), "ok", threshold, prior=state.before(batch_id))
-        beats.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        done = batch.sparkSession.read.parquet(f"{out}/batch_id={batch_id}")
-        batch.unpersist()
-        state.write(batch_id, done.groupBy(key).agg(F.max_by("streak", F.struct(*order)).alias("streak")))
-
-    return run_available(stream.writeStream.foreachBatch(each), checkpoint)
+    schema = StructType([*stream.schema.fields, StructField("streak", LongType()), StructField("alarm", BooleanType())])
+    beats = stream.groupBy(key).transformWithState(kd.Streaks(stream.columns, order, threshold), schema, "Append", "None")
+    with kd.rocksdb(stream.sparkSession):
+        return run_available(beats.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint)
 
 
 def failover_events(beats: DataFrame) -> DataFrame:

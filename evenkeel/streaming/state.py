@@ -31,7 +31,7 @@ class KeyedState:
         try:
             return self.spark.read.parquet(path)
         except AnalysisException as err:
-            if "PATH_NOT_FOUND" in str(err):
+            if "PATH_NOT_FOUND" in str(err) or "UNABLE_TO_INFER_SCHEMA" in str(err):  # or a first write that failed
                 return None
             raise
 

@@ -181,11 +181,44 @@ def test_heartbeat_stream_carries_streaks(spark, tmp_path):
     for i, ok in enumerate(oks):
         d = spark.createDataFrame([(i, "db", ok)], "id long, target string, ok boolean").withColumn("ts", F.timestamp_seconds("id"))
         d.coalesce(1).write.mode("append").json(src)
-    stream = spark.readStream.schema("id long, target string, ok boolean, ts timestamp").option("maxFilesPerTrigger", 2).json(src)
-    sh.heartbeat_stream(stream, out, KeyedState(spark, str(tmp_path / "st"), ["target"], "target string, streak long", 2), str(tmp_path / "ck"))
+    schema = "id long, target string, ok boolean, ts timestamp"
+    sh.heartbeat_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).json(src), out, str(tmp_path / "ck"))
     got = rows(spark.read.parquet(out), "id", "streak", "alarm")
     assert [g[1] for g in got] == [0, 1, 2, 3, 0, 1, 2, 3, 4]
     assert [g[2] for g in got] == [s >= 3 for s in [0, 1, 2, 3, 0, 1, 2, 3, 4]]
+    # more files after a restart: the streak goes on, and nothing comes twice
+    d = spark.createDataFrame([(9, "db", False), (10, "db", None), (11, "other", False)], "id long, target string, ok boolean").withColumn("ts", F.timestamp_seconds("id"))
+    d.coalesce(1).write.mode("append").json(src)
+    sh.heartbeat_stream(spark.readStream.schema(schema).json(src), out, str(tmp_path / "ck"))
+    assert rows(spark.read.parquet(out).where("id > 7"), "id", "streak") == [(10, 6), (11, 1), (8, 4), (9, 5)]
+
+
+def test_stream_with_parts_of_rows_equals_one_replay(spark, tmp_path):
+    """Changes that carry some columns, every policy but ABORT, several files and a restart."""
+    c = feed(n=90, seed=8, ops="IUDX")
+    schema = CHANGE + ", ts timestamp, table string"
+    src = str(tmp_path / "in")
+    for part in range(3):
+        d = spark.createDataFrame(c[part * 30 : part * 30 + 30], CHANGE).withColumn("ts", F.timestamp_seconds("seq")).withColumn("table", F.lit("t"))
+        d.coalesce(1).write.mode("append").json(src)
+        for conflict in ("SKIP", "UPSERT"):
+            state = KeyedState(spark, str(tmp_path / conflict / "state"), ["pk"], TARGET)
+            marks = KeyedState(spark, str(tmp_path / conflict / "marks"), ["table"], "table string, last_seq long, last_timestamp timestamp, rows_applied long")
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(src)
+            sc.replay_stream(stream, state, marks, str(tmp_path / conflict / "ck"), policy=rp.Policy(conflict), carried="cols")
+            changes = spark.createDataFrame(c[: part * 30 + 30], CHANGE)
+            want = rp.replay(spark.createDataFrame([], TARGET), changes, ["pk"], policy=rp.Policy(conflict), carried="cols")
+            assert rows(state.latest(), "pk", "a", "b") == rows(want, "pk", "a", "b")
+
+
+def test_a_stream_that_breaks_the_policy_stops(spark, tmp_path):
+    d = spark.createDataFrame([(1, 5, "U", 1, "x", ["a"])], CHANGE).withColumn("ts", F.timestamp_seconds("seq")).withColumn("table", F.lit("t"))
+    d.write.json(str(tmp_path / "in"))
+    state = KeyedState(spark, str(tmp_path / "state"), ["pk"], TARGET)
+    marks = KeyedState(spark, str(tmp_path / "marks"), ["table"], "table string, last_seq long, last_timestamp timestamp, rows_applied long")
+    with pytest.raises(Exception, match="missing_abort"):
+        sc.replay_stream(spark.readStream.schema(d.schema).json(str(tmp_path / "in")), state, marks, str(tmp_path / "ck"), policy=rp.Policy("ABORT", "ABORT"))
+    assert state.latest().count() == 0
 
 
 def test_state_removes_dead_keys_and_survives_repeats(spark, tmp_path):
