@@ -34,15 +34,20 @@ WITH line AS (
   SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS line
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
 ), filled AS (
-  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13)) AS body, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS c
+  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13)) AS body, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS c,
+    len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
   FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), three AS (
-  SELECT doc_id, c, body || chr(10) || lead(body, 1) OVER w || chr(10) || lead(body, 2) OVER w AS run
+  SELECT doc_id, c, body, n, lead(body, 1) OVER w AS body2, lead(n, 1) OVER w AS n2, lead(body, 2) OVER w AS body3
   FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), run AS (
+  SELECT doc_id, c, 3 AS lines, body || chr(10) || body2 || chr(10) || body3 AS run FROM three WHERE body3 IS NOT NULL
+  UNION ALL SELECT doc_id, c, 2, body || chr(10) || body2 FROM three WHERE n + n2 >= 50
+  UNION ALL SELECT doc_id, c, 1, body FROM three WHERE n >= 50
 ), later AS (
-  SELECT doc_id, c FROM three WHERE run IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, c) > 1
+  SELECT doc_id, c, lines FROM run QUALIFY row_number() OVER (PARTITION BY lines, run ORDER BY doc_id, c) > 1
 ), gone AS (
-  SELECT DISTINCT filled.doc_id, filled.pos FROM filled JOIN later ON filled.doc_id = later.doc_id AND filled.c BETWEEN later.c AND later.c + 2
+  SELECT DISTINCT filled.doc_id, filled.pos FROM filled JOIN later ON filled.doc_id = later.doc_id AND filled.c BETWEEN later.c AND later.c + later.lines - 1
 )
 SELECT line.doc_id, count(*) AS n_lines, count(gone.pos) AS n_removed,
   md5(coalesce(string_agg(line.line, chr(10) ORDER BY line.pos) FILTER (WHERE gone.pos IS NULL), '')) AS kept_md5

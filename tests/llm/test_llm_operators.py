@@ -195,26 +195,44 @@ def test_votes_separate_reliable_labelers():
     assert weak_pii.train([]) == []
 
 
-def test_line_dedup_matches_loop(docs, nothing):
-    rows = sorted({(i is None, i, t or "") for i, t, *_ in awkward()}, key=lambda x: (x[0], x[1] or 0))
-    got = {(r["doc_id"], r["kept"], tuple(r["removed"])) for r in winnow.dedup_lines(docs.where("doc_id IS NOT NULL AND doc_id <> 4")).collect()}
+def later_repeats(rows):
+    """Kept text and removed lines of each document: runs of three lines, or of fifty words, count."""
+    rows = sorted({(i is None, i, t or "") for i, t, *_ in rows}, key=lambda x: (x[0], x[1] or 0))
     seen, want = {}, set()
-    for null, i, text in rows:
-        if null or i == 4:
-            continue
+    for _, i, text in rows:
         parts = text.split("\n")
         filled = [k for k, x in enumerate(parts) if words_in(x)]
         gone = set()
-        for a in range(len(filled) - 2):
-            window = tuple(parts[k].strip(" \t\r") for k in filled[a : a + 3])
-            if seen.setdefault(window, (i, a)) != (i, a):
-                gone.update(filled[a : a + 3])
+        for lines in (1, 2, 3):
+            for a in range(len(filled) - lines + 1):
+                window = tuple(parts[k].strip(" \t\r") for k in filled[a : a + lines])
+                if lines < 3 and sum(len(words_in(x)) for x in window) < 50:
+                    continue
+                if seen.setdefault(window, (i, a)) != (i, a):
+                    gone.update(filled[a : a + lines])
         want.add((i, "\n".join(x for k, x in enumerate(parts) if k not in gone), tuple(sorted(gone))))
-    assert got == want
+    return want
+
+
+def deduped(df):
+    return {(r["doc_id"], r["kept"], tuple(r["removed"])) for r in winnow.dedup_lines(df).collect()}
+
+
+def test_line_dedup_matches_loop(docs, nothing):
+    assert deduped(docs.where("doc_id IS NOT NULL AND doc_id <> 4")) == later_repeats(r for r in awkward() if r[0] not in (None, 4))
     assert winnow.dedup_lines(nothing).count() == 0
     assert winnow.dedup_lines(docs).count() == len(awkward())
 
 
+def test_long_lines_count_alone_and_in_pairs(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    half, rest = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(20))
+    rows = [(1, long), (2, "head\n" + long + " \ntail"), (3, long + "\n" + long), (4, long), (5, half + "\n\n" + rest), (6, "x\n" + half + "\n" + rest), (7, half), (8, rest + "\n" + half), (9, " ".join(f"a{i}" for i in range(49))), (10, " ".join(f"a{i}" for i in range(49))), (11, None)]
+    got = deduped(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == later_repeats(rows)
+    assert {(i, gone) for i, _, gone in got} == {(1, ()), (2, (1,)), (3, (0, 1)), (4, (0,)), (5, ()), (6, (1, 2)), (7, ()), (8, ()), (9, ()), (10, ()), (11, ())}
+
+
 def near_duplicates(rows, threshold=0.8):
     sets, links, root = [], [0] * len(rows), list(range(len(rows)))
     for _, text in rows:
