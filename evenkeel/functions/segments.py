@@ -272,15 +272,17 @@ def _scaled(value: str) -> Column:
     return _whole(F.col(value).cast("double") * 1000)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], weight: str | None = None) -> DataFrame:
     """Interpolated quantiles per key without holding a group in memory.
 
+    ``weight`` says how often a row's value counts.
+
     Equal values are counted first (partial aggregation), ranks come from a
     running count, and each quantile is the pair of values at the two neighbouring
     ranks.
     """
     layout = find_layout(df.withColumn("__ord", _scaled(value)), keys, "__ord")
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("__n"))
     ranked = counted.withColumn("__ord", _scaled(value))
     n = F.col("__n")
     joined = running(ranked, keys, ["__ord", value], {"__cum": ("sum", n)}, whole={"__total": ("sum", n)}, layout=layout)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from evenkeel.functions.segments import exact_quantiles
@@ -150,10 +151,33 @@ def dr_attainment(drills: DataFrame, fleet: DataFrame, service: str) -> DataFram
     return j.withColumn("rto_met", F.col("actual_rto") <= F.col("rto_minutes")).withColumn("rpo_met", F.col("actual_rpo") <= F.col("rpo_minutes"))
 
 
+#: What hides words of a statement: texts, quoted names and comments, whichever begins first.
+HIDDEN = r"(?s)'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|\$(\w*)\$.*?\$\1\$|--[^\n]*|/\*.*?\*/"
+
+
+def scanned(sql: str | Column) -> Column:
+    """The statement in small letters with a mark in place of texts, quoted names and comments.
+
+    Alternatives are tried where they begin, from left to right, so a quote inside a
+    comment, or a comment inside a text, opens nothing.
+    """
+    return F.trim(F.regexp_replace(F.lower(sql), HIDDEN, " ~ "))
+
+
+def outer_level(text: Column) -> Column:
+    """The text without what stands in brackets: the innermost are taken out, once for each that opens."""
+    opened = F.length(F.regexp_replace(text, r"[^(]", ""))
+    return F.when(opened == 0, text).otherwise(F.aggregate(F.sequence(F.lit(1), opened), text, lambda left, _: F.regexp_replace(left, r"\([^()]*\)", " ")))
+
+
 def score_statements(log: DataFrame, sql: str, no_index: str, level: str = "moderate") -> DataFrame:
-    """Risk score, level and action of each statement."""
-    text = F.lower(F.trim(sql))
-    has_where = text.rlike(r"\bwhere\b")
+    """Risk score, level and action of each statement.
+
+    A condition counts only if it is the statement's own: one in a text, a comment or a
+    subquery protects nothing.
+    """
+    text = F.regexp_replace(scanned(sql), r"^[\s;]*(~\s+)*", "")
+    has_where = outer_level(text).rlike(r"\bwhere\b")
     weights = {
         "delete_without_where": text.rlike(r"^delete\s+from\b") & ~has_where,
         "update_without_where": text.rlike(r"^update\s+\S+\s+set\b") & ~has_where,
@@ -259,10 +283,41 @@ def window_metrics(df: DataFrame, ts: str, keys: Sequence[str], window: str, sli
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *keys, F.explode(pairs).alias("p")).select("window_start", *keys, "p.*")
 
 
+def pane_counts(df: DataFrame, ts: str, keys: Sequence[str], slide: str, value: str, bad: Column | None = None) -> DataFrame:
+    """How often each value came in each pane of ``slide`` (C15). Batch or streaming.
+
+    Counts of different batches add up, and those of a window's panes give its exact
+    quantile; ``bad`` tells apart rows that count as errors.
+    """
+    w = F.window(F.col(ts).cast("timestamp"), slide)
+    marked = df.withColumn("__bad", F.coalesce(bad if bad is not None else F.lit(False), F.lit(False)))
+    counted = marked.groupBy(w.alias("w"), *keys, value, "__bad").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("w.start").cast("timestamp_ntz").alias("pane"), *keys, F.col(value).alias("value"), F.col("__bad").alias("bad"), "n")
+
+
+def windows_of_panes(panes: DataFrame, window: str, slide: str) -> DataFrame:
+    """Each pane's counts once for every sliding window that it is in; ``window`` must hold whole panes."""
+    if pd.Timedelta(window) % pd.Timedelta(slide):
+        raise ValueError(f"a window of {window} has no whole number of panes of {slide}")
+    start = F.window(F.col("pane").cast("timestamp"), window, slide)["start"].cast("timestamp_ntz")
+    return panes.select("*", start.alias("window_start")).drop("pane")
+
+
+def metrics_of_panes(panes: DataFrame, keys: Sequence[str], window: str, slide: str, p: float = 0.95) -> DataFrame:
+    """``latency_p95`` (or another percentile), ``error_ratio`` and ``events`` per sliding window, from pane counts."""
+    w = windows_of_panes(panes, window, slide)
+    q = exact_quantiles(w, ["window_start", *keys], "value", {"q": p}, "n")
+    quantile = q.select("window_start", *keys, F.lit(f"latency_p{p * 100:g}").alias("metric"), F.round("q", 6).alias("value"))
+    n, bad = F.sum("n"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0))
+    sums = w.groupBy("window_start", *keys).agg((bad.cast("double") / n).alias("error_ratio"), n.cast("double").alias("events"))
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("error_ratio", "events")])
+    return quantile.unionByName(sums.select("window_start", *keys, F.explode(pairs).alias("p")).select("window_start", *keys, "p.*"))
+
+
 def window_quantile(df: DataFrame, ts: str, keys: Sequence[str], window: str, slide: str, value: str, p: float, metric: str) -> DataFrame:
-    """Exact quantile per sliding window, batch only."""
-    w = df.select(F.window(F.col(ts).cast("timestamp"), window, slide)["start"].cast("timestamp_ntz").alias("window_start"), *keys, value)
-    q = exact_quantiles(w, ["window_start", *keys], value, {"q": p})
+    """Exact quantile per sliding window (C15): values are counted per pane before panes are copied to their windows."""
+    w = windows_of_panes(pane_counts(df, ts, keys, slide, value), window, slide)
+    q = exact_quantiles(w, ["window_start", *keys], "value", {"q": p}, "n")
     return q.select("window_start", *keys, F.lit(metric).alias("metric"), F.round("q", 6).alias("value"))
 
 

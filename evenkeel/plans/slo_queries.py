@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators import slo, telemetry as tm
 from evenkeel.plans.registry import Tables, query
+from evenkeel.session import cut_lineage
 
 TIER = "CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END"
 
@@ -115,6 +116,31 @@ def statements(t: Tables):
     return scored(t).select("event_id", "risk_score", "risk_level", "action_taken")
 
 
+# statements of orders, each with words that must not count; the twin knows which kind is which
+TRAPS = [
+    ("DELETE FROM orders -- where o_orderkey = #", "delete_without_where"),
+    ("DELETE FROM orders WHERE note = 'it''s -- gone' AND o_orderkey = #", ""),
+    ("UPDATE orders SET note = 'where #'", "update_without_where"),
+    ("DELETE FROM orders USING (SELECT k FROM t WHERE k IN (1, (2))) AS s /* where # */", "delete_without_where"),
+    ("/* first */ UPDATE orders SET a = (SELECT max(b) FROM t WHERE c = 1) WHERE o_orderkey = #", ""),
+    ("-- truncate\nSELECT \"delete from\" FROM t WHERE k = '(' AND n = #", ""),
+    ("TRUNCATE TABLE t#", "truncate"),
+    ("DELETE FROM \"where\" /* it's # */", "delete_without_where"),
+]
+
+
+@query(
+    "l10_scanned_statements",
+    "SELECT o_orderkey, v AS violations, CASE WHEN v = '' THEN 0 ELSE 100 END AS risk_score, CASE WHEN v = '' THEN 'LOW' ELSE 'CRITICAL' END AS risk_level FROM (SELECT o_orderkey, CASE o_orderkey % 8 "
+    + " ".join(f"WHEN {k} THEN '{v}'" for k, (_, v) in enumerate(TRAPS))
+    + " END AS v FROM orders)",
+)
+def scanned_statements(t: Tables):
+    text = F.element_at(F.array(*[F.lit(x) for x, _ in TRAPS]), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    log = t.orders.select("o_orderkey", F.replace(text, F.lit("#"), F.col("o_orderkey").cast("string")).alias("sql_text"), F.lit(False).alias("no_index"))
+    return slo.score_statements(log, "sql_text", "no_index").select("o_orderkey", "violations", "risk_score", "risk_level")
+
+
 @query("a35_violations_by_user", f"SELECT user_id, count(*) AS violation_count, cast(sum(risk_score) AS double) / count(*) AS avg_risk FROM {SCORED} WHERE risk_score > 0 AND ts > (SELECT max(ts) FROM events) - INTERVAL 30 DAY GROUP BY 1")
 def violators(t: Tables):
     return slo.violations_by_user(scored(t), "user_id", "ts")
@@ -206,6 +232,11 @@ def metrics(t: Tables):
     return plain.unionByName(slo.window_quantile(e, "ts", [], "6 hours", "1 hour", "value", 0.95, "latency_p95"))
 
 
+def settled(t: Tables):
+    """The metrics, computed once: an alert looks at them more than once."""
+    return cut_lineage(metrics(t))
+
+
 @query("c15_window_metrics", f"SELECT * FROM {METRICS}")
 def windowed(t: Tables):
     return metrics(t)
@@ -215,23 +246,24 @@ EVAL = f"""(SELECT r.alert, r.severity, r.f, m.window_start, CASE WHEN r.above T
   ('ErrorRateBreach','error_ratio',true,0.25,3600,'Sev-1'),('ThroughputDrop','events',false,70.0,0,'Sev-1')) r(alert, metric, above, threshold, f, severity) ON r.metric = m.metric)"""
 
 
-@query(
-    "c15_fired_alerts",
-    f"""SELECT alert, severity, min(window_start) AS started, max(window_start) AS ended, count(*) AS samples, (epoch_us(max(window_start)) - epoch_us(min(window_start))) / 1e6 AS duration_s
-     FROM (SELECT *, sum(CASE WHEN breached THEN 0 ELSE 1 END) OVER (PARTITION BY alert ORDER BY window_start) AS b FROM {EVAL}) WHERE breached GROUP BY alert, severity, f, b HAVING (epoch_us(max(window_start)) - epoch_us(min(window_start))) / 1e6 >= f""",
-)
+COMPOSITE = {"latency_p95": 10.0, "error_ratio": 0.2}
+FIRED = f"""SELECT alert, severity, min(window_start) AS started, max(window_start) AS ended, count(*) AS samples, (epoch_us(max(window_start)) - epoch_us(min(window_start))) / 1e6 AS duration_s
+     FROM (SELECT *, sum(CASE WHEN breached THEN 0 ELSE 1 END) OVER (PARTITION BY alert ORDER BY window_start) AS b FROM {EVAL}) WHERE breached GROUP BY alert, severity, f, b HAVING (epoch_us(max(window_start)) - epoch_us(min(window_start))) / 1e6 >= f"""
+
+
+@query("c15_fired_alerts", FIRED)
 def fired(t: Tables):
-    return slo.fired_alerts(slo.evaluate_rules(metrics(t), RULES), [])
+    return slo.fired_alerts(slo.evaluate_rules(settled(t), RULES), [])
 
 
-@query(
-    "c16_composite_alert",
-    f"""WITH w AS (SELECT window_start, max(value) FILTER (WHERE metric = 'latency_p95') p, max(value) FILTER (WHERE metric = 'error_ratio') e FROM {METRICS} GROUP BY 1),
+COMPOSED = f"""WITH w AS (SELECT window_start, max(value) FILTER (WHERE metric = 'latency_p95') p, max(value) FILTER (WHERE metric = 'error_ratio') e FROM {METRICS} GROUP BY 1),
      g AS (SELECT *, p > 10 AND e > 0.2 AS c, sum(CASE WHEN p > 10 AND e > 0.2 THEN 0 ELSE 1 END) OVER (ORDER BY window_start) AS b FROM w)
-     SELECT min(window_start) AS started, max(window_start) AS ended, count(*) AS samples, (epoch_us(max(window_start)) - epoch_us(min(window_start))) / 1e6 AS duration_s FROM g WHERE c GROUP BY b HAVING (epoch_us(max(window_start)) - epoch_us(min(window_start))) / 1e6 >= 3600""",
-)
+     SELECT min(window_start) AS started, max(window_start) AS ended, count(*) AS samples, (epoch_us(max(window_start)) - epoch_us(min(window_start))) / 1e6 AS duration_s FROM g WHERE c GROUP BY b HAVING (epoch_us(max(window_start)) - epoch_us(min(window_start))) / 1e6 >= 3600"""
+
+
+@query("c16_composite_alert", COMPOSED)
 def composite(t: Tables):
-    return slo.composite_alert(metrics(t), [], {"latency_p95": 10.0, "error_ratio": 0.2}, 3600)
+    return slo.composite_alert(settled(t), [], COMPOSITE, 3600)
 
 
 @query(

@@ -8,9 +8,9 @@ from evenkeel.operators import slo
 from evenkeel.plans.change_queries import CHANGES, USERS, replay_sql
 from evenkeel.plans.derived import CHANGES_LATE, TGT_ORDERS, changes, changes_late, src_orders, tgt_orders
 from evenkeel.plans.registry import Tables, query
-from evenkeel.plans.slo_queries import SLIDING
+from evenkeel.plans.slo_queries import COMPOSED, COMPOSITE, FIRED, RULES, SLIDING
 from evenkeel.plans.telemetry_queries import ROUTED, STREAK
-from evenkeel.session import scratch_path
+from evenkeel.session import cut_lineage, scratch_path
 from evenkeel.sources import readers as rd, writers as wr
 from evenkeel.streaming import changes as sc, health as sh
 from evenkeel.streaming.state import KeyedState
@@ -319,6 +319,27 @@ def alert_stream(t: Tables):
     return slo.evaluate_rules(state.latest(), rules).select("window_start", "metric", "value", "breached")
 
 
+def streamed_metrics(t: Tables):
+    """Exact value counts per pane, kept by a stream over several files, as metrics of sliding windows."""
+    src, st, ck = (scratch_path(t.spark, n) for n in ("samples", "panes", "ck"))
+    t.events.select("ts", "value", (F.col("event_type") == "error").alias("bad")).repartition(4).write.parquet(src)
+    stream = t.spark.readStream.schema(t.spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    panes = slo.pane_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "365 days"), "ts", [], "1 hour", "value", F.col("bad"))
+    state = KeyedState(t.spark, st, ["pane", "value", "bad"], "pane timestamp_ntz, value double, bad boolean, n long")
+    sh.upsert_windows(panes, state, ck)
+    return cut_lineage(slo.metrics_of_panes(state.latest(), [], "6 hours", "1 hour"))
+
+
+@query("c15_stream_fired", FIRED)
+def stream_fired(t: Tables):
+    return slo.fired_alerts(slo.evaluate_rules(streamed_metrics(t), RULES), [])
+
+
+@query("c16_stream", COMPOSED)
+def stream_composite(t: Tables):
+    return slo.composite_alert(streamed_metrics(t), [], COMPOSITE, 3600)
+
+
 @query("l11_format_bench")
 def formats(t: Tables):
     from evenkeel.operators.formats import format_bench
