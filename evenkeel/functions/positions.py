@@ -73,3 +73,8 @@ def lag_minute_boundaries(ts: Column, as_of: Column) -> Column:
     a = F.unix_micros(F.date_trunc("minute", as_of).cast("timestamp"))
     b = F.unix_micros(F.date_trunc("minute", ts).cast("timestamp"))
     return F.round((a - b) / F.lit(6e7)).cast("long")
+
+
+def composite(lsn: str, seqval: str, code: str) -> Column:
+    """Log position and place in its transaction (hexadecimal, each of a fixed width) and operation code as one binary that sorts like the three."""
+    return F.unhex(F.concat(F.col(lsn), F.col(seqval), F.lpad(F.hex(F.col(code).cast("long")), 2, "0")))

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evenkeel.session import cut_lineage
+
 # Column types that a migration cannot carry over safely.
 UNSUPPORTED_TYPES = ["text", "ntext", "image", "sql_variant", "hierarchyid", "geography", "geometry"]
 
@@ -155,3 +157,36 @@ def stale_stats(df: DataFrame, analyzed: str, max_age_days: int, as_of: DataFram
         F.when(F.col(analyzed).isNull(), "NEVER_ANALYZED").when(F.col("stale_stats") == "YES", "FLAGGED").when(age > max_age_days, "TOO_OLD")
     )
     return df.withColumn("as_of", as_of.scalar()).withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("as_of")
+
+
+def inherited_roles(grants: DataFrame, member: str = "member_role_id", role: str = "role_id") -> DataFrame:
+    """``member, role, path, depth``: every role that a role holds over others, by the shortest way (Q17).
+
+    ``grants`` has a row for each role that is a member of another. Of equally short ways
+    the least path counts; a cycle gives each of its roles the others, and itself, once.
+    Rounds follow the pairs that are new, so they are as many as the longest shortest way.
+    """
+    links = cut_lineage(grants.select(member, role).distinct())
+    path = F.array(F.col(member), F.col(role))
+    found = fresh = cut_lineage(links.select(member, role, path.alias("path"), F.lit(1).alias("depth")))
+    onward = links.select(F.col(member).alias("__via"), F.col(role).alias("__next"))
+    while not fresh.isEmpty():
+        step = fresh.join(onward, fresh[role] == onward["__via"])
+        longer = step.select(member, F.col("__next").alias(role), F.array_append("path", F.col("__next")).alias("path"), (F.col("depth") + 1).alias("depth"))
+        best = longer.groupBy(member, role).agg(F.min("path").alias("path"), F.min("depth").alias("depth"))
+        fresh = cut_lineage(best.join(found.select(member, role), [member, role], "left_anti"))
+        found = cut_lineage(found.unionByName(fresh))
+    return found
+
+
+def inherited_privileges(members: DataFrame, grants: DataFrame, roles: DataFrame, principals: DataFrame, privileged: Sequence[str]) -> DataFrame:
+    """Each principal's roles, direct and inherited, with the way to them and a finding (Q17).
+
+    ``members`` (principal_id, role_id) are direct memberships. The closure is taken over
+    the roles, which are few, and joined to the members once.
+    """
+    closure = inherited_roles(grants).select(F.col("member_role_id").alias("__direct"), F.col("role_id").alias("__role"), "path", "depth")
+    direct = members.select("principal_id", "role_id", F.array("role_id").alias("path"), F.lit(0).alias("depth"))
+    over = members.join(closure, members["role_id"] == closure["__direct"]).select("principal_id", F.col("__role").alias("role_id"), "path", "depth")
+    every = direct.unionByName(over).groupBy("principal_id", "role_id").agg(F.min(F.struct("depth", "path")).alias("way"))
+    return access_audit(every.select("principal_id", "role_id", "way.depth", "way.path"), roles, principals, privileged)

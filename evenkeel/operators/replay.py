@@ -10,14 +10,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from evenkeel.functions.positions import decode_op, lag_minutes
-from evenkeel.functions.segments import find_layout, running
+from evenkeel.functions.segments import find_layout, lagged, running
+from evenkeel.session import cut_lineage
 
 BASE_POSITION = -9223372036854775808
 
 
+def before_all(kind: T.DataType) -> Column:
+    """A position ahead of every other of its type."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit("").cast(kind)
+    return F.lit(BASE_POSITION).cast(kind)
+
+
 class ReplayConflict(RuntimeError):
     """A change broke an ABORT policy."""
 
@@ -56,7 +64,7 @@ def annotate(target: DataFrame, changes: DataFrame, pk: Sequence[str], seq: str
     """
     cols = [c for c in target.columns if c not in pk]
     touched = target.join(changes.select(*pk).distinct(), list(pk), "left_semi")
-    base = touched.select(*pk, *cols, F.lit(BASE_POSITION).cast("long").alias(seq), F.lit("B").alias(op))
+    base = touched.select(*pk, *cols, before_all(changes.schema[seq].dataType).alias(seq), F.lit("B").alias(op))
     stream = changes.unionByName(base, allowMissingColumns=True)
     o = F.col(op)
     event = F.when(o.isin("B", "I", "D"), F.struct(F.col(seq).alias("p"), (o != "D").alias("alive")))
@@ -143,7 +151,11 @@ def replay_upsert(target: DataFrame, changes: DataFrame, pk: Sequence[str], seq:
 
 
 def replay_coded(target: DataFrame, changes: DataFrame, pk: str, seq: str = "seq", code: str = "code", policy: Policy = Policy("UPSERT"), carried: str | None = None) -> DataFrame:
-    """Coded changes: before images, unknown codes, null keys and key-only updates drop out."""
+    """Coded changes: before images, unknown codes, null keys and key-only updates drop out.
+
+    ``seq`` is a number, or the binary position of ``positions.composite``, whose parts
+    (log position, place in its transaction, code) then decide the order one by one.
+    """
     names = {"DELETE": "D", "INSERT": "I", "UPDATE_AFTER": "U"}
     letter = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     c = changes.withColumn("op", F.try_element_at(letter, decode_op(code))).where(F.col("op").isNotNull() & F.col(pk).isNotNull())
@@ -204,6 +216,62 @@ def order_tables(tables: DataFrame, name: str, exclude: Sequence[str], priority:
     return tables.where(~F.col(name).isin(*exclude)).withColumn("priority_rank", rank.cast("int")).withColumn("dependency_level", level)
 
 
+def dependency_levels(tables: DataFrame, links: DataFrame, name: str, parent: str) -> DataFrame:
+    """``name, dependency_level, in_order``: each table's place in an order that loads parents first.
+
+    ``links`` has a row (table, parent) for each foreign key; a key of a table to itself
+    says nothing. Level 0 refers to nobody, every other table is one above its highest
+    parent. Each round places the tables whose parents are all placed, so the rounds are
+    as many as levels. Tables on a cycle, or behind one, have no level and ``in_order``
+    is false: their keys must be deferred.
+    """
+    once = links.where(F.col(name) != F.col(parent)).select(name, parent).distinct()
+    known = once.select(name).union(once.select(parent)).union(tables.select(name)).distinct()
+    placed, open_, level = None, cut_lineage(known), 0
+    left = cut_lineage(once)
+    while True:
+        ready = cut_lineage(open_.join(left.select(name).distinct(), name, "left_anti").withColumn("dependency_level", F.lit(level)))
+        if ready.isEmpty():
+            break
+        placed = ready if placed is None else placed.unionByName(ready)
+        open_ = cut_lineage(open_.join(ready.select(name), name, "left_anti"))
+        left = cut_lineage(left.join(ready.select(F.col(name).alias(parent)), parent, "left_anti"))
+        level += 1
+    stuck = open_.withColumn("dependency_level", F.lit(None).cast("int"))
+    every = stuck if placed is None else placed.unionByName(stuck)
+    return every.select(name, "dependency_level", F.col("dependency_level").isNotNull().alias("in_order"))
+
+
+def position_intervals(changes: DataFrame, table: str, seq: str) -> DataFrame:
+    """``table, low, high``: the stretches of positions that have come, of each table (C14)."""
+    return merge_intervals(changes.select(table, F.col(seq).alias("low"), F.col(seq).alias("high")), table)
+
+
+def merge_intervals(intervals: DataFrame, table: str) -> DataFrame:
+    """Intervals of several batches as few as possible: those that meet, overlap or repeat become one (C14).
+
+    An interval begins a new stretch if it lies beyond all that started before it; the
+    number of such beginnings names the stretch. Both are running values in segments, so
+    one table may have any number of intervals.
+    """
+    once = cut_lineage(intervals.select(table, "low", "high").where("low IS NOT NULL").groupBy(table, "low").agg(F.max("high").alias("high")))
+    layout = find_layout(once, [table], "low")
+    seen = running(once, [table], ["low"], {"__reach": ("max", F.col("high"))}, exclusive=True, layout=layout)
+    begins = F.when(F.col("__reach").isNull() | (F.col("low") > F.col("__reach") + 1), 1).otherwise(0)
+    named = running(seen.withColumn("__begins", begins), [table], ["low"], {"__stretch": ("sum", F.col("__begins"))}, layout=layout)
+    return cut_lineage(named.groupBy(table, "__stretch").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("__stretch"))
+
+
+def missing_positions(intervals: DataFrame, table: str) -> DataFrame:
+    """``table, first_missing, last_missing, missing``: holes between merged intervals (C14).
+
+    A checkpoint that jumped ahead shows here, until late files fill the hole.
+    """
+    prev = lagged(intervals, [table], ["low"], {"__prev": F.col("high")})
+    holes = prev.where(F.col("low") > F.col("__prev") + 1)
+    return holes.select(table, (F.col("__prev") + 1).alias("first_missing"), (F.col("low") - 1).alias("last_missing"), (F.col("low") - F.col("__prev") - 1).alias("missing"))
+
+
 def cdc_health(checkpoint: DataFrame, as_of: DataFrame, target_min: float = 5, alert_min: float = 15, error_alert: float = 0.01) -> DataFrame:
     """Lag and error-rate state per table."""
     lag = lag_minutes(F.col("last_timestamp"), F.col("as_of"))

@@ -181,6 +181,18 @@ def coded(t: Tables):
     return rp.replay_coded(users(t), changes_coded(t).drop("lsn", "ts"), "pk").select("pk", dbl("amount"), "kind")
 
 
+# transactions of eight changes share a log position; before and after images share place and position
+LSN_SEQVAL = "lpad(lower(hex(seq div 8)), 20, '0') AS lsn", "lpad(lower(hex(seq % 8)), 20, '0') AS seqval"
+COMPOSITE_FEED = f"(SELECT ((seq // 8) * 8 + seq % 8) * 8 + code AS seq, pk, CASE code WHEN 1 THEN 'D' WHEN 2 THEN 'I' ELSE 'U' END AS op, amount, kind FROM {CHANGES_CODED} WHERE code <> 3 AND pk IS NOT NULL)"
+
+
+@query("c05_lsn_seqval", replay_sql("UPSERT", COMPOSITE_FEED))
+def coded_positions(t: Tables):
+    feed = changes_coded(t).drop("lsn").selectExpr("*", *LSN_SEQVAL)
+    placed = feed.withColumn("position", pos.composite("lsn", "seqval", "code")).drop("lsn", "seqval", "seq", "ts")
+    return rp.replay_coded(users(t), placed, "pk", "position").select("pk", dbl("amount"), "kind")
+
+
 @query(
     "c06_merge_delta",
     f"""WITH d AS (SELECT pk, arg_max(op, seq) op, arg_max(amount, seq) amount, arg_max(kind, seq) kind FROM {CHANGES} GROUP BY pk)
@@ -224,6 +236,25 @@ def ordered_tables(t: Tables):
     return rp.order_tables(tables, "table_name", ["Brand#1", "Brand#2"], ["Brand#7", "Brand#3"], {"Brand#5": 1})
 
 
+# each brand refers to two brands below it; four brands refer to each other in a circle, and some stand behind it
+LINKS_SQL = """(SELECT DISTINCT p_brand AS table_name, 'Brand#' || (b // 2) AS parent FROM (SELECT p_brand, cast(substr(p_brand, 7) AS int) AS b FROM part) WHERE b // 2 <> b AND b // 2 > 0
+  UNION SELECT DISTINCT p_brand, 'Brand#' || (b // 3) FROM (SELECT p_brand, cast(substr(p_brand, 7) AS int) AS b FROM part) WHERE b // 3 > 0
+  UNION SELECT DISTINCT p_brand, 'Brand#' || (b + 2) FROM (SELECT p_brand, cast(substr(p_brand, 7) AS int) AS b FROM part) WHERE b = 5)"""
+
+
+@query(
+    "c12_dependency_levels",
+    f"""WITH RECURSIVE link AS (SELECT DISTINCT table_name, parent FROM {LINKS_SQL}), every AS (SELECT DISTINCT p_brand AS table_name FROM part UNION SELECT table_name FROM link UNION SELECT parent FROM link),
+     walk AS (SELECT table_name, 0 AS d FROM every UNION SELECT l.table_name, w.d + 1 FROM walk w JOIN link l ON l.parent = w.table_name WHERE w.d < 60)
+     SELECT table_name, CASE WHEN max(d) < 60 THEN max(d) END::INT AS dependency_level, max(d) < 60 AS in_order FROM walk GROUP BY table_name""",
+)
+def levels(t: Tables):
+    b = t.part.select(F.col("p_brand").alias("table_name"), F.substring("p_brand", 7, 9).cast("int").alias("b")).distinct()
+    pairs = b.select("table_name", F.explode(F.array(F.expr("b div 2"), F.expr("b div 3"), F.expr("CASE WHEN b = 5 THEN cast(b + 2 AS bigint) ELSE 0 END"))).alias("p")).where("p > 0")
+    links = pairs.select("table_name", F.concat(F.lit("Brand#"), F.col("p").cast("string")).alias("parent"))
+    return rp.dependency_levels(b.select("table_name"), links, "table_name", "parent")
+
+
 @query(
     "c13_cdc_health",
     f"""WITH k AS (SELECT pk, max(seq) last_seq, max(ts) lt, count(*) n, count(*) FILTER (WHERE op = 'D') f FROM {CHANGES} GROUP BY pk), m AS (SELECT max(ts) m FROM events),
@@ -245,6 +276,22 @@ def late(t: Tables):
     return rp.late_changes(changes_late(t), ["pk"], "seq", "ts", "pos", 600).select("pos", "seq", "pk", "late", "duplicate")
 
 
+@query(
+    "c14_missing_positions",
+    f"""SELECT kind, prev + 1 AS first_missing, p - 1 AS last_missing, p - prev - 1 AS missing FROM (SELECT kind, p, lag(p) OVER (PARTITION BY kind ORDER BY p) AS prev
+     FROM (SELECT DISTINCT kind, seq // 4 AS p FROM {CHANGES} WHERE seq % 100 >= 30 OR seq % 1000 < 500)) WHERE p - prev > 1""",
+)
+def missing(t: Tables):
+    """Three batches: early ones, a jump ahead that leaves holes, and late files that fill some and repeat others."""
+    came = changes(t).where("seq % 100 >= 30 OR seq % 1000 < 500").select("kind", F.expr("seq div 4").alias("p"), "seq")
+    half = position(t, 2)
+    batches = [came.where(F.col("seq") < half // 2), came.where(F.col("seq") >= half), came.where(F.col("seq") < half)]
+    intervals = rp.position_intervals(batches[0], "kind", "p")
+    for batch in batches[1:]:
+        intervals = rp.merge_intervals(intervals.unionByName(rp.position_intervals(batch, "kind", "p")), "kind")
+    return rp.missing_positions(intervals, "kind")
+
+
 @query("c18_shadow_sync", replay_sql("UPSERT").replace("SELECT * FROM final", "SELECT pk, cast(cast(amount * 100 AS decimal(20,0)) AS bigint) AS amount_cents, upper(kind) AS kind_code FROM final"))
 def shadow(t: Tables):
     new = {"amount_cents": (F.col("amount") * 100).cast("long"), "kind_code": F.upper("kind")}

@@ -167,3 +167,28 @@ def stale(t: Tables):
         "o_custkey", F.when(F.expr("o_custkey % 20 <> 0"), F.col("m")).alias("last_analyzed"), F.when(F.col("n") % 5 == 0, "YES").otherwise("NO").alias("stale_stats")
     )
     return q.stale_stats(per, "last_analyzed", 365, t.orders.agg(F.max("o_orderdate").alias("as_of"))).select("o_custkey", "reason")
+
+
+# every role is a member of two others; cycles are among them
+GRANTS_SQL = "(SELECT n_nationkey AS m, (n_nationkey * 2 + 1) % 25 AS r FROM nation UNION SELECT n_nationkey, (n_nationkey + 10) % 25 FROM nation WHERE n_nationkey % 2 = 0)"
+
+
+@query(
+    "q17_inherited_privileges",
+    f"""WITH RECURSIVE g AS (SELECT m, r FROM {GRANTS_SQL}), way AS (
+       SELECT m, r, 1 AS depth, [m, r] AS path FROM g
+       UNION ALL SELECT way.m, g.r, depth + 1, list_append(path, g.r) FROM way JOIN g ON g.m = way.r WHERE depth < 26 AND NOT list_contains(path[2:], g.r)),
+     best AS (SELECT m, r, min(depth) AS depth, arg_min(path, (depth, path)) AS path FROM way GROUP BY m, r),
+     held AS (SELECT c_custkey AS p, c_nationkey AS r, 0 AS depth, [c_nationkey] AS path FROM customer UNION ALL SELECT c_custkey, best.r, depth, path FROM customer JOIN best ON c_nationkey = m),
+     one AS (SELECT p, r, min(depth) AS depth, arg_min(path, (depth, path)) AS path FROM held GROUP BY p, r)
+     SELECT p AS principal_id, n_name AS role_name, depth::INT AS depth, array_to_string(path, '>') AS path, CASE WHEN c_acctbal < 0 AND r IN (1, 2, 3) THEN 'DISABLED_PRIVILEGED' WHEN r IN (1, 2, 3) THEN 'PRIVILEGED' WHEN c_acctbal < 0 THEN 'DISABLED' ELSE 'OK' END AS finding
+     FROM one JOIN nation ON n_nationkey = r JOIN customer ON c_custkey = p""",
+)
+def inherited(t: Tables):
+    members = t.customer.selectExpr("c_custkey AS principal_id", "c_nationkey AS role_id")
+    first = t.nation.selectExpr("n_nationkey AS member_role_id", "(n_nationkey * 2 + 1) % 25 AS role_id")
+    grants = first.union(t.nation.where("n_nationkey % 2 = 0").selectExpr("n_nationkey", "(n_nationkey + 10) % 25"))
+    principals = t.customer.selectExpr("c_custkey AS principal_id", "c_acctbal < 0 AS is_disabled")
+    names = [r.n_name for r in t.nation.where("n_nationkey IN (1, 2, 3)").select("n_name").collect()]
+    found = q.inherited_privileges(members, grants, t.nation.selectExpr("n_nationkey AS role_id", "n_name AS role_name"), principals, names)
+    return found.select("principal_id", "role_name", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "finding")

@@ -306,3 +306,47 @@ def test_tolerance_counts_every_differing_row(spark):
         ("same", 0, 0, 0, "OK", "PASS"),
         ("swapped", 40, 39, 0, "CLASS-A", "FAIL"),
     ]
+
+
+def test_roles_are_inherited_over_cycles_by_the_shortest_way(spark):
+    from evenkeel.operators import quality
+
+    grants = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3), (5, 5)], "member_role_id long, role_id long")
+    got = {(r["member_role_id"], r["role_id"]): (r["depth"], r["path"]) for r in quality.inherited_roles(grants).collect()}
+    assert got == {(1, 2): (1, [1, 2]), (1, 3): (1, [1, 3]), (1, 1): (2, [1, 3, 1]), (2, 3): (1, [2, 3]), (2, 1): (2, [2, 3, 1]), (2, 2): (3, [2, 3, 1, 2]), (3, 1): (1, [3, 1]), (3, 2): (2, [3, 1, 2]), (3, 3): (2, [3, 1, 3]), (5, 5): (1, [5, 5])}
+
+
+def test_hidden_words_of_statements(spark):
+    from evenkeel.operators import slo
+
+    texts = {
+        "DELETE FROM t -- where": "delete_without_where",
+        "delete from t where a = 'x -- y'": "",
+        "DELETE FROM t WHERE a = $$ ( $$": "",
+        "DELETE FROM t USING (SELECT ((1)) WHERE b) x": "delete_without_where",
+        "/* a */ -- b\n DELETE FROM t": "delete_without_where",
+        "UPDATE t SET a = \"where\"": "update_without_where",
+        "UPDATE t SET a = 'it''s' WHERE b": "",
+        "SELECT 'TRUNCATE t'": "",
+        "TRUNCATE t": "truncate",
+    }
+    log = spark.createDataFrame([(k, False) for k in texts], "sql string, no_index boolean")
+    assert {r["sql"]: r["violations"] for r in slo.score_statements(log, "sql", "no_index").collect()} == texts
+
+
+def test_percentiles_from_panes_equal_those_of_rows(spark):
+    import random
+
+    import numpy as np
+
+    from evenkeel.operators import slo
+
+    rnd = random.Random(3)
+    data = [(rnd.randrange(86400), rnd.choice([1.0, 2.0, 2.0, 5.5, None, rnd.random()]), rnd.random() < 0.2) for _ in range(600)]
+    df = spark.createDataFrame(data, "s long, v double, bad boolean").withColumn("ts", F.timestamp_seconds("s"))
+    one, two = (slo.pane_counts(d, "ts", [], "1 hour", "v", F.col("bad")) for d in (df.where("s % 2 = 0"), df.where("s % 2 = 1")))
+    got = {(r["window_start"].hour + 24 * (r["window_start"].day - 1), r["metric"]): r["value"] for r in slo.metrics_of_panes(one.unionByName(two), [], "6 hours", "1 hour").where("window_start >= '1970-01-01'").collect()}
+    for h in range(18):
+        inside = [(v, b) for s, v, b in data if h * 3600 <= s < (h + 6) * 3600]
+        assert got[h, "events"] == len(inside) and abs(got[h, "error_ratio"] - sum(b for _, b in inside) / len(inside)) < 1e-12
+        assert abs(got[h, "latency_p95"] - np.quantile([v for v, _ in inside if v is not None], 0.95)) < 2e-6

@@ -232,3 +232,34 @@ def test_state_removes_dead_keys_and_survives_repeats(spark, tmp_path):
     assert rows(st.before(2), "k", "v") == [("a", 3), ("b", 1)]
     assert rows(st.before(1), "k", "v") == [("a", 1), ("b", 1)]
     assert st.before(0).count() == 0
+
+
+def test_intervals_show_holes_until_late_files_fill_them(spark):
+    def batch(*positions):
+        return spark.createDataFrame([("t", p) for p in positions] + [("u", 7), ("u", None)], "tab string, seq long")
+
+    first = rp.position_intervals(batch(1, 2, 3, 3, 8), "tab", "seq")
+    assert rows(first, "tab", "low", "high") == [("t", 1, 3), ("t", 8, 8), ("u", 7, 7)]
+    jumped = rp.merge_intervals(first.unionByName(rp.position_intervals(batch(20, 21), "tab", "seq")), "tab")
+    assert rows(rp.missing_positions(jumped, "tab"), "tab", "first_missing", "last_missing", "missing") == [("t", 4, 7, 4), ("t", 9, 19, 11)]
+    late = rp.merge_intervals(jumped.unionByName(rp.position_intervals(batch(4, 5, 6, 7, 2, 9), "tab", "seq")), "tab")
+    assert rows(late, "tab", "low", "high") == [("t", 1, 9), ("t", 20, 21), ("u", 7, 7)]
+    inside = spark.createDataFrame([("t", 0, 100), ("t", 5, 6), ("t", 101, 102), ("t", 104, 104)], "tab string, low long, high long")
+    assert rows(rp.merge_intervals(inside, "tab"), "low", "high") == [(0, 102), (104, 104)]
+
+
+def test_tables_on_and_behind_a_cycle_have_no_level(spark):
+    tables = spark.createDataFrame([(x,) for x in "abcdefg"], "name string")
+    links = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("d", "e"), ("e", "d"), ("f", "d"), ("g", "g"), ("g", "g")], "name string, parent string")
+    got = {r["name"]: (r["dependency_level"], r["in_order"]) for r in rp.dependency_levels(tables, links, "name", "parent").collect()}
+    assert got == {"a": (0, True), "b": (1, True), "c": (2, True), "d": (None, False), "e": (None, False), "f": (None, False), "g": (0, True)}
+
+
+def test_binary_positions_decide_part_by_part(spark):
+    from evenkeel.functions.positions import composite
+
+    feed = [("0a", "01", 2, 1, "in"), ("0a", "01", 3, 9, "old"), ("0a", "01", 4, 2, "up"), ("09", "ff", 2, 0, "first"), ("0a", "02", 1, 0, "x"), ("0a", "02", 2, 5, "again")]
+    random.Random(1).shuffle(feed)
+    df = spark.createDataFrame([(1, *f) for f in feed], "pk long, lsn string, seqval string, code int, a long, b string")
+    placed = df.withColumn("position", composite("lsn", "seqval", "code")).drop("lsn", "seqval")
+    assert rows(rp.replay_coded(spark.createDataFrame([], TARGET), placed, "pk", "position"), "pk", "a", "b") == [(1, 5, "again")]
