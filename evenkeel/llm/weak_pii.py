@@ -49,21 +49,62 @@ EM_STEPS, NEWTON_STEPS = 50, 25
 ADDED_FROM = 0.9  # probability from which a candidate is added
 
 
+BLOCK, LEVELS = 48, 3  # a running value over a list is taken in blocks of blocks, so lists that grow are copied in parts
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scan(items: Column, state: Column, step, kind: str, levels: int = LEVELS) -> Column:
+    """One element for each item, from a running state: ``step(state, item)`` gives the next state and the element.
+
+    Appending to one list copies it each time. Here only lists of BLOCK items grow by
+    single elements, and longer ones by whole blocks, BLOCK times as long at each level.
+    """
+    nothing = F.array().cast(f"array<{kind}>")
+
+    def over(items: Column, state: Column, level: int) -> Column:
+        begin = F.struct(state.alias("state"), nothing.alias("out"))
+        if level == 1:
+
+            def one(acc, x):
+                following, element = step(acc["state"], x)
+                return F.struct(following.alias("state"), F.array_append(acc["out"], element).alias("out"))
+
+            return F.aggregate(items, begin, one)
+        size = BLOCK ** (level - 1)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), lambda k: F.slice(items, k * size + 1, size))
+        return F.aggregate(blocks, begin, lambda acc, block: bound(over(block, acc["state"], level - 1), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], r["out"]).alias("out"))))
+
+    return bound(items, lambda x: F.when(F.size(x) > 0, over(x, state, levels)["out"]).otherwise(nothing))
+
+
+SPAN = "struct<start:int,end:int,body:string,before:string,after:string>"
+
+
 def places(text: Column, pattern: str) -> Column:
-    """``array<struct<start, end, body>>`` of a pattern's matches, from the lengths between them."""
+    """Start, end and body of a pattern's matches, and what stands around them, from the pieces between them.
+
+    Nothing is looked up in the whole text, so a text of many matches takes linear time.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,body:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+    # the next code point: of the next piece, or of the next match if that piece is empty
+    heads = F.zip_with(F.slice(pieces, 2, F.size(pieces)), F.concat(F.slice(found, 2, F.size(found)), F.array(F.lit(""))), lambda p, b: F.left(F.concat(F.left(p, F.lit(1)), F.left(b, F.lit(1))), F.lit(1)))
+    joined = F.zip_with(F.zip_with(found, pieces, lambda b, p: F.struct(b.alias("body"), p.alias("piece"))), heads, lambda x, h: F.struct(x["body"].alias("body"), x["piece"].alias("piece"), h.alias("after")))
+    matches = F.filter(joined, lambda x: x["body"].isNotNull())
 
-    def step(state, pair):
-        begin = state["at"] + F.length(pair["piece"])
-        end = begin + F.length(pair["body"])
-        return F.struct(end.alias("at"), F.array_append(state["spans"], F.struct(begin.alias("start"), end.alias("end"), pair["body"].alias("body"))).alias("spans"))
+    def step(state, x):
+        begin = state["at"] + F.length(x["piece"])
+        end = begin + F.length(x["body"])
+        before = F.right(F.concat(state["tail"], F.right(x["piece"], F.lit(CONTEXT))), F.lit(CONTEXT))
+        tail = F.right(F.concat(before, F.right(x["body"], F.lit(CONTEXT))), F.lit(CONTEXT))
+        span = F.struct(begin.alias("start"), end.alias("end"), x["body"].alias("body"), before.alias("before"), x["after"].alias("after"))
+        return F.struct(end.alias("at"), tail.alias("tail")), span
 
-    joined = F.zip_with(found, pieces, lambda b, p: F.struct(b.alias("body"), p.alias("piece")))
-    spans = F.aggregate(F.filter(joined, lambda x: x["body"].isNotNull()), start, step)["spans"]
-    return F.when(F.size(found) > 0, spans).otherwise(empty)
+    return scan(F.when(F.size(found) > 0, matches), F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), step, SPAN)
 
 
 def digits(body: Column) -> Column:
@@ -106,13 +147,12 @@ def vote(yes: Column, no: Column) -> Column:
     return F.when(yes, F.lit(1)).when(no, F.lit(-1)).otherwise(F.lit(0))
 
 
-def judged(kind: str, spans: Column, text: Column, loose: bool) -> Column:
+def judged(kind: str, spans: Column, loose: bool) -> Column:
     """Candidates of one kind with the labelers' votes."""
 
     def one(s):
         body = s["body"]
-        before = F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT))))
-        after = F.substring(text, s["end"] + 1, F.lit(1))
+        before, after = F.lower(s["before"]), s["after"]
         good = F.lit(False) if loose else valid(kind, body)
         n = F.length(digits(body))
         votes = [
@@ -132,13 +172,13 @@ def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id, found``: all candidates of every row, base or not, with their votes."""
     text = docs.select("doc_id", text_col(docs).alias("text"))
     digit = F.col("text").rlike("[0-9]")
-    none = F.array().cast("array<struct<start:int,end:int,body:string>>")
+    none = F.array().cast(f"array<{SPAN}>")
     need = {"email": F.contains("text", F.lit("@")), "ip": digit, "card": digit, "phone": F.contains("text", F.lit("+"))}
     loose_need = {"email": F.lower("text").rlike(r"[(\[]at[)\]]"), "card": digit, "phone": digit}
     base = [F.when(need[k], places(F.col("text"), PATTERNS[k])).otherwise(none).alias(k) for k in KINDS]
     wide = [F.when(loose_need[k], places(F.col("text"), LOOSE[k])).otherwise(none).alias("loose_" + k) for k in LOOSE]
-    spans = text.select("doc_id", "text", *base, *wide)
-    parts = [judged(k, F.col(k), F.col("text"), False) for k in KINDS] + [judged(k, F.col("loose_" + k), F.col("text"), True) for k in LOOSE]
+    spans = text.select("doc_id", *base, *wide)
+    parts = [judged(k, F.col(k), False) for k in KINDS] + [judged(k, F.col("loose_" + k), True) for k in LOOSE]
     return spans.select("doc_id", F.concat(*parts).alias("found"))
 
 
@@ -209,8 +249,31 @@ def find_pii(docs: DataFrame) -> DataFrame:
     if not weights:
         return with_base.select("doc_id", "base", F.col("base").alias("spans"))
     likely = F.filter("rest", lambda s: probability(s, weights) >= ADDED_FROM)
-    apart = F.filter(F.transform(likely, plain), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return with_base.select("doc_id", "base", F.array_sort(F.array_union("base", apart)).alias("spans"))
+    return with_base.select("doc_id", "base", F.array_sort(F.array_union("base", apart_from("base", F.transform(likely, plain)))).alias("spans"))
+
+
+def apart_from(base: str, spans: Column) -> Column:
+    """The spans that overlap none of ``base``: one sweep over both in the order of their starts, and one back.
+
+    Forwards a base span that began before reaches into a span if the furthest end so far
+    lies beyond its start; backwards one begins inside if the nearest start lies before its end.
+    """
+    mark = lambda flag: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(flag).alias("base"))
+    both = F.array_sort(F.concat(F.transform(base, mark(True)), F.transform(spans, mark(False))))
+    kind = "struct<start:int,kind:int,end:int,base:boolean,free:boolean>"
+
+    def sweep(items: Column, first: int, limit, free) -> Column:
+        def step(state, s):
+            out = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base"), (free(state, s) & ~s["base"]).alias("free"))
+            return F.when(s["base"], limit(state, s)).otherwise(state), out
+
+        return scan(items, F.lit(first), step, kind)
+
+    forward = sweep(both, 0, lambda reach, s: F.greatest(reach, s["end"]), lambda reach, s: reach <= s["start"])
+    # equal starts: the sweep back also meets base spans that begin with the span itself
+    backward = sweep(F.reverse(forward), 2147483647, lambda near, s: F.least(near, s["start"]), lambda near, s: s["free"] & (near >= s["end"]))
+    left = F.filter(backward, lambda s: s["free"])
+    return F.transform(left, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
 def listed(spans: str) -> Column:
