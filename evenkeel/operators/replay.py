@@ -106,6 +106,14 @@ def fold(
     return final if keep_dead else final.where("alive").drop("alive")
 
 
+def stop_on_conflict(annotated: DataFrame, pk: Sequence[str], seq: str, policy: Policy) -> None:
+    """Raise if an ABORT policy is broken (C11)."""
+    if "ABORT" in (policy.on_conflict, policy.on_missing):
+        broken = annotated.where(F.col("outcome").isin("conflict_abort", "missing_abort")).select(*pk, seq, "outcome").limit(1).collect()
+        if broken:
+            raise ReplayConflict(str(broken[0].asDict()))
+
+
 def replay(
     target: DataFrame,
     changes: DataFrame,
@@ -122,10 +130,7 @@ def replay(
     """
     cols = [c for c in target.columns if c not in pk]
     stream = annotate(target, changes, pk, seq, op, policy)
-    if "ABORT" in (policy.on_conflict, policy.on_missing):
-        broken = stream.where(F.col("outcome").isin("conflict_abort", "missing_abort")).select(*pk, seq, "outcome").limit(1).collect()
-        if broken:
-            raise ReplayConflict(str(broken[0].asDict()))
+    stop_on_conflict(stream, pk, seq, policy)
     untouched = target.join(changes.select(*pk).distinct(), list(pk), "left_anti")
     return untouched.select(*pk, *cols).unionByName(fold(stream, pk, cols, seq, op, carried))
 
