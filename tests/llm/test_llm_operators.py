@@ -1,6 +1,7 @@
 """Text operators against brute force on small tables with awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -454,43 +455,81 @@ def test_toxicity_of_awkward_rows(spark, docs, nothing, given, labels):
     assert {r["score"] for r in crf.tag(docs, None).collect()} == {0.0}
 
 
-def test_kneser_ney_probabilities_sum_to_one(spark, given, labels):
-    alphabet, tables = kneser_ney.train(given, labels)
-    p = np.exp(kneser_ney.dense_logs(tables).astype(float)).reshape(-1, kneser_ney.SYMBOLS)
-    p[:, kneser_ney.START] = 0
-    assert p.sum(axis=1).max() < 1.00001 and p.sum(axis=1).min() > 0.98
-
-
-def test_kneser_ney_matches_loop(spark):
-    """Probabilities of a tiny corpus against the formulas, written out for dictionaries."""
-    texts = ["abab", "abcab", "ba"]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    alphabet = kneser_ney.alphabet_of(docs)
-    tables = [((a := s.toArrow())["gram"].to_pylist(), a["p"].to_pylist()) for s, _ in kneser_ney.model_tables(kneser_ney.gram_counts(docs, alphabet))]
-    symbol = {c: int(alphabet.table[ord(c)]) for c in "abc"}
-    level = Counter()
-    for t in texts:
-        s = (0, 0, 0, *(symbol[c] for c in t))
-        level.update(s[i : i + 4] for i in range(len(t)))
-    levels = [level]
-    for n in (3, 2, 1):
-        level = Counter(g[-n:] for g in level)
-        levels.insert(0, level)
-    below = {(): 1 / kneser_ney.SYMBOLS}
-    for (grams, p), counts in zip(tables, levels):
+def word_model(texts):
+    """Probability of a word after another one, written out for dictionaries."""
+
+    def off(counts):
         c = Counter(counts.values())
         y = c[1] / (c[1] + 2 * c[2]) if c[1] else 0.0
         d = [min(max(k - (k + 1) * y * c[k + 1] / c[k] if c[k] else 0.0, 0.0), k) for k in (1, 2, 3)]
-        now = {}
-        for g, n in counts.items():
-            same = {h: m for h, m in counts.items() if h[:-1] == g[:-1]}
-            total = sum(same.values())
-            rest = sum(min(d[min(m, 3) - 1], m) for m in same.values()) / total
-            now[g] = (n - min(d[min(n, 3) - 1], n)) / total + rest * below[g[1:] if len(g) > 1 else ()]
-        coded = {sum(x << 6 * (len(g) - 1 - i) for i, x in enumerate(g)): v for g, v in now.items()}
-        assert coded.keys() == set(grams)
-        assert all(abs(coded[g] - v) < 1e-12 for g, v in zip(grams, p))
-        below = now
+        return {g: d[min(n, 3) - 1] for g, n in counts.items()}
+
+    pairs = Counter(p for t in texts for p in zip([None, *t.split()], t.split()))
+    stands = Counter(w for _, w in pairs)
+    by_pair, by_word, size = off(pairs), off(stands), sum(stands.values())
+
+    def p(v, w):
+        single = (stands[w] - by_word.get(w, 0)) / size + sum(by_word.values()) / size / (len(stands) + 1)
+        after = {g: n for g, n in pairs.items() if g[0] == v}
+        total = sum(after.values())
+        if not total:
+            return single
+        return (pairs[v, w] - by_pair.get((v, w), 0)) / total + sum(by_pair[g] for g in after) / total * single
+
+    return p, stands
+
+
+def test_kneser_ney_matches_loop(spark, monkeypatch):
+    """Perplexities, thresholds and verdicts of a small corpus in many chunks and shards against the formulas."""
+    monkeypatch.setattr(kneser_ney, "CHUNK_TOKENS", 150)
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 100)
+    rng = random.Random(3)
+    words = [f"w{min(int(rng.paretovariate(0.8)), 60)}" for _ in range(4000)]
+    texts, at = [], 0
+    for _ in range(120):
+        n = rng.choice([0, 1, 2, 5, 20, 60])
+        texts.append(rng.choice(["", " "]) + "\n".join(words[at : at + n]))
+        at += n
+    texts += [None, "1234567890" * 100, "QWXZ KJHG " * 100, "w1 new w1 new2", texts[5], texts[5]]
+    langs = [rng.choice(["en", "de", None]) for _ in texts]
+    docs = spark.createDataFrame([(i, t, x, 7) for i, (t, x) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string, n_words int")
+    good = {i: rng.random() < 0.7 for i in range(0, 110)}
+    labels = spark.createDataFrame([(i, int(g)) for i, g in good.items()] + [(1, None), (None, 1)], "doc_id long, quality int")
+    held = {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 == 0}
+    p, _ = word_model([texts[i] for i, g in good.items() if g and i not in held])
+    want = {}
+    for i, t in enumerate(texts):
+        own = (t or "").split()
+        want[i] = math.exp(-sum(math.log(p(v, w)) for v, w in zip([None, *own], own)) / len(own)) if own else None
+    wide = {i: math.exp(2 / math.sqrt(max(1, len((t or "").split())))) for i, t in enumerate(texts)}
+    judges = {}
+    for i, g in good.items():
+        if g and i in held and want[i] is not None:
+            judges.setdefault(langs[i], []).append(want[i] / wide[i])
+    got = {r["doc_id"]: r for r in kneser_ney.classify(docs, labels).collect()}
+    assert got.keys() == want.keys() and len(judges) == 3
+    for i, r in got.items():
+        assert (r["perplexity"] is None) == (want[i] is None)
+        threshold = sorted(judges[langs[i]])[math.ceil(0.995 * len(judges[langs[i]])) - 1] * wide[i]
+        assert math.isclose(r["threshold"], threshold, rel_tol=1e-9)
+        if want[i] is not None:
+            assert math.isclose(r["perplexity"], want[i], rel_tol=1e-9)
+            if not math.isclose(want[i], threshold, rel_tol=1e-9):
+                assert r["kept"] == (want[i] <= threshold)
+        else:
+            assert not r["kept"]
+
+
+def test_kneser_ney_probabilities_sum_to_one():
+    p, stands = word_model(["a b a c", "b a", "c c c a b b", ""])
+    for v in (None, "a", "b", "c", "new"):
+        assert math.isclose(sum(p(v, w) for w in (*stands, "unknown")), 1.0)
+
+
+def test_quality_refuses_gibberish(spark, given, labels):
+    gibberish = ["1234567890" * 100, "QWXZ KJHG " * 100]
+    more = given.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-1 - k, t, "en") for k, t in enumerate(gibberish)], "doc_id long, text string, lang string"))
+    assert kneser_ney.classify(more, labels).where("doc_id < 0 AND NOT kept").count() == 2
 
 
 def test_quality_keeps_good_text(spark, given, labels, docs, nothing):
