@@ -38,18 +38,19 @@ def bucket_hash(df: DataFrame, table: str, pk: str, cols: Sequence[str] | None =
     The bucket count is fixed by ``modulus``: partial aggregation leaves at most
     that many rows per task for the shuffle, whatever the skew.
     """
-    hashed = df.select(
-        bucket_of(df, pk, modulus).alias("bucket_id"),
-        F.col(pk).alias("__pk"),
-        digest_number(row_md5(df, cols)).alias("__h"),
-    )
+    return bucket_sums(df, bucket_of(df, pk, modulus), pk, cols).select(F.lit(table).alias("table_name"), "*")
+
+
+def bucket_sums(df: DataFrame, bucket: Column, pk: str, cols: Sequence[str] | None = None) -> DataFrame:
+    """Fingerprint of each bucket."""
+    hashed = df.select(bucket.alias("bucket_id"), F.col(pk).alias("__pk"), digest_number(row_md5(df, cols)).alias("__h"))
     return hashed.groupBy("bucket_id").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.bit_xor("__h").alias("bucket_checksum"),
         wide_sum(F.col("__h")).cast("string").alias("hash_sum"),
         F.min("__pk").cast("string").alias("min_pk"),
         F.max("__pk").cast("string").alias("max_pk"),
-    ).select(F.lit(table).alias("table_name"), "*")
+    )
 
 
 @dataclass(frozen=True)

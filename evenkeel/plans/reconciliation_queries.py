@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, functions as F
 
 from evenkeel.functions.canon import raw_columns, canon_columns, digest_number, row_md5, row_text, wide_sum
-from evenkeel.operators import compare as cmp, fingerprint as fp, gates, remediate as rem
+from evenkeel.operators import compare as cmp, fingerprint as fp, gates, hash_tree, remediate as rem
 from evenkeel.operators.reconcile import Scope, reconcile
 from evenkeel.plans.derived import (
     sized,
@@ -24,7 +25,8 @@ from evenkeel.plans.derived import (
     tgt_orders,
 )
 from evenkeel.plans.registry import Tables, query
-from evenkeel.session import cut_lineage
+from evenkeel.session import cut_lineage, scratch_path
+from evenkeel.sources.writers import write_colocated
 
 VALUES = [c for c in ORDER_COLS if c != "id"]
 START, END = "TIMESTAMP '1997-01-01 00:00:00'", "TIMESTAMP '1998-01-01 00:00:00'"
@@ -234,20 +236,31 @@ def profiles_compared(t: Tables):
     return cmp.compare_row_profiles(src, tgt).fillna(-1, sides)
 
 
-@query(
-    "j02_compare_buckets",
-    f"""WITH s AS ({bucket_sql(SRC_ORDERS)}), t AS ({bucket_sql(TGT_ORDERS)})
+J02_SQL = f"""WITH s AS ({bucket_sql(SRC_ORDERS)}), t AS ({bucket_sql(TGT_ORDERS)})
      SELECT coalesce(t.table_name, s.table_name) AS table_name, coalesce(t.bucket_id, s.bucket_id) AS bucket_id, s.row_count AS source_row_count, t.row_count AS target_row_count,
        CASE WHEN s.table_name IS NULL OR t.table_name IS NULL THEN 'FAIL_MISSING_BUCKET' WHEN s.row_count <> t.row_count THEN 'FAIL_BUCKET_ROW_COUNT'
             WHEN s.bucket_checksum <> t.bucket_checksum OR s.hash_sum <> t.hash_sum THEN 'FAIL_BUCKET_HASH' ELSE 'PASS' END AS status
-     FROM t FULL OUTER JOIN s ON s.table_name = t.table_name AND s.bucket_id = t.bucket_id""",
-)
+     FROM t FULL OUTER JOIN s ON s.table_name = t.table_name AND s.bucket_id = t.bucket_id"""
+
+
+@query("j02_compare_buckets", J02_SQL)
 def buckets_compared(t: Tables):
     return cmp.compare_buckets(
         fp.bucket_hash(src_orders(t), "orders", "id", ORDER_COLS, 256), fp.bucket_hash(tgt_orders(t), "orders", "id", ORDER_COLS, 256)
     )
 
 
+@query("s09_colocated_compare", J02_SQL)
+def colocated_compared(t: Tables):
+    names, sides = [f"colocated_{uuid4().hex}" for _ in range(2)], []
+    for name, rows in zip(names, (src_orders(t), tgt_orders(t))):
+        sides.append(write_colocated(rows, name, "id", scratch_path(t.spark, name), 256, 16))
+    done = cut_lineage(cmp.compare_colocated(*sides, "id", "orders", ORDER_COLS))
+    for name in names:
+        t.spark.sql(f"DROP TABLE {name}")
+    return done
+
+
 @query(
     "j03_compare_business",
     f"""WITH s AS ({business_sql(SRC_ORDERS)}), t AS ({business_sql(TGT_ORDERS)})
@@ -404,6 +417,20 @@ def localised_time(t: Tables):
     return cmp.localise(src_orders(t), tgt_orders(t), lambda d: F.date_format("updated_at", "yyyy-MM"), ORDER_COLS)
 
 
+@query(
+    "q03_hash_tree",
+    f"""WITH s AS ({slice_sql(SRC_ORDERS, 'id // 512')}), t AS ({slice_sql(TGT_ORDERS, 'id // 512')})
+     SELECT coalesce(s.slice,t.slice) * 512 AS low, coalesce(s.slice,t.slice) * 512 + 511 AS high, CASE WHEN s.n IS DISTINCT FROM t.n THEN 'COUNT' ELSE 'HASH' END AS difference,
+       coalesce(s.n,0) AS source_rows, coalesce(t.n,0) AS target_rows
+     FROM s FULL OUTER JOIN t ON s.slice = t.slice WHERE s.n IS DISTINCT FROM t.n OR s.h IS DISTINCT FROM t.h""",
+)
+def hash_tree_gap(t: Tables):
+    shape, paths = hash_tree.Shape(512, 8, 4), [scratch_path(t.spark, "tree") for _ in range(2)]
+    for path, rows in zip(paths, (src_orders(t), tgt_orders(t))):
+        hash_tree.build_tree(rows, "id", path, ORDER_COLS, shape)
+    return hash_tree.descend(t.spark, *paths, shape).ranges
+
+
 E01_SQL = f"""WITH s AS ({bucket_sql(SRC_ORDERS)}), t AS ({bucket_sql(TGT_ORDERS)}),
   o AS (SELECT 'orders' AS table_name, 'critical' AS scope, sum(coalesce(s.row_count, 0)) AS source_rows, sum(coalesce(t.row_count, 0)) AS target_rows, count(*) AS buckets,
       count(*) FILTER (WHERE s.row_count IS DISTINCT FROM t.row_count OR s.hash_sum IS DISTINCT FROM t.hash_sum OR s.bucket_checksum IS DISTINCT FROM t.bucket_checksum) AS bad_buckets

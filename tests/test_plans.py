@@ -12,7 +12,7 @@ from evenkeel.plans import derived
 from evenkeel.plans.registry import Tables
 
 # these write tables or run streams while they are built; the data they return is a plain scan
-EAGER = re.compile(r"^(s0|s1|k0|c01|c03_replay_stream|c03_envelope|c07_stream|c09|c10|c14_dedupe|c15_alert_stream|c15_stream|c16_stream|l11|w11)")
+EAGER = re.compile(r"^(s0|s1|k0|c01|c03_replay_stream|c03_envelope|c07_stream|c09|c10|c14_dedupe|c15_alert_stream|c15_stream|c16_stream|l11|w11|q03_hash_tree)")
 NAMES = [n for n in entry.queries() if not EAGER.match(n)]
 
 
