@@ -39,10 +39,14 @@ class Scope:
 def differing_rows(s: Scope, sides: Sequence[DataFrame], bad: DataFrame) -> DataFrame:
     """``missing, extra, changed``: rows that differ, from the row digests in the bad buckets; equal rows cancel."""
 
+    wanted = bad.where(F.col("table_name") == s.table).select(F.col("bucket_id").alias("__bad"))
+
     def marks(df: DataFrame, weight: int) -> DataFrame:
-        return df.select(bucket_of(df, s.key, s.modulus).alias("bucket_id"), F.col(s.key).alias("key"), row_md5(df, s.columns).alias("digest"), F.lit(weight).alias("w"))
+        # the bucket needs the key only: rows of good buckets leave before their digest is made
+        in_bad = df.join(wanted, bucket_of(df, s.key, s.modulus) == F.col("__bad"), "left_semi")
+        return in_bad.select(F.col(s.key).alias("key"), row_md5(df, s.columns).alias("digest"), F.lit(weight).alias("w"))
 
-    both = marks(sides[0], 1).unionByName(marks(sides[1], -1)).join(bad.where(F.col("table_name") == s.table), "bucket_id", "left_semi")
+    both = marks(sides[0], 1).unionByName(marks(sides[1], -1))
     net = both.groupBy("key", "digest").agg(F.sum("w").alias("net")).where("net <> 0")
     per_key = net.groupBy("key").agg(F.sum(F.greatest("net", F.lit(0))).alias("less"), F.sum(F.greatest(-F.col("net"), F.lit(0))).alias("more"))
     changed = F.least("less", "more")

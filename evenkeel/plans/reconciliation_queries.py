@@ -462,6 +462,48 @@ def tolerant_run(t: Tables):
     return report.select("table_name", "source_rows", "missing", "extra", "changed", "status")
 
 
+# one run over five tables: within tolerance, beyond it, equal, with a rule that fails, with other deletes only
+RUN_SRC = ["event_id AS id", "event_type AS kind", "CAST(value AS DECIMAL(18,2)) AS amount", "event_type = 'error' AS gone"]
+RUN_HASH = md5_number(f"concat_ws('|', {sized('cast(id AS varchar)')}, {sized('trim(kind)')}, {sized('cast(amount AS varchar)')})")
+RUN_BUCKET = md5_number(sized("cast(id AS varchar)")) + " % 128"
+RUN_COLS = ["id", "kind", "amount"]
+RUN_TOLERANCES = {"critical": 0.0, "non_critical": 1.0}
+RUN = {"few": ("non_critical", "drifted"), "strict": ("critical", "drifted"), "same": ("non_critical", "src"), "rule": ("non_critical", "drifted"), "deletes": ("non_critical", "flagged")}
+
+
+def run_sql(name: str, scope: str, target: str) -> str:
+    return f"""SELECT '{name}' AS table_name, '{scope}' AS scope, (SELECT count(*) FROM src) AS source_rows, (SELECT count(*) FROM {target}) AS target_rows, buckets, bad_buckets, missing, extra, changed,
+      true AS update_match, {f"(SELECT count(*) FILTER (WHERE gone) FROM src) = (SELECT count(*) FILTER (WHERE gone) FROM {target})" if name == "deletes" else "true"} AS delete_match,
+      {f"CASE WHEN (SELECT sum(amount) FROM src) <> (SELECT sum(amount) FROM {target}) THEN 1 ELSE 0 END" if name == "rule" else "0"}::bigint AS bad_rules
+    FROM (SELECT count(*) AS buckets, count(*) FILTER (WHERE x.n IS DISTINCT FROM y.n OR x.h IS DISTINCT FROM y.h) AS bad_buckets
+        FROM (SELECT {RUN_BUCKET} AS b, count(*) AS n, sum({RUN_HASH}) AS h FROM src GROUP BY 1) x FULL OUTER JOIN (SELECT {RUN_BUCKET} AS b, count(*) AS n, sum({RUN_HASH}) AS h FROM {target} GROUP BY 1) y ON x.b = y.b),
+      (SELECT count(*) FILTER (WHERE y.id IS NULL) AS missing, count(*) FILTER (WHERE x.id IS NULL) AS extra, count(*) FILTER (WHERE x.kind <> y.kind OR x.amount <> y.amount) AS changed
+        FROM src x FULL OUTER JOIN {target} y ON x.id = y.id)"""
+
+
+@query(
+    "e01_reconcile_report",
+    f"""WITH src AS (SELECT {', '.join(RUN_SRC)} FROM events),
+  drifted AS (SELECT id, CASE WHEN id % 500 = 7 THEN 'other' ELSE kind END AS kind, amount, gone FROM src WHERE id % 500 <> 3
+    UNION ALL SELECT id + 1000000000, kind, amount, gone FROM src WHERE id % 500 = 9),
+  flagged AS (SELECT id, kind, amount, gone OR id % 100 = 1 AS gone FROM src),
+  r AS ({' UNION ALL '.join(run_sql(n, *x) for n, x in RUN.items())}),
+  g AS (SELECT *, CASE WHEN source_rows <> target_rows AND bad_buckets > 0 THEN 'CLASS-A' WHEN bad_buckets > 0 THEN 'CLASS-B' WHEN NOT update_match OR NOT delete_match THEN 'CLASS-C' ELSE 'OK' END AS gap_class,
+    round(100.0::double * abs(target_rows - source_rows)::double / source_rows::double, 6) AS diff_pct, CASE scope WHEN 'critical' THEN 0.0 ELSE 1.0 END::double AS tolerance_pct FROM r)
+  SELECT *, CASE WHEN bad_rules > 0 OR gap_class = 'CLASS-C' THEN 'FAIL' WHEN bad_buckets = 0 THEN 'PASS'
+    WHEN 100.0::double * (missing + extra + changed) <= tolerance_pct * source_rows THEN 'PASS_WITH_TOLERANCE' ELSE 'FAIL' END AS status FROM g""",
+)
+def run_report(t: Tables):
+    src = t.events.selectExpr(*RUN_SRC)
+    copies = F.array_compact(F.array(F.when(F.expr("id % 500 <> 3"), F.col("id")), F.when(F.expr("id % 500 = 9"), F.col("id") + 1000000000)))
+    other = F.expr("CASE WHEN id % 500 = 7 AND copy < 1000000000 THEN 'other' ELSE kind END")
+    drifted = src.withColumn("copy", F.explode(copies)).select(F.col("copy").alias("id"), other.alias("kind"), "amount", "gone")
+    targets = {"src": src, "drifted": drifted, "flagged": src.withColumn("gone", F.expr("gone OR id % 100 = 1"))}
+    more = {"rule": {"rules": [fp.Rule("total", "amount", "SUM")]}, "deletes": {"deleted": "gone"}}
+    scopes = [Scope(n, "id", RUN_COLS, 128, critical=scope == "critical", **more.get(n, {})) for n, (scope, _) in RUN.items()]
+    return reconcile(scopes, lambda n: src, lambda n: targets[RUN[n][1]], RUN_TOLERANCES).drop("recommended_action")
+
+
 @query("q04_gap_keys", f"SELECT id AS key_id, CASE kind WHEN 'missing' THEN 'INSERT' WHEN 'extra' THEN 'DELETE' ELSE 'UPDATE' END AS repair FROM ({ROW_DIFF})")
 def keys_to_repair(t: Tables):
     return rem.gap_keys(src_orders(t), tgt_orders(t), "id", VALUES)
