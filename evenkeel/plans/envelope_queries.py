@@ -11,7 +11,7 @@ from evenkeel.operators.replay import Policy
 from evenkeel.plans.derived import CHANGES, USERS, changes, users
 from evenkeel.plans.registry import Tables, query
 
-NAMES = F.create_map(*[F.lit(x) for x in ("I", "INSERT", "U", "UPDATE", "D", "DELETE")])
+OPERATION = "CASE op WHEN 'I' THEN 'INSERT' WHEN 'U' THEN 'UPDATE' ELSE 'DELETE' END"
 ACCOUNT_OP = "CASE o_orderstatus WHEN 'F' THEN 'I' WHEN 'O' THEN 'U' ELSE 'D' END"
 SHELF_OP = "CASE WHEN quantity % 5 < 2 THEN 'I' WHEN quantity % 5 >= 4 THEN 'D' ELSE 'U' END"
 
@@ -24,7 +24,7 @@ def line(op, table, scn, ts, pk, data):
 def user_lines(t: Tables) -> DataFrame:
     """Unknown operations and tables, cut lines, lines without a position, lines that come twice."""
     c = changes(t)
-    op = F.when(F.expr("seq % 101 = 0"), "TRUNCATE").otherwise(NAMES[F.col("op")])
+    op = F.when(F.expr("seq % 101 = 0"), "TRUNCATE").otherwise(F.expr(OPERATION))
     table = F.when(F.expr("seq % 107 = 2"), "nowhere").otherwise("users")
     scn = F.when(F.expr("seq % 113 <> 3"), F.col("seq"))
     data = F.struct("pk", F.expr("CASE WHEN kind <> 'view' THEN amount END AS amount"), F.expr("CASE WHEN kind <> 'click' THEN kind END AS kind"))
@@ -41,7 +41,7 @@ def account_lines(t: Tables) -> DataFrame:
     since = F.expr("CASE WHEN op <> 'U' OR o_orderkey % 3 <> 0 THEN o_orderdate END")
     key = F.struct(F.col("o_custkey").alias("id"))
     data = F.struct(F.col("o_custkey").alias("id"), balance.alias("balance"), since.alias("since"))
-    return o.select(line(NAMES[F.col("op")], F.lit("accounts"), F.col("o_orderkey"), F.col("o_orderdate"), key, data).alias("value"), F.lit(0).cast("long").alias("place"))
+    return o.select(line(F.expr(OPERATION), F.lit("accounts"), F.col("o_orderkey"), F.col("o_orderdate"), key, data).alias("value"), F.lit(0).cast("long").alias("place"))
 
 
 def shelf_rows(t: Tables) -> DataFrame:
@@ -54,7 +54,7 @@ def shelf_lines(t: Tables) -> DataFrame:
     key = F.struct(F.expr("l_orderkey div 4 AS shelf"), F.col("l_linenumber").alias("slot"))
     data = F.struct(F.expr("l_orderkey div 4 AS shelf"), F.col("l_linenumber").alias("slot"), "quantity", "seen")
     return rows.select(
-        line(NAMES[F.col("op")], F.lit("shelves"), F.col("l_orderkey"), F.col("seen"), key, data).alias("value"), F.col("l_linenumber").cast("long").alias("place")
+        line(F.expr(OPERATION), F.lit("shelves"), F.col("l_orderkey"), F.col("seen"), key, data).alias("value"), F.col("l_linenumber").cast("long").alias("place")
     )
 
 
