@@ -45,7 +45,7 @@ def blocking_tree(edges: DataFrame, keys: Sequence[str], blocked: str, blocker:
     first = links.join(links.select(*k, F.col("session").alias("ancestor")).withColumn("__more", F.lit(True)), [*k, "ancestor"], "left")
     state = cut_lineage(first.select(*k, "session", "ancestor", "depth", F.coalesce("__more", F.lit(False)).alias("open")))
     most = links.groupBy(*k).agg(F.count_distinct("session").alias("n")).agg(F.max("n")).first()[0] or 0
-    length, left = 1, state.where("open").count()
+    length, left = 1, not state.where("open").isEmpty()
     while left and length <= most:
         jump = state.select(*k, F.col("session").alias("ancestor"), F.col("ancestor").alias("__a"), F.col("depth").alias("__d"), F.col("open").alias("__o"))
         moved = state.where("open").join(jump, [*k, "ancestor"]).select(
@@ -53,10 +53,12 @@ def blocking_tree(edges: DataFrame, keys: Sequence[str], blocked: str, blocker:
         )
         merged = state.where("NOT open").unionByName(moved).groupBy(*k, "session", "ancestor").agg(F.min("depth").alias("depth"), F.first("open").alias("open"))
         state = cut_lineage(merged)
-        length, left = 2 * length, state.where("open").count()
+        length, left = 2 * length, not state.where("open").isEmpty()
     heads = state.where("NOT open").select(*k, "session", F.col("ancestor").alias("head_blocker"), "depth")
     every = links.select(*k, "session").distinct()
-    circular = on_cycle(links, state.where("open").select(*k, "session").distinct(), k).withColumn("__circular", F.lit(True))
+    # without a head a session is deadlocked anyway; all on a cycle have the same heads, so whole cycles stay or go
+    suspects = state.where("open").select(*k, "session").distinct().join(heads.select(*k, "session"), [*k, "session"], "left_semi")
+    circular = on_cycle(links, suspects, k).withColumn("__circular", F.lit(True))
     joined = every.join(heads, [*k, "session"], "left").join(circular, [*k, "session"], "left")
     return joined.select(*k, "session", "head_blocker", "depth", (F.coalesce("__circular", F.lit(False)) | F.col("head_blocker").isNull()).alias("deadlocked"))
 
@@ -64,8 +66,8 @@ def blocking_tree(edges: DataFrame, keys: Sequence[str], blocked: str, blocker:
 def on_cycle(links: DataFrame, suspects: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Suspects that wait for themselves, over waits among suspects.
 
-    Only sessions that lead into a cycle are suspects, so the set of all pairs that is
-    grown here until it stays the same is that of the deadlocks alone.
+    Only sessions that lead both into a cycle and to a head are suspects, so the set of
+    all pairs that is grown here until it stays the same is that of such cycles alone.
     """
     k = list(keys)
     inner = links.select(*k, "session", "ancestor").join(suspects, [*k, "session"], "left_semi")

@@ -12,7 +12,7 @@ FORMATS = ("parquet", "orc", "csv", "json")
 
 
 def format_bench(df: DataFrame, folder: str, value: str, formats: Sequence[str] = FORMATS) -> DataFrame:
-    """Bytes, size relative to the first format and scan time of the same rows per format.
+    """Bytes, size relative to the first format, scan time and what the scan found (rows, sum of ``value``) per format.
 
     Formats whose data source is not installed are reported as unavailable.
     """
@@ -23,14 +23,14 @@ def format_bench(df: DataFrame, folder: str, value: str, formats: Sequence[str]
         try:
             df.write.format(name).option("header", True).save(path)
         except PySparkException as err:
-            rows.append((name, False, None, None, str(err).splitlines()[0][:200]))
+            rows.append((name, False, None, None, None, None, str(err).splitlines()[0][:200]))
             continue
         reader = spark.read.format(name).option("header", True).schema(df.schema)
         start = time.perf_counter()
-        reader.load(path).agg(F.sum(value)).collect()
+        found = reader.load(path).agg(F.count(value), F.sum(F.col(value).cast("decimal(28,6)"))).first()
         seconds = time.perf_counter() - start
         size = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).agg(F.sum("length")).first()[0]
-        rows.append((name, True, size, seconds, ""))
-    out = spark.createDataFrame(rows, "format string, available boolean, bytes long, scan_seconds double, note string")
+        rows.append((name, True, size, seconds, *found, ""))
+    out = spark.createDataFrame(rows, "format string, available boolean, bytes long, scan_seconds double, row_count long, total decimal(38,6), note string")
     first = next((r[2] for r in rows if r[2]), None)
     return out.withColumn("relative_size", F.round(F.col("bytes") / F.lit(first), 2))

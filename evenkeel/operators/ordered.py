@@ -7,7 +7,6 @@ key with a third of all rows is spread over many tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -69,34 +68,38 @@ def sustained(df: DataFrame, keys: Sequence[str], order: Sequence[str], conditio
     return spans.withColumn("duration_s", seconds).where(F.col("duration_s") >= min_seconds).drop("__breaks")
 
 
-def trailing_sum(df: DataFrame, keys: Sequence[str], ts: str, value: Column, seconds: int, out: str) -> DataFrame:
+def trailing_sum(df: DataFrame, keys: Sequence[str], ts: str, value: Column, seconds: int, out: str, plain: DataFrame | None = None) -> DataFrame:
     """Sum over [ts - seconds, ts] per key; rows without a time sum up among themselves.
 
-    Each instant of a key adds its values when it comes and takes them back just
-    after the window's length. These steps are summed up per instant before any
-    ordered work, and a running sum over them costs the same however many rows a
-    window holds. Fractions are summed as decimals, so taking back leaves no rest.
+    Each row adds its value when it comes, takes it back just after the window's length
+    and asks for the sum once all values of its instant have come. The running sum over
+    these steps reads the input once and costs the same however many rows a window holds.
+    Fractions are summed as decimals, so taking back leaves no rest. ``plain`` may be a
+    cheaper table with the same keys and times, for the look at hot keys.
     """
-    us, step = F.unix_micros(F.col(ts).cast("timestamp")), "__step"
     kind = df.select(value.alias("v")).schema["v"].dataType
-    exact = value.cast("decimal(28,9)") if isinstance(kind, (T.DoubleType, T.FloatType)) else value
-    base = df.withColumn("__us", us)
-    came = base.groupBy(*keys, "__us").agg(F.sum(exact).alias(step))
-    gone = came.where("__us IS NOT NULL").withColumns({"__us": F.col("__us") + seconds * 1000000 + 1, step: -F.col(step)})
-    steps = came.unionByName(gone).groupBy(*keys, "__us").agg(F.sum(step).alias(step))
-    # an instant that is only a taking back needs no sum of its own, and instants without a time stand apart
-    timed = running(steps.where("__us IS NOT NULL"), keys, ["__us"], {out: ("sum", F.col(step))}).drop(step)
-    sums = timed.unionByName(steps.where("__us IS NULL").withColumnRenamed(step, out))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keys, "__us"]]
-    joined = base.alias("a").join(sums.alias("b"), reduce(lambda x, y: x & y, same))
-    total = F.col(f"b.{out}")
-    return joined.select(*[F.col(f"a.`{c}`") for c in df.columns], (total.cast(kind) if isinstance(kind, (T.DoubleType, T.FloatType)) else total).alias(out))
+    fraction = isinstance(kind, (T.DoubleType, T.FloatType))
+    exact = value.cast("decimal(28,9)") if fraction else value
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    asking = df.select(F.struct("*").alias("__row")).schema["__row"].dataType.simpleString()
+
+    def step(at: Column, turn: int, change: Column, asked: Column) -> Column:
+        return F.struct(at.alias("__us"), F.lit(turn).alias("__turn"), change.alias("__step"), asked.alias("__row"))
+
+    nobody = F.lit(None).cast(asking)
+    gone = F.when(us.isNotNull(), step(us + seconds * 1000000 + 1, 0, -exact, nobody))
+    each = F.array_compact(F.array(step(us, 0, exact, nobody), gone, step(us, 1, F.lit(None).cast(df.select(exact.alias("v")).schema["v"].dataType), F.struct("*"))))
+    steps = df.select(*keys, us.isNotNull().alias("__timed"), F.explode(each).alias("__e")).select(*keys, "__timed", "__e.*")
+    looked = (df if plain is None else plain).select(*keys, us.isNotNull().alias("__timed"), us.alias("__us"))
+    layout = find_layout(looked, [*keys, "__timed"], "__us")
+    summed = running(steps, [*keys, "__timed"], ["__us", "__turn"], {out: ("sum", F.col("__step"))}, layout=layout).where("__turn = 1")
+    return summed.select("__row.*", (F.col(out).cast(kind) if fraction else F.col(out)).alias(out))
 
 
 def rate(df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str, seconds: int = 300, layout: Layout | None = None) -> DataFrame:
     """Increase of a counter per second over the trailing window, restarts handled."""
     steps = snapshot_delta(df, keys, order, counter, layout)
-    summed = trailing_sum(steps, keys, order[0], F.coalesce("delta", F.lit(0)), seconds, "__inc")
+    summed = trailing_sum(steps, keys, order[0], F.coalesce("delta", F.lit(0)), seconds, "__inc", df)
     return summed.withColumn("rate", F.col("__inc").cast("double") / seconds).drop("__inc", "delta")
 
 

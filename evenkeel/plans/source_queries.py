@@ -12,7 +12,7 @@ from evenkeel.plans.slo_queries import COMPOSED, COMPOSITE, FIRED, RULES, SLIDIN
 from evenkeel.plans.telemetry_queries import ROUTED, STREAK
 from evenkeel.session import cut_lineage, scratch_path
 from evenkeel.sources import readers as rd, writers as wr
-from evenkeel.streaming import changes as sc, health as sh
+from evenkeel.streaming import changes as sc, health as sh, positions as ps
 from evenkeel.streaming.state import KeyedState
 
 ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
@@ -256,6 +256,21 @@ def streamed(t: Tables):
     return t.spark.read.parquet(out).select("seq", "pk", "op", "ts", F.col("amount").cast("double").alias("amount"), "kind")
 
 
+POSITIONS = f"(SELECT seq // 3 AS position, * FROM {CHANGES})"  # three changes a commit
+
+
+@query("c01_position_source", f"SELECT position, seq, pk, op, ts, cast(amount AS double) AS amount, kind FROM {POSITIONS}")
+def polled(t: Tables):
+    """The log grows between two runs; the second goes on at the first one's last position."""
+    log, out, ck = (scratch_path(t.spark, n) for n in ("log", "polled", "ck"))
+    feed = changes(t).withColumn("position", F.expr("seq div 3"))
+    last = feed.agg(F.expr("max(position) div 2")).scalar()
+    for part in (F.col("position") <= last, F.col("position") > last):
+        feed.where(part).repartitionByRange(4, "position").sortWithinPartitions("position").write.mode("append").parquet(log)
+        ps.capture(ps.position_stream(t.spark, log, feed.schema, "position"), out, ck)
+    return t.spark.read.parquet(out).select("position", "seq", "pk", "op", "ts", F.col("amount").cast("double").alias("amount"), "kind")
+
+
 def streamed_replay(t: Tables):
     ck, st, mk = (scratch_path(t.spark, n) for n in ("ck", "state", "marks"))
     state = KeyedState(t.spark, st, ["pk"], "pk long, amount decimal(18,2), kind string")
@@ -340,6 +355,11 @@ def stream_composite(t: Tables):
     return slo.composite_alert(streamed_metrics(t), [], COMPOSITE, 3600)
 
 
+@query("l11_format_totals", "SELECT f.format, n.row_count, n.total FROM (VALUES ('parquet'), ('orc'), ('csv'), ('json')) f(format), (SELECT count(l_extendedprice) AS row_count, cast(sum(cast(l_extendedprice AS decimal(28,6))) AS double) AS total FROM lineitem) n")
+def format_totals(t: Tables):
+    return formats(t).select("format", "row_count", F.col("total").cast("double").alias("total"))
+
+
 @query("l11_format_bench")
 def formats(t: Tables):
     from evenkeel.operators.formats import format_bench
