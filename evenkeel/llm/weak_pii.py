@@ -5,8 +5,9 @@ and addresses. Labelers (patterns, gazetteers, context) vote for, against or not
 Expectation-maximisation over the counts of all vote patterns estimates how reliable
 each labeler is, and its posteriors train the final span classifier, a logistic
 regression over votes and shape. Valid base matches always stay; the classifier adds
-candidates that touch none of them. Built-in expressions only; all that reaches the
-driver is a table of vote patterns, whose size the votes bound.
+candidates that touch none of them, unless their kind's check or the words before them
+speak against it. Added phone numbers touch no other added span. Built-in expressions
+only; all that reaches the driver is a table of vote patterns, whose size the votes bound.
 
 Defined cases: places are code points, ends exclusive; null and empty texts have no
 spans; repeated rows give repeated results; without candidates nothing is added.
@@ -153,17 +154,18 @@ def judged(kind: str, spans: Column, loose: bool) -> Column:
     def one(s):
         body = s["body"]
         before, after = F.lower(s["before"]), s["after"]
-        good = F.lit(False) if loose else valid(kind, body)
+        good = valid(kind, body)
+        base = F.lit(False) if loose else good
         n = F.length(digits(body))
         votes = [
-            vote(good, ~good) if not loose else F.lit(0),
+            vote(good, ~good),
             vote(gazetteer(kind, body), ~gazetteer(kind, body)),
             vote(before.rlike(rf"\b(?:{CUES})\b[^\n]*$"), before.rlike(rf"\b(?:{OTHERS})\b[^\n]{{0,4}}$")),
             vote(before.rlike(r"(?:^|\s)[(\[]?$") & ~after.rlike(r"^[\w@]"), before.rlike(r"\w$") | after.rlike(r"^[\w@]")),
             vote(n.between(9, 19), n < 7) if kind != "email" else F.lit(0),
         ]
         named = [v.cast("int").alias(x) for v, x in zip(votes, LABELERS)]
-        return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end"), good.alias("base"), *named)
+        return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end"), base.alias("base"), *named)
 
     return F.transform(spans, one)
 
@@ -248,12 +250,21 @@ def find_pii(docs: DataFrame) -> DataFrame:
     with_base = found.select("doc_id", base.alias("base"), F.filter("found", lambda s: ~s["base"]).alias("rest"))
     if not weights:
         return with_base.select("doc_id", "base", F.col("base").alias("spans"))
-    likely = F.filter("rest", lambda s: probability(s, weights) >= ADDED_FROM)
-    return with_base.select("doc_id", "base", F.array_sort(F.array_union("base", apart_from("base", F.transform(likely, plain)))).alias("spans"))
+    phone = KINDS.index("phone")  # the shape of parts of other numbers, so it comes last
+    likely = F.filter("rest", lambda s: (s["valid"] >= 0) & (s["cue"] >= 0) & (probability(s, weights) >= ADDED_FROM))
+    rated = with_base.select("doc_id", "base", F.transform(likely, plain).alias("likely"))
+    some = rated.select("doc_id", "base", "likely", F.concat("base", apart_from("base", F.filter("likely", lambda s: s["kind"] != phone))).alias("taken"))
+    phones = apart_from("taken", F.filter("likely", lambda s: s["kind"] == phone))
+    return some.select("doc_id", "base", without_repeats(F.concat("taken", phones)).alias("spans"))
+
+
+def without_repeats(spans: Column) -> Column:
+    """Sorted spans, each once; ``array_union`` would compare every struct with all others."""
+    return bound(F.array_sort(spans), lambda a: F.filter(a, lambda s, i: ~s.eqNullSafe(F.get(a, i - 1))))
 
 
 def apart_from(base: str, spans: Column) -> Column:
-    """The spans that overlap none of ``base``: one sweep over both in the order of their starts, and one back.
+    """The spans that overlap none of the column ``base``: one sweep over both in the order of their starts, and one back.
 
     Forwards a base span that began before reaches into a span if the furthest end so far
     lies beyond its start; backwards one begins inside if the nearest start lies before its end.
