@@ -14,7 +14,8 @@ no inputs of a score.
 
 Defined cases: null and empty texts have no tokens and get the score of a text without
 toxic tokens; labels that are null are left out, repeated ones count once (toxic wins);
-without labels of both kinds all scores are 0.
+without labels of both kinds, or without any word that toxic documents have more often,
+all scores are 0.
 """
 
 from __future__ import annotations
@@ -196,7 +197,10 @@ def training_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def seed_signs(sample: DataFrame) -> set[str]:
-    """Signs that mark toxic documents: few documents without the label have them."""
+    """Signs that mark toxic documents: few documents without the label have them.
+
+    Where none is frequent and telling enough, all count that toxic documents have more often.
+    """
 
     def count(stream):
         for batch in batches(stream):
@@ -212,8 +216,10 @@ def seed_signs(sample: DataFrame) -> set[str]:
     counts = sample.select("text", "toxic").mapInArrow(count, "sign string, toxic int, n long").groupBy("sign")
     both = counts.agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (total[1] + 1)) - F.log((F.col("good") + 0.5) / (total[0] + 1))
-    best = both.withColumn("odds", odds).where((F.col("bad") >= SEED_DOCS) & (F.col("odds") >= SEED_ODDS))
-    return {r["sign"] for r in best.orderBy(F.desc("odds"), F.desc("bad"), "sign").limit(SEEDS).collect()}
+    sure = (F.col("bad") >= SEED_DOCS) & (F.col("odds") >= SEED_ODDS)
+    best = both.withColumn("odds", odds).where("bad > 0 AND odds > 0").withColumn("sure", sure)
+    rows = best.orderBy(F.desc("sure"), F.desc("odds"), F.desc("bad"), "sign").limit(SEEDS).collect()
+    return {r["sign"] for r in rows if r["sure"]} or {r["sign"] for r in rows}
 
 
 def training_windows(sample: DataFrame, seeds: set[str]) -> list[tuple[str, str]]:
