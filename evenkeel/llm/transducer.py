@@ -14,8 +14,6 @@ table gives an empty lexicon and no rows.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from array import array
 from bisect import bisect_left
 from collections import Counter
@@ -24,13 +22,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from evenkeel.llm import bpe
 from evenkeel.llm.common import add_columns, batches, texts_of
-from evenkeel.session import cut_lineage
+from evenkeel.session import cut_lineage, scratch_path
 
 MAX_WORDS = 32768  # words in the lexicon at most
 COUNTED_AT_ONCE = 400_000  # different words that a task counts before it hands them on
@@ -204,12 +202,18 @@ def build_lexicon(docs: DataFrame, path: str, most: int = MAX_WORDS) -> str:
         yield pa.RecordBatch.from_pydict({"data": pa.array([data], pa.binary())})
 
     data = frequent_words(counts, most).repartition(1).mapInArrow(build, "data binary").first()
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    file = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)  # the driver serves it from here
-    with open(file, "wb") as out:
-        out.write(data["data"] if data else compile_words({}))
-    spark.sparkContext.addFile(file)
-    return name
+    return shared_file(spark, data["data"] if data else compile_words({}))
+
+
+def shared_file(spark: SparkSession, data: bytes) -> str:
+    """Writes a file below the shared folder and hands it to all executors; its name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "lexicon") + ".bin")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(path)
+    out.write(data)
+    out.close()
+    spark.sparkContext.addFile(fs.makeQualified(path).toString())
+    return path.getName()
 
 
 def joined_tokens(tokens: list[str], ids) -> str:
