@@ -112,7 +112,7 @@ def quality_rules(t: Tables) -> DataFrame:
 @query("op9_pii_weak_supervision")
 def pii_weak_supervision(t: Tables) -> DataFrame:
     found = weak_pii.find_pii(t.documents)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(weak_pii.KINDS)]
+    counts = [weak_pii.number_of("base", k).alias(f"n_{name}") for k, name in enumerate(weak_pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(weak_pii.listed("base"), 256).alias("base_sha256"), weak_pii.listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 

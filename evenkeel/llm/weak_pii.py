@@ -287,6 +287,12 @@ def apart_from(base: str, spans: Column) -> Column:
     return F.transform(left, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
+def number_of(spans: str, kind: int) -> Column:
+    """How many spans are of one kind."""
+    # no default argument in the lambda: Spark would take it for the place in the list
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def listed(spans: str) -> Column:
     """``kind:start:end`` of the spans, joined by commas."""
     kinds = F.array(*(F.lit(k) for k in KINDS))

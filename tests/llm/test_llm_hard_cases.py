@@ -22,6 +22,15 @@ def test_a_text_of_very_many_matches_takes_linear_time(spark):
     assert [tuple(s) for s in row["base"]] == places and row["spans"] == row["base"]
 
 
+def test_query_counts_each_kind(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, "4111111111111111"), (2, "1.2.3.4 5.6.7.8 a@b.co"), (3, "+1 234 567 890"), (4, "a@b.co c@d.org"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["op9_pii_weak_supervision"](spark, str(tmp_path)).orderBy("doc_id").select("n_email", "n_ip", "n_card", "n_phone").collect()
+    assert [tuple(r) for r in got] == [(0, 0, 1, 0), (1, 2, 0, 0), (0, 0, 0, 1), (2, 0, 0, 0), (0, 0, 0, 0)]
+
+
 def test_spans_come_once_and_sorted(spark):
     rows = spark.createDataFrame([([(5, 1, 9), (2, 3, 4), (5, 1, 9), (5, 0, 9)],), ([],)], "s array<struct<start:int,kind:int,end:int>>")
     got = [[tuple(x) for x in r[0]] for r in rows.select(weak_pii.without_repeats(F.col("s"))).collect()]
