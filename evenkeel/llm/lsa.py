@@ -10,9 +10,11 @@ words too few are in the document at all can't pass the check and are left out b
 SURE of an item's words on it is a leak; from MAYBE on it is one if the item's end, its
 answer, is there as well.
 
-The SVD is fitted on at most about SAMPLE_DOCS documents, chosen by a hash of their key,
-and on the items; document frequencies count all documents, and every window of every
-document is searched. A benchmark of more than SLICE items or SLICE_WORDS words is worked
+The SVD is that of all documents' passages and the items. Its Gram matrix, the sums over
+passages of the products of two words' weights, is added up in one pass over the texts and
+kept in blocks of rows, so its size depends on the benchmark's words and not on the corpus;
+the passes of the SVD read the blocks. Document frequencies count all documents, and every
+window of every document is searched. A benchmark of more than SLICE items or SLICE_WORDS words is worked
 through in slices by a hash of the items, so that what is sent to the executors stays
 bounded (an item is never cut, so one of more words makes its slice that much larger).
 
@@ -25,6 +27,7 @@ table gives no leaks.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm.common import batches, doc_key, free_name, keyed, texts_of
-from evenkeel.session import cut_lineage, scratch_path
+from evenkeel.session import scratch_path
 
 LATENT = 200
 STEP, STEPS = 8, 4  # words between windows, steps in a window
@@ -42,7 +45,11 @@ COSINE = 0.4
 COMMON, COMMON_WEIGHT = 0.05, 0.05  # words in more than this share of the documents keep little weight
 SURE, MAYBE, ANSWER = 0.8, 0.6, 0.8
 SLICE, SLICE_WORDS = 5000, 250_000  # items and words of items worked on at once
-SAMPLE_DOCS, SAMPLE_PARTS = 4000, 6
+GRAM_TASKS = 64  # at least; each adds up its own products, so tasks do not grow with the corpus
+GRAM_PARTS = 6  # tasks that multiply with the Gram matrix, each giving one thin matrix to the driver
+DENSE = 4_000_000  # numbers of a block of the Gram matrix
+DENSE_WORDS = 6000  # up to so many words a task adds up in a full matrix
+PAIRS = 1_000_000  # products added up at once
 POWER_STEPS = 2
 TOKEN = re.compile(r"\w+")
 
@@ -112,15 +119,23 @@ def word_numbers(rows: DataFrame, items: Items) -> DataFrame:
     return rows.select("doc_id", "key", "text").mapInArrow(work, f"doc_id {id_type}, key long, ids binary")
 
 
+def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The batch's words one after the other, with their row and their place in it."""
+    lists = batch.column("ids").to_pylist()
+    sizes = np.array([len(x) // 4 for x in lists], dtype=np.int64)
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.frombuffer(b"".join(lists), "<i4").astype(np.int64), np.repeat(np.arange(len(lists)), sizes), place
+
+
 def document_frequency(coded: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """In how many documents each word is, and the number of documents."""
 
     def count(stream):
         total, docs = np.zeros(size, dtype=np.int64), 0
         for batch in batches(stream):
-            for x in batch.column("ids").to_pylist():
-                found = np.unique(np.frombuffer(x, "<i4"))
-                total[found[found >= 0]] += 1
+            ids, row, _ = flat(batch)
+            found = np.unique(row[ids >= 0] * size + ids[ids >= 0])
+            total += np.bincount(found % size, minlength=size)
             docs += batch.num_rows
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"word": pa.array([-1, *used.tolist()], pa.int32()), "n": pa.array([docs, *total[used].tolist()], pa.int64())})
@@ -151,28 +166,108 @@ def passage_matrix(ids: np.ndarray, table: np.ndarray, length: int = STEPS) -> n
     return out
 
 
-def latent_space(coded: DataFrame, items: Items, idf: np.ndarray, docs: int) -> np.ndarray:
-    """Weights from words to latent dimensions: a randomised SVD of TF-IDF passages.
+def products(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each two words of a passage (the lower number first, a word with itself too) ``first * size + second`` and the product of their weights, passages having length one."""
+    size = len(idf)
+    ids, row, place = flat(batch)
+    passage = np.cumsum(place % (STEP * STEPS) == 0) - 1
+    known = ids >= 0
+    codes, times = np.unique(passage[known] * size + ids[known], return_counts=True)
+    if not len(codes):
+        return
+    passage, word = codes // size, codes % size
+    x = times * idf[word]
+    x /= np.sqrt(np.bincount(passage, x * x))[passage] + 1e-12
+    for apart in range(STEP * STEPS):
+        end = len(word) - apart
+        both = np.flatnonzero(passage[:end] == passage[apart:])
+        if not len(both):
+            return
+        yield word[both] * size + word[both + apart], x[both] * x[both + apart]
+
+
+def added(codes: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, with the sum of its values."""
+    every, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return every, np.bincount(at, np.concatenate(values), len(every))
+
+
+def gram_matrix(coded: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``block, codes, sums``: the upper half of the passages' Gram matrix, in blocks of rows of at most DENSE numbers (one row at least)."""
+    size = len(idf)
+    per_block = max(1, DENSE // size) * size
+    columns = "block long, codes binary, sums binary"
+
+    def blocks(codes: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        of = codes // per_block
+        begin = np.flatnonzero(np.diff(of, prepend=-1))
+        ends = [*begin[1:], len(codes)]
+        cut = lambda a, kind: pa.array([a[i:j].astype(kind).tobytes() for i, j in zip(begin, ends)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(of[begin], pa.int64()), cut(codes % per_block, "<i4" if per_block < 2**31 else "<i8"), cut(sums, "<f4")], names=["block", "codes", "sums"])
+
+    def one_task(stream):
+        full = np.zeros(size * size) if size <= DENSE_WORDS else None
+        codes, sums, held = [], [], 0
+        for batch in batches(stream):
+            for c, v in products(batch, idf):
+                if full is not None:
+                    np.add.at(full, c, v)
+                    continue
+                codes.append(c)
+                sums.append(v)
+                held += len(c)
+                if held > PAIRS + 2 * len(codes[0]):  # the first holds what is added up already
+                    c, v = added(codes, sums)
+                    codes, sums, held = [c], [v], len(c)
+        if full is not None:
+            used = np.flatnonzero(full)
+            yield blocks(used, full[used])
+        elif codes:
+            yield blocks(*added(codes, sums))
+
+    def one_block(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, block = np.zeros(per_block), None
+        for batch in rows:
+            for block, c, v in zip(*(batch.column(x).to_pylist() for x in ("block", "codes", "sums"))):
+                total[np.frombuffer(c, "<i4" if per_block < 2**31 else "<i8")] += np.frombuffer(v, "<f4")
+        used = np.flatnonzero(total)
+        yield blocks(used + block * per_block, total[used])
+
+    tasks = max(GRAM_TASKS, coded.sparkSession.sparkContext.defaultParallelism)
+    sums = coded.select("ids").coalesce(tasks).mapInArrow(one_task, columns)
+    return sums.groupBy("block").applyInArrow(one_block, columns)
+
+
+def latent_space(coded: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
+    """Weights from words to latent dimensions: a randomised SVD of the TF-IDF passages of all documents.
 
-    Each pass multiplies the passages' Gram matrix with a thin matrix, summed over tasks.
+    Each pass multiplies the passages' Gram matrix with a thin matrix.
     """
     size = len(items.words)
     wide = min(LATENT + 8, size)
-    share = min(1.0, SAMPLE_DOCS / max(docs, 1))
-    sample = cut_lineage(coded.where(F.pmod(F.xxhash64("key", F.lit("svd")), F.lit(1_000_000)) < int(share * 1_000_000)).select("ids").repartition(SAMPLE_PARTS))
+    per_block = max(1, DENSE // size) * size
+    path = scratch_path(coded.sparkSession, "gram")
+    gram_matrix(coded, idf).write.parquet(path)
+    stored = coded.sparkSession.read.parquet(path)
+    if stored.rdd.getNumPartitions() > GRAM_PARTS:
+        stored = stored.coalesce(GRAM_PARTS)
 
     def gram(basis: np.ndarray) -> np.ndarray:
         def work(stream):
             total = np.zeros((size, basis.shape[1]))
-            for batch in batches(stream, 64):
-                for x in batch.column("ids").to_pylist():
-                    ids = np.frombuffer(x, "<i4")
-                    for at in range(0, max(len(ids) - STEP * STEPS, 0) + 1, STEP * STEPS):
-                        add_passage(total, ids[at : at + STEP * STEPS], idf, basis)
+            for batch in batches(stream, 1):
+                block, c, v = (batch.column(x)[0].as_py() for x in ("block", "codes", "sums"))
+                half = np.zeros(per_block, dtype=np.float32)
+                half[np.frombuffer(c, "<i4" if per_block < 2**31 else "<i8")] = np.frombuffer(v, "<f4")
+                at, half = block * (per_block // size), half.reshape(-1, size)
+                rows = min(len(half), size - at)
+                total[at : at + rows] += half[:rows] @ basis
+                np.fill_diagonal(half[:, at:], 0)  # the diagonal belongs to one of the halves
+                total += half[:rows].T @ basis[at : at + rows]
             yield pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
 
         total = np.zeros((size, basis.shape[1]))
-        for row in sample.mapInArrow(work, "part binary").toLocalIterator(prefetchPartitions=True):  # one of SAMPLE_PARTS at a time
+        for row in stored.mapInArrow(work, "part binary").toLocalIterator(prefetchPartitions=False):  # one of GRAM_PARTS at a time
             total += np.frombuffer(row["part"]).reshape(total.shape)
         for x in items.lists:
             add_passage(total, np.array(x), idf, basis)
@@ -307,7 +402,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         coded = spark.read.parquet(path)
         frequency, n = document_frequency(coded, len(items.words))
         idf = weights(frequency, n)
-        table = latent_space(coded, items, idf, n)
+        table = latent_space(coded, items, idf)
         found = leaks(coded, items, table)
         names = spark.createDataFrame([(j, i) for j, i in enumerate(items.ids)], f"item int, item_id {id_field.dataType.simpleString()}")
         named = found.join(F.broadcast(names), "item").select("doc_id", "key", "item_id", "shared", "start")  # SLICE names at most

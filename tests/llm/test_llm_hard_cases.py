@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,30 @@ def test_query_counts_each_kind(spark, tmp_path):
     assert [tuple(r) for r in got] == [(0, 0, 1, 0), (1, 2, 0, 0), (0, 0, 0, 1), (2, 0, 0, 0), (0, 0, 0, 0)]
 
 
+@pytest.mark.parametrize("dense_words", [6000, 0])
+def test_gram_matrix_adds_up_every_passage(spark, monkeypatch, dense_words):
+    monkeypatch.setattr(lsa, "DENSE_WORDS", dense_words)
+    monkeypatch.setattr(lsa, "DENSE", 90)  # blocks of three rows of 30 words
+    monkeypatch.setattr(lsa, "PAIRS", 500)
+    rng = np.random.default_rng(1)
+    idf = rng.uniform(0.1, 3, 30)
+    texts = [rng.integers(-1, 30, rng.integers(0, 100)).astype("<i4") for _ in range(9000)]  # more than a sample of 4,000 had
+    want = np.zeros((30, 30))
+    for ids in texts:
+        for at in range(0, len(ids), 32):
+            lsa.add_passage(want, ids[at : at + 32], idf, np.eye(30))
+    coded = spark.createDataFrame([(x.tobytes(),) for x in texts], "ids binary").repartition(5)
+    got = np.zeros(900)
+    for r in lsa.gram_matrix(coded, idf).collect():
+        got[np.frombuffer(r["codes"], "<i4") + r["block"] * 90] += np.frombuffer(r["sums"], "<f4")
+    assert np.allclose(got.reshape(30, 30), np.triu(want), rtol=1e-4, atol=1e-3)
+    items = lsa.Items(["a"], {str(w): w for w in range(30)}, [list(range(30))])
+    table = lsa.latent_space(coded, items, idf)
+    lsa.add_passage(want, np.arange(30), idf, np.eye(30))
+    directions = table / idf[:, None]
+    assert np.allclose(directions.T @ want @ directions, np.diag(np.sort(np.linalg.eigvalsh(want))[::-1]), rtol=1e-2, atol=1)
+
+
 def test_spans_come_once_and_sorted(spark):
     rows = spark.createDataFrame([([(5, 1, 9), (2, 3, 4), (5, 1, 9), (5, 0, 9)],), ([],)], "s array<struct<start:int,kind:int,end:int>>")
     got = [[tuple(x) for x in r[0]] for r in rows.select(weak_pii.without_repeats(F.col("s"))).collect()]
