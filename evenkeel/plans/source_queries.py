@@ -267,7 +267,7 @@ def polled(t: Tables):
     last = feed.agg(F.expr("max(position) div 2")).scalar()
     for part in (F.col("position") <= last, F.col("position") > last):
         feed.where(part).repartitionByRange(4, "position").sortWithinPartitions("position").write.mode("append").parquet(log)
-        ps.capture(ps.position_stream(t.spark, log, feed.schema, "position"), out, ck)
+        ps.capture(ps.position_stream(t.spark, log, feed.schema, "position", stretches=ps.CATCH_UP), out, ck)
     return t.spark.read.parquet(out).select("position", "seq", "pk", "op", "ts", F.col("amount").cast("double").alias("amount"), "kind")
 
 

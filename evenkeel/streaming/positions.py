@@ -4,7 +4,8 @@ Spark's file source remembers files and knows no order between them. Here the of
 the position of the last change taken, so a batch is the next stretch of positions,
 wherever its changes are stored, and a restart goes on behind the last one. A position
 is never torn: the changes of one commit come in one batch, even where they alone exceed
-the limit.
+the limit. A log that is far ahead may be caught up with in batches of several stretches,
+each of at most ``maxChanges`` changes and whole commits; the next poll again takes what is there.
 
 Only footers and the position column of the next row groups are read to find a batch's
 end; tasks then read the row groups that the stretch touches. A log whose files are
@@ -28,7 +29,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-BATCH = 10_000  # changes in a batch
+BATCH = 10_000  # changes in a stretch
+CATCH_UP = 50  # stretches in a batch for a log that is far ahead
 ROWS = 8192  # rows handled at once inside a task
 
 
@@ -53,6 +55,7 @@ class PositionReader(DataSourceStreamReader):
     def __init__(self, options: dict, schema: StructType):
         self.folder, self.column = options["path"], options["position"]
         self.limit = int(options.get("maxchanges", BATCH))
+        self.stretches = int(options.get("stretches", 1))
         self.names = schema.names
         self.types = arrow_types(schema)
         self.at = None  # the position up to which changes were planned
@@ -70,19 +73,28 @@ class PositionReader(DataSourceStreamReader):
         return {} if end is None else {"position": end}
 
     def next_end(self):
-        nearest: list = []  # the smallest positions not yet taken, one more than fit
+        most = self.limit * self.stretches
+        nearest = None  # the smallest positions not yet taken, one more than fit
         for low, high, path, number in self.touched(self.at, None):
-            if len(nearest) > self.limit and nearest[-1] < low:
+            if nearest is not None and len(nearest) > most and nearest[-1].as_py() < low:
                 break
             column = self.opened(path).read_row_group(number, columns=[self.column]).column(0)
             some = column.drop_null() if self.at is None else column.filter(pc.greater(column, self.at))
-            some = some.take(pc.sort_indices(some)[: self.limit + 1]).to_pylist()
-            nearest = sorted(nearest + some)[: self.limit + 1]
-        if len(nearest) <= self.limit:
-            return nearest[-1] if nearest else self.at
-        beyond = nearest[-1]
-        whole = [p for p in nearest if p < beyond]
-        return whole[-1] if whole else beyond
+            some = pa.concat_arrays([*some.chunks, *([] if nearest is None else [nearest.cast(some.type)])]) if some.num_chunks or nearest is not None else pa.array([], some.type)
+            nearest = some.take(pc.sort_indices(some)[: most + 1])
+        if nearest is None or not len(nearest):
+            return self.at
+        end, at = self.at, 0
+        for _ in range(self.stretches):
+            if len(nearest) - at <= self.limit:
+                return nearest[-1].as_py() if len(nearest) <= most or end is self.at else end
+            beyond = nearest[at + self.limit]
+            whole = nearest.slice(at, self.limit)
+            whole = whole.filter(pc.less(whole, beyond))
+            if not len(whole):  # one commit that exceeds the limit
+                return beyond.as_py() if at == 0 else end
+            end, at = whole[-1].as_py(), at + len(whole)
+        return end
 
     def touched(self, after, upto) -> list[tuple]:
         """Row groups with positions in (after, upto], those that begin first at the front."""
@@ -137,7 +149,7 @@ def arrow_types(schema: StructType) -> list[pa.DataType]:
 
 
 class PositionSource(DataSource):
-    """``format("positions")`` with the options ``path``, ``position`` (a whole-number or text column) and ``maxChanges``."""
+    """``format("positions")`` with the options ``path``, ``position`` (a whole-number or text column), ``maxChanges`` and ``stretches``."""
 
     @classmethod
     def name(cls) -> str:
@@ -147,10 +159,10 @@ class PositionSource(DataSource):
         return PositionReader({k.lower(): v for k, v in self.options.items()}, schema)
 
 
-def position_stream(spark: SparkSession, folder: str, schema: StructType | str, position: str, most: int = BATCH) -> DataFrame:
-    """Changes in stretches of positions, at most so many in a batch unless one position has more."""
+def position_stream(spark: SparkSession, folder: str, schema: StructType | str, position: str, most: int = BATCH, stretches: int = 1) -> DataFrame:
+    """Changes in stretches of positions, at most so many in one unless one position has more, and so many stretches in a batch."""
     spark.dataSource.register(PositionSource)
-    return spark.readStream.format("positions").schema(schema).option("position", position).option("maxChanges", most).load(folder)
+    return spark.readStream.format("positions").schema(schema).option("position", position).option("maxChanges", most).option("stretches", stretches).load(folder)
 
 
 def capture(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -101,3 +101,15 @@ def test_text_positions(spark, tmp_path):
     rows = spark.read.parquet(out).collect()
     assert sorted(r["lsn"] for r in rows) == lsn
     assert sorted(max(r["lsn"] for r in rows if r["batch_id"] == b) for b in range(3)) == [lsn[14], lsn[29], lsn[39]]
+
+
+def test_batches_of_several_stretches(spark, tmp_path):
+    log, out = tmp_path / "log", str(tmp_path / "out")
+    commits = [(k // 3, k) for k in range(60)] + [(30, 100 + k) for k in range(9)] + [(40, 200)]  # three changes a commit, then one of nine
+    write(log, "b", commits[::2])
+    write(log, "a", [*commits[1::2], (None, 99)])
+    capture(position_stream(spark, str(log), SCHEMA, "scn", 7, stretches=3), out, str(tmp_path / "ck"))
+    rows = taken(spark, out)
+    assert sorted(r[1:] for r in rows) == commits
+    # stretches of two commits, three in a batch; the large commit ends a batch before it and has its own
+    assert [sum(r[0] == b for r in rows) for b in sorted({r[0] for r in rows})] == [18, 18, 18, 6, 9, 1]
