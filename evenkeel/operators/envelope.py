@@ -121,11 +121,19 @@ def position() -> Column:
     return F.unhex(F.concat(*parts, F.md5("__raw")))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The table as files in the shared folder, for steps that read it several times."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def replay_envelopes(lines: DataFrame, targets: Mapping[str, Target], value: str = "value", place: str | None = None) -> Replayed:
     """Apply one feed to all its targets in commit order, each table with its own columns and policy.
 
-    The feed is read once and laid out by table, so each table's replay scans its own
-    changes only. Rejected changes don't touch their table. Equal lines are one change
+    The feed is read once and laid out by table; each table's changes are then brought
+    into its types once, and written without repeats, so all later steps read them narrow
+    and parsed. Rejected changes don't touch their table. Equal lines are one change
     that was delivered again. Every table's ABORT policy is checked before anything is
     returned.
     """
@@ -138,13 +146,16 @@ def replay_envelopes(lines: DataFrame, targets: Mapping[str, Target], value: str
 
     tables, rejected, counts = {}, [laid.where(F.col("part") == REJECTED).select("table", "scn", "raw", "reason")], []
     for name, target in targets.items():
-        changes = typed(laid.where(F.col("part") == ROUTED + name), target)
-        unfit = changes.where(F.col("__reason").isNotNull())
-        rejected.append(unfit.select(F.lit(name).alias("table"), F.col("__scn").alias("scn"), F.col("__raw").alias("raw"), F.col("__reason").alias("reason")))
         pk = list(target.pk)
         cols = [f.name for f in target.fields if f.name not in pk]
-        fit = changes.where(F.col("__reason").isNull()).select(*pk, *cols, "__carried", position().alias("__pos"), "__op")
-        once = fit.dropDuplicates([*pk, "__pos"])
+        changes = typed(laid.where(F.col("part") == ROUTED + name), target)
+        is_fit = F.col("__reason").isNull()
+        kept = changes.select("__scn", F.when(~is_fit, F.col("__raw")).alias("__raw"), "__reason", *pk, *cols, "__carried", F.when(is_fit, position()).alias("__pos"), "__op")
+        changes = _written(kept, "typed-changes")
+        unfit = changes.where(~is_fit)
+        rejected.append(unfit.select(F.lit(name).alias("table"), F.col("__scn").alias("scn"), F.col("__raw").alias("raw"), F.col("__reason").alias("reason")))
+        fit = changes.where(is_fit).select(*pk, *cols, "__carried", "__pos", "__op")
+        once = _written(fit.dropDuplicates([*pk, "__pos"]), "changes-once")
         stream = annotate(target.rows, once, pk, "__pos", "__op", target.policy)
         stop_on_conflict(stream, pk, "__pos", target.policy)
         untouched = target.rows.join(once.select(*pk).distinct(), pk, "left_anti")

@@ -127,3 +127,11 @@ def test_empty_feed_and_abort(spark):
     line = json.dumps({"operation": "DELETE", "table": "a", "scn": 4, "pk": {"id": 2}})
     with pytest.raises(ReplayConflict):
         en.replay_envelopes(feed(spark, [line]), targets(spark, policies={"a": Policy(on_missing="ABORT")}), place="nr")
+
+
+def test_changes_are_parsed_once(spark):
+    line = {"operation": "INSERT", "table": "a", "scn": 1, "data": {"id": 1, "n": 2}}
+    done = en.replay_envelopes(feed(spark, [json.dumps(line)]), targets(spark), place="nr")
+    for df in (*done.tables.values(), done.counts, done.rejected):
+        assert "variant_get" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert counted(done) == {("a", "inserted"): 1}
