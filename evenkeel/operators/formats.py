@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
@@ -11,17 +11,19 @@ from pyspark.sql import DataFrame, functions as F
 FORMATS = ("parquet", "orc", "csv", "json")
 
 
-def format_bench(df: DataFrame, folder: str, value: str, formats: Sequence[str] = FORMATS) -> DataFrame:
+def format_bench(df: DataFrame, folder: str, value: str, formats: Sequence[str] = FORMATS, codecs: Mapping[str, str] | None = None) -> DataFrame:
     """Bytes, size relative to the first format, scan time and what the scan found (rows, sum of ``value``) per format.
 
     Formats whose data source is not installed are reported as unavailable.
+    ``codecs`` names the compression of formats that are not to be written as Spark does by itself.
     """
     spark = df.sparkSession
     rows = []
     for name in formats:
         path = f"{folder}/{name}"
         try:
-            df.write.format(name).option("header", True).save(path)
+            codec = {"compression": codecs[name]} if codecs and name in codecs else {}
+            df.write.format(name).option("header", True).options(**codec).save(path)
         except PySparkException as err:
             rows.append((name, False, None, None, None, None, str(err).splitlines()[0][:200]))
             continue

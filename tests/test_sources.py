@@ -154,3 +154,9 @@ def test_bad_values_are_never_silent(spark, tmp_path):
     done = wr.csv_to_parquet(spark, str(tmp_path / "a.csv"), str(tmp_path / "q"), schema="id int, amount double", quarantine=str(tmp_path / "bad"))
     assert tuple(done.first()) == (2, 1, 1)
     assert spark.read.json(str(tmp_path / "bad")).first()["_corrupt"] == "2,n/a"
+
+
+def test_format_bench_with_codecs(spark, tmp_path):
+    plain, packed = ({r.format: r for r in format_bench(spark.range(5000), str(tmp_path / n), "id", ["csv", "json"], codecs).collect()} for n, codecs in (("p", None), ("z", {"json": "gzip"})))
+    assert [(r.row_count, int(r.total)) for r in packed.values()] == [(5000, 12497500)] * 2
+    assert packed["json"].bytes < plain["json"].bytes / 2 and packed["csv"].bytes == plain["csv"].bytes
