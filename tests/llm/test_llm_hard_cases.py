@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from evenkeel.llm import crf, lsa, weak_pii
+from evenkeel.llm import components, crf, lsa, weak_pii
 
 
 def test_a_text_of_very_many_matches_takes_linear_time(spark):
@@ -124,3 +124,13 @@ def test_a_benchmark_of_many_words_is_searched_in_slices(spark, monkeypatch):
     found = lsa.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
     assert len(sizes) == 4 and sum(sizes) == 8
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(100 + k, k) for k, _ in items}
+
+
+def test_edges_that_lead_to_their_roots_take_no_round(spark, monkeypatch):
+    rounds, star = [], components.star
+    monkeypatch.setattr(components, "star", lambda edges, large: rounds.append(large) or star(edges, large))
+    edges = [(i, i % 10) for i in range(10, 200)]
+    found = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert {tuple(r) for r in found.collect()} == {(i, i % 10) for i in range(200)} and not rounds
+    found = components.connected_components(spark.createDataFrame([*edges, (5, 4)], "a long, b long"))
+    assert {tuple(r) for r in found.collect()} == {(i, 4 if i % 10 == 5 else i % 10) for i in range(200)} and len(rounds) == 2
