@@ -27,8 +27,11 @@ table gives no leaks.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import repeat
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -96,14 +99,16 @@ def masks(words: list[int]) -> dict[int, int]:
 
 def common_subsequence(places: dict[int, int], size: int, text: list[int]) -> int:
     """Length of the longest common subsequence; one addition a word."""
-    full = (1 << size) - 1
-    row = full
-    for w in text:
-        m = places.get(w)
-        if m:
-            u = row & m
-            row = ((row + u) | (row - u)) & full
-    return size - row.bit_count()
+    return matched(filter(None, map(places.get, text)), size)
+
+
+def matched(found: Iterable[int], size: int) -> int:
+    """The same from the bits of the words' places, those of words without any left out."""
+    row = full = (1 << size) - 1
+    for m in found:
+        u = row & m
+        row = (row + u) | (row - u)  # what is carried beyond the last bit changes none below
+    return size - (row & full).bit_count()
 
 
 def word_numbers(rows: DataFrame, items: Items) -> DataFrame:
@@ -111,8 +116,9 @@ def word_numbers(rows: DataFrame, items: Items) -> DataFrame:
     words = items.words
 
     def work(stream):
+        number, none = words.get, repeat(-1)
         for batch in batches(stream):
-            coded = [np.array([words.get(w, -1) for w in TOKEN.findall(t.lower())], dtype="<i4").tobytes() for t in texts_of(batch)]
+            coded = [np.fromiter(map(number, TOKEN.findall(t.lower()), none), "<i4").tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(coded, pa.binary())], names=["doc_id", "key", "ids"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -158,7 +164,11 @@ def passage_matrix(ids: np.ndarray, table: np.ndarray, length: int = STEPS) -> n
     if len(at):
         step = at // STEP
         first = np.flatnonzero(np.diff(step, prepend=-1))
-        sums[step[first]] = np.add.reduceat(table[ids[at]], first, axis=0)
+        nth = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))  # which of its step's words
+        sums[step[first]] = table[ids[at[first]]]
+        for k in range(1, nth.max() + 1):
+            some = np.flatnonzero(nth == k)
+            sums[step[some]] += table[ids[at[some]]]
     windows = max(1, steps - length + 1)
     out = sums[:windows].copy()
     for k in range(1, min(length, steps)):
@@ -371,7 +381,10 @@ def checked(items: Items, j: int, ids: np.ndarray, start: int) -> float:
     """The share of the item's words found in order around the window; 0 if that's no leak."""
     n = len(items.lists[j])
     around = ids[max(0, start - n // 2) : start + STEP * STEPS + n].tolist()
-    share = common_subsequence(items.masks[j], n, around) / n
+    found = list(filter(None, map(items.masks[j].get, around)))
+    if min(len(found), reduce(or_, found, 0).bit_count()) / n < MAYBE:  # no common subsequence is longer
+        return 0.0
+    share = matched(found, n) / n
     if n < 5:
         return share if share == 1 else 0.0
     if share >= SURE:

@@ -134,3 +134,24 @@ def test_edges_that_lead_to_their_roots_take_no_round(spark, monkeypatch):
     assert {tuple(r) for r in found.collect()} == {(i, i % 10) for i in range(200)} and not rounds
     found = components.connected_components(spark.createDataFrame([*edges, (5, 4)], "a long, b long"))
     assert {tuple(r) for r in found.collect()} == {(i, 4 if i % 10 == 5 else i % 10) for i in range(200)} and len(rounds) == 2
+
+
+def test_no_subsequence_is_sought_where_too_few_words_are_there(monkeypatch):
+    items = lsa.read_items([(1, "one two three four five six seven eight"), (2, "nine ten")]).prepare()
+    sought, matched = [], lsa.matched
+    monkeypatch.setattr(lsa, "matched", lambda found, size: sought.append(size) or matched(found, size))
+    assert lsa.checked(items, 0, np.array([0, 1, 2, 3, 3, 3, 3, 3, -1]), 0) == 0.0 and not sought
+    assert lsa.checked(items, 1, np.array([8, -1, 8]), 0) == 0.0 and not sought
+    assert lsa.checked(items, 0, np.array([7, 0, 1, 2, 3, -1, 4, 5, 6, 7]), 0) == 1.0
+    assert lsa.checked(items, 1, np.array([9, 8, 9]), 0) == 1.0 and sought == [8, 2]
+
+
+def test_passage_sums_equal_a_loop():
+    random = np.random.default_rng(3)
+    table = random.standard_normal((30, 5)).astype(np.float32)
+    for n in (1, 7, 8, 9, 40, 333):
+        ids = random.integers(-10, 30, n)
+        steps = [sum((table[i] for i in ids[a : a + lsa.STEP] if i >= 0), np.zeros(5, np.float32)) for a in range(0, n, lsa.STEP)]
+        for length in (2, 4):
+            sums = [sum(steps[k : k + length]) for k in range(max(1, len(steps) - length + 1))]
+            assert np.allclose(lsa.passage_matrix(ids, table, length), sums, atol=1e-5)
