@@ -15,7 +15,9 @@ and answers every chunk; it names one chunk of each trained pair its owner. In t
 way the owners' sums for each word go to the words' shards and come back added up. Then a
 chunk has all it needs to add up its texts' log probabilities. Hashes are dealt evenly and
 a chunk sends each one once, so neither a frequent word nor a hot source makes a large
-shard. Nothing is broadcast but the discounts and totals.
+shard. Nothing is broadcast but the discounts and totals. Pairs and words are sent in
+several rounds, each to some of the shards, and the files a round has shuffled go with it;
+so the disk holds one round's share of them beside the chunks.
 
 A fifth of the trusted documents, by the checksum of ``doc_id``, is not trained on. Their
 perplexities give the thresholds, a quantile for each language, as a model knows its own
@@ -54,9 +56,11 @@ SHORT = 2.0  # nats that one word's loss may differ from the mean; over the root
 FOLDS = 5  # one of them is held out
 CHUNK_TOKENS = 1_000_000
 SHARD_TOKENS = 2_000_000  # tokens whose pairs one shard gets, about
+PAIR_ROUNDS, WORD_ROUNDS, LAST_ROUNDS = 2, 2, 2  # jobs that pairs and words are sent in, by shard, and that chunks are finished in: what one shuffles is gone before the next
 KEY_BITS = 56
 KEY_MASK = np.uint64((1 << KEY_BITS) - 1)
 START_KEY = np.uint64(1)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 STATS = 7  # how many are 1, 2, 3, 4, at least 3, not 0; their sum
 
 
@@ -174,11 +178,13 @@ class Chunk:
         return [total, *(np.bincount(v[c], minlength=size) for c in (n == 1, n == 2, n >= 3)), np.bincount(w, minlength=size)]
 
 
-def parcels(chunk: int, keys: np.ndarray, values: list[np.ndarray], shards: int) -> Iterator[dict]:
-    """Sorted keys with their values, cut by shard."""
+def parcels(chunk: int, keys: np.ndarray, values: list[np.ndarray], shards: int, rounds: int = 1, now: int = 0) -> Iterator[dict]:
+    """Sorted keys with their values, cut by shard; of several rounds each has its own shards."""
     own = shard_of(keys, shards)
     begins = np.flatnonzero(np.diff(own, prepend=np.uint64(shards)))
     for a, b in zip(begins, [*begins[1:], len(keys)]):
+        if own[a] % rounds != now:
+            continue
         yield {"shard": int(own[a]), "chunk": chunk, "keys": put_keys(keys[a:b]), "parts": [put(v[a:b]) for v in values]}
 
 
@@ -258,6 +264,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
+def write_and_clean(rows: DataFrame, path: str) -> None:
+    """Appends the rows to a Parquet folder; files shuffled for it go at once, not when the driver happens to collect its garbage."""
+    conf = rows.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        rows.write.mode("append").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def joined(answers: list[tuple[int, list[bytes]]]) -> list[np.ndarray]:
     """Answers of all shards, in the order of the keys."""
     return [np.concatenate([take(parts[k]) for _, parts in sorted(answers)]).astype(np.int64) for k in range(len(answers[0][1]))]
@@ -291,31 +308,36 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     sent = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("parts", pa.list_(pa.binary()))])
 
-    def send_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([p for row, c, _ in opened(left, right) for p in parcels(row["chunk"], c.keys, [c.counts], shards)], schema=sent)
+    def send_pairs(left: pa.Table, right: pa.Table, now: int) -> pa.Table:
+        return pa.Table.from_pylist([p for row, c, _ in opened(left, right) for p in parcels(row["chunk"], c.keys, [c.counts], shards, PAIR_ROUNDS, now)], schema=sent)
 
-    def send_words(left: pa.Table, right: pa.Table) -> pa.Table:
+    def send_words(left: pa.Table, right: pa.Table, now: int) -> pa.Table:
         out = []
         for row, c, answers in opened(left, right):
             if not len(c.keys):
                 continue
             totals, owned = answers[1]
             order = c.word_order
-            out += parcels(row["chunk"], np.append(c.words, START_KEY)[order], [s[order] for s in c.word_sums(owned > 0, totals)], shards)
+            out += parcels(row["chunk"], np.append(c.words, START_KEY)[order], [s[order] for s in c.word_sums(owned > 0, totals)], shards, WORD_ROUNDS, now)
         return pa.Table.from_pylist(out, schema=sent)
 
-    def exchange(send, notes_so_far: DataFrame, nr: int) -> tuple[DataFrame, list[int]]:
+    def exchange(send, notes_so_far: DataFrame, nr: int, rounds: int) -> tuple[DataFrame, list[int]]:
         """The answers as notes, and the stats of all shards together."""
-        asked = packed.groupBy("chunk").cogroup(notes_so_far.groupBy("chunk")).applyInArrow(send, "shard int, chunk long, keys binary, parts array<binary>")
         path = scratch_path(spark, "answers")
-        asked.groupBy("shard").applyInArrow(added_up, "chunk long, shard int, parts array<binary>, stats array<long>").write.parquet(path)
+
+        def of_round(now: int):
+            return lambda left, right: send(left, right, now)
+
+        for now in range(rounds):
+            asked = packed.groupBy("chunk").cogroup(notes_so_far.groupBy("chunk")).applyInArrow(of_round(now), "shard int, chunk long, keys binary, parts array<binary>")
+            write_and_clean(asked.groupBy("shard").applyInArrow(added_up, "chunk long, shard int, parts array<binary>, stats array<long>"), path)
         answers = spark.read.parquet(path)
         stats = answers.where("chunk IS NULL").agg(*(F.sum(F.col("stats")[k]) for k in range(STATS))).first()
         as_notes = answers.where("chunk IS NOT NULL").selectExpr("chunk", f"{nr} AS round", "shard", "parts", "CAST(NULL AS array<int>) AS places")
         return as_notes, [s or 0 for s in stats]
 
-    pairs, pair_stats = exchange(send_pairs, known, 1)
-    words, word_stats = exchange(send_words, known.unionByName(pairs), 2)
+    pairs, pair_stats = exchange(send_pairs, known, 1, PAIR_ROUNDS)
+    words, word_stats = exchange(send_words, known.unionByName(pairs), 2, WORD_ROUNDS)
     model = Model.of(pair_stats, word_stats)
     types = [to_arrow_type(docs.schema["doc_id"].dataType), to_arrow_type(docs.schema["lang"].dataType), pa.int64(), pa.float64()]
     names = ("doc_id", "lang", "n_words", "perplexity")
@@ -341,7 +363,9 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     every = known.unionByName(pairs).unionByName(words)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang {docs.schema['lang'].dataType.simpleString()}, n_words long, perplexity double"
     path = scratch_path(spark, "perplexities")
-    packed.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(finish, schema).write.parquet(path)
+    for now in range(LAST_ROUNDS):
+        some = F.pmod("chunk", F.lit(LAST_ROUNDS)) == now
+        write_and_clean(packed.where(some).groupBy("chunk").cogroup(every.where(some).groupBy("chunk")).applyInArrow(finish, schema), path)
     spark.sql(f"DROP TABLE {table}")
     return spark.read.schema(schema).parquet(path)
 

@@ -1,6 +1,7 @@
 """Cases that need a large text, few labels, or a benchmark in several slices."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from evenkeel.llm import components, crf, lsa, weak_pii
+from evenkeel.llm import components, crf, kneser_ney, lsa, weak_pii
 
 
 def test_a_text_of_very_many_matches_takes_linear_time(spark):
@@ -155,3 +156,26 @@ def test_passage_sums_equal_a_loop():
         for length in (2, 4):
             sums = [sum(steps[k : k + length]) for k in range(max(1, len(steps) - length + 1))]
             assert np.allclose(lsa.passage_matrix(ids, table, length), sums, atol=1e-5)
+
+
+def test_rounds_of_parcels_send_each_shard_once():
+    keys = np.unique(np.random.default_rng(5).integers(0, 1 << kneser_ney.KEY_BITS, 5000, dtype=np.uint64))
+    every = list(kneser_ney.parcels(1, keys, [keys], 17))
+    parts = [p for now in range(3) for p in kneser_ney.parcels(1, keys, [keys], 17, 3, now)]
+    assert len(every) == 17 and sorted(parts, key=lambda p: p["shard"]) == every
+
+
+def test_shuffled_files_go_with_the_write(spark, tmp_path):
+    def files():
+        kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return {f for f in kept.split() if f.endswith(".data")}
+
+    before, setting = files(), spark.conf.get(kneser_ney.CLEANUP)
+    for _ in range(2):
+        kneser_ney.write_and_clean(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), f"{tmp_path}/out")
+    for _ in range(40):
+        if not files() - before:
+            break
+        time.sleep(0.25)
+    assert not files() - before and spark.conf.get(kneser_ney.CLEANUP) == setting
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 14
