@@ -160,3 +160,17 @@ def test_format_bench_with_codecs(spark, tmp_path):
     plain, packed = ({r.format: r for r in format_bench(spark.range(5000), str(tmp_path / n), "id", ["csv", "json"], codecs).collect()} for n, codecs in (("p", None), ("z", {"json": "gzip"})))
     assert [(r.row_count, int(r.total)) for r in packed.values()] == [(5000, 12497500)] * 2
     assert packed["json"].bytes < plain["json"].bytes / 2 and packed["csv"].bytes == plain["csv"].bytes
+
+
+def test_pane_stream_takes_many_files_a_batch(spark, monkeypatch):
+    from evenkeel.plans import source_queries as sq
+    from evenkeel.plans.registry import Tables
+
+    runs, run = [], sq.sh.upsert_windows
+    monkeypatch.setattr(sq.sh, "upsert_windows", lambda *a: runs.append(run(*a)) or runs[-1])
+    places, place = {}, sq.scratch_path
+    monkeypatch.setattr(sq, "scratch_path", lambda s, name: places.setdefault(name, place(s, name)))
+    sq.streamed_metrics(Tables(spark, "/root/testdata/sf0.001"))
+    cores = spark.sparkContext.defaultParallelism
+    files = spark.read.parquet(places["samples"]).select(F.input_file_name()).distinct().count()
+    assert files == 4 * cores and len([p for p in runs[0].recentProgress if p["numInputRows"]]) == 4
