@@ -38,9 +38,10 @@ def letter_bytes() -> dict[str, int]:
 
 NEVER = 1 << 30  # the rank of a pair that isn't merged
 SHORT = 64  # letters of a piece up to which pieces are merged side by side
+ROWS = 8192  # pieces merged side by side
 
 
-def merge_long(ids: list[int], ranks: dict[tuple[int, int], int], made: list[int]) -> list[int]:
+def merge_long(ids: list[int], ranks: dict[tuple[int, int], int], made: np.ndarray) -> list[int]:
     """Merges the pair of lowest rank, leftmost first, until none is left: n log n steps."""
     n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -51,7 +52,7 @@ def merge_long(ids: list[int], ranks: dict[tuple[int, int], int], made: list[int
         j = after[i]
         if ids[i] < 0 or j >= n or ranks.get((ids[i], ids[j])) != rank:
             continue
-        ids[i], ids[j] = made[rank], -1
+        ids[i], ids[j] = int(made[rank]), -1
         after[i] = k = after[j]
         if k < n:
             before[k] = i
@@ -75,11 +76,12 @@ class WordBpe:
         self.ranks = {(self.vocab[a], self.vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
         keys = np.array([(a << 32) | b for a, b in self.ranks], dtype=np.int64)
         order = np.argsort(keys)
-        self.pairs, self.pair_rank = keys[order], np.array(list(self.ranks.values()))[order]
-        self.made = [self.vocab[a + b] for a, b in pairs]
-        self.inner = [self.vocab[x] for x in byte_letters()]
-        self.last = [self.vocab[x + self.end] for x in byte_letters()]
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACES))
+        self.pairs, self.pair_rank = keys[order], np.array(list(self.ranks.values()), dtype=np.int32)[order]
+        self.made = np.array([self.vocab[a + b] for a, b in pairs], dtype=np.int32)
+        self.inner = np.array([self.vocab[x] for x in byte_letters()], dtype=np.int32)
+        self.last = np.array([self.vocab[x + self.end] for x in byte_letters()], dtype=np.int32)
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACES)
+        self.pattern, self.pattern_or_line = regex.compile(pattern), regex.compile(pattern + "|\n")
         self.library = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -109,11 +111,27 @@ class WordBpe:
             return [bytes(map(letter_bytes().__getitem__, piece)).decode("utf-8") for piece, _ in found]
         return self.pattern.findall(chunk)
 
-    def letters(self, piece: str) -> list[int]:
-        data = piece.encode("utf-8", "surrogatepass")
-        ids = [self.inner[b] for b in data]
-        ids[-1] = self.last[data[-1]]
-        return ids
+    def pieces_of(self, chunks: list[str]) -> tuple[list[str], list[str], np.ndarray]:
+        """The chunks in another order, all their pieces one after the other, and how many each chunk has."""
+        beyond = [c for c in chunks if not c.isascii() and BEYOND_LATIN.search(c)]
+        if beyond:
+            apart = set(beyond)
+            chunks = [c for c in chunks if c not in apart]
+        # no chunk has a line break, so one search over a line for each chunk finds the pieces of each
+        found = self.pattern_or_line.findall("".join([c + "\n" for c in chunks]))
+        sizes = np.diff([i for i, p in enumerate(found) if p == "\n"], prepend=-1) - 1 if chunks else np.zeros(0, np.int64)
+        found = [p for p in found if p != "\n"]
+        split = [self.pieces(c) for c in beyond]
+        return chunks + beyond, found + [p for some in split for p in some], np.append(sizes, [len(some) for some in split]).astype(np.int64)
+
+    def letters(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces' bytes, one after the other, and the number of each piece's bytes."""
+        data = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+        each = np.frombuffer(b"".join(data), dtype=np.uint8)
+        ids, last = self.inner[each], np.cumsum(sizes) - 1
+        ids[last] = self.last[each[last]]
+        return ids, sizes
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs; NEVER where there is no such merge or no such letter (-1)."""
@@ -121,51 +139,52 @@ class WordBpe:
         at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         return np.where(self.pairs[at] == pair, self.pair_rank[at], NEVER)
 
-    def merge(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece by merging alone.
+    def merge(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By merging alone: an array with all ids, and where each piece's ids start in it and how many they are.
 
         Short pieces of about the same length form a table with one piece a row; each
         round merges, in every row, the leftmost pair of lowest rank.
         """
-        out = [self.letters(p) for p in pieces]
-        sizes = np.array([len(x) for x in out])
-        for low, high in ((1, 8), (8, 16), (16, 32), (32, SHORT)):
-            rows = np.flatnonzero((sizes > low) & (sizes <= high))
-            for at in range(0, len(rows), 4096):
-                some = rows[at : at + 4096]
-                table = np.full((len(some), high), -1, dtype=np.int64)
-                table[np.arange(high) < sizes[some][:, None]] = np.concatenate([out[i] for i in some])
-                merged, left = self.merge_table(table)
-                for i, row, n in zip(some.tolist(), merged.tolist(), left.tolist()):
-                    out[i] = row[:n]
-        for i in np.flatnonzero(sizes > SHORT):
-            out[i] = merge_long(out[i], self.ranks, self.made)
-        return out
-
-    def merge_table(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ranks = self.rank_of(table[:, :-1], table[:, 1:])
-        made, columns = np.asarray(self.made), np.arange(table.shape[1] - 1)
-        open_rows = np.arange(len(table))
+        ids, sizes = self.letters(pieces)
+        starts, left = np.cumsum(sizes) - sizes, sizes.copy()
+        for low, high in ((1, 4), (4, 8), (8, 12), (12, 16), (16, 32), (32, SHORT)):
+            rows, columns = np.flatnonzero((sizes > low) & (sizes <= high)), np.arange(high)
+            for at in range(0, len(rows), ROWS):
+                some = rows[at : at + ROWS]
+                inside, place = columns < sizes[some][:, None], starts[some][:, None] + columns
+                table = np.full((len(some), high), -1, dtype=np.int32)
+                table[inside] = ids[place[inside]]
+                left[some] = self.merge_table(table)
+                inside = columns < left[some][:, None]
+                ids[place[inside]] = table[inside]
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            row = merge_long(ids[starts[i] : starts[i] + sizes[i]].tolist(), self.ranks, self.made)
+            ids[starts[i] : starts[i] + len(row)], left[i] = row, len(row)
+        return ids, starts, left
+
+    def merge_table(self, table: np.ndarray) -> np.ndarray:
+        """Merges every row of ``table`` in place; how many ids each row has left."""
+        open_rows, part, ranks = np.arange(len(table)), table, self.rank_of(table[:, :-1], table[:, 1:])
+        columns = np.arange(table.shape[1] - 1)
         while True:
-            where = ranks[open_rows].argmin(axis=1)
-            best = ranks[open_rows, where]
+            where = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(part)), where]
             go = best < NEVER
-            open_rows, where, best = open_rows[go], where[go], best[go]
+            if not go.all():
+                table[open_rows[~go]] = part[~go]
+                open_rows, part, ranks, where, best = open_rows[go], part[go], ranks[go], where[go], best[go]
             if not len(open_rows):
-                return table, (table >= 0).sum(axis=1)
-            part, part_ranks = table[open_rows], ranks[open_rows]
-            line = np.arange(len(part))
-            part[line, where] = made[best]
-            part[:, :-1] = np.take_along_axis(part, columns + (columns > where[:, None]), axis=1)
-            part[:, -1] = -1
-            inner = columns[:-1]
-            part_ranks[:, :-1] = np.take_along_axis(part_ranks, inner + (inner >= where[:, None]), axis=1)
-            part_ranks[:, -1] = NEVER
-            right = np.minimum(where, part_ranks.shape[1] - 1)
-            part_ranks[line, right] = self.rank_of(part[line, right], part[line, right + 1])
-            left = np.maximum(where - 1, 0)
-            part_ranks[line, left] = self.rank_of(part[line, left], part[line, left + 1])
-            table[open_rows], ranks[open_rows] = part, part_ranks
+                return (table >= 0).sum(axis=1)
+            line, later = np.arange(len(part)), columns > where[:, None]
+            merged = np.full_like(part, -1)
+            merged[:, :-1] = np.where(later, part[:, 1:], part[:, :-1])
+            merged[line, where] = self.made[best]
+            shifted = np.full_like(ranks, NEVER)
+            shifted[:, :-1] = np.where(later[:, 1:], ranks[:, 1:], ranks[:, :-1])
+            right, left = np.minimum(where, len(columns) - 1), np.maximum(where - 1, 0)
+            shifted[line, right] = self.rank_of(merged[line, right], merged[line, right + 1])
+            shifted[line, left] = self.rank_of(merged[line, left], merged[line, left + 1])
+            part, ranks = merged, shifted
 
 
 @lru_cache(maxsize=4)

@@ -14,13 +14,14 @@ table gives an empty lexicon and no rows.
 from __future__ import annotations
 
 import os
-from array import array
 from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,18 +95,52 @@ class Lexicon:
         cuts = 7 + np.cumsum([0, *data[:7]])
         self.first, self.final, self.label, self.target, self.skip, self.starts, self.ids = (memoryview(data[a:b]) for a, b in zip(cuts, cuts[1:]))
         self.root = len(self.final) - 1
+        self.edges = np.repeat(np.arange(len(self.final)), np.diff(self.first)) << 21 | np.asarray(self.label, dtype=np.int64)  # rising
 
-    def lookup(self, word: str) -> list[int] | None:
-        """The word's ids, or None if it isn't in the lexicon."""
+    def place(self, word: str) -> int:
+        """The word's place in the table of ids, or -1 if it isn't in the lexicon."""
         state, place = self.root, 0
         for letter in map(ord, word):
             end = self.first[state + 1]
             edge = bisect_left(self.label, letter, self.first[state], end)
             if edge == end or self.label[edge] != letter:
-                return None
+                return -1
             place += self.skip[edge]
             state = self.target[edge]
-        return list(self.ids[self.starts[place] : self.starts[place + 1]]) if self.final[state] else None
+        return place if self.final[state] else -1
+
+    def lookup(self, word: str) -> list[int] | None:
+        """The word's ids, or None if it isn't in the lexicon."""
+        place = self.place(word)
+        return None if place < 0 else list(self.ids[self.starts[place] : self.starts[place + 1]])
+
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The place of each word: words take their steps side by side, long ones alone."""
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        first, final, target, skip = (np.asarray(x) for x in (self.first, self.final, self.target, self.skip))
+        out = np.full(len(words), -1, dtype=np.int64)
+        if not len(self.edges):
+            return out
+        for k in np.flatnonzero(sizes > bpe.SHORT).tolist():
+            out[k] = self.place(words[k])
+        going, end = np.flatnonzero(sizes <= bpe.SHORT), np.cumsum(sizes)
+        at, end = (end - sizes)[going], end[going]
+        state, place = np.full(len(going), self.root), np.zeros(len(going), dtype=np.int64)
+        while len(going):
+            there = at == end
+            if there.any():
+                ended = there & (final[state] > 0)
+                out[going[ended]] = place[ended]
+                going, at, state, place, end = (x[~there] for x in (going, at, state, place, end))
+            key = state << 21 | letters[at]
+            edge = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            found = self.edges[edge] == key
+            edge = edge[found]
+            going, at, end = going[found], at[found] + 1, end[found]
+            state, place = target[edge].astype(np.int64), place[found] + skip[edge]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -113,36 +148,70 @@ def mapped(name: str) -> Lexicon:
     return Lexicon(SparkFiles.get(name))
 
 
+def slices(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``values[start : start + size]`` of every start and size, one after the other."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Words:
-    """Ids of white-space separated words as bytes, each looked up or merged once."""
+    """Ids of white-space separated words, each looked up or merged once."""
 
     def __init__(self, tokenizer: bpe.WordBpe, lexicon: Lexicon | None):
         self.tokenizer, self.lexicon = tokenizer, lexicon
-        self.known: dict[str, bytes] = {}
+        self.forget()
 
-    def learn(self, words: set[str]) -> None:
+    def forget(self) -> None:
+        special = self.tokenizer.special.values()
+        self.known: dict[str | int, int] = {i: k for k, i in enumerate(special)}  # special tokens stand for themselves
+        self.ids = np.fromiter(special, dtype=np.int32, count=len(special))
+        self.starts, self.sizes = np.arange(len(special)), np.ones(len(special), dtype=np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.sizes, self.ids = np.append(self.sizes, sizes), np.append(self.ids, ids.astype(np.int32))
+
+    def learn(self, words: set[str | int]) -> None:
         """Looks new words up in the lexicon and merges the rest side by side."""
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        known, unseen = self.known, []
-        for word in words - known.keys():
-            ids = self.lexicon.lookup(word) if self.lexicon else None
-            if ids is None:
-                unseen.append((word, self.tokenizer.pieces(word)))
-            else:
-                known[word] = array("i", ids).tobytes()
-        new = list({p for _, pieces in unseen for p in pieces} - known.keys())
-        of_piece = {p: array("i", ids).tobytes() for p, ids in zip(new, self.tokenizer.merge(new))}
-        for word, pieces in unseen:
-            known[word] = b"".join([of_piece.get(p) or known[p] for p in pieces])
+            self.forget()
+        new = list(words - self.known.keys())
+        if new and self.lexicon:
+            places = self.lexicon.places(new)
+            starts = np.asarray(self.lexicon.starts, dtype=np.int64)
+            found = places[places >= 0]
+            sizes = starts[found + 1] - starts[found]
+            self.add([new[k] for k in np.flatnonzero(places >= 0).tolist()], slices(np.asarray(self.lexicon.ids), starts[found], sizes), sizes)
+            new = [new[k] for k in np.flatnonzero(places < 0).tolist()]
+        if not new:
+            return
+        new, pieces, n = self.tokenizer.pieces_of(new)
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(p, len(number)) for p in pieces], dtype=np.int64)
+        ids, starts, sizes = self.tokenizer.merge(list(number))
+        up_to = np.append(0, np.cumsum(sizes[which]))[np.append(0, np.cumsum(n))]
+        self.add(new, slices(ids, starts[which], sizes[which]), np.diff(up_to))
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's ids end, from 0."""
+        tokenizer, parts = self.tokenizer, []
+        for text in texts:
+            segments = tokenizer.segments(text)
+            words = tokenizer.chunks(segments[0])
+            for i, part in enumerate(segments[1:]):
+                words += tokenizer.chunks(part) if i % 2 else [tokenizer.special[part]]
+            parts.append(words)
+        self.learn(set().union(*parts))
+        counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=int(counts.sum()))
+        sizes = self.sizes[number]
+        return slices(self.ids, self.starts[number], sizes), np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The texts' ids, four bytes each."""
-        tokenizer = self.tokenizer
-        parts = [[tokenizer.chunks(s) if i % 2 == 0 else tokenizer.special[s] for i, s in enumerate(tokenizer.segments(t))] for t in texts]
-        self.learn(set().union(*(p for segments in parts for p in segments[::2])))
-        known = self.known
-        return [b"".join([b"".join([known[w] for w in p]) if i % 2 == 0 else array("i", [p]).tobytes() for i, p in enumerate(segments)]) for segments in parts]
+        ids, ends = self.encode_flat(texts)
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
 
 def word_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -196,9 +265,9 @@ def build_lexicon(docs: DataFrame, path: str, most: int = MAX_WORDS) -> str:
     def build(stream):
         tokenizer = bpe.load(path)
         words = [w for batch in stream for w in batch.column("word").to_pylist()]
-        pieces = [tokenizer.pieces(w) for w in words]
-        merged = iter(tokenizer.merge([p for some in pieces for p in some]))
-        data = compile_words({w: [i for _ in some for i in next(merged)] for w, some in zip(words, pieces)})
+        ids = Words(tokenizer, None)
+        ids.learn(set(words))
+        data = compile_words({w: ids.ids[ids.starts[k] : ids.starts[k] + ids.sizes[k]].tolist() for w, k in zip(words, map(ids.known.__getitem__, words))})
         yield pa.RecordBatch.from_pydict({"data": pa.array([data], pa.binary())})
 
     data = frequent_words(counts, most).repartition(1).mapInArrow(build, "data binary").first()
@@ -216,9 +285,11 @@ def shared_file(spark: SparkSession, data: bytes) -> str:
     return path.getName()
 
 
-def joined_tokens(tokens: list[str], ids) -> str:
-    """Decoding as the library does for a vocabulary without a decoder."""
-    return " ".join([tokens[i] for i in ids])
+def joined_tokens(tokens: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """Decoding as the library does for a vocabulary without a decoder; a null list gives the empty text."""
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), tokens.take(ids.flatten())), " ")
 
 
 def encode(docs: DataFrame, path: str, lexicon: str | None = None, decoded: bool = False) -> DataFrame:
@@ -232,15 +303,12 @@ def encode(docs: DataFrame, path: str, lexicon: str | None = None, decoded: bool
 
     def make():
         tokenizer = bpe.load(path)
-        words = Words(tokenizer, mapped(lexicon))
+        words, tokens = Words(tokenizer, mapped(lexicon)), pa.array(tokenizer.tokens, pa.string())
 
         def call(texts):
-            parts = words.encode(texts)
-            ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
-            out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))]
-            if decoded:
-                out.append(pa.array([joined_tokens(tokenizer.tokens, np.frombuffer(p, dtype="<i4").tolist()) for p in parts], pa.string()))
-            return out
+            ids, ends = words.encode_flat(texts)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            return [lists, joined_tokens(tokens, lists)] if decoded else [lists]
 
         return call
 
@@ -252,10 +320,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Every row with ``decoded string``: the tokens of ``ids``, special ones included."""
 
     def work(stream):
-        tokens = bpe.load(path).tokens
+        tokens = pa.array(bpe.load(path).tokens, pa.string())
         for batch in batches(stream):
-            texts = [joined_tokens(tokens, ids or ()) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined_tokens(tokens, batch.column("ids"))], names=[*batch.schema.names, "decoded"])
 
     if "decoded" in encoded.columns:
         raise ValueError("the table already has a column named decoded")
