@@ -32,8 +32,18 @@ def quantised(p: np.ndarray) -> np.ndarray:
     return np.minimum(code, NOTHING).astype(np.uint16)
 
 
+PROBABILITIES = np.append(10.0 ** (-np.arange(NOTHING, dtype=np.float64) / SCALE), 0.0)
+
+
 def probability(code: np.ndarray) -> np.ndarray:
-    return np.where(code == NOTHING, 0.0, 10.0 ** (-code.astype(np.float64) / SCALE))
+    return PROBABILITIES[code]
+
+
+def starts_run(values: np.ndarray) -> np.ndarray:
+    """Where a rising sequence has a value that the place before doesn't have."""
+    first = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return first
 
 
 def packed(values: np.ndarray, bits: int) -> np.ndarray:
@@ -163,12 +173,14 @@ class Trie:
 def compiled(w1: np.ndarray, w2: np.ndarray, gram_context: np.ndarray, w3: np.ndarray, bigram: np.ndarray, left: np.ndarray, share: np.ndarray) -> bytes:
     """A trie of contexts sorted by (w2, w1) and of grams sorted by (context, w3); at least one of each."""
     stride = int(max(w1.max(), w3.max())) + 1
-    words, rank = np.unique(w2, return_inverse=True)
+    first = starts_run(w2)
+    words, rank = w2[first], np.cumsum(first) - 1
     if len(words) * stride >= 1 << 62:
         raise ValueError("too many words for one trie; use more shards")
     context_ends = np.searchsorted(rank, np.arange(len(words) + 1))
     follow = rank[gram_context] * stride + w3
-    successors = np.unique(follow)
+    successors = np.sort(follow)
+    successors = successors[starts_run(successors)]
     successor_ends = np.searchsorted(successors, np.arange(len(words) + 1) * stride)
     width = np.diff(successor_ends)
     offset = np.concatenate([[0], np.cumsum(np.diff(context_ends) * width)])

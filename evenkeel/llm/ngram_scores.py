@@ -32,6 +32,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 from uuid import uuid4
 
 import numpy as np
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from evenkeel.llm.common import text_col
-from evenkeel.llm.eftrie import Trie, compiled, probability, quantised
+from evenkeel.llm.eftrie import Trie, compiled, probability, quantised, starts_run
 from evenkeel.session import scratch_path
 
 MU2, MU3 = 2000.0, 6.0
@@ -84,6 +85,25 @@ def steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=0)
 
 
+def by_number(values: np.ndarray, top: int) -> np.ndarray:
+    """Stable order of numbers from 0 below ``top``; small ones are sorted digit by digit."""
+    return np.argsort(values.astype(np.uint16) if top <= 1 << 16 else values, kind="stable")
+
+
+def ranked(keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of keys from 0 below ``top``, rising, and the place of each key among them."""
+    bits = len(keys).bit_length()
+    if top.bit_length() + bits > 63:
+        return np.unique(keys, return_inverse=True)
+    # sorting each key together with its place is faster than sorting places
+    both = np.sort(keys << bits | np.arange(len(keys)))
+    rising, at = both >> bits, both & ((1 << bits) - 1)
+    first = starts_run(rising)
+    place = np.empty(len(keys), dtype=np.int64)
+    place[at] = np.cumsum(first) - 1
+    return rising[first], place
+
+
 def chunks(docs: DataFrame, shards: int, table: str) -> tuple[DataFrame, DataFrame]:
     """``chunk, ids, held, sizes, tokens, dealt`` and ``shard, chunk, words, counts``, written once.
 
@@ -116,7 +136,7 @@ def chunks(docs: DataFrame, shards: int, table: str) -> tuple[DataFrame, DataFra
             number: dict[bytes, int] = defaultdict(int)
             number.default_factory = number.__len__
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
-            tokens = np.fromiter((number[w] for t in texts for w in t), dtype=np.int64, count=int(sizes.sum()))
+            tokens = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(sizes.sum()))
             held = np.array([held_out(i) for i in ids])
             order = np.argsort(-np.bincount(tokens, minlength=len(number)), kind="stable")
             rank = np.empty_like(order)
@@ -125,10 +145,10 @@ def chunks(docs: DataFrame, shards: int, table: str) -> tuple[DataFrame, DataFra
             words = [words[k] for k in order.tolist()]
             tokens = rank[tokens]
             counts = np.bincount(tokens, weights=np.repeat(~held, sizes), minlength=len(words)).astype(np.int64)
-            dealt = np.array([zlib.crc32(w) % shards for w in words])
+            dealt = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % shards
             chunk = uuid4().int >> 65
             rows = [{"chunk": chunk, "ids": ids, "held": held.tolist(), "sizes": put(sizes), "tokens": put(tokens), "dealt": put(dealt), "shard": -1}]
-            by_shard = np.argsort(dealt, kind="stable")
+            by_shard = by_number(dealt, shards)
             ends = np.searchsorted(dealt[by_shard], np.arange(shards + 1)).tolist()
             for s in range(shards):
                 own = by_shard[ends[s] : ends[s + 1]]
@@ -214,7 +234,7 @@ def word_ids(parcels: DataFrame, numbered: DataFrame) -> DataFrame:
         chunk, parts = left.column("chunk"), []
         for packed in left.column("words").to_pylist():
             words = words_of(packed)
-            parts.append([put(np.fromiter((number.get(w, UNKNOWN) for w in words), np.int64, len(words)) + 1)])
+            parts.append([put(np.fromiter(map(number.get, words, repeat(UNKNOWN)), np.int64, len(words)) + 1)])
         shard = pa.array([-1 - s for s in left.column("shard").to_pylist()], pa.int32())
         return pa.table({"chunk": chunk, "shard": shard, "parts": pa.array(parts, pa.list_(pa.binary()))})
 
@@ -231,28 +251,35 @@ class Chunk:
         dealt = take(row["dealt"])
         number = np.empty(len(dealt), dtype=np.int64)
         number[np.argsort(dealt, kind="stable")] = np.concatenate([take(ids[s]) for s in sorted(ids)]) - 1
-        w = number[take(row["tokens"])]
-        start, pad = known.words, known.words + 1
+        # words by their places in the order of their numbers, the start token and the closing one come last
+        by_id = np.argsort(number, kind="stable")
+        place = np.empty_like(by_id)
+        place[by_id] = np.arange(len(by_id))
+        unknown, start, pad = int(np.count_nonzero(number < 0)), len(number), len(number) + 1
+        self.numbers = np.append(number[by_id], [known.words, known.words + 1])
+        self.words, self.texts = place[take(row["tokens"])], np.repeat(np.arange(len(self.sizes)), self.sizes)
         # every text with two start tokens before it and one that closes it
         n = len(self.sizes)
         first = np.cumsum(self.sizes) - self.sizes + 3 * np.arange(n)
-        self.line = np.full(len(w) + 3 * n, start, dtype=np.int64)
-        self.own = np.repeat(first + 2, self.sizes) + np.arange(len(w)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.line[self.own] = w
-        self.line[first + 2 + self.sizes] = pad
-        self.at = np.sort(np.concatenate([self.own, first + 2 + self.sizes]))  # where a trigram ends
-        w1, w2, w3 = self.line[self.at - 2], self.line[self.at - 1], self.line[self.at]
+        line = np.full(len(self.words) + 3 * n, start, dtype=np.int64)
+        own = np.arange(len(self.words)) + 3 * self.texts + 2
+        line[own] = self.words
+        line[first + 2 + self.sizes] = pad
+        self.before = line[own - 1]
+        at = np.arange(len(self.words) + n) + 2 * np.repeat(np.arange(n), self.sizes + 1) + 2  # where a trigram ends
+        w1, w2, w3 = line[at - 2], line[at - 1], line[at]
         train = np.repeat(~held, self.sizes + 1)
-        usable = (w1 >= 0) & (w2 >= 0)
-        keys, context = np.unique(w2[usable] << 32 | w1[usable], return_inverse=True)
-        self.w1, self.w2 = keys & 0xFFFFFFFF, keys >> 32
-        self.context = np.full(len(self.at), -1, dtype=np.int64)
+        usable = (w1 >= unknown) & (w2 >= unknown)
+        top = len(self.numbers)
+        keys, context = ranked(w2[usable] * top + w1[usable], top * top)
+        self.w1, self.w2 = self.numbers[keys % top], self.numbers[keys // top]
+        self.context = np.full(len(at), -1, dtype=np.int64)
         self.context[usable] = context
-        seen = usable & (w3 >= 0)
-        grams, gram = np.unique(self.context[seen] << 32 | w3[seen], return_inverse=True)
-        self.gram_context, self.w3 = grams >> 32, grams & 0xFFFFFFFF
+        seen = usable & (w3 >= unknown)
+        grams, gram = ranked(self.context[seen] * top + w3[seen], max(1, len(keys)) * top)
+        self.gram_context, self.w3 = grams // top, self.numbers[grams % top]
         self.counts = np.bincount(gram, weights=train[seen], minlength=len(grams)).astype(np.int64)
-        self.gram = np.full(len(self.at), -1, dtype=np.int64)
+        self.gram = np.full(len(at), -1, dtype=np.int64)
         self.gram[seen] = gram
         self.split = (self.w1 < HOT) & (self.w2 < HOT)
 
@@ -271,16 +298,17 @@ class Chunk:
     def parcels(self, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Shard, contexts and trigrams that go to it: those of a split context take the context along."""
         of_context, of_gram = self.dealt(shards)
-        order = np.argsort(of_gram, kind="stable")
+        order = by_number(of_gram, shards)
         ends = np.searchsorted(of_gram[order], np.arange(shards + 1))
-        by_context = np.argsort(of_context, kind="stable")
+        by_context = by_number(of_context + 1, shards + 1)
         context_ends = np.searchsorted(of_context[by_context], np.arange(shards + 1))
         for s in range(shards):
             grams, whole = order[ends[s] : ends[s + 1]], by_context[context_ends[s] : context_ends[s + 1]]
             of = self.gram_context[grams]
-            split = np.unique(of[self.split[of]])
+            split = of[self.split[of]]  # rising, as the trigrams are; none of them is in ``whole``
+            split = split[starts_run(split)]
             if len(whole) or len(grams):
-                yield s, np.union1d(whole, split) if len(split) else whole, grams
+                yield s, np.sort(np.append(whole, split)) if len(split) else whole, grams
 
 
 def send(row: dict, chunk: Chunk, shards: int) -> Iterator[dict]:
@@ -359,18 +387,19 @@ def add_up(row: dict, chunk: Chunk, answers: dict[int, list[bytes]], totals: tup
         place = np.searchsorted(split, chunk.gram_context[of_split])
         shares[of_split] = quantised(shares[of_split] / (total[place] + MU3))
     # the context that ends with a token has the token's bigram probability
-    w, before = chunk.line[chunk.own], chunk.line[chunk.own - 1]
-    here = np.searchsorted(chunk.at, chunk.own)
+    w, counts = chunk.words, known.count(chunk.numbers)
+    here = np.arange(len(w)) + chunk.texts
     following = chunk.context[here + 1]  # the next trigram's context is (before, w); every text has one trigram more
-    p1 = known.single(w)
-    unseen = MU2 * p1 / (known.count(before) + MU2)
+    single = known.single(chunk.numbers)
+    p1 = single[w]
+    unseen = MU2 * p1 / (counts[chunk.before] + MU2)
     p2 = np.where(bigram[following] != 65535, probability(bigram[following]), unseen)
     rest, share = probability(left[chunk.context[here]]), probability(shares[chunk.gram[here]].astype(np.uint16))
     first = np.cumsum(chunk.sizes) - chunk.sizes
     score = np.add.reduceat(np.log10(share + rest * p2), first)
     return {
-        "doc_id": row["ids"], "held_out": row["held"], "n_tokens": chunk.sizes, "n_known": np.add.reduceat((known.count(w) > 0).astype(np.int64), first),
-        "train_tokens": np.full(len(first), known.tokens), "base_score": np.add.reduceat(np.log10(p1), first), "score": score,
+        "doc_id": row["ids"], "held_out": row["held"], "n_tokens": chunk.sizes, "n_known": np.add.reduceat((counts > 0).astype(np.int64)[w], first),
+        "train_tokens": np.full(len(first), known.tokens), "base_score": np.add.reduceat(np.log10(single)[w], first), "score": score,
     }
 
 
