@@ -35,6 +35,7 @@ MAX_WORDS = 32768  # words in the lexicon at most
 COUNTED_AT_ONCE = 400_000  # different words that a task counts before it hands them on
 KEPT_WORDS = 300_000  # different words whose ids a worker keeps
 TEXTS = 512  # texts encoded at once
+SLICES = 65536  # words whose ids are put together at once
 
 
 def compile_words(words: dict[str, list[int]]) -> bytes:
@@ -150,8 +151,13 @@ def mapped(name: str) -> Lexicon:
 
 def slices(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """``values[start : start + size]`` of every start and size, one after the other."""
-    ends = np.cumsum(sizes)
-    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    ends = np.append(0, np.cumsum(sizes))
+    out = np.empty(ends[-1], dtype=values.dtype)
+    for a in range(0, len(starts), SLICES):
+        some, n = slice(a, a + SLICES), sizes[a : a + SLICES]
+        first, last = ends[a], ends[a + len(n)]
+        out[first:last] = values[np.repeat(starts[some] - ends[:-1][some], n) + np.arange(first, last)]
+    return out
 
 
 class Words:

@@ -132,6 +132,14 @@ def test_new_words_are_learnt_side_by_side(tmp_path):
     assert calls < len(asked) / 2 + 2 * beyond, calls
 
 
+def test_ids_are_put_together_in_blocks(monkeypatch):
+    monkeypatch.setattr(transducer, "SLICES", 3)
+    values, starts, sizes = np.arange(100), np.array([5, 0, 90, 7, 7, 50, 3]), np.array([2, 0, 10, 1, 1, 0, 4])
+    want = [v for a, n in zip(starts.tolist(), sizes.tolist()) for v in range(a, a + n)]
+    assert transducer.slices(values, starts, sizes).tolist() == want
+    assert transducer.slices(values, starts[:0], sizes[:0]).tolist() == []
+
+
 def test_a_null_list_of_ids_decodes_to_the_empty_text(spark):
     rows = spark.createDataFrame([(1, None), (2, []), (3, [320, 49407])], "doc_id long, ids array<int>")
     library = Tokenizer.from_file(WORD_BPE)
