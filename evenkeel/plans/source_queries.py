@@ -367,4 +367,4 @@ def format_totals(t: Tables):
 def formats(t: Tables, codecs: dict[str, str] | None = None):
     from evenkeel.operators.formats import format_bench
 
-    return format_bench(t.lineitem, scratch_path(t.spark, "formats"), "l_extendedprice", codecs=codecs)
+    return format_bench(t.lineitem, scratch_path(t.spark, "formats"), "l_extendedprice", codecs=codecs, keep=False)

@@ -162,6 +162,41 @@ def test_format_bench_with_codecs(spark, tmp_path):
     assert packed["json"].bytes < plain["json"].bytes / 2 and packed["csv"].bytes == plain["csv"].bytes
 
 
+def test_format_bench_holds_one_format_at_a_time(spark, tmp_path, monkeypatch):
+    from evenkeel.operators import formats
+
+    df = spark.range(0, 5000, 1, 3)
+    kept, freed, held, release = tmp_path / "k", tmp_path / "f", [], formats.release
+
+    def watched(session, path):
+        held.append((sorted(p.name for p in freed.iterdir()), len(list(freed.rglob("part-*")))))
+        release(session, path)
+
+    monkeypatch.setattr(formats, "release", watched)
+    known = [[(r.format, r.available, r.bytes, r.row_count, r.total, r.relative_size) for r in format_bench(df, str(f), "id", keep=keep).collect()] for f, keep in ((kept, True), (freed, False))]
+    assert known[0] == known[1] and [r[3] for r in known[1]] == [5000] * 4
+    assert held == [([name], 3) for name in formats.FORMATS]
+    assert len(list(kept.rglob("part-*"))) == 12 and not list(freed.iterdir())
+
+
+def test_format_bench_leaves_what_it_did_not_write(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "mine").write_text("x")
+    out = {r.format: r.available for r in format_bench(spark.range(10), str(tmp_path), "id", ["csv", "json"], keep=False).collect()}
+    assert out == {"csv": False, "json": True} and [p.name for p in tmp_path.rglob("*")] == ["csv", "mine"]
+
+
+def test_format_queries_leave_no_files(spark, tmp_path, monkeypatch):
+    from evenkeel.plans import source_queries as sq
+    from evenkeel.plans.registry import Tables
+
+    spark.range(300).select(F.col("id").cast("double").alias("l_extendedprice")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(sq, "scratch_path", lambda s, name: str(tmp_path / "scratch" / name))
+    for run in (sq.formats, sq.format_totals):
+        assert [r.row_count for r in run(Tables(spark, str(tmp_path))).collect()] == [300] * 4
+        assert not list((tmp_path / "scratch").rglob("*part-*"))
+
+
 def test_pane_stream_takes_many_files_a_batch(spark, monkeypatch):
     from evenkeel.plans import source_queries as sq
     from evenkeel.plans.registry import Tables
